@@ -107,7 +107,7 @@ def inline_files(text: Column, files: Column, prefix: str) -> Column:
     def step(acc: Column, item: Column) -> Column:
         url, given = item["url"], F.when(item["text"] != "", item["text"])
         pattern = F.concat(F.lit(r"!\[([^\]]*)\]\("), F.lit(r"\Q"), url, F.lit(r"\E\)"))
-        pictured = acc["text"].rlike(pattern)
+        pictured = F.rlike(acc["text"], pattern)
         alt = F.call_function("regexp_extract", acc["text"], pattern, F.lit(1))
         name = F.coalesce(given, F.when(pictured, alt), url)
         replaced = F.when(pictured, F.regexp_replace(acc["text"], pattern, F.lit("$1"))).otherwise(
