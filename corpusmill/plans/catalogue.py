@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from corpusmill.plans import catalog_queries, chunk_queries, page_queries, text_queries  # noqa: F401
+from corpusmill.plans import catalog_queries, chunk_queries, page_queries, sync_queries, text_queries  # noqa: F401
 from corpusmill.plans.registry import ORACLES, QUERIES, SURVEY_ROWS  # noqa: F401
