@@ -15,35 +15,35 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
+from corpusmill.session import cut_lineage
 
 EDGES = "a long, b long"
+PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
 SUB_BLOCK = 1024
 
 
-def _coordinates(payload: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, column number and value of every cell of dense or sparse vectors."""
-    sizes = payload.map(len).to_numpy()
-    rows = np.repeat(np.arange(len(payload)), sizes)
-    if len(rows) and isinstance(payload.iloc[int(np.argmax(sizes > 0))][0], dict):
-        cells = [c for vector in payload for c in vector]
-        return rows, np.array([c["word"] for c in cells]), np.array([c["weight"] for c in cells])
-    columns = np.concatenate([np.arange(n) for n in sizes]) if len(rows) else np.array([], dtype=int)
-    return rows, columns, np.concatenate(payload.to_list()).astype(np.float64) if len(rows) else np.array([])
+def _cells(payload: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, coordinate and weight of every cell of struct<at,weight> vectors."""
+    at, weight = payload.field(0), payload.field(1)
+    sizes = pc.list_value_length(at).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(payload)), sizes), at.flatten().to_numpy(), weight.flatten().to_numpy()
 
 
-def _dense(payload: pd.Series) -> np.ndarray:
-    """Rows of unit length over the columns that occur."""
-    rows, columns, values = _coordinates(payload)
-    names, at = np.unique(columns, return_inverse=True)
-    out = np.zeros((len(payload), max(len(names), 1)))
-    out[rows, at] = values
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+def _cosines(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    """Row by row products of two columns of unit vectors."""
+    (rows, at, weight), (other_rows, other_at, other_weight) = _cells(left), _cells(right)
+    names, codes = np.unique(np.concatenate([at, other_at]), return_inverse=True)
+    width = len(names) + 1
+    _, i, j = np.intersect1d(
+        rows * width + codes[: len(at)], other_rows * width + codes[len(at) :], assume_unique=True, return_indices=True
+    )
+    return np.bincount(rows[i], weights=weight[i] * other_weight[j], minlength=len(left))
 
 
 def _forest(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
@@ -64,63 +64,79 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def links_in_blocks(blocks: DataFrame, threshold: float, sub_block: int = SUB_BLOCK) -> DataFrame:
+def links_in_blocks(members: DataFrame, items: DataFrame, threshold: float, sub_block: int = SUB_BLOCK) -> DataFrame:
     """Edges (a, b) that connect exactly what pairs above the threshold inside the blocks connect.
 
-    ``blocks``: block, item_id, payload. A block of any size is fine.
+    ``members``: block string, item_id long; a block of any size is fine. ``items``: item_id, payload
+    PAYLOAD, already written out. Only ids travel until a comparison needs the vectors.
     """
-    pivots = blocks.groupBy("block").agg(
-        F.min_by(F.struct("item_id", "payload"), "item_id").alias("pivot"), F.count("*").alias("n")
-    ).filter("n > 1")
-    met = blocks.join(pivots.drop("n"), "block")
+    pivots = members.groupBy("block").agg(F.min("item_id").alias("pivot_id"), F.count("*").alias("n")).filter("n > 1")
+    met = members.join(pivots.drop("n"), "block")
 
     def near_pivot(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, sub_block):
-                part = batch.slice(start, sub_block)
-                *kept, pivot = part.columns
-                own = pd.Series(part.column("payload").to_pylist())
-                other = pd.Series([p["payload"] for p in pivot.to_pylist()])
-                both = _dense(pd.concat([own, other], ignore_index=True))
-                cosine = np.einsum("ij,ij->i", both[: len(own)], both[len(own) :])
-                pivot_id = pa.array([p["item_id"] for p in pivot.to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pivot_id, pa.array(cosine > threshold)], ["block", "item_id", "payload", "pivot_id", "linked"]
-                )
-
-    payload_type = blocks.schema["payload"].dataType.simpleString()
-    flagged = met.select("block", "item_id", "payload", "pivot").mapInArrow(
-        near_pivot, f"block {blocks.schema['block'].dataType.simpleString()}, item_id long, payload {payload_type}, pivot_id long, linked boolean"
-    )
-    flagged = flagged.withColumn("linked", F.col("linked") | (F.col("item_id") == F.col("pivot_id")))
-    to_pivot = flagged.filter("linked AND item_id <> pivot_id").select(F.col("item_id").alias("a"), F.col("pivot_id").alias("b"))
-
+                ids, pivot_ids, payload, pivot = batch.slice(start, sub_block).columns
+                near = pa.array(_cosines(payload, pivot) > threshold)
+                yield pa.RecordBatch.from_arrays([ids.filter(near), pivot_ids.filter(near)], ["item_id", "pivot_id"])
+
+    pairs = met.filter("item_id <> pivot_id").select("item_id", "pivot_id").distinct()  # at most one per membership
+    pivot_items = items.select(F.col("item_id").alias("pivot_id"), F.col("payload").alias("pivot"))
+    both = pairs.join(items, "item_id").join(pivot_items, "pivot_id").select("item_id", "pivot_id", "payload", "pivot")
+    to_pivot = cut_lineage(both.mapInArrow(near_pivot, "item_id long, pivot_id long"))
+
+    hit = to_pivot.withColumn("hit", F.lit(True))
+    linked = F.coalesce("hit", F.col("item_id") == F.col("pivot_id"))
+    flagged = met.join(hit, ["item_id", "pivot_id"], "left").select("block", "item_id", linked.alias("linked"))
     sizes = flagged.groupBy("block").agg(
         F.ceil(F.count_if("linked") / sub_block).alias("s_linked"), F.ceil(F.count_if(~F.col("linked")) / sub_block).alias("s_rest")
     ).filter("s_rest > 0")
-    placed = flagged.drop("pivot_id").join(sizes, "block")
+    # linked rows meet only the rest; a row of the rest meets every sub-block
     number = F.xxhash64("item_id")
     own = F.when(F.col("linked"), F.pmod(number, F.col("s_linked"))).otherwise(
-        F.col("s_linked") + F.pmod(number, F.greatest("s_rest", F.lit(1)))
+        F.col("s_linked") + F.pmod(number, F.col("s_rest"))
     )
-    # linked rows meet only the rest; a row of the rest meets every sub-block
-    last = F.col("s_linked") + F.col("s_rest") - 1
     first = F.when(F.col("linked"), F.col("s_linked")).otherwise(F.lit(0))
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, last)))
+    others = F.sequence(first, F.col("s_linked") + F.col("s_rest") - 1)
+    placed = flagged.join(sizes, "block").select("block", "item_id", "linked", own.alias("own"), F.explode(others).alias("other"))
     tasks = placed.select(
-        "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "item_id", "linked", "payload"
+        F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "item_id", "linked"
+    )
+    # many small comparisons share one Python call, and an item's vector is sent to it once
+    n_bundles = F.greatest(F.ceil(F.count("*") / (2 * sub_block)), F.lit(1))
+    counted = F.broadcast(tasks.agg(n_bundles.alias("n_bundles")))  # one row
+    bundled = (
+        tasks.join(counted)
+        .groupBy(F.pmod("task", "n_bundles").alias("bundle"), "item_id")
+        .agg(F.collect_list("task").alias("tasks"), F.collect_list("linked").alias("linked"))
+        .join(items, "item_id")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        pdf = pd.DataFrame({c: table.column(c).to_pylist() for c in ("item_id", "linked", "payload")})
-        rows = _dense(pdf["payload"])
-        close = rows @ rows.T > threshold
-        known = pdf["linked"].to_numpy(dtype=bool)
-        close[np.ix_(known, known)] = False
-        np.fill_diagonal(close, False)
-        return pa.Table.from_pandas(_forest(close, pdf["item_id"].to_numpy()), preserve_index=False)
-
-    return tasks.groupBy("block", "i", "j").applyInArrow(compare, EDGES).union(to_pivot).distinct()
+        ids = table.column("item_id").to_numpy()
+        part = table.column("tasks").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+        task, known = part.flatten().to_numpy(), table.column("linked").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        rows, at, weight = _cells(table.column("payload").combine_chunks())
+        offsets = np.searchsorted(rows, np.arange(len(ids) + 1))
+        order = np.argsort(task, kind="stable")
+        found = []
+        for members in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            mine = owner[members]
+            spans = [slice(offsets[i], offsets[i + 1]) for i in mine]
+            local = np.repeat(np.arange(len(mine)), [s.stop - s.start for s in spans])
+            names, column = np.unique(np.concatenate([at[s] for s in spans]), return_inverse=True)
+            block = np.zeros((len(mine), len(names)))
+            block[local, column] = np.concatenate([weight[s] for s in spans])
+            close = block @ block.T > threshold
+            done = known[members]
+            close[np.ix_(done, done)] = False
+            np.fill_diagonal(close, False)
+            found.append(_forest(close, ids[mine]))
+        return pa.Table.from_pandas(pd.concat(found, ignore_index=True), preserve_index=False)
+
+    found = bundled.groupBy("bundle").applyInArrow(compare, EDGES)
+    return found.union(to_pivot.select(F.col("item_id").alias("a"), F.col("pivot_id").alias("b"))).distinct()
 
 
 def clusters(copies: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,12 +177,20 @@ def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99, axes: int = 4) -> DataFrame:
-    """Clusters of (item_id, payload unit vectors) with cosine above the threshold, by connection."""
+    """Clusters of (item_id, payload array) with cosine above the threshold, by connection."""
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
     distinct, copies = vector_copies(vectors.select("item_id", "payload"))
-    unit = F.transform("payload", lambda x: x.cast("double"))
-    placed = distinct.withColumn("block", F.explode(grid_cells(unit, reach, axes, 2 * reach)))
-    return clusters(copies, links_in_blocks(placed.select("block", "item_id", "payload"), threshold))
+    doubles = F.transform("payload", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
+    scaled = distinct.withColumn("norm", norm).filter("norm > 0").withColumn(
+        "unit", F.transform("payload", lambda x: x.cast("double") / F.col("norm"))
+    )
+    at = F.sequence(F.lit(0).cast("long"), F.size("unit").cast("long") - 1)
+    cells = grid_cells(F.col("unit"), reach, axes, 2 * reach)
+    payload = F.struct(at.alias("at"), F.col("unit").alias("weight"))
+    placed = cut_lineage(scaled.select("item_id", payload.alias("payload"), cells.alias("blocks")))
+    members = placed.select(F.explode("blocks").alias("block"), "item_id")
+    return clusters(copies, links_in_blocks(members, placed.select("item_id", "payload"), threshold))
 
 
 # ---- texts ----
@@ -194,8 +218,8 @@ def tfidf_vectors(texts: DataFrame, max_features: int | None = 5000) -> DataFram
     return weighted.select("item_id", "word", "df", (F.col("raw") / norm).alias("weight"))
 
 
-def prefix_blocks(weights: DataFrame, threshold: float) -> DataFrame:
-    """Blocks (block, item_id, payload): every item under the terms of its prefix.
+def with_prefix(weights: DataFrame, threshold: float) -> DataFrame:
+    """Items (item_id, payload, blocks): every item under the terms of its prefix.
 
     Terms are ordered from rare to common. The prefix ends where the rest of the vector is too short to
     reach the threshold alone, so two items above the threshold share a prefix term.
@@ -203,12 +227,15 @@ def prefix_blocks(weights: DataFrame, threshold: float) -> DataFrame:
     order = Window.partitionBy("item_id").orderBy("df", "word")
     rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
     needed = (threshold - 1e-9) ** 2
-    marked = weights.withColumn("cell", F.struct("word", "weight")).withColumn("in_prefix", rest >= needed)
+    marked = weights.withColumn("in_prefix", rest >= needed)
     items = marked.groupBy("item_id").agg(
-        F.collect_list("cell").alias("cells"),  # one text: bounded by its own words
-        F.collect_list(F.when(F.col("in_prefix"), F.col("word"))).alias("prefix"),
+        F.collect_list(F.struct(F.xxhash64("word").alias("at"), "weight")).alias("cells"),  # bounded by the text's words
+        F.collect_list(F.when(F.col("in_prefix"), F.col("word"))).alias("blocks"),
+    )
+    payload = F.struct(
+        F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["weight"]).alias("weight")
     )
-    return items.select("item_id", F.explode("prefix").alias("block"), F.col("cells").alias("payload"))
+    return items.select("item_id", payload.alias("payload"), "blocks")
 
 
 def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = 5000) -> DataFrame:
@@ -220,7 +247,9 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
     copies = keyed.select("item_id", "_k").join(distinct.select("_k", "first_id"), "_k").filter("item_id <> first_id")
     copies = copies.select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
     weights = tfidf_vectors(distinct.select(F.col("first_id").alias("item_id"), "n_copies", "text"), max_features)
-    return clusters(copies, links_in_blocks(prefix_blocks(weights, threshold), threshold))
+    placed = cut_lineage(with_prefix(weights, threshold))
+    members = placed.select(F.explode("blocks").alias("block"), "item_id")
+    return clusters(copies, links_in_blocks(members, placed.select("item_id", "payload"), threshold))
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def build_session(app: str = "corpusmill", master: str | None = None, cores: int
     return builder.getOrCreate()
 
 
+def send_code_with_tasks() -> None:
+    """Send this package's functions inside the tasks, for sessions whose workers do not have it installed."""
+    import corpusmill
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(corpusmill)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     context = spark.sparkContext
