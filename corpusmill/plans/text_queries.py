@@ -51,7 +51,7 @@ _t = f"replace(replace({MESSY_SQL}, chr(160), ' '), chr(8203), '')"
 _t = sub(_t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{2028}\x{2029}\x{FEFF}]")
 _t = sub(_t, r"[ \t]+", " ")
 _t = sub(_t, r"\n\s*\n", "\n")
-NORMALIZED_SQL = sub(_t, r"^\s*\n|\n\s*$|^\s*$")
+NORMALIZED_SQL = sub(_t, r"^\s*$|^\s*\n|\n\s*$")
 
 
 @query("T1, H14", f"SELECT doc_id, {NORMALIZED_SQL} AS clean FROM documents")

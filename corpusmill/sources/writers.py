@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.meta import label_of
+from corpusmill.sources.readers import read_or_empty
 
 
 def append_chunks(chunks: DataFrame, path: str, partition_by: tuple[str, ...] = ("storage_id",)) -> None:
@@ -26,9 +27,7 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
 def load_vectors(spark: SparkSession, path: str, storage_id: str | None = None, engine: str | None = None) -> DataFrame:
     """Vectors of one index by partition pruning; an empty table when nothing is stored yet."""
     schema = "chunk_id long, embedding array<float>, storage_id string, engine string"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    stored = read_or_empty(spark, path, schema)
     if storage_id is not None:
         stored = stored.filter(F.col("storage_id") == storage_id)
     return stored if engine is None else stored.filter(F.col("engine") == engine)

@@ -9,20 +9,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from corpusmill.functions.html import PageConfig
 from corpusmill.operators import sync
 from corpusmill.operators.pages import extract_pages
+from corpusmill.sources.readers import read_or_empty
 
 CATALOGUE = "url string, source_id long, status string"
 CONTENTS = "source_id long, content_id long, hash string, status string, created_at long"
 
 
-def _stored(spark, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def ingest_pages(pages: DataFrame, root: str, config: PageConfig = PageConfig()) -> StreamingQuery:
     """Run over what is new in a stream of (page_id, url, html, response_status) and stop.
 
@@ -33,8 +25,8 @@ def ingest_pages(pages: DataFrame, root: str, config: PageConfig = PageConfig())
     def one_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = f"batch={number}"
-        catalogue = _stored(spark, f"{root}/catalogue", CATALOGUE + ", batch long").filter(F.col("batch") < number)
-        contents = _stored(spark, f"{root}/contents", CONTENTS + ", batch long").filter(F.col("batch") < number)
+        catalogue = read_or_empty(spark, f"{root}/catalogue", CATALOGUE + ", batch long").filter(F.col("batch") < number)
+        contents = read_or_empty(spark, f"{root}/contents", CONTENTS + ", batch long").filter(F.col("batch") < number)
         read = extract_pages(batch, config).select("page_id", "url", "content")
         status = batch.select("page_id", "response_status")
         fetched = read.join(status, "page_id").withColumnsRenamed({"content": "body"}).withColumn("hash", F.sha2("body", 512))
