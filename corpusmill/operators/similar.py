@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, spread
 
 EDGES = "a long, b long"
 PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
@@ -240,7 +240,8 @@ def with_prefix(weights: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = 5000) -> DataFrame:
     """Clusters of (item_id, text) with TF-IDF cosine above the threshold, by connection."""
-    keyed = texts.select("item_id", dedupe_key(F.col("text")).alias("text")).withColumn("_k", text_key(F.col("text")))
+    keyed = spread(texts.select("item_id", "text")).withColumn("text", dedupe_key(F.col("text")))
+    keyed = keyed.withColumn("_k", text_key(F.col("text")))
     distinct = keyed.filter("text <> ''").groupBy("_k").agg(
         F.min("item_id").alias("first_id"), F.count("*").alias("n_copies"), F.min_by("text", "item_id").alias("text")
     )
@@ -254,6 +255,6 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:
     """Items whose normalised text stands more than once: item_id, cluster (smallest id), n_copies."""
-    keyed = texts.select("item_id", text_key(dedupe_key(F.col("text"))).alias("_k"))
+    keyed = spread(texts.select("item_id", "text")).select("item_id", text_key(dedupe_key(F.col("text"))).alias("_k"))
     groups = keyed.groupBy("_k").agg(F.min("item_id").alias("cluster"), F.count("*").alias("n_copies")).filter("n_copies > 1")
     return keyed.join(groups, "_k").drop("_k")

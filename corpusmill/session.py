@@ -59,9 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a per-row job one partition per core when its input arrives in fewer splits.
+    """Give a per-row job one partition per core when its table comes from fewer files than that.
 
-    A large table already has far more splits than cores and passes through untouched.
+    Only file names are looked at, nothing runs. A large table has far more files than the cluster has
+    cores and passes through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
