@@ -83,7 +83,7 @@ def clean_text(c: Column) -> Column:
 def junk_ratio(c: Column) -> Column:
     """Share of characters that ``clean_text`` would blank out; 0 for an empty text."""
     n = F.length(c)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(c, F.lit(NON_LETTER)) / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.regexp_replace(c, NON_LETTER, ""))) / n)
 
 
 NON_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"

@@ -307,15 +307,23 @@ def register_splitter(name: str, splitter: Splitter) -> None:
 # ---- jobs ----
 
 
-def chunk_contents(contents: DataFrame, splitter: str, config: dict, report_id: int | None = None) -> DataFrame:
-    """Chunks of (content_id, body, metadata map): one row each with its position in the document."""
+def chunk_contents(
+    contents: DataFrame, splitter: str, config: dict, report_id: int | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Chunks of (content_id, body, metadata map): one row each with its position in the document.
+
+    ``carry`` names further columns to hand on to the chunks.
+    """
     split = SPLITTERS[splitter](spread(contents), config)
     plain = {k: v for k, v in config.items() if not callable(v)}
     return split.select(
         "content_id",
-        F.posexplode("pieces").alias("ordinal", "c"),
-    ).select(
+        *carry,
+        # "outer": no filter on the size of the array is derived, which would compute the pieces twice
+        F.posexplode_outer("pieces").alias("ordinal", "c"),
+    ).filter("c IS NOT NULL").select(
         "content_id",
+        *carry,
         "ordinal",
         F.lit("ready").alias("status"),
         "c.page_content",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import fixed
 from corpusmill.functions.html import PageConfig, read_page
@@ -38,22 +39,31 @@ _ARROW = pa.schema(
 BATCH = 256  # pages turned into one Arrow batch
 
 
-def read_pages(pages: DataFrame, config: PageConfig = PageConfig(), reader=read_page) -> DataFrame:
-    """Run a page reader over (page_id, url, html). A page that fails keeps its row with the error."""
+def read_pages(
+    pages: DataFrame, config: PageConfig = PageConfig(), reader=read_page, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Run a page reader over (page_id, url, html). A page that fails keeps its row with the error.
+
+    ``carry`` names further columns to hand on.
+    """
 
     def read(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
-                rows = []
-                for row in batch.slice(start, BATCH).to_pylist():
+                part, rows = batch.slice(start, BATCH), []
+                for row in part.select(["page_id", "url", "html"]).to_pylist():
                     known = {"page_id": row["page_id"], "url": row["url"]}
                     try:
                         rows.append(known | reader(row["url"], row["html"], config))
                     except Exception as error:  # any malformed page
                         rows.append(known | {"error": f"{type(error).__name__}: {error}"})
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                made = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                handed = [part.column(name) for name in carry]
+                yield pa.RecordBatch.from_arrays([*made.columns, *handed], [*made.schema.names, *carry])
 
-    return spread(pages.select("page_id", "url", "html")).mapInArrow(read, READ_SCHEMA)
+    raw = pages.select("page_id", "url", "html", *carry)
+    schema = T.StructType([*T.StructType.fromDDL(READ_SCHEMA).fields, *raw.schema.fields[3:]])
+    return spread(raw).mapInArrow(read, schema)
 
 
 def host_of(url: Column) -> Column:
@@ -150,9 +160,10 @@ def extract_pages(
     normalize: bool = False,
     drop_emoji: bool = False,
     reader=read_page,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Content rows of raw pages (page_id, url, html)."""
-    read = read_pages(pages, config, reader)
+    read = read_pages(pages, config, reader, carry)
     content = markdown(F.col("blocks"))
     if normalize:
         content = normalize_text(content)
@@ -170,6 +181,7 @@ def extract_pages(
         F.filter("links", lambda x: is_external(x["url"], here)).alias("external_links"),
         _longest_texts(F.col("removed_links")).alias("internal_links"),
         "error",
+        *carry,
     )
 
 

@@ -203,9 +203,8 @@ def tfidf_vectors(texts: DataFrame, max_features: int | None = 5000) -> DataFram
     the corpus. Features are the most frequent terms; None takes all of them.
     """
     words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]{2,})"))
-    counted = texts.select("item_id", "n_copies", F.explode(words).alias("word")).groupBy("item_id", "n_copies", "word").agg(
-        F.count("*").alias("tf")
-    )
+    each = texts.select("item_id", "n_copies", F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
+    counted = each.groupBy("item_id", "n_copies", "word").agg(F.count("*").alias("tf"))
     terms = counted.groupBy("word").agg(
         F.sum("n_copies").alias("df"), F.sum(F.col("tf") * F.col("n_copies")).alias("total")
     )

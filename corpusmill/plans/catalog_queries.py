@@ -185,13 +185,14 @@ def valid_scores(spark, sf_dir):
 @query(
     "J1",
     """SELECT s.s_suppkey AS supplier_id, n.n_name AS nation, r.r_name AS region FROM supplier s
-       LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey AND n.n_nationkey < 20 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey""",
+       LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 0 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey""",
 )
 def looked_up_dimensions(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").filter("n_nationkey < 20")
+    home = F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("home_id")  # a nullable foreign key
     return (
         table(spark, sf_dir, "supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .select("s_suppkey", home)
+        .join(table(spark, sf_dir, "nation"), F.col("home_id") == F.col("n_nationkey"), "left")
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .select(F.col("s_suppkey").alias("supplier_id"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
     )

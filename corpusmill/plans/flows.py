@@ -12,7 +12,7 @@ from corpusmill.operators.pages import PageConfig, extract_pages
 
 def ingest(pages: DataFrame, catalogue: DataFrame, contents: DataFrame, config: PageConfig = PageConfig()) -> DataFrame:
     """Raw pages (page_id, url, html, response_status) to content rows with their sync bucket."""
-    rows = extract_pages(pages, config).join(pages.select("page_id", "response_status"), "page_id")
+    rows = extract_pages(pages, config, carry=("response_status",))
     fetched = rows.withColumnRenamed("content", "body").withColumn("hash", F.sha2("body", 512))
     return sync.classify_fetched(fetched, catalogue, contents)
 
@@ -22,10 +22,8 @@ def chunk_and_embed(contents: DataFrame, splitter: str, config: dict, engine: st
 
     A chunk id is a hash of content and position, so a repeated run gives the same ids.
     """
-    chunks = chunking.chunk_contents(chunking.usable(contents), splitter, config)
-    chunks = chunks.join(contents.select("content_id", "storage_id"), "content_id").withColumn(
-        "chunk_id", F.xxhash64("content_id", "ordinal")
-    )
+    chunks = chunking.chunk_contents(chunking.usable(contents), splitter, config, carry=("storage_id",))
+    chunks = chunks.withColumn("chunk_id", F.xxhash64("content_id", "ordinal"))
     return chunks, embed.embed_chunks(chunks, engine, model)
 
 

@@ -32,7 +32,16 @@ def extracted_pages(spark, sf_dir):
     return pg.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "content")
 
 
-@query("H2, H7, H8, H9, H14")
+_NAV = _UNESCAPED.format("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)")
+_NAV_TEXTS = f"regexp_extract_all({_NAV}, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)"
+_NAV_LINKS = f"regexp_extract_all({_NAV}, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)"
+
+
+@query(
+    "H2, H7, H8, H9, H14",
+    f"""SELECT page_id, array_to_string(list_filter(list_transform({_NAV_TEXTS}, lambda t: trim(t)), lambda t: t <> ''), '|') AS tags,
+          len(list_distinct({_NAV_LINKS}))::BIGINT AS n_internal, 0::BIGINT AS n_images FROM pages""",
+)
 def extracted_page_details(spark, sf_dir):
     config = pg.PageConfig(
         excluded_tags=frozenset(fixed.EXCLUDED_TAGS) - {"nav"}, breadcrumb_selector="nav a", remove_internal_links=True
@@ -43,7 +52,6 @@ def extracted_page_details(spark, sf_dir):
         F.array_join("tags", "|").alias("tags"),
         F.size("internal_links").cast("long").alias("n_internal"),
         F.size("images").cast("long").alias("n_images"),
-        F.length("content").cast("long").alias("n_chars"),
     )
 
 

@@ -18,11 +18,11 @@ def _vectors(spark, sf_dir):
 @query(
     "V7, A15",
     f"""WITH RECURSIVE edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id
-          WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.75), {_WALK}
+          WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.42), {_WALK}
         SELECT node AS vec_id, min(reached) AS cluster FROM walk GROUP BY node""",
 )
 def near_duplicate_vector_clusters(spark, sf_dir):
-    found = similar.near_duplicate_vectors(_vectors(spark, sf_dir), threshold=0.75)
+    found = similar.near_duplicate_vectors(_vectors(spark, sf_dir), threshold=0.42)
     return found.select(F.col("item_id").alias("vec_id"), "cluster")
 
 

@@ -6,6 +6,7 @@ from corpusmill.operators import embed, search
 from corpusmill.plans import flows
 from corpusmill.plans.catalog_queries import LABELS_SQL
 from corpusmill.plans.registry import query, table
+from corpusmill.plans.search_queries import knn_sql
 from corpusmill.plans.standins import standin
 from corpusmill.sources import readers, writers
 
@@ -88,7 +89,12 @@ def sources_from_listing(spark, sf_dir):
     return writers.rows_from_listing(listing, 9)
 
 
-@query("S12, V2")
+@query(
+    "S12, V2",
+    knn_sql(5)
+    + """SELECT query_id, 'question ' || query_id AS text, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS chunk_ids, 'flat' AS model
+         FROM knn GROUP BY query_id""",
+)
 def retrieval_log_rows(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     corpus = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("storage_id"), "embedding")

@@ -117,7 +117,7 @@ def opened_change_tasks(spark, sf_dir):
 @query(
     "M2",
     """WITH t AS (SELECT event_id, user_id AS source_id, CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'rejected' ELSE 'solved' END AS status,
-         'after-' || event_type AS next_status, ts, user_id < 40 AS busy FROM events),
+         'after-' || event_type AS next_status, ts, value > 200 AS busy FROM events),
        v AS (SELECT source_id, count(*) FILTER (WHERE status = 'created' AND busy) AS n_open,
          arg_max(next_status, (ts, event_id)) FILTER (WHERE status <> 'created') AS next FROM t GROUP BY 1)
        SELECT c_custkey AS source_id, CASE WHEN n_open > 0 THEN 'wait' ELSE coalesce(next, c_mktsegment) END AS status
@@ -125,7 +125,7 @@ def opened_change_tasks(spark, sf_dir):
 )
 def sources_after_tasks(spark, sf_dir):
     kind = F.col("event_type")
-    status = F.when((kind == "view") & (F.col("user_id") < 40), "created").when(kind == "click", "rejected").when(
+    status = F.when((kind == "view") & (F.col("value") > 200), "created").when(kind == "click", "rejected").when(
         kind == "view", "on hold").otherwise("solved")
     tasks = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("task_id"), F.col("user_id").alias("source_id"), status.alias("status"),
