@@ -113,8 +113,8 @@ class Page(HTMLParser):
             todo.extend(m for m in reversed(self.nodes[at].members) if isinstance(m, int) and not self.nodes[m].dropped)
         return out
 
-    def text(self, i: int) -> str:
-        """All text below a node; pieces are trimmed and joined without a space."""
+    def text(self, i: int, joiner: str = "") -> str:
+        """All text below a node; pieces are trimmed and, by default, joined without a space."""
         pieces, todo = [], [i]
         while todo:
             at = todo.pop()
@@ -122,7 +122,7 @@ class Page(HTMLParser):
                 pieces.append(at.strip())
             elif not self.nodes[at].dropped and (at == i or self.nodes[at].tag not in SILENT):
                 todo.extend(reversed(self.nodes[at].members))
-        return "".join(pieces)
+        return joiner.join(filter(None, pieces))
 
     def unwrapped(self, i: int, style_tags: frozenset[str]) -> list:
         """Members of a node with style tags replaced by their own members."""

@@ -82,8 +82,7 @@ def plain_text(content: bytes) -> str:
 def page_text(content: bytes) -> str:
     from corpusmill.functions.html import Page
 
-    page = Page(plain_text(content))
-    return page.text(0)
+    return Page(plain_text(content)).text(0, " ")
 
 
 # method name -> (priority, extensions, extractor); the first with a non-blank text wins

@@ -79,3 +79,9 @@ def test_page_urls(one):
     assert one(lambda u, p: pg.is_internal(u, p), u="http://a.b/x?y=z.pdf", p="http://a.b/") is True
     assert one(lambda u: pg.is_document(u), u="http://a/img.png/x.txt") is False
     assert one(lambda h, p: pg.absolute(h, p), h="//c.d/e", p="https://a.b/") == "https://c.d/e"
+
+
+def test_carried_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x", 200)], "page_id long, url string, html string, response_status int")
+    row = pg.extract_pages(pages, carry=("response_status",)).first()
+    assert (row["content"], row["response_status"]) == ("x", 200)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chat
-from corpusmill.sources import writers
+from corpusmill.sources import readers, writers
 from corpusmill.streaming.ingest import ingest_pages
 from corpusmill.streaming.sessions import current_facts, stream_fact_items
 
@@ -60,6 +60,39 @@ def test_vector_store_appends_and_prunes(spark, tmp_path):
     assert {r["chunk_id"] for r in writers.load_vectors(spark, path, "a", "e").collect()} == {1, 3}
 
 
+def test_chunks_are_appended_by_storage(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 7, "a"), (2, 8, "b")], "chunk_id long, storage_id long, page_content string")
+    for _ in range(2):
+        writers.append_chunks(chunks, str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    assert stored.filter("storage_id = 7").count() == 2 and stored.count() == 4
+
+
+def test_catalogue_export_has_seven_columns(spark, tmp_path):
+    schema = "source_id long, title string, description string, path string, url string, output_format string, status string"
+    documents = spark.createDataFrame([(1, "t", None, "/p", "http://u", "f", "ready")], schema)
+    writers.export_catalogue(documents, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert rows.columns == ["id", "title", "description", "path", "link", "format", "status"]
+    assert rows.first()["status"] == "Готов"
+
+
+def test_files_are_listed_and_read(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("plain words", encoding="utf-8")
+    (tmp_path / "in" / "deep" / "b.HTML").write_text("<p>page <b>words</b></p>", encoding="utf-8")
+    (tmp_path / "in" / "c.bin").write_bytes(b"\x00")
+    listed = {r["file_name"]: r["size"] for r in readers.list_files(spark, str(tmp_path / "in")).collect()}
+    assert listed == {"a.txt": 11, "b.HTML": 24, "c.bin": 1}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "in"))
+    found = readers.extract_texts(files).withColumnRenamed("path", "doc_id")
+    best = readers.best_text(files.select(F.col("path").alias("doc_id")), found).collect()
+    texts = {r["doc_id"].rsplit("/", 1)[1]: (r["method"], r["text"], r["error"]) for r in best}
+    assert texts["a.txt"] == ("plain", "plain words", None)
+    assert texts["b.HTML"] == ("page", "page words", None)
+    assert texts["c.bin"][2] == "no text recognised"
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_chunk_export(spark, tmp_path, fmt):
     chunks = spark.createDataFrame([(1, "text", {"url": "u"})], "chunk_id long, page_content string, metadata map<string,string>")
