@@ -43,8 +43,8 @@ def squared_l2(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
     return cost
 
 
-def set_distance(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
-    """1 - shared/united over sets of strings; only members that some query has can be shared."""
+def set_dissimilarity(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
+    """Minus shared/united over sets of strings; only members that some query has can be shared."""
     vocabulary = pc.unique(queries.flatten())
     n_words = max(len(vocabulary), 1)
 
@@ -62,20 +62,25 @@ def set_distance(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
         c, c_sizes = incidence(sets)
         shared = (q @ c.T).astype(np.float64)
         united = q_sizes[:, None] + c_sizes[None, :] - shared
-        return 1.0 - np.divide(shared, united, out=np.zeros_like(shared), where=united > 0)
+        return -np.divide(shared, united, out=np.zeros_like(shared), where=united > 0)
 
     return cost
 
 
+def _half_up(costs: np.ndarray) -> np.ndarray:
+    """Six decimals, halves away from zero as SQL rounds: every later comparison uses this value."""
+    return np.copysign(np.floor(np.abs(costs) * 1e6 + 0.5) / 1e6, costs)
+
+
 def _best(keys: list[str], ids: np.ndarray, costs: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k lowest costs of every query and key; equal rounded costs by id."""
+    """The k lowest costs, to six decimals, of every query and key; equal ones by id."""
     frames = []
     keys_array = np.asarray(keys, dtype=object)
+    costs = _half_up(costs)
     for key in dict.fromkeys(keys):
         at = np.flatnonzero(keys_array == key)
         part, part_ids = costs[:, at], ids[at]
-        rounded = np.round(part, 6)
-        order = np.lexsort((np.broadcast_to(part_ids, part.shape), rounded), axis=1)[:, :k]
+        order = np.lexsort((np.broadcast_to(part_ids, part.shape), part), axis=1)[:, :k]
         rows = np.arange(len(query_ids))[:, None]
         frames.append(
             pd.DataFrame(
@@ -91,8 +96,8 @@ def _best(keys: list[str], ids: np.ndarray, costs: np.ndarray, query_ids: np.nda
 
 
 def _shrink(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.assign(r=hits["cost"].round(6)).sort_values(["query_id", "partition_key", "r", "item_id"])
-    return ordered.groupby(["query_id", "partition_key"], sort=False).head(k).drop(columns="r")
+    ordered = hits.sort_values(["query_id", "partition_key", "cost", "item_id"])
+    return ordered.groupby(["query_id", "partition_key"], sort=False).head(k)
 
 
 def _scan(query_ids: np.ndarray, cost: Callable[[pa.Array], np.ndarray], batches: Iterable[pa.RecordBatch], k: int, rows: int):
@@ -128,10 +133,8 @@ def top_k(
         hits = _small_query_side(corpus, queries, scorer, k, block_rows)
     else:
         hits = _blocked(corpus, queries, scorer, k, -(-n_bytes // max_query_bytes), block_rows)
-    cost = F.round("cost", 6)
-    order = Window.partitionBy("query_id", "partition_key").orderBy(cost, "item_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).withColumn("cost", cost)
+    order = Window.partitionBy("query_id", "partition_key").orderBy("cost", "item_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _small_query_side(corpus, queries, scorer, k, block_rows):
@@ -208,8 +211,8 @@ def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold
         F.lit("").alias("partition_key"), F.col("chunk_id").alias("item_id"), trigrams(F.col("page_content")).alias("payload")
     )
     asked = queries.select("query_id", trigrams(F.col("text")).alias("payload"))
-    hits = top_k(corpus, asked, set_distance, k, **limits)
-    found = hits.select("query_id", F.col("item_id").alias("chunk_id"), F.round(1 - F.col("cost"), 6).alias("similarity"), "rank")
+    hits = top_k(corpus, asked, set_dissimilarity, k, **limits)
+    found = hits.select("query_id", F.col("item_id").alias("chunk_id"), F.abs("cost").alias("similarity"), "rank")
     return found.filter(F.col("similarity") >= threshold)
 
 
