@@ -45,10 +45,24 @@ def whole_text(column: str = "text") -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words. Padding both ends leaves one empty string before and one after the words."""
-    return (F.size(F.split(F.concat(F.lit(" "), text, F.lit(" ")), SPACES)) - 2 + (F.regexp_replace(text, SPACES, "") == "").cast("int")).cast("long")
+    """Number of words: padded at both ends, a text splits into its words between two empty strings."""
+    return (F.size(F.split(F.concat(F.lit(" "), text, F.lit(" ")), SPACES)) - 2).cast("long")
 
 
 def crc_remainder(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo the number of parts: the folds of the learned operators."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_rows: int) -> DataFrame:
+    """(id, text, y) of about ``max_rows`` labelled rows at most, outside the held-out fold, chosen by a hash of the id.
+
+    The bound makes the labels small enough to ship to every task (16 bytes a row), so no text is shuffled.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", folds) != 0))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    total = known.count()
+    if total > max_rows:
+        known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    texts = docs.select(F.col("doc_id"), whole_text().alias("text"))
+    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
