@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc_remainder, fresh, stored, whole_text
+from corpusmill.llm.common import crc_remainder, fresh, labelled_sample, stored, whole_text
 from corpusmill.llm.learning import Isotonic, Trees, fit_isotonic, fit_trees
 
 # Common insults, and second-person pronouns of English, German, French and Spanish.
@@ -113,20 +113,6 @@ def _weight(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return odds if least >= 1.5 else 0.0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_rows: int) -> DataFrame:
-    """(id, text, y) of about ``max_rows`` labelled rows at most, outside the held-out fold, chosen by a hash of the id.
-
-    The bound makes the labels small enough to ship to every task (16 bytes a row), so no text is shuffled.
-    """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", folds) != 0))
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    total = known.count()
-    if total > max_rows:
-        known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    texts = docs.select(F.col("doc_id"), whole_text().alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
-
-
 def count_terms(sample: DataFrame) -> DataFrame:
     """In how many toxic and clean sample rows each term occurs; every batch adds up its own rows before the shuffle."""
 
