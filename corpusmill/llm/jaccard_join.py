@@ -8,7 +8,8 @@ frequent shingles last. Which segments get neighbourhoods is chosen for each ban
 the whole shingle sets.
 
 Equal sets are linked without a comparison. Within a group of sets that agree in a segment, all are compared with the
-smallest; what then is still in different components is compared too, so no link between components is lost.
+smallest; what then is still in different components is compared too, so no link between components is lost. Pairs whose
+parities show too many differences are not compared.
 
 Null, empty and blank texts have an empty set and link with nothing. Repeated rows of one id count once for each
 distinct set, and the component of an id is that of all its rows. Empty tables give empty results. Extra columns are
@@ -23,7 +24,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored, whole_text
@@ -34,6 +35,7 @@ NUMERATOR, DENOMINATOR = 80, 100  # least intersection over union
 SHIPPED_IDS = 1_000_000  # a list of ids is shipped to every task up to this many (8 MB), else joined
 FREQUENT_SHARE = 0.002  # of the documents of one Arrow batch: shingles above it are put last
 FREQUENT_MOST = 200_000  # shingles on that list; any list gives right results
+PARITY_BITS = 1024
 SLACK = 1.25  # segments over those that must be kept
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -169,20 +171,35 @@ def signatures(shingles: np.ndarray, layouts: dict[int, Layout], frequent: np.nd
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the shingles falls on each of the PARITY_BITS places, as 64-bit words.
+
+    Two sets differ in at least as many elements as their parities differ in bits: an exact filter.
+    """
+    count = np.bincount((mix(shingles, 8) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether two sets can link, by their sizes (n_) and parities (bits_)."""
+    differ = sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return differ * (DENOMINATOR + NUMERATOR) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (DENOMINATOR - NUMERATOR)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2) of every row; rows without doc_id name a frequent shingle h1 and its count n instead."""
+    """(doc_id, n, h1, h2, bits) of rows (kind 0): size, two sums and parities of the set; and (n, h1) of frequent shingles (kind 1)."""
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, hashes) for t in batch["text"]]
             marks = np.array([[mix(s, 6).sum(dtype=np.uint64), mix(s, 7).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).astype(np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": marks[:, 0], "h2": marks[:, 1]})
+            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": marks[:, 0], "h2": marks[:, 1], "bits": [parities(s) for s in sets]})
             shingle, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = n >= max(20, FREQUENT_SHARE * len(sets))
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": 0})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": np.zeros(int(often.sum()), np.int64), "bits": None})
 
-    return docs.mapInPandas(measured, "kind int, doc_id long, n long, h1 long, h2 long")
+    return docs.mapInPandas(measured, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -218,9 +235,9 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     found = stored(profiles(docs), "jaccard-sets")
     sets = found.where("kind = 0")
-    filled = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2")
+    filled = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     same = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("a"))
-    copies = stored(filled.join(same.hint("merge"), ["n", "h1", "h2"]).where("doc_id <> a").select("a", "doc_id").distinct(), "jaccard-copies")
+    copies = stored(filled.drop("bits").join(same.hint("merge"), ["n", "h1", "h2"]).where("doc_id <> a").select("a", "doc_id").distinct(), "jaccard-copies")
     # an id whose rows differ stays: only one of its rows may be a copy
     plain = filled.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low = high").select("doc_id")
     dropped = copies.select("doc_id").distinct().join(plain.hint("merge"), "doc_id", "left_semi")
@@ -246,8 +263,10 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = emit().groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
     groups = stored(groups.where("a < z"), "jaccard-groups")
     members = stored(emit().join(groups.select("sign", "a", "n").hint("merge"), "sign"), "jaccard-members")
-    stars = stored(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
-    first = stored(linked(stars, docs), "jaccard-links")
+    sketch = lambda name: filled.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(sketch("a").hint("merge"), "a").join(sketch("b").hint("merge"), "b").where(may_link("a", "b")).select("a", "b").distinct()
+    first = stored(linked(stored(stars, "jaccard-stars"), docs), "jaccard-links")
     copy_links = copies.select("a", F.col("doc_id").alias("b"))
     components = stored(connected_components(first.union(copy_links)), "jaccard-components")
 
@@ -255,10 +274,12 @@ def classes(docs: DataFrame) -> DataFrame:
     part = F.coalesce("component", "doc_id")
     placed = members.where("n > 2").join(components.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("sign", "doc_id", "a", part.alias("part"))
     apart = placed.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sign")
-    rest = stored(placed.join(apart.hint("merge"), "sign"), "jaccard-rest")
-    left, right = rest.where("doc_id <> a"), rest.where("doc_id <> a").select("sign", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
-    more = left.join(right.hint("merge"), "sign").where("doc_id < b AND part <> part_b").select(F.col("doc_id").alias("a"), "b").distinct()
-    more = stored(more.join(stars.hint("merge"), ["a", "b"], "left_anti"), "jaccard-more")
+    rest = placed.where("doc_id <> a").join(apart.hint("merge"), "sign")
+    rest = stored(rest.withColumnRenamed("doc_id", "x").join(sketch("x").hint("merge"), "x"), "jaccard-rest")
+    other = rest.select("sign", F.col("x").alias("y"), F.col("part").alias("part_y"), F.col("n_x").alias("n_y"), F.col("bits_x").alias("bits_y"))
+    # a join of two shuffled sides: Spark splits large groups, and only pairs that may link leave it
+    more = rest.join(other.hint("merge"), (rest["sign"] == other["sign"]) & (F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & may_link("x", "y"))
+    more = stored(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-more")
     if not more.isEmpty():
         second = stored(linked(more, docs), "jaccard-links")
         components = stored(connected_components(first.union(copy_links).union(second)), "jaccard-components")
