@@ -285,3 +285,9 @@ def classes(docs: DataFrame) -> DataFrame:
         components = stored(connected_components(first.union(copy_links).union(second)), "jaccard-components")
     out = sets.join(components.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, its smallest id, with all columns; rows without an id stay. No text is shuffled."""
+    dropped = stored(classes(docs).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-dropped")
+    return _of_ids(docs, dropped, "left_anti")

@@ -154,10 +154,11 @@ def _plain(source: Column) -> Column:
 
 
 def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of the mix, each as often as it is taken, with all their columns. Ids must be unique."""
-    mark, key = fresh(docs, "readings"), fresh(docs, "mix_id")
-    plan = taken(docs, seed).where(F.col("taken") > 0).select(F.col("doc_id").alias(key), (F.col("taken") / F.col("size")).cast("int").alias(mark))
-    kept = docs.join(plan.hint("merge"), docs["doc_id"] == plan[key]).drop(key)
+    """The rows of the mix, each as often as it is taken, with all their columns. Rows of one id are read alike."""
+    mark, key, own = fresh(docs, "readings"), fresh(docs, "mix_id"), fresh(docs, "own_id")
+    name = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    plan = taken(docs, seed).where(F.col("taken") > 0).groupBy(name().alias(key)).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(mark))
+    kept = docs.withColumn(own, name()).join(plan.hint("merge"), F.col(own) == F.col(key)).drop(key, own)
     return kept.withColumn(mark, F.explode(F.sequence(F.lit(1), F.col(mark)))).drop(mark)
 
 
