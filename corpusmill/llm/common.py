@@ -66,3 +66,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     texts = docs.select(F.col("doc_id"), whole_text().alias("text"))
     return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+
+
+def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most ``most`` of them, whole levels of counts (16 an octave) only.
+
+    ``counted`` must be stored: it is read twice. One row a level reaches the driver, and no sort is needed.
+    """
+    level = F.floor(F.log2(n) * 16)
+    sizes = {r["level"]: r["rows"] for r in counted.where(F.col(n) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()}
+    room, cut = most, max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        if sizes[at] > room:
+            break
+        room, cut = room - sizes[at], at
+    return counted.where((F.col(n) > 0) & (level >= cut))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored, whole_text
+from corpusmill.llm.common import most_frequent, stored, whole_text
 from corpusmill.operators.graph import connected_components
 
 WIDTH = 5
@@ -243,7 +243,8 @@ def classes(docs: DataFrame) -> DataFrame:
     dropped = copies.select("doc_id").distinct().join(plain.hint("merge"), "doc_id", "left_semi")
     only = _of_ids(docs.where("doc_id IS NOT NULL"), stored(dropped, "jaccard-dropped"), "left_anti")
 
-    frequent = found.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT_MOST)
+    frequent = stored(found.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")), "jaccard-frequent")
+    frequent = most_frequent(frequent, "n", FREQUENT_MOST)
     frequent = np.sort(np.array([r["h1"] for r in frequent.select("h1").collect()], dtype=np.int64).astype(np.uint64))
     bands = filled.groupBy(F.floor(F.log2("n") + 1e-12).cast("int").alias("band")).agg(F.count("*").alias("n")).collect()
     population = {r["band"]: r["n"] for r in bands}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, quality_gam, secret_scan, toxicity, url_filter
+from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, quality_gam, recurrent, secret_scan, toxicity, url_filter
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+@query
+def op2_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.scores(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import most_frequent, stored
 
 # Fixed values: (verdict, host and path) of the rules.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -50,7 +50,7 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def word_counts(texts: DataFrame, column: str, max_words: int) -> dict[str, int]:
-    """Counts over all rows; the ``max_words`` most frequent words are the vocabulary of the splitter."""
+    """Counts over all rows; at most ``max_words`` of the most frequent words are the vocabulary of the splitter."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,8 +60,8 @@ def word_counts(texts: DataFrame, column: str, max_words: int) -> dict[str, int]
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counted = texts.select(column).mapInPandas(count, "word string, n long").where(F.length("word") <= LONGEST_WORD)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
-    return {r["word"]: r["n"] for r in top.collect()}
+    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    return {r["word"]: r["n"] for r in most_frequent(counted, "n", max_words).collect()}
 
 
 class Splitter(dict):
@@ -130,7 +130,7 @@ def fit_bayes(ruled: DataFrame, counts: dict[str, int], max_tokens: int, smooth:
     if not urls or not totals["v"]:
         return Bayes(-1.0)
     b, a = (totals[x] + smooth * (totals["v"] + 1) for x in "ba")
-    top = table.where("token <> ''").orderBy(F.desc(F.col("blocked") + F.col("allowed")), "token").limit(max_tokens).collect()
+    top = most_frequent(table.where("token <> ''").withColumn("n", F.col("blocked") + F.col("allowed")), "n", max_tokens).collect()
     weights = {r["token"]: math.log((r["blocked"] + smooth) / b) - math.log((r["allowed"] + smooth) / a) for r in top}
     return Bayes(math.log((urls["blocked"] + 1) / (urls["allowed"] + 1)), math.log(a / b), weights)
 
