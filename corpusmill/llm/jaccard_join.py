@@ -197,7 +197,8 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": marks[:, 0], "h2": marks[:, 1], "bits": [parities(s) for s in sets]})
             shingle, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = n >= max(20, FREQUENT_SHARE * len(sets))
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": np.zeros(int(often.sum()), np.int64), "bits": None})
+            if often.any():
+                yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": np.zeros(int(often.sum()), np.int64), "bits": None})
 
     return docs.mapInPandas(measured, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>")
 

@@ -262,7 +262,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             seen: Counter[bytes] = Counter()
             for text in batch["text"]:
                 seen.update(words_of(text))
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

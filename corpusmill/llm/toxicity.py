@@ -130,7 +130,7 @@ def count_terms(sample: DataFrame) -> DataFrame:
                             cache[word] = got
                     terms.update(got)
                 seen[int(y > 0)].update(terms)
-            for i in (0, 1):
+            for i in (i for i in (0, 1) if seen[i]):
                 names = list(seen[i])
                 yield pd.DataFrame({"term": names, "toxic": [seen[i][t] * i for t in names], "clean": [seen[i][t] * (1 - i) for t in names]})
 

@@ -57,7 +57,8 @@ def word_counts(texts: DataFrame, column: str, max_words: int) -> dict[str, int]
             seen: Counter[str] = Counter()
             for text in batch[column].dropna():
                 seen.update(WORD.findall(text.lower()))
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counted = texts.select(column).mapInPandas(count, "word string, n long").where(F.length("word") <= LONGEST_WORD)
     counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
@@ -120,7 +121,7 @@ def fit_bayes(ruled: DataFrame, counts: dict[str, int], max_tokens: int, smooth:
             for host, path, blocked in zip(batch["host"], batch["path"], batch["blocked"]):
                 seen[int(blocked)].update(tokens(host, path, splitter))
                 seen[int(blocked)][""] += 1
-            for i in (0, 1):
+            for i in (i for i in (0, 1) if seen[i]):
                 yield pd.DataFrame({"token": list(seen[i]), "blocked": [n * i for n in seen[i].values()], "allowed": [n * (1 - i) for n in seen[i].values()]})
 
     table = ruled.mapInPandas(count, "token string, blocked long, allowed long").groupBy("token").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
