@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Counter = Callable[[str], int]
+# Separators in the order in which they are tried.
 SEPARATORS = ("\n\n", "\n", " ", "")
 LEGAL_SEPARATORS = ("\n\n\n", "\n\n", "\n", ".", " ", "")
 PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType())]))

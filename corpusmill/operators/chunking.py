@@ -136,7 +136,9 @@ def merge_small(chunks: Column, smallest: int, largest: int, count: Callable[[Co
     )
 
 
+# Letters that count as the script of a chunk, and left-over mark-up.
 CYRILLIC = "[А-Яа-яё]"
+ARTIFACTS = r"#{1,6}|\*\*|\(\)|\[\]"
 
 
 def with_quality(chunk: Column, smallest: int, largest: int, letters: str = CYRILLIC) -> Column:
@@ -145,7 +147,7 @@ def with_quality(chunk: Column, smallest: int, largest: int, letters: str = CYRI
     chars = F.length(text)
     ratio = F.coalesce(F.try_divide(chars, n), F.lit(0.0))
     share = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(letters)), chars) * 100, F.lit(0.0))
-    artifacts = F.regexp_count(text, F.lit(r"#{1,6}|\*\*|\(\)|\[\]"))
+    artifacts = F.regexp_count(text, F.lit(ARTIFACTS))
     return F.struct(
         text.alias("text"),
         n.alias("n_tokens"),

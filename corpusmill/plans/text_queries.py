@@ -47,11 +47,10 @@ def count_sql(expr: str, pattern: str) -> str:
 
 # ---- T1-T7 ----
 
-_t = f"replace(replace({MESSY_SQL}, chr(160), ' '), chr(8203), '')"
-_t = sub(_t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{2028}\x{2029}\x{FEFF}]")
-_t = sub(_t, r"[ \t]+", " ")
-_t = sub(_t, r"\n\s*\n", "\n")
-NORMALIZED_SQL = sub(_t, r"^\s*$|^\s*\n|\n\s*$")
+# The twins of the text functions are written on their own, not from the patterns of the functions.
+_seen = f"regexp_replace({MESSY_SQL}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{{200B}}\\x{{2028}}\\x{{2029}}\\x{{FEFF}}]', '', 'g')"
+_lines = f"string_split(regexp_replace(replace({_seen}, chr(160), ' '), '[ \\t]+', ' ', 'g'), chr(10))"
+NORMALIZED_SQL = f"array_to_string(list_filter({_lines}, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''), chr(10))"
 
 
 @query("T1, H14", f"SELECT doc_id, {NORMALIZED_SQL} AS clean FROM documents")
@@ -69,9 +68,11 @@ def texts_without_emoji(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_emoji(decorated).alias("clean"))
 
 
-_t = MARKED_SQL
-for _pattern, _to in text.MARKDOWN_RULES:
-    _t = sub(_t, _pattern, _to.replace("$1", r"\1"))
+_rows = f"string_split({MARKED_SQL}, chr(10))"
+_kept = f"list_filter({_rows}, lambda x: NOT regexp_matches(x || chr(10), '^(#+|[*]|-|[0-9]+[.])[ \\t\\n\\r\\f\\v]'))"
+_t = f"array_to_string({_kept}, chr(10))"
+for _pattern, _to in [("(--|__|[*][*])[-_*]*\\n?", ""), ("[*]([^*]+)[*]", r"\1"), ("`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), ("https?://[^ \\n\\t]+", "")]:
+    _t = sub(_t, _pattern, _to)
 
 
 @query("T3", f"SELECT doc_id, {_t} AS clean FROM documents")
@@ -79,13 +80,14 @@ def texts_without_markdown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_markdown(marked()).alias("clean"))
 
 
-CLEAN_SQL = f"trim({sub(sub('text', text.NON_LETTER, ' '), chr(92) + 's+', ' ')})"
+CLEAN_SQL = "array_to_string(regexp_extract_all(text, '[a-zA-Zа-яА-ЯёЁ-]+'), ' ')"
+JUNK_SQL = "(length(text) - length(array_to_string(regexp_extract_all(text, '[a-zA-Zа-яА-ЯёЁ -]+'), '')))"
 
 
 @query(
     "T4",
     f"SELECT doc_id, {CLEAN_SQL} AS clean,"
-    f" round(CASE WHEN length(text) = 0 THEN 0.0 ELSE {count_sql('text', text.NON_LETTER)}::DOUBLE / length(text) END, 6)"
+    f" round(CASE WHEN length(text) = 0 THEN 0.0 ELSE {JUNK_SQL}::DOUBLE / length(text) END, 6)"
     " AS junk FROM documents",
 )
 def letters_only_texts(spark, sf_dir):

@@ -103,3 +103,15 @@ def test_scores_and_cost(one):
     assert (cost["prompt"], cost["answer"], cost["total"]) == (2.5, 20.0, 22.5)
     assert one(lambda m: chat.token_cost(m, F.lit(1), F.lit(0)), m="who")["total"] == 1.0
     assert one(lambda m: chat.token_cost(m, F.lit(1), F.lit(1), cached=True), m="o1-pro")["prompt"] is None
+
+
+def test_clean_markdown_keeps_other_lines(one):
+    assert one(text.clean_markdown, c="a\n## h\n1. x\n- y\nb *c* `d`\n") == "a\nb c d\n"
+    assert one(text.clean_markdown, c="#no heading, -no list\n") == "#no heading, -no list\n"
+    assert one(text.clean_markdown, c="see https://x.y/z, [t](u) and __n__") == "see  t and n"
+    assert one(text.clean_markdown, c="") == ""
+
+
+def test_normalize_text_drops_blank_lines_and_unseen_characters(one):
+    assert one(text.normalize_text, c="a\x00b c﻿  \t d\r\n 　 \n\n e") == "abc d\r\n e"
+    assert one(text.normalize_text, c="\n\n") == ""
