@@ -66,6 +66,7 @@ UNKNOWN_MODEL_PRICE = 1_000_000.0
 # File name endings.
 DOCUMENT_EXTENSIONS = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf"]
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "bmp", "webp", "svg"]
+PICTURE_LINK_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "bmp"]
 NON_PAGE_EXTENSIONS = [
     "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
     "zip", "rar", "7z", "tar", "gz", "mp4", "mp3", "exe",

@@ -14,6 +14,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
 # ---- predicates and projections ----
 
 
@@ -75,14 +77,37 @@ def sort_columns(key: str | None, allowed: list[str], tie: str, default: str = "
 
 
 def page_of(df: DataFrame, number: object, size: int, order: list[Column]) -> DataFrame:
-    """One page of an ordered table: no number means the first page, past the end means the last."""
+    """One page of an ordered table: no number means the first page, past the end means the last.
+
+    The first page is a top-n. A later one is cut out of the numbered rows, so what lies before it meets in no task.
+    """
     try:
         wanted = int(number)  # type: ignore[arg-type]
     except (TypeError, ValueError):
         wanted = 1
     last = max(1, -(-df.count() // size))
     at = min(max(wanted, 1), last) if wanted > 0 else last
-    return df.orderBy(*order).offset((at - 1) * size).limit(size)
+    if at == 1:
+        return df.orderBy(*order).limit(size)
+    place = "_place"
+    page = numbered(df, order, place).filter(F.col(place).between((at - 1) * size + 1, at * size))
+    return page.orderBy(place).drop(place)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Add the place of every row in an order, from 1: a range-partitioned sort and one count a partition.
+
+    The ranges are written out before they are counted, since they are drawn from a sample.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for number in sorted(sizes):  # ranges are numbered in the order of their keys
+        before[number], total = total, total + sizes[number]
+    if not before:
+        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_range")
+    skipped = F.element_at(F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*[F.lit(n).cast("long") for n in before.values()])), F.col("_range"))
+    return ranged.withColumn(out, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + skipped).drop("_range")
 
 
 def visible(df: DataFrame, mode: str = "live") -> DataFrame:
@@ -127,10 +152,14 @@ def valid_score(score: Column, is_user: Column) -> Column:
 
 
 def latest_child(children: DataFrame, parent: str, order: list[str]) -> DataFrame:
-    """The newest child of every parent: one row each, decided by the order columns."""
-    rest = [c for c in children.columns if c != parent]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
-    return children.groupBy(parent).agg(newest).select(parent, "newest.*")
+    """The newest child of every parent: one row each, decided by the order columns.
+
+    A row number of 1 is a limit that Spark applies before the shuffle, so of each parent only the newest child of a
+    task travels, whatever else its columns hold.
+    """
+    newest = Window.partitionBy(parent).orderBy(*[F.desc(c) for c in order])
+    first = children.withColumn("_newest", F.row_number().over(newest)).filter("_newest = 1")
+    return first.select(parent, *[c for c in children.columns if c != parent])
 
 
 def latest_children(children: DataFrame, parent: str, at: str) -> DataFrame:

@@ -113,11 +113,14 @@ def token_cost(model: Column, prompt_tokens: Column, answer_tokens: Column, cach
 
 
 def cost_rollup(usage: DataFrame, by: list[str]) -> DataFrame:
-    """Totals of cost and tokens per group of (stage, model, prompt_tokens, answer_tokens) rows."""
+    """Totals of cost and tokens per group of (stage, model, prompt_tokens, answer_tokens) rows.
+
+    Costs are added up as decimals, so the total does not depend on the order of the rows.
+    """
     cost = token_cost(F.col("model"), F.col("prompt_tokens"), F.col("answer_tokens"))
-    priced = usage.withColumn("cost", cost)
+    priced = usage.withColumn("cost", cost["total"].cast("decimal(28,8)"))
     return priced.groupBy(*by).agg(
-        F.sum("cost.total").alias("cost"),
+        F.sum("cost").cast("double").alias("cost"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("answer_tokens").alias("answer_tokens"),
     )
@@ -150,11 +153,11 @@ def checked_sample(storages: DataFrame, sources: DataFrame, n: int, seed: int) -
     return sample_sources(sources, n, seed)
 
 
-def test_texts(sources: DataFrame, contents: DataFrame, longest: int = 15000) -> DataFrame:
-    """Text to test on: the newest body cut to length, or a file card."""
+def test_texts(sources: DataFrame, contents: DataFrame) -> DataFrame:
+    """Text to test on: the whole newest body, or a file card."""
     newest = latest_child(contents.select("source_id", "content_id", "created_at", "body"), "source_id", ["created_at", "content_id"])
     card = F.concat(F.lit("Документ: "), "file_url", F.lit(". Описание: "), F.coalesce("description", F.lit("")))
-    text = F.when(F.col("output_format") == "f", card).otherwise(F.left("body", F.lit(longest)))
+    text = F.when(F.col("output_format") == "f", card).otherwise(F.col("body"))
     return sources.join(newest.select("source_id", "body"), "source_id").select("source_id", text.alias("test_text"))
 
 
@@ -185,7 +188,7 @@ def test_runs(messages: DataFrame) -> DataFrame:
     return runs.filter("test IS NOT NULL").groupBy("test", "llm", "scheme").agg(
         F.count("*").alias("n_runs"),
         F.avg("seconds").alias("avg_seconds"),
-        F.percentile_approx("seconds", 0.95, 10000).alias("p95_seconds"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY seconds)").alias("p95_seconds"),
         F.avg("score").alias("avg_score"),
     )
 
@@ -211,22 +214,17 @@ def fact_items(facts: DataFrame) -> DataFrame:
     return items.filter("item <> ''").groupBy("session_id", "name", "item").agg(first)
 
 
-def fact_lists(facts: DataFrame, block: int = 256) -> DataFrame:
-    """``fact_items`` as ordered lists, one per session, name and block of turns.
+def fact_lists(facts: DataFrame) -> DataFrame:
+    """``fact_items`` as ordered lists, one per session and name at any length.
 
-    A session of up to ``block`` turns has one list; a longer one has several that follow each other, so
-    that no session has to fit into one cell.
+    The list is what is asked for, so it has to fit into one cell; ``fact_items`` is the form without that limit.
     """
     listed = F.array_sort(F.collect_list(F.struct("first", "item")))
-    return (
-        fact_items(facts)
-        .groupBy("session_id", "name", F.floor(F.col("first.turn") / block).alias("block"))
-        .agg(F.transform(listed, lambda x: x["item"]).alias("items"))
-    )
+    return fact_items(facts).groupBy("session_id", "name").agg(F.transform(listed, lambda x: x["item"]).alias("items"))
 
 
-def fact_texts(facts: DataFrame, block: int = 256) -> DataFrame:
-    """Text facts joined by '. ', one text per session and block of turns, as in ``fact_lists``.
+def fact_texts(facts: DataFrame) -> DataFrame:
+    """Text facts joined by '. ', one text per session at any length.
 
     Every text after a session's first one loses its closing dots and spaces.
     """
@@ -237,4 +235,4 @@ def fact_texts(facts: DataFrame, block: int = 256) -> DataFrame:
     parts = said.join(first, "session_id")
     ordered = F.array_sort(F.collect_list(F.struct("turn", piece.alias("piece"))))
     joined = F.array_join(F.transform(ordered, lambda x: x["piece"]), ". ")
-    return parts.groupBy("session_id", F.floor(F.col("turn") / block).alias("block")).agg(joined.alias("text"))
+    return parts.groupBy("session_id").agg(joined.alias("text"))

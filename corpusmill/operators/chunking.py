@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from corpusmill.functions import meta
 from corpusmill.functions.splitting import LEGAL_SEPARATORS, recursive_split
 from corpusmill.functions.text import split_strategy, strip, token_count
-from corpusmill.session import spread
 
 # ---- building blocks, all Column -> Column ----
 
@@ -316,7 +315,7 @@ def chunk_contents(
 
     ``carry`` names further columns to hand on to the chunks.
     """
-    split = SPLITTERS[splitter](spread(contents), config)
+    split = SPLITTERS[splitter](contents, config)
     plain = {k: v for k, v in config.items() if not callable(v)}
     return split.select(
         "content_id",

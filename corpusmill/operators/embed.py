@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_question, strip, text_key
-from corpusmill.session import spread
 
 VECTORS = "chunk_id long, storage_id string, engine string, embedding array<float>"
 
@@ -70,7 +69,7 @@ def embed_chunks(
                 )
 
     wanted = pending.select("chunk_id", F.col("storage_id").cast("string").alias("storage_id"), "page_content")
-    return spread(wanted).mapInArrow(run, VECTORS)
+    return wanted.mapInArrow(run, VECTORS)
 
 
 def embed_once(texts: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

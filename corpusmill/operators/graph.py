@@ -28,7 +28,7 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), folded).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; a component is named by its smallest node.
 
     Alternating large-star and small-star rounds: the edge table never grows beyond its first size, a
@@ -38,12 +38,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     up, down = F.greatest("a", "b"), F.least("a", "b")
     now = cut_lineage(edges.filter("a <> b").select(up.alias("u"), down.alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while True:
         now = cut_lineage(_small_star(_large_star(now)))
         before, mark = mark, _mark(now)
         if before == mark:
             break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from corpusmill.functions import fixed
 from corpusmill.functions.html import PageConfig, read_page
 from corpusmill.functions.text import normalize_text, remove_emoji, strip
-from corpusmill.session import spread
 
 LINKS = "array<struct<text:string,url:string>>"
 READ_SCHEMA = (
@@ -63,7 +62,7 @@ def read_pages(
 
     raw = pages.select("page_id", "url", "html", *carry)
     schema = T.StructType([*T.StructType.fromDDL(READ_SCHEMA).fields, *raw.schema.fields[3:]])
-    return spread(raw).mapInArrow(read, schema)
+    return raw.mapInArrow(read, schema)
 
 
 def host_of(url: Column) -> Column:
@@ -86,7 +85,7 @@ def is_external(url: Column, page_url: Column) -> Column:
 
 def is_document(url: Column) -> Column:
     bare = F.regexp_replace(F.lower(url), r"\?[^?]*$", "")
-    picture = "|".join(rf"\.{e}" for e in fixed.IMAGE_EXTENSIONS[:5])
+    picture = "|".join(rf"\.{e}" for e in fixed.PICTURE_LINK_EXTENSIONS)
     return F.regexp_extract(bare, r"\.([^.]*)$", 1).isin(fixed.DOCUMENT_EXTENSIONS) & ~bare.rlike(picture)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_text, junk_ratio
-from corpusmill.session import spread
 
 EMPTY = "Текст пуст после очистки"
 SALTS = 16
@@ -22,7 +21,7 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, spread_by: str,
 def word_counts(texts: DataFrame) -> DataFrame:
     """(item_id, word, n, first_at) of the cleaned lower-case words of every text."""
     words = F.split(clean_text(F.lower("text")), " ")
-    each = spread(texts.select("item_id", "text")).select("item_id", F.posexplode_outer(words).alias("at", "word")).filter("word <> ''")
+    each = texts.select("item_id", "text").select("item_id", F.posexplode_outer(words).alias("at", "word")).filter("word <> ''")
     return each.groupBy("item_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
@@ -68,7 +67,7 @@ def quality_report(texts: DataFrame, valid_words: DataFrame | None = None, top:
 def language_profiles(labelled: DataFrame, top: int = 200) -> DataFrame:
     """(lang, word, weight): the ``top`` words of every language, the most frequent weighing most."""
     words = F.explode_outer(F.split(clean_text(F.lower("text")), " ")).alias("word")
-    counted = spread(labelled.select("lang", "text")).select("lang", words).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = labelled.select("lang", "text").select("lang", words).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
     return ranked.select("lang", "word", (F.lit(top + 1) - F.col("_r")).alias("weight"))

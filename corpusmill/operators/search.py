@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.text import strip, trigrams
-from corpusmill.session import MAX_SHIPPED_BYTES, spread
+from corpusmill.session import MAX_SHIPPED_BYTES
 
 HITS = "query_id long, partition_key string, item_id long, cost double"
 # Scorer: (query payloads) -> function(corpus payloads) -> matrix queries x corpus, lower is better.
@@ -207,7 +207,7 @@ def nearest_in_default_storage(vectors: DataFrame, storages: DataFrame, queries:
 
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, **limits) -> DataFrame:
     """The k chunks most similar to every query text by shared trigrams: similarity at least the threshold."""
-    corpus = spread(chunks.select("chunk_id", "page_content")).select(
+    corpus = chunks.select("chunk_id", "page_content").select(
         F.lit("").alias("partition_key"), F.col("chunk_id").alias("item_id"), trigrams(F.col("page_content")).alias("payload")
     )
     asked = queries.select("query_id", trigrams(F.col("text")).alias("payload"))

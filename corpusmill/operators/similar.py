@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut_lineage, spread
+from corpusmill.session import cut_lineage
 
 EDGES = "a long, b long"
 PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
 SUB_BLOCK = 1024
+COLUMNS = 4096  # coordinates of a comparison that are held as a dense block at once
 
 
 def _cells(payload: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +127,14 @@ def links_in_blocks(members: DataFrame, items: DataFrame, threshold: float, sub_
             spans = [slice(offsets[i], offsets[i + 1]) for i in mine]
             local = np.repeat(np.arange(len(mine)), [s.stop - s.start for s in spans])
             names, column = np.unique(np.concatenate([at[s] for s in spans]), return_inverse=True)
-            block = np.zeros((len(mine), len(names)))
-            block[local, column] = np.concatenate([weight[s] for s in spans])
-            close = block @ block.T > threshold
+            cells = np.concatenate([weight[s] for s in spans])
+            products = np.zeros((len(mine), len(mine)))
+            for first in range(0, len(names), COLUMNS):  # bounded memory, however many terms there are
+                own = (column >= first) & (column < first + COLUMNS)
+                block = np.zeros((len(mine), min(COLUMNS, len(names) - first)))
+                block[local[own], column[own] - first] = cells[own]
+                products += block @ block.T
+            close = products > threshold
             done = known[members]
             close[np.ix_(done, done)] = False
             np.fill_diagonal(close, False)
@@ -169,7 +175,7 @@ def grid_cells(vector: Column, reach: float, axes: int, width: float) -> Column:
 
 def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, edges from every further copy to its representative)."""
-    keyed = vectors.withColumn("_k", F.sha2(F.to_json("payload"), 256))
+    keyed = vectors.withColumn("_k", F.struct(F.xxhash64("payload"), F.xxhash64(F.reverse("payload")), F.size("payload")))
     first = keyed.groupBy("_k").agg(F.min("item_id").alias("first_id"))
     joined = keyed.join(first, "_k")
     edges = joined.filter("item_id <> first_id").select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
@@ -179,10 +185,11 @@ def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99, axes: int = 4) -> DataFrame:
     """Clusters of (item_id, payload array) with cosine above the threshold, by connection."""
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
-    distinct, copies = vector_copies(vectors.select("item_id", "payload"))
     doubles = F.transform("payload", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
-    scaled = distinct.withColumn("norm", norm).filter("norm > 0").withColumn(
+    # a zero vector has no cosine, so neither it nor its copies are in a cluster
+    distinct, copies = vector_copies(vectors.select("item_id", "payload").filter(norm > 0))
+    scaled = distinct.withColumn("norm", norm).withColumn(
         "unit", F.transform("payload", lambda x: x.cast("double") / F.col("norm"))
     )
     at = F.sequence(F.lit(0).cast("long"), F.size("unit").cast("long") - 1)
@@ -196,11 +203,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99, axes: in
 # ---- texts ----
 
 
-def tfidf_vectors(texts: DataFrame, max_features: int | None = 5000) -> DataFrame:
+def tfidf_vectors(texts: DataFrame, max_features: int | None = None) -> DataFrame:
     """Sparse TF-IDF of (item_id, n_copies, text): one row per item and term.
 
     Raw counts, smoothed idf ln((1+n)/(1+df))+1, unit length. ``n_copies`` says how often a text stands in
-    the corpus. Features are the most frequent terms; None takes all of them.
+    the corpus. Features are all terms; a number takes only so many of the most frequent ones.
     """
     words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]{2,})"))
     each = texts.select("item_id", "n_copies", F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
@@ -237,9 +244,9 @@ def with_prefix(weights: DataFrame, threshold: float) -> DataFrame:
     return items.select("item_id", payload.alias("payload"), "blocks")
 
 
-def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = 5000) -> DataFrame:
+def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = None) -> DataFrame:
     """Clusters of (item_id, text) with TF-IDF cosine above the threshold, by connection."""
-    keyed = spread(texts.select("item_id", "text")).withColumn("text", dedupe_key(F.col("text")))
+    keyed = texts.select("item_id", "text").withColumn("text", dedupe_key(F.col("text")))
     keyed = keyed.withColumn("_k", text_key(F.col("text")))
     distinct = keyed.filter("text <> ''").groupBy("_k").agg(
         F.min("item_id").alias("first_id"), F.count("*").alias("n_copies"), F.min_by("text", "item_id").alias("text")
@@ -254,6 +261,6 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:
     """Items whose normalised text stands more than once: item_id, cluster (smallest id), n_copies."""
-    keyed = spread(texts.select("item_id", "text")).select("item_id", text_key(dedupe_key(F.col("text"))).alias("_k"))
+    keyed = texts.select("item_id", "text").select("item_id", text_key(dedupe_key(F.col("text"))).alias("_k"))
     groups = keyed.groupBy("_k").agg(F.min("item_id").alias("cluster"), F.count("*").alias("n_copies")).filter("n_copies > 1")
     return keyed.join(groups, "_k").drop("_k")

@@ -446,9 +446,8 @@ def latest_reports_of_storage(spark, sf_dir):
 
 @query(
     "K2",
-    """SELECT conv_id, turn, web, bot FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN conv_id END AS web,
-         CASE WHEN role <> 'user' THEN conv_id END AS bot FROM conversations)
-       ORDER BY turn DESC NULLS FIRST, web ASC NULLS LAST, bot ASC NULLS LAST LIMIT 100""",
+    """SELECT conv_id, turn, web, bot, row_number() OVER (ORDER BY turn DESC NULLS FIRST, web ASC NULLS LAST, bot ASC NULLS LAST) AS place
+       FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN conv_id END AS web, CASE WHEN role <> 'user' THEN conv_id END AS bot FROM conversations)""",
 )
 def ordered_messages(spark, sf_dir):
     mine = F.col("role") == "user"
@@ -456,7 +455,7 @@ def ordered_messages(spark, sf_dir):
         "conv_id", "turn", F.when(mine, F.col("conv_id")).alias("web"), F.when(~mine, F.col("conv_id")).alias("bot")
     )
     order = [F.desc_nulls_first("turn"), F.asc_nulls_last("web"), F.asc_nulls_last("bot")]
-    return messages.orderBy(*order).limit(100)
+    return cat.numbered(messages, order, "place")
 
 
 # ---- U: set operations ----

@@ -10,7 +10,6 @@ from corpusmill.operators import pages as pg
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.standins import standin
 from corpusmill.plans.text_queries import count_sql, marked
-from corpusmill.session import spread
 
 WINDOWS_SQL = """windows AS (SELECT doc_id, i AS ordinal, substr(text, i * 800 + 1, 1000) AS page_content FROM documents,
   LATERAL (SELECT unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0))::BIGINT)) AS i))"""
@@ -56,7 +55,7 @@ def fixed_window_chunks(spark, sf_dir):
     r"""SELECT doc_id AS content_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS words FROM documents""",
 )
 def words_kept_by_recursive_split(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     split = recursive_split(documents, F.array("text"), 120, 0, -1)
     joined = F.array_join(F.transform("_cut", lambda p: p["text"]), " ")
     return split.select(F.col("doc_id").alias("content_id"), F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("words"))

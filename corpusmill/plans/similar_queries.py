@@ -41,7 +41,7 @@ def copied_vector_clusters(spark, sf_dir):
 
 _TFIDF = rf"""t AS (SELECT doc_id, {DEDUPE_SQL} AS text FROM documents),
     w AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM t) GROUP BY 1, 2),
-    f AS (SELECT word, count(*) AS df, sum(tf) AS total FROM w GROUP BY 1 ORDER BY total DESC, word LIMIT 5000),
+    f AS (SELECT word, count(*) AS df, sum(tf) AS total FROM w GROUP BY 1),
     r AS (SELECT doc_id, word, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS raw FROM w JOIN f USING (word)),
     v AS (SELECT doc_id, word, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r),
     edges AS (SELECT x.doc_id AS a, y.doc_id AS b FROM v x JOIN v y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) > 0.8)"""

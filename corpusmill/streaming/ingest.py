@@ -27,7 +27,9 @@ def ingest_pages(pages: DataFrame, root: str, config: PageConfig = PageConfig())
         own = f"batch={number}"
         catalogue = read_or_empty(spark, f"{root}/catalogue", CATALOGUE + ", batch long").filter(F.col("batch") < number)
         contents = read_or_empty(spark, f"{root}/contents", CONTENTS + ", batch long").filter(F.col("batch") < number)
-        read = extract_pages(batch, config, carry=("response_status",))
+        # a url that comes twice in a batch counts once: the page with the largest id
+        newest = batch.join(batch.groupBy("url").agg(F.max("page_id").alias("page_id")), ["url", "page_id"], "left_semi").dropDuplicates(["url", "page_id"])
+        read = extract_pages(newest, config, carry=("response_status",))
         body = F.coalesce("content", F.lit("")).alias("body")  # a page without text has the hash of ''
         fetched = read.select("page_id", "url", "response_status", body).withColumn("hash", F.sha2("body", 512))
         found = sync.classify_fetched(fetched, catalogue.drop("batch"), contents.drop("batch")).persist()
