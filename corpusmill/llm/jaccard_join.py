@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,9 @@ NUMERATOR, DENOMINATOR = 80, 100  # least intersection over union
 SHIPPED_IDS = 1_000_000  # a list of ids is shipped to every task up to this many (8 MB), else joined
 FREQUENT_SHARE = 0.002  # of the documents of one Arrow batch: shingles above it are put last
 FREQUENT_MOST = 200_000  # shingles on that list; any list gives right results
-PARITY_BITS = 1024
+PARITY_BITS = 2048
+PART_ROWS = 250
+CHUNK_BYTES = 1 << 20
 SLACK = 1.25  # segments over those that must be kept
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,27 +52,112 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = value
-        return value
+class WordHashes:
+    """64-bit hashes of words by position sums: byte values times powers of an odd number, over each word.
+
+    Prefix sums give the sum of any word, and a power of the inverse moves it to the origin, so equal words hash alike
+    wherever they stand.
+    """
+
+    BASE = 0x9E3779B97F4A7C1B
+    VALUES = mix(np.arange(256, dtype=np.uint64), 9)
+    BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of every word; ``data`` begins and ends with a blank."""
+        if len(self.up) < len(data):
+            size = max(len(data), 1 << 20)
+            self.up, self.down = (np.full(size, x, dtype=np.uint64) for x in (self.BASE, pow(self.BASE, -1, 2**64)))
+            self.up[0] = self.down[0] = 1
+            np.cumprod(self.up, out=self.up)
+            np.cumprod(self.down, out=self.down)
+        code = np.frombuffer(data, dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(self.BLANK[code]))  # last byte before each change
+        start, end = edge[::2] + 1, edge[1::2]
+        total = self.VALUES[code]
+        total *= self.up[: len(code)]
+        np.cumsum(total, out=total)
+        return mix((total[end] - total[start - 1]) * self.down[start] + (end - start).astype(np.uint64)), start
+
+
+class Sets:
+    """Sorted distinct shingle hashes of many texts, end to end; those of text i from bounds[i] to bounds[i + 1].
+
+    A shingle is five neighbouring words, or all words of a text of fewer.
+    """
+
+    def __init__(self, texts: Sequence[str], hashes: WordHashes):
+        coded = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+        h, sizes, first = [], [], 0
+        while first < len(coded):  # about a megabyte at a time
+            last, length = first, 0
+            while last < len(coded) and (last == first or length + len(coded[last]) < CHUNK_BYTES):
+                length += len(coded[last]) + 1
+                last += 1
+            own, start = hashes.of(b" " + b" ".join(coded[first:last]) + b" ")
+            ends = np.cumsum([len(x) + 1 for x in coded[first:last]])
+            h.append(own)
+            sizes.append(np.bincount(np.searchsorted(ends, start, side="right"), minlength=last - first)[: last - first])
+            first = last
+        h = np.concatenate([*h, np.zeros(0, dtype=np.uint64)])
+        sizes = np.concatenate([*sizes, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        long = np.flatnonzero(sizes >= WIDTH)
+        counts = np.where(sizes >= WIDTH, sizes - WIDTH + 1, np.minimum(sizes, 1))
+        first = np.cumsum(counts) - counts
+        found = np.zeros(int(counts.sum()), dtype=np.uint64)
+        if len(long):
+            n = counts[long]
+            at = np.repeat(starts[long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            total = h[at] * FOLD[0]
+            for k in range(1, WIDTH):
+                total += h[at + k] * FOLD[k]
+            found[np.repeat(first[long] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = mix(total, 1)
+        for i in np.flatnonzero((sizes > 0) & (sizes < WIDTH)):
+            own = h[starts[i] : starts[i] + sizes[i]]
+            found[first[i]] = mix((own * FOLD[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own)))[0]
+        for i in long:
+            found[first[i] : first[i] + counts[i]].sort()
+        text = np.repeat(np.arange(len(texts)), counts)
+        new = np.ones(len(found), dtype=bool)
+        new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+        self.flat, self.text = found[new], text[new]
+        self.sizes = np.bincount(self.text, minlength=len(texts))
+        self.bounds = np.append(0, np.cumsum(self.sizes))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.bounds[i] : self.bounds[i + 1]]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of a value of each shingle over each set."""
+        out = np.zeros(len(self.sizes), dtype=np.uint64)
+        filled = self.sizes > 0
+        if filled.any():
+            out[filled] = np.add.reduceat(values, self.bounds[:-1][filled])
+        return out
+
+    def parities(self) -> np.ndarray:
+        """Whether an odd number of a set's shingles falls on each of the PARITY_BITS places, as 64-bit words.
+
+        Two sets differ in at least as many elements as their parities differ in bits: an exact filter.
+        """
+        place = (mix(self.flat, 8) % np.uint64(PARITY_BITS)).astype(np.int64)
+        count = np.bincount(self.text * PARITY_BITS + place, minlength=len(self.sizes) * PARITY_BITS)
+        return np.packbits((count & 1).astype(np.uint8).reshape(-1, PARITY_BITS), axis=1).view(np.int64)
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text: five neighbouring words, or all of fewer words."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array([hashes[w] for w in words], dtype=np.uint64)
-    if len(h) < WIDTH:
-        return mix((h * FOLD[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - WIDTH + 1
-    total = h[:n] * FOLD[0]
-    for k in range(1, WIDTH):
-        total = total + h[k : k + n] * FOLD[k]
-    return np.unique(mix(total, 1))
+    return Sets([text], hashes)[0]
+
+
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slices of a few hundred rows, the last of a batch may be shorter."""
+    for batch in batches:
+        for start in range(0, len(batch), PART_ROWS):
+            yield batch.iloc[start : start + PART_ROWS]
 
 
 def most_differences(x: int, y: int) -> int:
@@ -94,6 +181,10 @@ class Layout:
         self.band, self.paired, self.plain = band, paired, plain
         self.slots = 2 * paired + plain
 
+    @cached_property
+    def names(self) -> np.ndarray:
+        return mix(np.arange(self.paired + self.plain, dtype=np.uint64) + np.uint64(self.band << 32), 4)
+
     def kept(self, size: int) -> int:
         """How many plain segments a set of this size keeps, as the smaller or the larger of a pair of this band."""
         partner = max(min(largest_partner(size), 2 ** (self.band + 1) - 1), size if size >> self.band else 0)
@@ -112,7 +203,8 @@ def choose_layout(band: int, documents: int) -> Layout:
     """
     size, least = max(1, 3 * 2**band // 2), needed(band)
     best = None
-    for paired in range((least + 1) // 2 + 1):
+    most = (least + 1) // 2
+    for paired in sorted({*range(min(most, 16) + 1), *(most >> k for k in range(8))}):
         plain = math.ceil(SLACK * max(0, least - 2 * paired))
         layout = Layout(band, paired, plain)
         if not layout.slots:
@@ -131,53 +223,52 @@ def choose_layout(band: int, documents: int) -> Layout:
     return best[1]
 
 
-def signatures(shingles: np.ndarray, layouts: dict[int, Layout], frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set in its own band and, where a larger partner may be there, in the next one."""
-    size = len(shingles)
-    own = band_of(size)
-    bands = [own, own + 1] if largest_partner(size) >> (own + 1) else [own]
+def signatures(sets: Sets, layouts: dict[int, Layout], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text) of all sets: in their own band and, where a larger partner may be there, in the next one."""
+    place, value, rare = mix(sets.flat, 2), mix(sets.flat, 3), np.ones(len(sets.flat), dtype=bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rare = frequent[at] != shingles
-    else:
-        rare = np.ones(size, dtype=bool)
-    place, value = mix(shingles, 2), mix(shingles, 3)
-    out = []
-    for band in bands:
-        layout = layouts.get(band)
-        if layout is None:
+        rare = frequent[np.minimum(np.searchsorted(frequent, sets.flat), len(frequent) - 1)] != sets.flat
+    signs, texts = [], []
+    for step in (0, 1):
+        chosen = []
+        for i, n in enumerate(sets.sizes.tolist()):
+            if n and (step == 0 or largest_partner(n) >> (band_of(n) + 1)) and (layout := layouts.get(band_of(n) + step)):
+                chosen.append((i, layout, layout.kept(n)))
+        if not chosen:
             continue
-        slot = (place % np.uint64(layout.slots)).astype(np.int64)
-        segment = np.where(slot < 2 * layout.paired, slot // 2, slot - layout.paired)
-        count = layout.paired + layout.plain
-        total = np.zeros(count, dtype=np.uint64)
-        np.add.at(total, segment, value)
-        name = np.arange(count, dtype=np.uint64) + np.uint64(band << 32)
-        sign = mix(total ^ mix(name, 4), 5)
-        if layout.paired:
-            near = segment < layout.paired
-            out += [sign[: layout.paired], mix((total[segment[near]] - value[near]) ^ mix(name[segment[near]], 4), 5)]
-        keep = layout.kept(size)
-        if keep:
-            plain = sign[layout.paired :]
-            filled = np.bincount(segment[rare], minlength=count)[layout.paired :] > 0
-            first = plain[filled]
-            if len(first) > keep:
-                first = np.partition(first, keep - 1)[:keep]
-            elif len(first) < keep:
-                rest = np.sort(plain[~filled])[: keep - len(first)]
-                first = np.append(first, rest)
-            out.append(first)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
-
-
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the shingles falls on each of the PARITY_BITS places, as 64-bit words.
-
-    Two sets differ in at least as many elements as their parities differ in bits: an exact filter.
-    """
-    count = np.bincount((mix(shingles, 8) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+        text, count = np.array([i for i, _, _ in chosen]), np.array([len(x.names) for _, x, _ in chosen])
+        first = np.cumsum(count) - count  # all segments of the chosen sets, end to end
+        names = np.concatenate([x.names for _, x, _ in chosen])
+        owner = np.repeat(np.arange(len(chosen)), count)
+        paired = np.array([x.paired for _, x, _ in chosen])
+        of = np.full(len(sets.sizes), -1)
+        of[text] = np.arange(len(chosen))
+        of = of[sets.text]
+        inside = np.flatnonzero(of >= 0)
+        of, own = of[inside], value[inside]
+        segment = (place[inside] % np.array([x.slots for _, x, _ in chosen], dtype=np.uint64)[of]).astype(np.int64)
+        segment = np.where(segment < 2 * paired[of], segment // 2, segment - paired[of])
+        near = np.flatnonzero(segment < paired[of])
+        segment += first[of]
+        total = np.zeros(len(names), dtype=np.uint64)
+        np.add.at(total, segment, own)
+        sign = mix(total ^ names, 5)
+        # paired segments: whole, and without each one of their shingles
+        whole = np.flatnonzero(np.arange(len(names)) - first[owner] < paired[owner])
+        signs += [sign[whole], mix((total[segment[near]] - own[near]) ^ names[segment[near]], 5)]
+        texts += [text[owner[whole]], text[of[near]]]
+        # plain segments: those with a rare shingle first, then by signature; each set keeps as many as it needs
+        bare = np.ones(len(names), dtype=bool)
+        bare[segment[rare[inside]]] = False
+        plain = np.flatnonzero(np.arange(len(names)) - first[owner] >= paired[owner])
+        plain = plain[np.lexsort((sign[plain], bare[plain], owner[plain]))]
+        before = np.cumsum(count - paired) - (count - paired)
+        kept = plain[np.arange(len(plain)) - before[owner[plain]] < np.array([k for _, _, k in chosen])[owner[plain]]]
+        signs.append(sign[kept])
+        texts.append(text[owner[kept]])
+    if not signs:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(signs), np.concatenate(texts)
 
 
 def may_link(a: str, b: str) -> Column:
@@ -192,13 +283,17 @@ def profiles(docs: DataFrame) -> DataFrame:
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in batch["text"]]
-            marks = np.array([[mix(s, 6).sum(dtype=np.uint64), mix(s, 7).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).astype(np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": marks[:, 0], "h2": marks[:, 1], "bits": [parities(s) for s in sets]})
-            shingle, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= max(20, FREQUENT_SHARE * len(sets))
+            seen = []
+            for part in parts(iter([batch])):
+                sets = Sets(part["text"].tolist(), hashes)
+                h1, h2 = (sets.sums(mix(sets.flat, k)).astype(np.int64) for k in (6, 7))
+                yield pd.DataFrame({"kind": 0, "doc_id": part["doc_id"].astype("Int64").array, "n": sets.sizes, "h1": h1, "h2": h2, "bits": list(sets.parities())})
+                seen.append(sets.flat)
+            shingle, n = np.unique(np.concatenate(seen), return_counts=True)
+            often = n >= max(20, FREQUENT_SHARE * len(batch))
             if often.any():
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": np.zeros(int(often.sum()), np.int64), "bits": None})
+                nothing = [None] * int(often.sum())
+                yield pd.DataFrame({"kind": 1, "doc_id": pd.array(nothing, dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": 0, "bits": nothing})
 
     return docs.mapInPandas(measured, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>")
 
@@ -217,16 +312,16 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, name, own = WordHashes(), None, None
-        for batch in batches:
+        hashes = WordHashes()
+        for part in parts(batches):
+            number = {t: i for i, t in enumerate(dict.fromkeys([*part["text_a"], *part["text_b"]]))}
+            sets = Sets(list(number), hashes)
             keep = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
-                if (a, text_a) != name:  # rows come sorted by a
-                    name, own = (a, text_a), shingle_set(text_a, hashes)
-                other = shingle_set(text_b, hashes)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(DENOMINATOR * common >= NUMERATOR * (len(own) + len(other) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            for text_a, text_b in zip(part["text_a"], part["text_b"]):
+                a, b = sets[number[text_a]], sets[number[text_b]]
+                common = len(a) + len(b) - len(np.union1d(a, b))
+                keep.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common))
+            yield part.loc[keep, ["a", "b"]]
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verified, "a long, b long")
 
@@ -254,17 +349,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
-            for start in range(0, len(batch), 500):  # a few hundred signatures a document
-                part = batch.iloc[start : start + 500]
-                signs = [signatures(s, layouts, frequent) if len(s := shingle_set(t, hashes)) else s for t in part["text"]]
-                yield pd.DataFrame({"sign": np.concatenate(signs).astype(np.int64), "doc_id": np.repeat(part["doc_id"].to_numpy(), [len(s) for s in signs])})
+        for part in parts(batches):
+            signs, text = signatures(Sets(part["text"].tolist(), hashes), layouts, frequent)
+            yield pd.DataFrame({"sign": signs.astype(np.int64), "doc_id": part["doc_id"].to_numpy()[text]})
 
     emit = lambda: only.mapInPandas(emitted, "sign long, doc_id long")
     # Groups of several sets, found by sums that are combined before the shuffle; then their members.
-    groups = emit().groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
+    groups = emit().groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
     groups = stored(groups.where("a < z"), "jaccard-groups")
-    members = stored(emit().join(groups.select("sign", "a", "n").hint("merge"), "sign"), "jaccard-members")
+    members = stored(emit().join(groups.select("sign", "a").hint("merge"), "sign"), "jaccard-members")
     sketch = lambda name: filled.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = stars.join(sketch("a").hint("merge"), "a").join(sketch("b").hint("merge"), "b").where(may_link("a", "b")).select("a", "b").distinct()
@@ -274,8 +367,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # Members that are still apart: only groups of three and more can hold such pairs besides those with their smallest.
     part = F.coalesce("component", "doc_id")
-    placed = members.where("n > 2").join(components.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("sign", "doc_id", "a", part.alias("part"))
-    apart = placed.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sign")
+    placed = members.join(components.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("sign", "doc_id", "a", part.alias("part"))
+    apart = placed.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("sign")
     rest = placed.where("doc_id <> a").join(apart.hint("merge"), "sign")
     rest = stored(rest.withColumnRenamed("doc_id", "x").join(sketch("x").hint("merge"), "x"), "jaccard-rest")
     other = rest.select("sign", F.col("x").alias("y"), F.col("part").alias("part_y"), F.col("n_x").alias("n_y"), F.col("bits_x").alias("bits_y"))

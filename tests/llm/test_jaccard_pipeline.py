@@ -91,11 +91,27 @@ def test_linked_sets_share_a_signature(size, seed, edits):
     both = len(np.intersect1d(a, b))
     frequent = np.unique(a[rng.random(len(a)) < 0.5])
     layouts = {n: join.choose_layout(n, int(rng.integers(1, 10**6))) for n in range(10)}
+    sets = object.__new__(join.Sets)
+    sets.flat, sets.sizes = np.concatenate([a, b]), np.array([len(a), len(b)])
+    sets.text, sets.bounds = np.repeat([0, 1], sets.sizes), np.append(0, np.cumsum(sets.sizes))
     if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-        assert len(np.intersect1d(join.signatures(a, layouts, frequent), join.signatures(b, layouts, frequent)))
+        sign, text = join.signatures(sets, layouts, frequent)
+        assert len(np.intersect1d(sign[text == 0], sign[text == 1]))
     # parities never show more differences than there are
-    differ = sum(bin(int(x ^ y) & (2**64 - 1)).count("1") for x, y in zip(join.parities(a), join.parities(b)))
-    assert differ <= len(a) + len(b) - 2 * both
+    x, y = sets.parities()
+    assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y) <= len(a) + len(b) - 2 * both
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(join, "CHUNK_BYTES", 60)
+    texts = ["", " ", "a", "A b", "\ta  b\n", "one two three four five six", "one two three four five six seven " * 9, "é ü ñ x y z", "x", "one TWO three four five"]
+    together, alone = join.Sets(texts, join.WordHashes()), [join.Sets([t], join.WordHashes())[0] for t in texts]
+    assert all((together[i] == alone[i]).all() and len(together[i]) == len(alone[i]) == len(plain_set(t)) for i, t in enumerate(texts))
+    assert (together[3] == together[4]).all() and together[9][0] in together[5]
+    words = [f"w{i}" for i in range(5000)] + ["ab", "ba", "aab", "aba", "baa", "é", "e"]
+    hashes, _ = join.WordHashes().of((" " + " ".join(words) + " ").encode())
+    assert len(np.unique(hashes)) == len(words)
+    assert len(join.Sets([], join.WordHashes()).sizes) == 0
 
 
 def test_small_bands_use_deletions():
