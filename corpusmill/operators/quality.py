@@ -6,23 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_text, junk_ratio
+from corpusmill.session import cut_lineage
 
 EMPTY = "Текст пуст после очистки"
-SALTS = 16
-
-
-def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Left join of a fact table with a lookup of unique keys, a hot key spread over ``salts`` tasks."""
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(item_id, word, n, first_at) of the cleaned lower-case words of every text."""
+    """(item_id, word, n, first_at) of the cleaned lower-case words of every text, written out once."""
     words = F.split(clean_text(F.lower("text")), " ")
     each = texts.select("item_id", "text").select("item_id", F.posexplode_outer(words).alias("at", "word")).filter("word <> ''")
-    return each.groupBy("item_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    return cut_lineage(each.groupBy("item_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first_at")))
 
 
 def lexicon(counts: DataFrame, min_items: int = 2) -> DataFrame:
@@ -37,7 +30,8 @@ def quality_report(texts: DataFrame, valid_words: DataFrame | None = None, top:
     """
     counts = word_counts(texts)
     known = lexicon(counts) if valid_words is None else valid_words.select("word").distinct()
-    judged = salted_lookup(counts, known.withColumn("valid", F.lit(True)), "word", "item_id")
+    # a left join with unique words: Spark splits a word of very many texts
+    judged = counts.join(known.withColumn("valid", F.lit(True)), "word", "left")
     frequent = Window.partitionBy("item_id").orderBy(F.desc("n"), "first_at")
     ranked = judged.withColumn("_r", F.row_number().over(frequent))
     wrong = F.array_sort(F.collect_list(F.when(F.col("valid").isNull(), F.struct("first_at", "word", "n"))))
@@ -64,19 +58,24 @@ def quality_report(texts: DataFrame, valid_words: DataFrame | None = None, top:
     )
 
 
-def language_profiles(labelled: DataFrame, top: int = 200) -> DataFrame:
-    """(lang, word, weight): the ``top`` words of every language, the most frequent weighing most."""
+def language_profiles(labelled: DataFrame, top: int | None = None) -> DataFrame:
+    """(lang, word, weight): the words of every language, the most frequent weighing most; ``top`` takes only so many.
+
+    A word weighs as much as its share of the language's words, so a long tail of rare words decides nothing.
+    """
     words = F.explode_outer(F.split(clean_text(F.lower("text")), " ")).alias("word")
     counted = labelled.select("lang", "text").select("lang", words).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    ranked = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
-    return ranked.select("lang", "word", (F.lit(top + 1) - F.col("_r")).alias("weight"))
+    weighed = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    if top:
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+        counted = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
+    return counted.join(weighed, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("weight"))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """(item_id, detected): the language whose profile weighs most in the text, NULL when none occurs."""
     counts = word_counts(texts)
-    hits = counts.join(profiles, "word")  # profiles hold at most ``top`` words per language
-    scores = hits.groupBy("item_id", "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    # sums to nine decimals, so that the order of the rows never decides
+    scores = counts.join(profiles, "word").groupBy("item_id", "lang").agg(F.round(F.sum(F.col("n") * F.col("weight")), 9).alias("score"))
     best = scores.groupBy("item_id").agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
     return texts.select("item_id").join(best, "item_id", "left")

@@ -1,14 +1,13 @@
 """Retrieval: exact nearest neighbours, trigram search, rank fusion and context assembly.
 
-Batch search never pairs rows. Every task scores its part of the corpus against a block of queries with
-one matrix product and keeps only the best k per query; the short lists meet in a window. Queries are
-shipped to the tasks only when their counted size is small. A larger query table is cut into blocks
-that are shuffled to the parts of the corpus, so that no side has to fit into one place.
+Batch search never pairs rows. Both sides are cut into blocks by their bytes; a task scores one block of queries
+against one block of the corpus, slice by slice with one matrix product, and keeps only the best k per query. The short
+lists meet in a window. No side has to fit into one place, and a task's matrices have a fixed size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -20,9 +19,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.text import strip, trigrams
-from corpusmill.session import MAX_SHIPPED_BYTES
 
 HITS = "query_id long, partition_key string, item_id long, cost double"
+HITS_ARROW = pa.schema([("query_id", pa.int64()), ("partition_key", pa.string()), ("item_id", pa.int64()), ("cost", pa.float64())])
+BLOCK_BYTES = 64 * 1024 * 1024
+ROWS, COLUMNS = 512, 2048  # queries and corpus items of one matrix product: 8 MB of costs
 # Scorer: (query payloads) -> function(corpus payloads) -> matrix queries x corpus, lower is better.
 Scorer = Callable[[pa.Array], Callable[[pa.Array], np.ndarray]]
 
@@ -73,26 +74,20 @@ def _half_up(costs: np.ndarray) -> np.ndarray:
 
 
 def _best(keys: list[str], ids: np.ndarray, costs: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k lowest costs, to six decimals, of every query and key; equal ones by id."""
+    """The k lowest costs, to six decimals, of every query and key; equal ones by id.
+
+    Only cells up to the k-th cost of their query are put in order.
+    """
     frames = []
     keys_array = np.asarray(keys, dtype=object)
-    costs = _half_up(costs)
     for key in dict.fromkeys(keys):
         at = np.flatnonzero(keys_array == key)
-        part, part_ids = costs[:, at], ids[at]
-        order = np.lexsort((np.broadcast_to(part_ids, part.shape), part), axis=1)[:, :k]
-        rows = np.arange(len(query_ids))[:, None]
-        frames.append(
-            pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids, order.shape[1]),
-                    "partition_key": key,
-                    "item_id": part_ids[order].ravel(),
-                    "cost": part[rows, order].ravel(),
-                }
-            )
-        )
-    return pd.concat(frames, ignore_index=True)
+        part = _half_up(costs[:, at])
+        last = np.partition(part, min(k, part.shape[1]) - 1, axis=1)[:, min(k, part.shape[1]) - 1]
+        rows, columns = np.nonzero(part <= last[:, None])
+        found = {"query_id": query_ids[rows], "partition_key": key, "item_id": ids[at][columns], "cost": part[rows, columns]}
+        frames.append(pd.DataFrame(found))
+    return _shrink(pd.concat(frames, ignore_index=True), k)
 
 
 def _shrink(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -100,79 +95,49 @@ def _shrink(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby(["query_id", "partition_key"], sort=False).head(k)
 
 
-def _scan(query_ids: np.ndarray, cost: Callable[[pa.Array], np.ndarray], batches: Iterable[pa.RecordBatch], k: int, rows: int):
-    """Best hits of a stream of corpus batches (key, item_id, payload), kept short on the way."""
-    kept: pd.DataFrame | None = None
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            part = batch.slice(start, rows)
-            key, ids, payload = part.columns
-            found = _best(key.to_pylist(), ids.to_numpy(), cost(payload), query_ids, k)
-            kept = _shrink(found if kept is None else pd.concat([kept, found]), k)
-    return kept
-
-
-def top_k(
-    corpus: DataFrame,
-    queries: DataFrame,
-    scorer: Scorer,
-    k: int,
-    max_query_bytes: int = MAX_SHIPPED_BYTES,
-    block_rows: int = 2048,
-) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The exact k best corpus items of every query and key.
 
     ``corpus``: partition_key string, item_id long, payload array. ``queries``: query_id long, payload.
-    Returns query_id, partition_key, item_id, cost, rank.
+    Returns query_id, partition_key, item_id, cost, rank. Both sides are cut into blocks of about ``block_bytes``; every
+    block of queries meets every block of the corpus once, in a task that holds just these two.
     """
     corpus = corpus.select("partition_key", "item_id", "payload")
     queries = queries.select("query_id", "payload")
-    stats = queries.agg(F.count("*").alias("n"), F.sum(F.size("payload")).alias("cells")).first()
-    n_bytes = 16 * (stats["cells"] or 0)  # a cell is a double or a short string
-    if n_bytes <= max_query_bytes:
-        hits = _small_query_side(corpus, queries, scorer, k, block_rows)
-    else:
-        hits = _blocked(corpus, queries, scorer, k, -(-n_bytes // max_query_bytes), block_rows)
+    n_blocks = _blocks(queries, block_bytes)
+    # a small corpus still gives every core a part
+    n_parts = max(_blocks(corpus, block_bytes), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n_parts))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("_b", block).withColumn("_p", numbers(n_parts))
+    right = corpus.withColumn("_p", part).withColumn("_b", numbers(n_blocks))
+
+    def scan(asked: pa.Table, items: pa.Table) -> pa.Table:
+        kept = []
+        if asked.num_rows and items.num_rows:
+            items = items.combine_chunks()
+            payload, keys, ids = items.column("payload").combine_chunks(), items.column("partition_key").to_pylist(), items.column("item_id").to_numpy()
+            query_ids, query_payload = asked.column("query_id").to_numpy(), asked.column("payload").combine_chunks()
+            for start in range(0, len(query_ids), ROWS):
+                cost = scorer(query_payload.slice(start, ROWS))
+                best = None
+                for first in range(0, len(ids), COLUMNS):
+                    own = slice(first, first + COLUMNS)
+                    found = _best(keys[own], ids[own], cost(payload.slice(first, COLUMNS)), query_ids[start : start + ROWS], k)
+                    best = _shrink(found if best is None else pd.concat([best, found]), k)
+                kept.append(pa.Table.from_pandas(best, schema=HITS_ARROW, preserve_index=False))
+        return pa.concat_tables(kept) if kept else HITS_ARROW.empty_table()
+
+    hits = left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(scan, HITS)
     order = Window.partitionBy("query_id", "partition_key").orderBy("cost", "item_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _small_query_side(corpus, queries, scorer, k, block_rows):
-    table = queries.toArrow()  # size checked by the caller
-    shipped = corpus.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_numpy(), table.column("payload").combine_chunks())
-    )
-
-    def scan(batches):
-        query_ids, payload = shipped.value
-        if len(query_ids):
-            kept = _scan(query_ids, scorer(payload), batches, k, block_rows)
-            if kept is not None:
-                yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
-
-    return corpus.mapInArrow(scan, HITS)
-
-
-def _blocked(corpus, queries, scorer, k, n_blocks, block_rows):
-    """Query blocks against corpus parts, each pair of bounded size, joined by their numbers."""
-    n_parts = max(1, -(-corpus.count() // 50_000))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n_parts))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    left = queries.withColumn("_b", block).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    right = corpus.withColumn("_p", part).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def scan(q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or c.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "partition_key": pa.array([], pa.string()),
-                             "item_id": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
-        query_ids = q.column("query_id").to_numpy()
-        cost = scorer(q.column("payload").combine_chunks())
-        batches = c.select(["partition_key", "item_id", "payload"]).to_batches()
-        return pa.Table.from_pandas(_scan(query_ids, cost, batches, k, block_rows), preserve_index=False)
-
-    left = left.withColumn("_p", F.col("_p").cast("long"))
-    right = right.withColumn("_b", F.col("_b").cast("long"))
-    return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(scan, HITS)
+def _blocks(side: DataFrame, block_bytes: int) -> int:
+    """Number of blocks of a table by the size of its payloads; a cell is a double or a short string."""
+    cells = side.agg(F.sum(F.size("payload")).alias("cells")).first()["cells"] or 0
+    return max(1, -(-16 * cells // block_bytes))
 
 
 # ---- searches ----

@@ -61,10 +61,33 @@ def words_kept_by_recursive_split(spark, sf_dir):
     return split.select(F.col("doc_id").alias("content_id"), F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("words"))
 
 
-@query("C1, C7, P2")
+def _kept(chunks, contents, size):
+    """Per document: whether all chunks fit, are numbered without gaps, and hold all of its words and no others."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    parts = chunks.groupBy("content_id").agg(
+        F.max("size_in_tokens").alias("largest"),
+        F.count("*").alias("n"),
+        F.max("ordinal").alias("last"),
+        F.array_distinct(F.flatten(F.collect_list(words(F.col("page_content"))))).alias("found"),
+    )
+    own = words(F.col("body"))
+    return parts.join(contents, "content_id").select(
+        "content_id",
+        (F.col("largest") <= size).alias("fits"),
+        (F.col("last") == F.col("n") - 1).alias("numbered"),
+        F.size(F.array_except(own, "found")).cast("long").alias("n_lost"),
+        F.size(F.array_except("found", own)).cast("long").alias("n_foreign"),
+    )
+
+
+@query(
+    "C1, C7, P2",
+    r"""SELECT doc_id AS content_id, true AS fits, true AS numbered, 0::BIGINT AS n_lost, 0::BIGINT AS n_foreign FROM documents WHERE regexp_matches(text, '\S')""",
+)
 def recursive_chunks(spark, sf_dir):
-    config = {"chunk_size": 300, "chunk_overlap": 30}
-    return _summary(ch.chunk_contents(ch.usable(_contents(spark, sf_dir)), "recursive", config, report_id=1))
+    contents = ch.usable(_contents(spark, sf_dir))
+    chunks = ch.chunk_contents(contents, "recursive", {"chunk_size": 300, "chunk_overlap": 30}, report_id=1)
+    return _kept(chunks, contents.select("content_id", "body"), 300)
 
 
 _HEADED = "concat('# ', source, '\n', replace(text, '\n', '\n## '))"

@@ -21,10 +21,12 @@ def vectors(spark):
 
 
 @pytest.mark.parametrize("limit", [10**9, 2000])
-def test_nearest_is_exact_on_both_routes(vectors, limit):
+def test_nearest_is_exact_in_blocks_of_any_size(vectors, limit, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 7)
+    monkeypatch.setattr(search, "COLUMNS", 11)
     df, rows = vectors
     queries = df.select(F.col("chunk_id").alias("query_id"), "embedding")
-    got = search.nearest(df, queries, k=7, max_query_bytes=limit, block_rows=32).collect()
+    got = search.nearest(df, queries, k=7, block_bytes=limit).collect()
     for qid, _, q in rows[::17]:
         ranked = sorted((round(float(np.sum((np.array(q) - np.array(v)) ** 2)), 6), cid) for cid, _, v in rows)
         mine = [(r["distance"], r["chunk_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == qid]
