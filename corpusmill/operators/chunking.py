@@ -24,11 +24,18 @@ from corpusmill.functions.text import split_strategy, strip, token_count
 def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Windows of ``size`` characters, each starting ``size - overlap`` after the one before.
 
-    A window that would only repeat the end of the previous one is not made.
+    A window that would only repeat the end of the previous one is not made. The text is cut into steps once, and
+    neighbouring steps are joined, so a long text is not read again for every window.
     """
     step = size - overlap
     last = F.greatest(F.ceil((F.length(text) - overlap) / step) - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substring(text, i * step + 1, size))
+    steps = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"))
+
+    def windows(pieces: Column) -> Column:
+        joined = lambda i: F.array_join(F.slice(pieces, i + 1, F.lit(-(-size // step))), "")
+        return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.left(joined(i), F.lit(size)))
+
+    return F.transform(F.array(steps), windows)[0]  # binds the steps, so they are cut once
 
 
 HEADED = "array<struct<text:string,path:array<struct<level:int,name:string>>>>"

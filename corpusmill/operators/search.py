@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
-from corpusmill.functions.text import strip, trigrams
+from corpusmill.functions.text import strip, text_key, trigrams
 
 HITS = "query_id long, partition_key string, item_id long, cost double"
 HITS_ARROW = pa.schema([("query_id", pa.int64()), ("partition_key", pa.string()), ("item_id", pa.int64()), ("cost", pa.float64())])
@@ -203,6 +203,22 @@ def fuse(ranked: list[tuple[DataFrame, float]], key: str = "chunk_id", constant:
     return fused.withColumn("score", F.round("score", 9))
 
 
+def fuse_texts(ranked: list[tuple[DataFrame, float]], top_k: int | None = None) -> DataFrame:
+    """Fusion of (query_id, chunk_id, distance, rank, page_content, ...) lists in which one text counts once per query.
+
+    A text under several ids keeps the row of its nearest chunk, with the fused score and its new rank; ``top_k`` cuts
+    after the fusion.
+    """
+    keyed = [(hits.withColumn("_text", text_key(F.col("page_content"))), weight) for hits, weight in ranked]
+    fused = fuse(keyed, key="_text")
+    rows = reduce(DataFrame.unionByName, [hits.drop("rank") for hits, _ in keyed])
+    nearest_first = Window.partitionBy("query_id", "_text").orderBy("distance", "chunk_id")
+    once = rows.withColumn("_r", F.row_number().over(nearest_first)).filter("_r = 1").join(fused, ["query_id", "_text"])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "chunk_id")
+    best = once.withColumn("rank", F.row_number().over(order)).drop("_r", "_text")
+    return best if top_k is None else best.filter(F.col("rank") <= top_k)
+
+
 def contexts(hits: DataFrame, text: str = "page_content") -> DataFrame:
     """One text per query: its numbered excerpts in rank order. ``hits`` holds at most k rows per query."""
     excerpts = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("text"))))

@@ -246,9 +246,9 @@ def with_prefix(weights: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = None) -> DataFrame:
     """Clusters of (item_id, text) with TF-IDF cosine above the threshold, by connection."""
-    keyed = texts.select("item_id", "text").withColumn("text", dedupe_key(F.col("text")))
+    keyed = texts.select("item_id", dedupe_key(F.col("text")).alias("text")).filter("text <> ''")
     keyed = keyed.withColumn("_k", text_key(F.col("text")))
-    distinct = keyed.filter("text <> ''").groupBy("_k").agg(
+    distinct = keyed.groupBy("_k").agg(
         F.min("item_id").alias("first_id"), F.count("*").alias("n_copies"), F.min_by("text", "item_id").alias("text")
     )
     copies = keyed.select("item_id", "_k").join(distinct.select("_k", "first_id"), "_k").filter("item_id <> first_id")
@@ -260,7 +260,7 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:
-    """Items whose normalised text stands more than once: item_id, cluster (smallest id), n_copies."""
-    keyed = texts.select("item_id", "text").select("item_id", text_key(dedupe_key(F.col("text"))).alias("_k"))
+    """Items whose normalised text stands more than once: item_id, cluster (smallest id), n_copies; blank texts are left out."""
+    keyed = texts.select("item_id", dedupe_key(F.col("text")).alias("_t")).filter("_t <> ''").select("item_id", text_key(F.col("_t")).alias("_k"))
     groups = keyed.groupBy("_k").agg(F.min("item_id").alias("cluster"), F.count("*").alias("n_copies")).filter("n_copies > 1")
     return keyed.join(groups, "_k").drop("_k")

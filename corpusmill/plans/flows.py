@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.meta import append_materials, append_source_url
 from corpusmill.operators import chunking, embed, search, sync
 from corpusmill.operators.pages import PageConfig, extract_pages
+from corpusmill.session import cut_lineage
 
 
 def ingest(pages: DataFrame, catalogue: DataFrame, contents: DataFrame, config: PageConfig = PageConfig()) -> DataFrame:
@@ -23,18 +24,17 @@ def chunk_and_embed(contents: DataFrame, splitter: str, config: dict, engine: st
     A chunk id is a hash of content and position, so a repeated run gives the same ids.
     """
     chunks = chunking.chunk_contents(chunking.usable(contents), splitter, config, carry=("storage_id",))
-    chunks = chunks.withColumn("chunk_id", F.xxhash64("content_id", "ordinal"))
+    # read for the vectors and for the contexts: written out, so every text is split once
+    chunks = cut_lineage(chunks.withColumn("chunk_id", F.xxhash64("content_id", "ordinal")))
     return chunks, embed.embed_chunks(chunks, engine, model)
 
 
 def answer_contexts(
-    questions: DataFrame, question_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 2
+    questions: DataFrame, question_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 2, top_k: int = 10
 ) -> DataFrame:
-    """Context of every question: nearest chunks per storage, fused, with links and source lines."""
+    """Context of every question: nearest chunks per storage, fused by text, the ``top_k`` best, with links and source lines."""
     per_storage = search.nearest(vectors, question_vectors, k=k, per_storage=True)
-    fused = search.fuse([(per_storage, 1.0)])
-    ranked = per_storage.select("query_id", "chunk_id", "distance").join(fused, ["query_id", "chunk_id"])
-    order = F.struct(F.col("score") * -1, "distance", "chunk_id").alias("rank")
     text = append_source_url(append_materials(F.col("page_content"), F.col("metadata")), F.col("metadata")["url"])
-    hits = ranked.join(chunks.select("chunk_id", text.alias("page_content")), "chunk_id")
-    return search.with_placeholder(questions, search.contexts(hits.withColumn("rank", order)))
+    found = cut_lineage(per_storage.join(chunks.select("chunk_id", text.alias("page_content")), "chunk_id"))
+    hits = search.fuse_texts([(found, 1.0)], top_k)
+    return search.with_placeholder(questions, search.contexts(hits))

@@ -76,6 +76,23 @@ def fused_rankings(spark, sf_dir):
     return search.fuse([(per_storage, 1.0), (overall, 0.5)])
 
 
+@query(
+    "V4",
+    PAIRS_SQL
+    + """, h AS (SELECT query_id, chunk_id, distance, 'text ' || chunk_id % 50 AS page_content, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r
+           FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 8),
+         f AS (SELECT query_id, page_content, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, arg_min(chunk_id, (distance, chunk_id)) AS chunk_id, min(distance) AS distance FROM h GROUP BY 1, 2)
+         SELECT query_id, page_content, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, chunk_id) AS rank FROM f
+         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, chunk_id) <= 4""",
+)
+def fused_texts(spark, sf_dir):
+    """One text stands under several chunk ids; it is ranked once, by the sum of its ranks."""
+    hits = search.nearest(vectors(spark, sf_dir), asked(spark, sf_dir), k=8)
+    hits = hits.withColumn("page_content", F.concat(F.lit("text "), F.col("chunk_id") % 50))
+    best = search.fuse_texts([(hits, 1.0)], top_k=4)
+    return best.select("query_id", "page_content", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "V5",
     PAIRS_SQL

@@ -56,7 +56,7 @@ def near_duplicate_text_clusters(spark, sf_dir):
 @query(
     "V8, T7",
     f"""SELECT doc_id AS item_id, min(doc_id) OVER (PARTITION BY k) AS cluster, count(*) OVER (PARTITION BY k) AS n_copies
-        FROM (SELECT doc_id, {DEDUPE_SQL} AS k FROM documents) QUALIFY count(*) OVER (PARTITION BY k) > 1""",
+        FROM (SELECT doc_id, {DEDUPE_SQL} AS k FROM documents) WHERE k <> '' QUALIFY count(*) OVER (PARTITION BY k) > 1""",
 )
 def exact_duplicate_texts(spark, sf_dir):
     return similar.exact_duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"))
@@ -64,7 +64,7 @@ def exact_duplicate_texts(spark, sf_dir):
 
 @query(
     "A15, V7",
-    f"""WITH k AS (SELECT doc_id, source, {DEDUPE_SQL} AS k FROM documents), s AS (SELECT k, min(doc_id) AS cluster, count(*) AS cluster_size FROM k GROUP BY k HAVING count(*) > 1)
+    f"""WITH k AS (SELECT doc_id, source, {DEDUPE_SQL} AS k FROM documents), s AS (SELECT k, min(doc_id) AS cluster, count(*) AS cluster_size FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1)
         SELECT cluster, source, count(*) AS n, any_value(cluster_size) AS cluster_size FROM k JOIN s USING (k) GROUP BY cluster, source""",
 )
 def duplicate_members_per_source(spark, sf_dir):

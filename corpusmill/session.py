@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table is shipped whole to every task only when it is proven to be at most this big.
-MAX_SHIPPED_BYTES = 64 * 1024 * 1024
-
 
 def build_session(app: str = "corpusmill", master: str | None = None, cores: int | None = None) -> SparkSession:
     """A session with runtime re-planning on. Cluster settings given by spark-submit win."""
@@ -47,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 

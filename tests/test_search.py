@@ -132,3 +132,31 @@ def test_sample_shortage_is_an_error(spark):
     sources = spark.createDataFrame([(10, 1, "active")], "source_id long, storage_id long, status string")
     with pytest.raises(ValueError):
         chat.checked_sample(storages, sources, 2, seed=1)
+
+
+def test_zero_vectors_and_blank_texts_are_in_no_cluster(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])]
+    found = similar.near_duplicate_vectors(spark.createDataFrame(rows, "item_id long, payload array<double>"), axes=2)
+    assert {r["item_id"]: r["cluster"] for r in found.collect()} == {3: 3, 4: 3}
+    texts = spark.createDataFrame([(1, ""), (2, " !"), (3, "a b"), (4, "A, b")], "item_id long, text string")
+    assert {r["item_id"] for r in similar.exact_duplicates(texts).collect()} == {3, 4}
+
+
+def test_a_session_of_any_length_has_one_list(spark):
+    facts = spark.createDataFrame([(1, t, "n", [f"v{t % 700}"], f"t{t}.") for t in range(1000)], "session_id long, turn long, name string, value array<string>, text string")
+    lists = chat.fact_lists(facts).collect()
+    assert len(lists) == 1 and lists[0]["items"] == [f"v{t}" for t in range(700)]
+    texts = chat.fact_texts(facts).collect()
+    assert len(texts) == 1 and texts[0]["text"] == "t0.. " + ". ".join(f"t{t}" for t in range(1, 1000))
+
+
+def test_places_of_an_order(spark):
+    from corpusmill.operators import catalog
+
+    rows = [(i, i % 7 if i % 11 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, k long")
+    got = catalog.numbered(df, [F.desc_nulls_first("k"), F.asc("i")], "place").orderBy("place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    assert [(r["i"], r["k"]) for r in got] == want and [r["place"] for r in got] == list(range(1, 501))
+    assert [r["i"] for r in catalog.page_of(df, 3, 50, [F.asc("i")]).collect()] == list(range(100, 150))
+    assert catalog.numbered(df.limit(0), [F.asc("i")], "place").count() == 0
