@@ -332,7 +332,9 @@ def classes(docs: DataFrame) -> DataFrame:
     found = stored(profiles(docs), "jaccard-sets")
     sets = found.where("kind = 0")
     filled = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
-    same = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("a"))
+    # stored, so that the join has two shuffled sides and Spark can split a set with very many copies
+    same = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"))
+    same = stored(same.where("m > 1").drop("m"), "jaccard-same")
     copies = stored(filled.drop("bits").join(same.hint("merge"), ["n", "h1", "h2"]).where("doc_id <> a").select("a", "doc_id").distinct(), "jaccard-copies")
     # an id whose rows differ stays: only one of its rows may be a copy
     plain = filled.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low = high").select("doc_id")
@@ -386,3 +388,16 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, its smallest id, with all columns; rows without an id stay. No text is shuffled."""
     dropped = stored(classes(docs).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-dropped")
     return _of_ids(docs, dropped, "left_anti")
+
+
+CLASSES_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1),
+edges AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))),
+walk(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT walk.node, edges.b FROM walk JOIN edges ON edges.a = walk.reached)
+SELECT node AS doc_id, any_value(n) AS n_shingles, min(reached) AS component_id FROM walk JOIN n ON n.doc_id = node GROUP BY node
+"""

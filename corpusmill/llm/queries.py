@@ -34,6 +34,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op4_ngram_jaccard"] = jaccard_join.CLASSES_SQL
+
+
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
