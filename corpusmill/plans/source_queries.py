@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import embed, search
+from corpusmill.operators import chunking, embed, search
 from corpusmill.plans import flows
 from corpusmill.plans.catalog_queries import LABELS_SQL
+from corpusmill.plans.chunk_queries import WINDOWS_SQL
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.search_queries import knn_sql
 from corpusmill.plans.standins import standin
+from corpusmill.session import shared_path
 from corpusmill.sources import readers, writers
 
 
@@ -70,6 +72,59 @@ def catalogue_export_rows(spark, sf_dir):
     return writers.catalogue_rows(documents)
 
 
+@query(
+    "S7, C7, C10",
+    f"""WITH {WINDOWS_SQL} SELECT source AS storage_id, count(*) AS n_chunks, sum(length(page_content))::BIGINT AS n_chars, max(ordinal)::BIGINT AS last
+        FROM windows JOIN documents USING (doc_id) GROUP BY source""",
+)
+def appended_chunks(spark, sf_dir):
+    """Chunks appended in two batches and read back from the table, partitioned by storage."""
+    path = shared_path(spark, "chunks")
+    contents = _documents(spark, sf_dir)
+    for even in (True, False):
+        part = contents.filter((F.col("content_id") % 2 == 0) if even else (F.col("content_id") % 2 != 0))
+        writers.append_chunks(chunking.chunk_contents(part, "window", {}, carry=("storage_id",)), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("storage_id").agg(
+        F.count("*").alias("n_chunks"), F.sum(F.length("page_content")).alias("n_chars"), F.max("ordinal").cast("long").alias("last")
+    )
+
+
+@query("S8, C7", f"WITH {WINDOWS_SQL} SELECT doc_id AS content_id, ordinal, page_content FROM windows")
+def exported_chunks(spark, sf_dir):
+    """Chunks exported as JSON lines and read back."""
+    path = shared_path(spark, "export")
+    writers.export_chunks(chunking.chunk_contents(_documents(spark, sf_dir), "window", {}), path)
+    stored = spark.read.schema("content_id long, ordinal long, page_content string").json(path)
+    return stored.select("content_id", "ordinal", "page_content")
+
+
+@query(
+    "S10",
+    """SELECT vec_id AS chunk_id, label::VARCHAR AS storage_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::BIGINT AS dims FROM embeddings WHERE label = 3""",
+)
+def loaded_vectors(spark, sf_dir):
+    """Vectors appended to the store, and one index read back by its folder."""
+    path = shared_path(spark, "vectors")
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("label").cast("string").alias("storage_id"), F.lit("given").alias("engine"),
+    )
+    writers.append_vectors(vectors.filter("chunk_id % 2 = 0"), path)
+    writers.append_vectors(vectors.filter("chunk_id % 2 <> 0"), path)
+    found = writers.load_vectors(spark, path, "3", "given")
+    return found.select(
+        "chunk_id", "storage_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dims")
+    )
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("content_id"), F.col("text").alias("body"),
+        F.create_map().cast("map<string,string>").alias("metadata"), F.col("source").alias("storage_id"),
+    )
+
+
 @query("S1, S2")
 def listed_files(spark, sf_dir):
     files = readers.list_files(spark, sf_dir)

@@ -22,11 +22,14 @@ def test_pages_are_classified_batch_by_batch(spark, tmp_path):
 
     land([(1, "http://s/a", "<body><p>one</p></body>", 200), (2, "http://s/b", "<body><p>two</p></body>", 500)])
     land([(3, "http://s/a", "<body><p>one</p></body>", 200), (4, "http://s/b", "<body><p>two</p></body>", 200)])
+    # a url that stands twice in a batch enters the catalogue once
+    land([(7, "http://s/d", "<body><p>d</p></body>", 200), (8, "http://s/d", "<body><p>d2</p></body>", 200)])
+    assert buckets(2) == {"http://s/d": "new"}
     land([(5, "http://s/a", "<body><p>changed</p></body>", 200), (6, "http://s/c", "<body><p>c</p></body>", 200)])
     assert buckets(0) == {"http://s/a": "new", "http://s/b": "new"}
     assert buckets(1) == {"http://s/a": "skipped", "http://s/b": "updated"}  # the failed version was not usable
-    assert buckets(2) == {"http://s/a": "updated", "http://s/c": "new"}
-    assert spark.read.parquet(f"{root}/catalogue").count() == 3
+    assert buckets(3) == {"http://s/a": "updated", "http://s/c": "new"}
+    assert spark.read.parquet(f"{root}/catalogue").count() == 4
 
 
 def test_streamed_facts_equal_the_batch(spark, tmp_path):
