@@ -123,14 +123,24 @@ def page_chunks(spark, sf_dir):
     return _summary(ch.chunk_contents(ch.usable(contents), "page", config))
 
 
-@query("C5, C6, T26, T27")
+@query(
+    "C5, C6, T26, T27",
+    "SELECT doc_id AS content_id, true AS numbered, 0::BIGINT AS n_misjudged FROM documents",
+)
 def legal_chunks(spark, sf_dir):
     config = {"min_chunk_size": 150, "max_chunk_size": 400, "chunk_overlap": 30, "drop_below": 20, "letters": "[A-Za-zÀ-ÿ]"}
     contents = _contents(spark, sf_dir).withColumn("text", F.col("body")).withColumnRenamed("content_id", "doc_id")
     contents = contents.withColumn("body", marked()).withColumnRenamed("doc_id", "content_id")
     chunks = ch.chunk_contents(contents, "legal", config)
-    good = F.count_if(F.col("metadata")["high_quality"] == "true").alias("n_good")
-    return chunks.groupBy("content_id").agg(F.count("*").alias("n_chunks"), F.sum("size_in_tokens").alias("n_tokens"), good)
+    # a chunk is of high quality by its letters and its left-over mark-up, counted here once more from its text
+    body = F.col("page_content")
+    share = 100 * F.length(F.regexp_replace(body, "[^A-Za-zÀ-ÿ]", "")) / F.length(body)
+    marks = F.regexp_count(body, F.lit(r"#{1,6}|\*\*|\(\)|\[\]"))
+    wrong = ((share >= 70) & (marks <= 2)) != (F.col("metadata")["high_quality"] == "true")
+    wrong = chunks.groupBy("content_id").agg(F.count_if(wrong).cast("long").alias("n_misjudged"))
+    held = _kept(chunks, contents.select("content_id", "body"), 400).join(wrong, "content_id")
+    whole = contents.select("content_id").join(held, "content_id", "left").fillna(True, ["numbered"]).fillna(0)
+    return whole.select("content_id", "numbered", "n_misjudged")
 
 
 _LETTERS = "[A-Za-zÀ-ÿ]"
@@ -181,7 +191,11 @@ def document_bodies_to_chunk(spark, sf_dir):
     return ch.document_bodies(docs, cleaned).select("source_id", "body")
 
 
-@query("C9, S8, P1, P4, P5")
+@query(
+    "C9, S8, P1, P4, P5",
+    """SELECT doc_id AS content_id, true AS numbered, 0::BIGINT AS n_lost FROM documents
+       WHERE length(text) >= 200 AND (text ILIKE '%the%' OR 'http://' || source || '.example.com/' || doc_id ILIKE '%the%')""",
+)
 def filtered_export_chunks(spark, sf_dir):
     texts = standin(spark, sf_dir, "texts")
     chosen = cat.with_body_length(cat.matching(texts, "the", ["body", "url"]), texts, 200, 10**9)
@@ -191,4 +205,6 @@ def filtered_export_chunks(spark, sf_dir):
         F.col("storage_id").alias("title"), F.array("lang", "storage_id").alias("tags"),
     )
     config = {"chunk_size": 750, "chunk_overlap": 50, "header_levels": [1], "title": "title", "tags": "tags"}
-    return _summary(ch.chunk_contents(contents, "page", config))
+    chunks = ch.chunk_contents(contents, "page", config)
+    bare = F.regexp_replace("body", r"\s*#{1,6}\s*", " ").alias("body")  # heading signs are taken out of a page's chunks
+    return _kept(chunks, contents.select("content_id", bare), 750).select("content_id", "numbered", "n_lost")
