@@ -8,7 +8,7 @@ frequent shingles last. Which segments get neighbourhoods is chosen for each ban
 the whole shingle sets.
 
 Equal sets are linked without a comparison. Within a group of sets that agree in a segment, all are compared with the
-smallest; what then is still in different components is compared too, so no link between components is lost. Pairs whose
+most central one; what then is still in different components is compared too, so no link between components is lost. Pairs whose
 parities show too many differences are not compared.
 
 Null, empty and blank texts have an empty set and link with nothing. Repeated rows of one id count once for each
@@ -271,9 +271,9 @@ def signatures(sets: Sets, layouts: dict[int, Layout], frequent: np.ndarray) ->
     return np.concatenate(signs), np.concatenate(texts)
 
 
-def may_link(a: str, b: str) -> Column:
-    """Whether two sets can link, by their sizes (n_) and parities (bits_)."""
-    differ = sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+def may_link(a: str, b: str, words: int = PARITY_BITS // 64) -> Column:
+    """Whether two sets can link, by their sizes (n_) and parities (bits_), which are so many 64-bit words."""
+    differ = sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(words)), F.lit(0))
     return differ * (DENOMINATOR + NUMERATOR) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (DENOMINATOR - NUMERATOR)
 
 
@@ -329,8 +329,8 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = stored(profiles(docs), "jaccard-sets")
-    sets = found.where("kind = 0")
+    measured = stored(profiles(docs), "jaccard-sets")
+    sets = measured.where("kind = 0")
     filled = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     # stored, so that the join has two shuffled sides and Spark can split a set with very many copies
     same = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"))
@@ -341,7 +341,7 @@ def classes(docs: DataFrame) -> DataFrame:
     dropped = copies.select("doc_id").distinct().join(plain.hint("merge"), "doc_id", "left_semi")
     only = _of_ids(docs.where("doc_id IS NOT NULL"), stored(dropped, "jaccard-dropped"), "left_anti")
 
-    frequent = stored(found.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")), "jaccard-frequent")
+    frequent = stored(measured.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")), "jaccard-frequent")
     frequent = most_frequent(frequent, "n", FREQUENT_MOST)
     frequent = np.sort(np.array([r["h1"] for r in frequent.select("h1").collect()], dtype=np.int64).astype(np.uint64))
     bands = filled.groupBy(F.floor(F.log2("n") + 1e-12).cast("int").alias("band")).agg(F.count("*").alias("n")).collect()
@@ -356,27 +356,37 @@ def classes(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"sign": signs.astype(np.int64), "doc_id": part["doc_id"].to_numpy()[text]})
 
     emit = lambda: only.mapInPandas(emitted, "sign long, doc_id long")
-    # Groups of several sets, found by sums that are combined before the shuffle; then their members.
-    groups = emit().groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    groups = stored(groups.where("a < z"), "jaccard-groups")
-    members = stored(emit().join(groups.select("sign", "a").hint("merge"), "sign"), "jaccard-members")
+    # Groups of several sets, found by counts that are combined before the shuffle; then their members.
+    groups = emit().groupBy("sign").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    groups = stored(groups.where("low < high").select("sign", "n"), "jaccard-groups")
+    found = stored(emit().join(groups.hint("merge"), "sign"), "jaccard-found")
+    # The leader of a group is the member that shares most with others in all of its groups: near it, most links are found.
+    central = found.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    best = F.max(F.struct("shared", (-F.col("doc_id")).alias("i"))).alias("best")
+    leaders = found.join(central.hint("merge"), "doc_id").groupBy("sign").agg(best).select("sign", (-F.col("best.i")).alias("a"))
+    members = stored(found.join(stored(leaders, "jaccard-leaders").hint("merge"), "sign").select("sign", "doc_id", "a"), "jaccard-members")
     sketch = lambda name: filled.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(sketch("a").hint("merge"), "a").join(sketch("b").hint("merge"), "b").where(may_link("a", "b")).select("a", "b").distinct()
-    first = stored(linked(stored(stars, "jaccard-stars"), docs), "jaccard-links")
+    possible = lambda pairs: pairs.join(sketch("a").hint("merge"), "a").join(sketch("b").hint("merge"), "b").where(may_link("a", "b")).select("a", "b").distinct()
+    first = stored(linked(stored(possible(stars), "jaccard-stars"), docs), "jaccard-links")
     copy_links = copies.select("a", F.col("doc_id").alias("b"))
     components = stored(connected_components(first.union(copy_links)), "jaccard-components")
 
-    # Members that are still apart: only groups of three and more can hold such pairs besides those with their smallest.
+    # Members that are still apart: only groups of three and more can hold such pairs besides those with their leader.
     part = F.coalesce("component", "doc_id")
     placed = members.join(components.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("sign", "doc_id", "a", part.alias("part"))
     apart = placed.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("sign")
     rest = placed.where("doc_id <> a").join(apart.hint("merge"), "sign")
-    rest = stored(rest.withColumnRenamed("doc_id", "x").join(sketch("x").hint("merge"), "x"), "jaccard-rest")
+    # parities folded to half their places are parities too; the shorter condition is one that the JVM compiles
+    half = PARITY_BITS // 128
+    folded = F.zip_with(F.slice("bits_x", 1, half), F.slice("bits_x", half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    rest = rest.withColumnRenamed("doc_id", "x").join(sketch("x").hint("merge"), "x").withColumn("bits_x", folded)
+    rest = stored(rest, "jaccard-rest")
     other = rest.select("sign", F.col("x").alias("y"), F.col("part").alias("part_y"), F.col("n_x").alias("n_y"), F.col("bits_x").alias("bits_y"))
     # a join of two shuffled sides: Spark splits large groups, and only pairs that may link leave it
-    more = rest.join(other.hint("merge"), (rest["sign"] == other["sign"]) & (F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & may_link("x", "y"))
-    more = stored(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-more")
+    more = rest.join(other.hint("merge"), (rest["sign"] == other["sign"]) & (F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & may_link("x", "y", half))
+    more = stored(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-near")
+    more = stored(possible(more), "jaccard-more")
     if not more.isEmpty():
         second = stored(linked(more, docs), "jaccard-links")
         components = stored(connected_components(first.union(copy_links).union(second)), "jaccard-components")

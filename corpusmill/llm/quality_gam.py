@@ -162,6 +162,6 @@ def judged(docs: DataFrame, model: Gam, folds: int = 5, threshold: float = 0.3)
         for texts in batches:
             yield pd.Series(model.score(np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))))
 
-    udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(scored, "double")
     rows = docs.select("doc_id", (crc_remainder("doc_id", folds) == 0).alias("held_out"), udf(whole_text()).alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

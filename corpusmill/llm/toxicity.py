@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: Column | None
             table = np.array([features(t, codes, seeds) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
             yield pd.Series(model.score(table))
 
-    udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(scored, "double")
     return docs.withColumn(out, udf(whole_text() if text is None else text))
 
 

@@ -158,7 +158,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, texts: str
             words = [" ".join(w for name in NAME.findall(h) for w in ([name] if name.isdigit() else splitter[name])) for h in hosts]
             yield pd.DataFrame({"odds": odds, "words": words})
 
-    udf = F.pandas_udf(scored, "odds double, words string", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(scored, "odds double, words string")
     rows = rows.withColumn("judged", udf("host", "path"))
     verdict = F.coalesce("ruled", F.when(F.col("judged.odds") > 0, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("judged.odds").alias("block_odds"), F.col("judged.words").alias("host_words"))
