@@ -2,9 +2,11 @@
 
 Words and counts come from all training documents. The most frequent words are the network's own, in classes of similar
 frequency; every other word belongs to one of the suffix classes, and its share of the class follows its count. The
-network is trained on the driver by truncated backpropagation over a sample of training documents whose number of
-tokens is bounded. Scoring runs over whole documents: texts are laid end to end in lanes, the state is carried
-from window to window and reset where a document starts.
+network is trained by truncated backpropagation over all training documents: a hash deals them into shares of bounded
+size, whose number grows with the input, and the shares into a few rounds an epoch. In a round each share starts from the
+same weights on its own, and the mean of what they arrive at, weighted by tokens, is where the next round starts. Scoring
+runs over whole documents: texts are laid end to end in lanes, the state is carried from window to window and reset where
+a document starts.
 
 Null and empty texts consist of the end token only; repeated rows are scored alike; with no training documents every
 token has the same probability. Extra columns are ignored.
@@ -17,7 +19,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,11 @@ SMOOTH = 0.1
 SUFFIX_CLASSES = 24
 CLASS_WORDS = 40
 WINDOW = 32
+ROUNDS = 4
+# tasks of a round at most, and rows of summed weights that reach the driver; a task takes several shares in turn
+ROUND_TASKS = 512
+SUMS = 16
+WEIGHTS = ["gate", "turn", "candidate", "class_weight", "class_bias", "word_weight", "word_bias"]
 LN10 = math.log(10)
 
 
@@ -155,11 +162,14 @@ def start_network(counts: np.ndarray, own: int, hidden: int, seed: int) -> Netwo
     return Network(own, first, normal(own + SUFFIX_CLASSES + 1, 3 * hidden), normal(hidden, 2 * hidden), normal(hidden, hidden), normal(hidden, groups + SUFFIX_CLASSES + 1), share.astype(np.float32), normal(hidden, own), np.log(counts[:own] + 1.0).astype(np.float32))
 
 
-def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int = 96, rate: float = 0.01) -> Network:
-    """Adam over windows of WINDOW steps; gradients stop at a window's start, the state does not."""
+def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int = 96, rate: float = 0.01, part: tuple[int, int] = (0, 1)) -> Network:
+    """Adam over windows of WINDOW steps; gradients stop at a window's start, the state does not.
+
+    ``part``: this call's number among all calls that the falling rate is spread over, and how many they are.
+    """
     if not docs:
         return network
-    names = ["gate", "turn", "candidate", "class_weight", "class_bias", "word_weight", "word_bias"]
+    names = WEIGHTS
     mean = {n: np.zeros_like(getattr(network, n)) for n in names}
     square = {n: np.zeros_like(getattr(network, n)) for n in names}
     laid, class_of, h, t = Lanes(docs, network.end, lanes), network.class_of, network.turn.shape[0], 0
@@ -183,19 +193,23 @@ def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int
             back[valid] = grad[0]
             back = back.reshape(len(trace), -1, h)
             total = {n: np.zeros_like(getattr(network, n)) for n in names[:3]} | dict(zip(names[3:], grad[1:]))
-            flow = np.zeros_like(state)
+            flow, given = np.zeros_like(state), []
             for i in range(len(trace) - 1, -1, -1):
                 before, z, r, n, _ = trace[i]
                 d = back[i] + flow
                 dn = d * z * (1 - n * n)
                 turned = dn @ network.candidate.T
                 gates = np.concatenate([d * (n - before) * z * (1 - z), turned * before * r * (1 - r)], axis=1)
-                total["candidate"] += (r * before).T @ dn
-                total["turn"] += before.T @ gates
-                np.add.at(total["gate"], laid.source[begin + i], np.concatenate([gates, dn], axis=1))
+                given.append((before, r * before, np.concatenate([gates, dn], axis=1)))
                 flow = (d * (1 - z) + turned * r + gates @ network.turn.T) * laid.keep[begin + i][:, None]
+            before, turned, change = (np.concatenate(x) for x in zip(*given))
+            total["turn"], total["candidate"] = before.T @ change[:, : 2 * h], turned.T @ change[:, 2 * h :]
+            sources = np.concatenate([laid.source[s] for s in reversed(span)])
+            order = np.argsort(sources, kind="stable")
+            found, starts = np.unique(sources[order], return_index=True)
+            total["gate"][found] = np.add.reduceat(change[order], starts)
             t += 1
-            pace = rate * (1 - 0.9 * t / steps)
+            pace = rate * (1 - 0.9 * (part[0] + t / steps) / part[1])
             for n in names:
                 g = total[n] / valid.sum() * 50
                 mean[n] += 0.1 * (g - mean[n])
@@ -268,8 +282,78 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def trained_in_rounds(network: Network, docs: DataFrame, names: Sequence[bytes], tokens: int, share: int, epochs: int) -> Network:
+    """The network after ``epochs`` passes over all documents (doc_id, text), ``tokens`` in all, in shares of about ``share``.
+
+    Symbols are written once. Equal rows lie in one share only as far as they come in different batches.
+    """
+    if not tokens:
+        return network
+    shares = -(-tokens // max(share, 1))
+    rounds = min(ROUNDS, shares)
+    symbol, end = symbols_of_codes(names, network.own), network.end
+    kind = np.uint16 if end < 2**16 else np.int32
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes({w: 0 for w in names})
+        for batch in batches:
+            copy = batch.groupby("mark").cumcount()
+            found = [np.append(symbol[np.array([codes[w] for w in words_of(t)], dtype=np.int64)], end).astype(kind).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"share": [(int(m) + int(k)) % shares for m, k in zip(batch["mark"], copy)], "mark": batch["mark"], "symbols": found})
+
+    marked = docs.select(F.xxhash64(F.lit("lm"), "doc_id", "text").alias("mark"), "text")
+    laid = stored(marked.mapInPandas(encoded, "share long, mark long, symbols binary"), "lm-symbols")
+    for turn in range(epochs * rounds):
+        at = turn % rounds
+        tasks = min(ROUND_TASKS, -(-(shares - at) // rounds))
+        here, part = network, (turn, epochs * rounds)
+
+        def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def one(share: int, docs: list[np.ndarray]) -> None:
+                order = np.random.default_rng([part[0], share]).permutation(len(docs))
+                own = train(replace(here, **{n: getattr(here, n).copy() for n in WEIGHTS}), [docs[i] for i in order], 1, part=part)
+                size = float(sum(map(len, docs)))
+                seen[0] += size
+                for n in WEIGHTS:
+                    sums[n] += size * getattr(own, n)
+
+            seen, sums = [0.0], {n: np.zeros(getattr(here, n).shape) for n in WEIGHTS}
+            now, held = -1, []
+            for batch in batches:
+                for share, symbols in zip(batch["share"], batch["symbols"]):
+                    if share != now and held:
+                        one(now, held)
+                        held = []
+                    now = share
+                    held.append(np.frombuffer(symbols, dtype=kind).astype(np.int32))
+            if held:
+                one(now, held)
+                yield pd.DataFrame({"at": [int(now) // rounds % tasks % SUMS], "tokens": seen, "sums": [b"".join(sums[n].tobytes() for n in WEIGHTS)]})
+
+        def added(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["tokens", "sums"])
+            sums = sum(np.frombuffer(x) for x in frame["sums"])
+            return pd.DataFrame({"at": frame["at"][:1], "tokens": [frame["tokens"].sum()], "sums": [sums.tobytes()]})
+
+        schema = "at long, tokens double, sums binary"
+        dealt = laid.where(F.col("share") % rounds == at).repartitionById(tasks, F.expr(f"cast(share div {rounds} % {tasks} as int)"))
+        rows = dealt.sortWithinPartitions("share", "mark", "symbols").mapInPandas(learned, schema).groupBy("at").applyInPandas(added, schema).collect()
+        rows = sorted(rows, key=lambda r: r["at"])
+        if rows:
+            mean, begin, got = sum(np.frombuffer(r["sums"]) for r in rows) / sum(r["tokens"] for r in rows), 0, {}
+            for n in WEIGHTS:
+                old = getattr(network, n)
+                got[n] = mean[begin : begin + old.size].reshape(old.shape).astype(np.float32)
+                begin += old.size
+            network = replace(network, **got)
+    return network
+
+
 def fit(docs: DataFrame, counts: DataFrame, ends: int, frequent: int = 100_000, own: int = 2_000, hidden: int = 24, sample_tokens: int = 1_500_000, epochs: int = 2, seed: int = 7) -> Model:
-    """``docs``: the training documents (doc_id, text); ``counts``: their stored word counts; ``ends``: their number."""
+    """``docs``: the training documents (doc_id, text); ``counts``: their stored word counts; ``ends``: their number.
+
+    ``sample_tokens``: tokens of one share. All documents are trained on, in more shares where there are more tokens.
+    """
     suffix = F.crc32(F.right(F.col("word").cast("string"), F.lit(2))) % SUFFIX_CLASSES
     sums = {r["c"]: (r["n"], r["v"]) for r in counts.groupBy(suffix.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     top = most_frequent(counts, "n", frequent).collect()
@@ -284,15 +368,9 @@ def fit(docs: DataFrame, counts: DataFrame, ends: int, frequent: int = 100_000,
         distinct[suffix_class(w)] -= 1
     total = sum(n for n, _ in sums.values()) + ends
 
-    # whole documents by a hash, so that the sample holds about sample_tokens tokens at most
-    share = min(1.0, sample_tokens / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share))
-    texts = sorted(r["text"] for r in chosen.select("text").collect())
-    codes, symbol = Codes({w: 0 for w in names}), symbols_of_codes(names, own)
     network = start_network(np.array([*[words[w] for w in names[:own]], *tokens, ends], dtype=np.float64), own, hidden, seed)
-    order = np.random.default_rng(seed).permutation(len(texts))
-    laid = [np.append(symbol[[codes[w] for w in words_of(texts[i])]].astype(np.int32) if texts[i] else np.zeros(0, np.int32), np.int32(network.end)) for i in order]
-    return Model(words, train(network, laid, epochs), total, sum(v for _, v in sums.values()) + (ends > 0), ends, tokens, distinct)
+    network = trained_in_rounds(network, docs, names, total, sample_tokens, epochs)
+    return Model(words, network, total, sum(v for _, v in sums.values()) + (ends > 0), ends, tokens, distinct)
 
 
 def scores(docs: DataFrame, folds: int = 10, **options: int) -> DataFrame:

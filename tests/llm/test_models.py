@@ -178,3 +178,21 @@ def test_awkward_texts_are_scored(awkward):
 
 def test_no_texts(nothing):
     assert recurrent.scores(nothing).count() == 0
+
+
+def test_the_network_learns_from_all_documents(spark):
+    rng = np.random.default_rng(8)
+    after = rng.permutation(120)
+    texts = []
+    for _ in range(1500):
+        words = [int(rng.integers(120))]
+        for _ in range(29):
+            words.append(int(after[words[-1]]))
+        texts.append(" ".join(f"w{w}" for w in words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    few = {r["doc_id"]: r for r in recurrent.scores(docs, sample_tokens=3000).collect()}
+    new = [r for r in few.values() if r["held_out"]]
+    # 0.034 when the network saw 3,000 tokens only, 0.101 after all 42,000
+    assert sum(r["score"] - r["base_score"] for r in new) / sum(r["n_tokens"] for r in new) > 0.07
+    again = {r["doc_id"]: r["score"] for r in recurrent.scores(docs.repartition(2), sample_tokens=3000).collect()}
+    assert again == pytest.approx({i: r["score"] for i, r in few.items()}, rel=1e-4)
