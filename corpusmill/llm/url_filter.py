@@ -14,13 +14,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import most_frequent, stored
+from corpusmill.llm.common import stored
 
 # Fixed values: (verdict, host and path) of the rules.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -49,8 +50,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return out
 
 
-def word_counts(texts: DataFrame, column: str, max_words: int) -> dict[str, int]:
-    """Counts over all rows; at most ``max_words`` of the most frequent words are the vocabulary of the splitter."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n) over all rows, stored; every batch adds up its own words before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,16 +62,15 @@ def word_counts(texts: DataFrame, column: str, max_words: int) -> dict[str, int]
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counted = texts.select(column).mapInPandas(count, "word string, n long").where(F.length("word") <= LONGEST_WORD)
-    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
-    return {r["word"]: r["n"] for r in most_frequent(counted, "n", max_words).collect()}
+    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
 
 
 class Splitter(dict):
-    """Name to its words, worked out once for each distinct name."""
+    """Name to its words, worked out once for each distinct name. ``counts`` need only hold what is in the names."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
         super().__init__()
-        total = max(sum(counts.values()), 1)
+        total = max(sum(counts.values()) if total is None else total, 1)
         self.known = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = [0.0] + [math.log(10.0 / total) - n * math.log(10.0) for n in range(1, LONGEST_WORD + 1)]
 
@@ -90,75 +90,118 @@ class Splitter(dict):
         return out[::-1]
 
 
-def tokens(host: str, path: str, splitter: Splitter) -> list[str]:
-    """Words of the host (``h:``) and of the path (``p:``); numbers by their number of digits."""
-    out = []
-    for mark, part in (("h:", host), ("p:", path.lower())):
+def names_of(rows: DataFrame) -> DataFrame:
+    """(mark, name, blocked, allowed): the names in host (``h``) and path (``p``) of (host, path, blocked) rows, each once.
+
+    A number is ``#`` and its number of digits. ``blocked`` and ``allowed`` count what ruled rows hold; a row under no
+    rule (null) adds nothing. The name '' counts the ruled rows.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[tuple[str, str], list[int]] = {}
+            for host, path, blocked in zip(batch["host"], batch["path"], batch["blocked"]):
+                for mark, name in [("", ""), *names(host, path)]:
+                    at = seen.setdefault((mark, name), [0, 0])
+                    if not pd.isna(blocked):
+                        at[int(not blocked)] += 1
+            if seen:
+                yield pd.DataFrame({"mark": [m for m, _ in seen], "name": [n for _, n in seen], "blocked": [x[0] for x in seen.values()], "allowed": [x[1] for x in seen.values()]})
+
+    counted = rows.mapInPandas(count, "mark string, name string, blocked long, allowed long")
+    return counted.groupBy("mark", "name").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+
+
+def names(host: str, path: str) -> Iterator[tuple[str, str]]:
+    """Names of the host, then of the path, in order."""
+    for mark, part in (("h", host), ("p", path.lower())):
         for name in NAME.findall(part):
-            out += [f"{mark}#{len(name)}"] if name.isdigit() else [mark + w for w in splitter[name]]
-    return out
+            yield mark, f"#{len(name)}" if name.isdigit() else name
+
+
+def split_names(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words) of each distinct name: its parts of up to LONGEST_WORD letters meet the whole table of words."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = ((x, x[i:j]) for x in batch["name"] for i in range(len(x)) for j in range(i + 2, min(i + LONGEST_WORD, len(x)) + 1))
+            while some := list(islice(found, 100_000)):
+                yield pd.DataFrame(some, columns=["name", "word"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = []
+            for name, known in zip(batch["name"], batch["known"]):
+                words.append(Splitter({} if known is None else {r["word"]: r["n"] for r in known}, total)[name])
+            yield pd.DataFrame({"name": batch["name"], "words": words})
+
+    letters = found.where("name <> '' AND NOT startswith(name, '#')").select("name").distinct()
+    known = letters.mapInPandas(parts, "name string, word string").join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return stored(letters.join(known, "name", "left").mapInPandas(split, "name string, words array<string>"), "url-split")
 
 
 @dataclass
 class Bayes:
-    """Log odds of block against allow: a prior, and a weight for each token; unknown tokens count for the class sizes."""
+    """Log odds of block against allow: a prior, and for each token by its counts in blocked and allowed URLs, smoothed;
+    ``b`` and ``a`` are the sizes of the classes. A token that no ruled URL has counts for the class sizes."""
 
     prior: float = 0.0
-    unknown: float = 0.0
-    weights: dict[str, float] = field(default_factory=dict)
+    a: float = 1.0
+    b: float = 1.0
+    smooth: float = 0.5
 
-    def odds(self, found: Sequence[str]) -> float:
-        return self.prior + sum(self.weights.get(t, self.unknown) for t in found)
+    def weight(self, blocked: Column, allowed: Column) -> Column:
+        known = F.log((blocked + self.smooth) / self.b) - F.log((allowed + self.smooth) / self.a)
+        return F.when(blocked + allowed > 0, known).otherwise(F.lit(math.log(self.a / self.b)))
 
 
-def fit_bayes(ruled: DataFrame, counts: dict[str, int], max_tokens: int, smooth: float = 0.5) -> Bayes:
-    """Learn from (host, path, blocked) rows. Every batch adds up its tokens before the shuffle."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(counts)
-        for batch in batches:
-            seen = Counter(), Counter()
-            for host, path, blocked in zip(batch["host"], batch["path"], batch["blocked"]):
-                seen[int(blocked)].update(tokens(host, path, splitter))
-                seen[int(blocked)][""] += 1
-            for i in (i for i in (0, 1) if seen[i]):
-                yield pd.DataFrame({"token": list(seen[i]), "blocked": [n * i for n in seen[i].values()], "allowed": [n * (1 - i) for n in seen[i].values()]})
-
-    table = ruled.mapInPandas(count, "token string, blocked long, allowed long").groupBy("token").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    table = stored(table, "url-tokens")
-    totals = table.where("token <> ''").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.count("*").alias("v")).first()
-    urls = table.where("token = ''").first()
+def fit_bayes(found: DataFrame, table: DataFrame, smooth: float = 0.5) -> Bayes:
+    """Learn from ``table``, the stored (token, blocked, allowed), and the counts of ruled rows in ``found``."""
+    totals = table.where("blocked + allowed > 0").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.count("*").alias("v")).first()
+    urls = found.where("name = ''").first()
     if not urls or not totals["v"]:
         return Bayes(-1.0)
     b, a = (totals[x] + smooth * (totals["v"] + 1) for x in "ba")
-    top = most_frequent(table.where("token <> ''").withColumn("n", F.col("blocked") + F.col("allowed")), "n", max_tokens).collect()
-    weights = {r["token"]: math.log((r["blocked"] + smooth) / b) - math.log((r["allowed"] + smooth) / a) for r in top}
-    return Bayes(math.log((urls["blocked"] + 1) / (urls["allowed"] + 1)), math.log(a / b), weights)
+    return Bayes(math.log((urls["blocked"] + 1) / (urls["allowed"] + 1)), a, b, smooth)
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, texts: str = "html", max_words: int = 50_000, max_tokens: int = 200_000) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, texts: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, block_odds, host_words of every row.
 
-    Word and token counts cover all rows. The two vocabularies are model sizes: at most so many entries reach the
-    tasks, and what is beyond them is an unknown word to the splitter, an unknown token to the classifier.
+    Words, tokens and names are tables that are joined, none is cut or gathered: names are split once each, tokens get
+    their weights once each, and URLs meet their names by a join.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     verdicts = F.lit(None).cast("string")
     for verdict, rule in rules:
         verdicts = F.when(F.col("rule") == rule, verdict).otherwise(verdicts)
-    rows = rows.withColumn("ruled", verdicts)
-    counts = word_counts(pages, texts, max_words)
-    model = fit_bayes(rows.where("ruled IS NOT NULL").select("host", "path", (F.col("ruled") == "block").alias("blocked")), counts, max_tokens)
-
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(counts)
-        for hosts, paths in batches:
-            odds = [model.odds(tokens(h, p, splitter)) for h, p in zip(hosts, paths)]
-            words = [" ".join(w for name in NAME.findall(h) for w in ([name] if name.isdigit() else splitter[name])) for h in hosts]
-            yield pd.DataFrame({"odds": odds, "words": words})
-
-    udf = F.pandas_udf(scored, "odds double, words string")
-    rows = rows.withColumn("judged", udf("host", "path"))
-    verdict = F.coalesce("ruled", F.when(F.col("judged.odds") > 0, "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("judged.odds").alias("block_odds"), F.col("judged.words").alias("host_words"))
+    rows = stored(rows.withColumn("ruled", verdicts).withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    found = stored(names_of(rows.select("host", "path", (F.col("ruled") == "block").alias("blocked"))), "url-names")
+    split = found.where("name <> ''").join(split_names(found, word_counts(pages, texts)), "name", "left")
+    split = split.withColumn("words", F.coalesce("words", F.array("name")))
+    placed = split.select("mark", "name", "words", "blocked", "allowed", F.posexplode("words").alias("at", "word"))
+    placed = stored(placed.withColumn("token", F.concat_ws(":", "mark", "word")), "url-placed")
+    table = stored(placed.groupBy("token").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")), "url-tokens")
+    model = fit_bayes(found, table)
+    weighed = placed.select("mark", "name", "words", "at", "token").join(table.select("token", model.weight(F.col("blocked"), F.col("allowed")).alias("weight")), "token")
+    weighed = weighed.groupBy("mark", "name").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("weights"))
+    weighed = stored(weighed.select("mark", "name", "words", F.col("weights.weight").alias("weights")), "url-weights")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r, i, m, n) for r, h, p in zip(batch["row"], batch["host"], batch["path"]) for i, (m, n) in enumerate(names(h, p))]
+            yield pd.DataFrame(out, columns=["row", "at", "mark", "name"])
+
+    met = rows.select("row", "host", "path").mapInPandas(named, "row long, at int, mark string, name string").join(weighed, ["mark", "name"])
+    shown = F.when(F.col("mark") == "h", F.concat_ws(" ", "words"))
+    met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", shown.alias("shown"), "weights"))).alias("met"))
+    odds = F.aggregate(F.flatten("met.weights"), F.lit(0.0), lambda total, w: total + w)
+    rows = rows.join(met.select("row", odds.alias("odds"), F.col("met.shown").alias("shown")), "row", "left")
+    rows = rows.withColumn("block_odds", F.lit(model.prior) + F.coalesce("odds", F.lit(0.0)))
+    # numbers stand as they are in host_words
+    parts = F.regexp_extract_all("host", F.lit("([a-z]+|[0-9]+)"), F.lit(1))
+    words = F.array_join(F.transform(parts, lambda part, i: F.when(F.rlike(part, F.lit("^[0-9]")), part).otherwise(F.get("shown", i))), " ")
+    verdict = F.coalesce("ruled", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_odds", words.alias("host_words"))

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import re
 
 import pytest
@@ -187,3 +189,12 @@ def test_bayes_learns_from_the_rules(spark):
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[100]["rule"] is None and got[100]["verdict"] == "block" and got[100]["host_words"].startswith("casino pills")
     assert got[101]["verdict"] == "allow" and got[101]["block_odds"] < 0
+
+
+def test_rare_words_and_tokens_count_beside_very_many(spark):
+    many = ["".join(x) for x in itertools.islice(itertools.product("bcdfghjklmnprstvwxy", repeat=5), 210_000)]
+    pages = [(1, "http://a.net/casino/" + "/".join(many), " ".join(many[:60_000] * 2)), (2, "http://a.org/fr/" + "/".join(many), "zebra quilt")]
+    pages += [(3, "http://b.com/casino", None), (4, "http://b.com/unseen", None), (5, "http://zebraquilt.com/", None)]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3]["block_odds"] - got[4]["block_odds"] == pytest.approx(math.log(3))
+    assert got[5]["host_words"] == "zebra quilt com"
