@@ -12,6 +12,8 @@ from corpusmill.session import ensure_checkpoint_dir
 # Fixed value: the white space that ends a word, in the SQL and Java notation of character classes.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
+# rows that reach the driver at most to place a cut among counts or hashes
+BINS = 1 << 16
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,15 +71,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows with the largest counts, at most ``most`` of them, whole levels of counts (16 an octave) only.
+    """The rows with the largest counts, at most ``most`` of them: whole levels of counts (16 an octave), and what room is
+    left goes to the next level by exact count, at last by a hash of the row.
 
-    ``counted`` must be stored: it is read twice. One row a level reaches the driver, and no sort is needed.
+    ``counted`` must be stored: it is read up to four times. One row a level or bin, at most BINS, reaches the driver, and
+    no sort is needed.
     """
-    level = F.floor(F.log2(n) * 16)
-    sizes = {r["level"]: r["rows"] for r in counted.where(F.col(n) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()}
-    room, cut = most, max(sizes, default=0) + 1
-    for at in sorted(sizes, reverse=True):
-        if sizes[at] > room:
+    rest, chosen, room = counted.where(F.col(n) > 0), F.lit(False), most
+    inside = F.col(n) > 0
+    keys = [F.floor(F.log2(n) * 16), None, F.pmod(F.xxhash64(*counted.columns), F.lit(BINS))]
+    for key in keys:
+        if key is None:  # counts in this level, about 4% apart at most, in steps
+            least, largest = rest.agg(F.min(n), F.max(n)).first()
+            key = F.floor((F.col(n) - least) / ((largest - least) // BINS + 1))
+        sizes = {r["key"]: r["rows"] for r in rest.groupBy(key.alias("key")).agg(F.count("*").alias("rows")).collect()}
+        over, cut = None, max(sizes, default=0) + 1
+        for at in sorted(sizes, reverse=True):
+            if sizes[at] > room:
+                over = at
+                break
+            room, cut = room - sizes[at], at
+        chosen = chosen | (inside & (key >= cut))
+        if over is None or not room:
             break
-        room, cut = room - sizes[at], at
-    return counted.where((F.col(n) > 0) & (level >= cut))
+        rest, inside = rest.where(key == over), inside & (key == over)
+    return counted.where(chosen)

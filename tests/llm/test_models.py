@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from corpusmill.llm import learning, quality_gam, recurrent, toxicity
+from corpusmill.llm.common import most_frequent, stored
 
 SF = "/root/testdata/sf0.01"
 
@@ -196,3 +197,11 @@ def test_the_network_learns_from_all_documents(spark):
     assert sum(r["score"] - r["base_score"] for r in new) / sum(r["n_tokens"] for r in new) > 0.07
     again = {r["doc_id"]: r["score"] for r in recurrent.scores(docs.repartition(2), sample_tokens=3000).collect()}
     assert again == pytest.approx({i: r["score"] for i, r in few.items()}, rel=1e-4)
+
+
+def test_a_flat_level_fills_the_room(spark):
+    words = spark.range(3000).selectExpr("concat('w', id) AS word", "CASE WHEN id < 10 THEN 5000 WHEN id < 300 THEN 1000 + id % 3 ELSE 1000 END AS n")
+    got = {r["word"]: r["n"] for r in most_frequent(stored(words, "flat"), "n", 1500).collect()}
+    counts = sorted((r["n"] for r in words.collect()), reverse=True)
+    assert 1490 <= len(got) <= 1500 and sorted(got.values(), reverse=True) == counts[: len(got)]
+    assert len(most_frequent(stored(words, "flat"), "n", 3000).collect()) == 3000
