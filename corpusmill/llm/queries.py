@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, quality_gam, recurrent, secret_scan, toxicity, url_filter
+from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, quality_gam, recurrent, secret_scan, sharding, toxicity, url_filter
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+@query
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_feistel_shards"] = sharding.SHARD_SQL
