@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, quality_gam, recurrent, secret_scan, sharding, tokens, toxicity, url_filter
+from corpusmill.llm import exact, fingerprints, jaccard_join, mixing, packing, prefix_trie, quality_gam, recurrent, secret_scan, sharding, tokens, toxicity, url_filter
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ ORACLES["op13_feistel_shards"] = sharding.SHARD_SQL
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.alignment(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.TRIE_SQL

@@ -258,7 +258,9 @@ def links(docs: DataFrame, **files: str) -> DataFrame:
                         frame[name] = getattr(rows, name) if number == 0 else None
                     frame["same"], frame["same_links"] = cut(ids, s), cut(same_links, s)
                     frame["other"], frame["other_links"], frame["vector"] = cut(pairs, o), cut(other_links, o), None
-                    yield frame if number == 0 else frame[np.diff(s) + np.diff(o) > 0]
+                    frame = frame if number == 0 else frame[np.diff(s) + np.diff(o) > 0]
+                    if len(frame):
+                        yield frame
             yield pd.DataFrame({name: [vector.tobytes() if name == "vector" else None] for name in [c.split()[0] for c in LINKS_SCHEMA.split(", ")]})
 
     return stored(texts.mapInPandas(aligned, LINKS_SCHEMA), "token-links")
