@@ -158,6 +158,13 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
 
 
+def shared_words(asked: Column, text: Column) -> Column:
+    """Share of the distinct words of a question that a text has, to six decimals; 0 for a question without words."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)")))
+    shared = F.try_divide(F.size(F.array_intersect(words(asked), words(text))), F.size(words(asked)))
+    return F.round(F.coalesce(shared, F.lit(0.0)), 6)
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     return set_similarity(trigrams(a), trigrams(b))
 

@@ -1,4 +1,4 @@
-"""Retrieval: exact nearest neighbours, trigram search, rank fusion and context assembly.
+"""Retrieval: exact nearest neighbours, reranking, rank fusion and context assembly.
 
 Batch search never pairs rows. Both sides are cut into blocks by their bytes; a task scores one block of queries
 against one block of the corpus, slice by slice with one matrix product, and keeps only the best k per query. The short
@@ -13,12 +13,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
-from corpusmill.functions.text import strip, text_key, trigrams
+from corpusmill.functions.text import strip, text_key
 
 HITS = "query_id long, partition_key string, item_id long, cost double"
 HITS_ARROW = pa.schema([("query_id", pa.int64()), ("partition_key", pa.string()), ("item_id", pa.int64()), ("cost", pa.float64())])
@@ -44,30 +43,6 @@ def squared_l2(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
     return cost
 
 
-def set_dissimilarity(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
-    """Minus shared/united over sets of strings; only members that some query has can be shared."""
-    vocabulary = pc.unique(queries.flatten())
-    n_words = max(len(vocabulary), 1)
-
-    def incidence(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(len(sets)), sizes)
-        found = pc.fill_null(pc.index_in(sets.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
-        out = np.zeros((len(sets), n_words), dtype=np.float32)
-        out[rows[found >= 0], found[found >= 0]] = 1.0
-        return out, sizes
-
-    q, q_sizes = incidence(queries)
-
-    def cost(sets: pa.Array) -> np.ndarray:
-        c, c_sizes = incidence(sets)
-        shared = (q @ c.T).astype(np.float64)
-        united = q_sizes[:, None] + c_sizes[None, :] - shared
-        return -np.divide(shared, united, out=np.zeros_like(shared), where=united > 0)
-
-    return cost
-
-
 def _half_up(costs: np.ndarray) -> np.ndarray:
     """Six decimals, halves away from zero as SQL rounds: every later comparison uses this value."""
     return np.copysign(np.floor(np.abs(costs) * 1e6 + 0.5) / 1e6, costs)
@@ -170,17 +145,6 @@ def nearest_in_default_storage(vectors: DataFrame, storages: DataFrame, queries:
     return nearest(vectors.join(default, "storage_id", "left_semi"), queries, k)
 
 
-def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, **limits) -> DataFrame:
-    """The k chunks most similar to every query text by shared trigrams: similarity at least the threshold."""
-    corpus = chunks.select("chunk_id", "page_content").select(
-        F.lit("").alias("partition_key"), F.col("chunk_id").alias("item_id"), trigrams(F.col("page_content")).alias("payload")
-    )
-    asked = queries.select("query_id", trigrams(F.col("text")).alias("payload"))
-    hits = top_k(corpus, asked, set_dissimilarity, k, **limits)
-    found = hits.select("query_id", F.col("item_id").alias("chunk_id"), F.abs("cost").alias("similarity"), "rank")
-    return found.filter(F.col("similarity") >= threshold)
-
-
 def rerank(hits: DataFrame, score: Column, threshold: float = 0.8, relax: float = 0.4, top_n: int = 5) -> DataFrame:
     """Hits closer than the threshold, or than the relaxed one where a query has none, best score first.
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.meta import link_fields
-from corpusmill.operators import search
+from corpusmill.functions.text import shared_words
+from corpusmill.operators import search, trigram_index
 from corpusmill.plans.registry import lit, query, table
 from corpusmill.plans.text_queries import TRIGRAMS_SQL
 
@@ -120,7 +121,7 @@ def trigram_hits(spark, sf_dir, **options):
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("page_content")
     )
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return chunks, queries, search.trigram_search(chunks, queries, **options)
+    return chunks, queries, trigram_index.trigram_search(chunks, queries, **options)
 
 
 @query("V6, T23, K4", _TRIGRAM_SQL + "SELECT query_id, chunk_id, similarity, rank FROM top")
@@ -129,6 +130,28 @@ def trigram_matches(spark, sf_dir):
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
+_SHARED_SQL = """round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}]+')), list_distinct(regexp_extract_all(lower(c.text), '[\\p{L}\\p{N}]+'))))::DOUBLE
+    / len(list_distinct(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}]+'))), 6)"""
+
+
+@query(
+    "V6, V3, P2",
+    _TRIGRAM_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 3 <> 0)")
+    + f""", r AS (SELECT query_id, chunk_id, similarity, {_SHARED_SQL} AS rerank_score,
+             CASE WHEN min(similarity) OVER (PARTITION BY query_id) < 0.8 THEN 0.8 ELSE 0.8 + 0.4 END AS bound
+           FROM top JOIN benchmark q ON item_id = query_id JOIN documents c ON doc_id = chunk_id)
+         SELECT query_id, chunk_id, similarity, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, similarity, chunk_id) AS rank
+         FROM r WHERE similarity < bound QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, similarity, chunk_id) <= 5""",
+)
+def reranked_trigram_matches(spark, sf_dir):
+    """Trigram hits among ACTIVE chunks, put in order by the words that question and chunk share."""
+    status = F.when(F.col("doc_id") % 3 == 0, "ready").otherwise("active")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("page_content"), status.alias("status"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    best = trigram_index.reranked_matches(chunks, queries, shared_words)
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "V14, V15",
     _TRIGRAM_SQL

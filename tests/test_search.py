@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chat, embed, graph, quality, search, similar, topics
+from corpusmill.operators import chat, embed, graph, quality, search, similar, topics, trigram_index
 
 
 def unit(rng, dims=6):
@@ -43,7 +43,7 @@ def test_default_storage_must_exist(spark, vectors):
 def test_trigram_search_ranks_by_similarity(spark):
     chunks = spark.createDataFrame([(1, "two words"), (2, "word"), (3, "zzz")], "chunk_id long, page_content string")
     asked = spark.createDataFrame([(9, "word")], "query_id long, text string")
-    hits = [(r["chunk_id"], round(r["similarity"], 4)) for r in search.trigram_search(chunks, asked).orderBy("rank").collect()]
+    hits = [(r["chunk_id"], round(r["similarity"], 4)) for r in trigram_index.trigram_search(chunks, asked).orderBy("rank").collect()]
     assert hits == [(2, 1.0), (1, 0.3636), (3, 0.0)]
 
 
