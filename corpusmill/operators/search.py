@@ -1,122 +1,15 @@
-"""Retrieval: exact nearest neighbours, reranking, rank fusion and context assembly.
-
-Batch search never pairs rows. Both sides are cut into blocks by their bytes; a task scores one block of queries
-against one block of the corpus, slice by slice with one matrix product, and keeps only the best k per query. The short
-lists meet in a window. No side has to fit into one place, and a task's matrices have a fixed size.
-"""
+"""Retrieval: exact nearest neighbours, reranking, rank fusion and context assembly."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.text import strip, text_key
-
-HITS = "query_id long, partition_key string, item_id long, cost double"
-HITS_ARROW = pa.schema([("query_id", pa.int64()), ("partition_key", pa.string()), ("item_id", pa.int64()), ("cost", pa.float64())])
-BLOCK_BYTES = 64 * 1024 * 1024
-ROWS, COLUMNS = 512, 2048  # queries and corpus items of one matrix product: 8 MB of costs
-# Scorer: (query payloads) -> function(corpus payloads) -> matrix queries x corpus, lower is better.
-Scorer = Callable[[pa.Array], Callable[[pa.Array], np.ndarray]]
-
-
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
-
-
-def squared_l2(queries: pa.Array) -> Callable[[pa.Array], np.ndarray]:
-    q = _matrix(queries)
-    q_norm = (q * q).sum(axis=1)
-
-    def cost(vectors: pa.Array) -> np.ndarray:
-        v = _matrix(vectors)
-        return np.maximum(q_norm[:, None] + (v * v).sum(axis=1)[None, :] - 2.0 * q @ v.T, 0.0)
-
-    return cost
-
-
-def _half_up(costs: np.ndarray) -> np.ndarray:
-    """Six decimals, halves away from zero as SQL rounds: every later comparison uses this value."""
-    return np.copysign(np.floor(np.abs(costs) * 1e6 + 0.5) / 1e6, costs)
-
-
-def _best(keys: list[str], ids: np.ndarray, costs: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k lowest costs, to six decimals, of every query and key; equal ones by id.
-
-    Only cells up to the k-th cost of their query are put in order.
-    """
-    frames = []
-    keys_array = np.asarray(keys, dtype=object)
-    for key in dict.fromkeys(keys):
-        at = np.flatnonzero(keys_array == key)
-        part = _half_up(costs[:, at])
-        last = np.partition(part, min(k, part.shape[1]) - 1, axis=1)[:, min(k, part.shape[1]) - 1]
-        rows, columns = np.nonzero(part <= last[:, None])
-        found = {"query_id": query_ids[rows], "partition_key": key, "item_id": ids[at][columns], "cost": part[rows, columns]}
-        frames.append(pd.DataFrame(found))
-    return _shrink(pd.concat(frames, ignore_index=True), k)
-
-
-def _shrink(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["query_id", "partition_key", "cost", "item_id"])
-    return ordered.groupby(["query_id", "partition_key"], sort=False).head(k)
-
-
-def top_k(corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The exact k best corpus items of every query and key.
-
-    ``corpus``: partition_key string, item_id long, payload array. ``queries``: query_id long, payload.
-    Returns query_id, partition_key, item_id, cost, rank. Both sides are cut into blocks of about ``block_bytes``; every
-    block of queries meets every block of the corpus once, in a task that holds just these two.
-    """
-    corpus = corpus.select("partition_key", "item_id", "payload")
-    queries = queries.select("query_id", "payload")
-    n_blocks = _blocks(queries, block_bytes)
-    # a small corpus still gives every core a part
-    n_parts = max(_blocks(corpus, block_bytes), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n_parts))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.withColumn("_b", block).withColumn("_p", numbers(n_parts))
-    right = corpus.withColumn("_p", part).withColumn("_b", numbers(n_blocks))
-
-    def scan(asked: pa.Table, items: pa.Table) -> pa.Table:
-        kept = []
-        if asked.num_rows and items.num_rows:
-            items = items.combine_chunks()
-            payload, keys, ids = items.column("payload").combine_chunks(), items.column("partition_key").to_pylist(), items.column("item_id").to_numpy()
-            query_ids, query_payload = asked.column("query_id").to_numpy(), asked.column("payload").combine_chunks()
-            for start in range(0, len(query_ids), ROWS):
-                cost = scorer(query_payload.slice(start, ROWS))
-                best = None
-                for first in range(0, len(ids), COLUMNS):
-                    own = slice(first, first + COLUMNS)
-                    found = _best(keys[own], ids[own], cost(payload.slice(first, COLUMNS)), query_ids[start : start + ROWS], k)
-                    best = _shrink(found if best is None else pd.concat([best, found]), k)
-                kept.append(pa.Table.from_pandas(best, schema=HITS_ARROW, preserve_index=False))
-        return pa.concat_tables(kept) if kept else HITS_ARROW.empty_table()
-
-    hits = left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(scan, HITS)
-    order = Window.partitionBy("query_id", "partition_key").orderBy("cost", "item_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _blocks(side: DataFrame, block_bytes: int) -> int:
-    """Number of blocks of a table by the size of its payloads; a cell is a double or a short string."""
-    cells = side.agg(F.sum(F.size("payload")).alias("cells")).first()["cells"] or 0
-    return max(1, -(-16 * cells // block_bytes))
-
-
-# ---- searches ----
-
+from corpusmill.operators.vector_cells import top_k
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, per_storage: bool = False, **limits) -> DataFrame:
     """Exact k nearest by squared L2: query_id, chunk_id, storage_id, distance, rank.
@@ -127,7 +20,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, per_storage: bo
     key = F.col("storage_id").cast("string") if per_storage else F.lit("")
     corpus = vectors.select(key.alias("partition_key"), F.col("chunk_id").alias("item_id"), F.col("embedding").alias("payload"))
     asked = queries.select("query_id", F.col("embedding").alias("payload"))
-    hits = top_k(corpus, asked, squared_l2, k, **limits)
+    hits = top_k(corpus, asked, k, **limits)
     return hits.select(
         "query_id",
         F.col("item_id").alias("chunk_id"),

@@ -10,12 +10,13 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def create(spark: SparkSession, path: str, schema: str, key: str, order: str, buckets: int) -> None:
     """An empty table at a path that holds none."""
     manifest = json.dumps({"schema": schema, "key": key, "order": order, "buckets": buckets})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    spark.range(1, numPartitions=1).select(F.lit(manifest).alias("value")).write.text(f"{path}/manifest")
 
 
 def manifest_of(spark: SparkSession, path: str) -> dict | None:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chat, embed, graph, quality, search, similar, topics, trigram_index
+from corpusmill.operators import chat, embed, graph, quality, search, similar, topics, trigram_index, vector_cells
 
 
 def unit(rng, dims=6):
@@ -22,8 +22,8 @@ def vectors(spark):
 
 @pytest.mark.parametrize("limit", [10**9, 2000])
 def test_nearest_is_exact_in_blocks_of_any_size(vectors, limit, monkeypatch):
-    monkeypatch.setattr(search, "ROWS", 7)
-    monkeypatch.setattr(search, "COLUMNS", 11)
+    monkeypatch.setattr(vector_cells, "ROWS", 7)
+    monkeypatch.setattr(vector_cells, "COLUMNS", 11)
     df, rows = vectors
     queries = df.select(F.col("chunk_id").alias("query_id"), "embedding")
     got = search.nearest(df, queries, k=7, block_bytes=limit).collect()
@@ -33,6 +33,42 @@ def test_nearest_is_exact_in_blocks_of_any_size(vectors, limit, monkeypatch):
         assert mine == ranked[:7]
 
 
+def test_storages_and_queries_without_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 4 == 3 else i % 4, None if i == 17 else unit(rng)) for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_id long, storage_id int, embedding array<double>")
+    got = search.nearest(df, df.select(F.col("chunk_id").alias("query_id"), "embedding"), k=3, per_storage=True).collect()
+    for qid, _, q in rows:
+        for storage in (0, 1, 2, None):
+            mine = [(r["distance"], r["chunk_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == qid and r["storage_id"] == (None if storage is None else str(storage))]
+            ranked = sorted((round(float(np.sum((np.array(q) - np.array(v)) ** 2)), 6), cid) for cid, s, v in rows if s == storage and v is not None and q is not None)
+            assert mine == ranked[:3]
+    assert search.nearest(df.limit(0), df.select(F.col("chunk_id").alias("query_id"), "embedding")).count() == 0
+
+
+def test_far_pieces_are_not_scored(spark):
+    """On clustered data fewer than half of all pairs are scored, and the lists are exact."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 16)) * 5
+    rows = [(i, "", (middles[i % 30] + rng.normal(size=16) * 0.3).tolist()) for i in range(3000)]
+    corpus = spark.createDataFrame(rows, "item_id long, partition_key string, payload array<double>")
+    queries = corpus.filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "payload")
+    cells = vector_cells.VectorCells(corpus)
+    sizes = cells.placed.groupBy("piece").agg(F.count("*").alias("n"))
+    found = {r["query_id"]: [] for r in queries.collect()}
+    for r in vector_cells.top_k(corpus, queries, 4, cells=cells).orderBy("rank").collect():
+        found[r["query_id"]].append((r["cost"], r["item_id"]))
+    points = np.array([r[2] for r in rows])
+    for query_id, hits in found.items():
+        costs = vector_cells.half_up(vector_cells.squared_distances(points[query_id : query_id + 1], points))[0]
+        assert hits == sorted(zip(costs.tolist(), range(3000)))[:4]
+    bounds = spark.createDataFrame([(q, {"=": hits[-1][0]}) for q, hits in found.items()], "query_id long, bounds map<string,double>")
+    visits = cells.first_visits(queries, 4).unionByName(cells.later_visits(queries.join(bounds, "query_id"), 4))
+    assert visits.groupBy("query_id", "piece").count().filter("count > 1").count() == 0
+    pairs = visits.join(sizes, "piece").agg(F.sum("n")).first()[0]
+    assert pairs < 0.5 * 300 * 3000
+
+
 def test_default_storage_must_exist(spark, vectors):
     df, _ = vectors
     none = spark.createDataFrame([(0, False)], "storage_id int, default_retriever boolean")
