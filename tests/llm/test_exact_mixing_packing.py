@@ -6,7 +6,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from corpusmill.llm import exact, mixing, packing
+from corpusmill.sources import buckets
 
 
 def sha(text):
@@ -36,21 +39,81 @@ def test_rows_that_stay_keep_their_columns(awkward):
     assert {r["doc_id"] for r in rows} == {2, 3, 6, 7, 8, 9, 10, None, 11, 12}
 
 
+def docs_of(spark, *rows):
+    return spark.createDataFrame([*rows], "doc_id long, text string")
+
+
+def judged(rows):
+    return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows.collect()), key=repr)
+
+
 def test_later_batches_meet_the_index(spark):
-    index = exact.DigestIndex(spark, buckets=4)
-    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    second = spark.createDataFrame([(9, "a"), (10, "c"), (11, "c")], "doc_id long, text string")
+    index = exact.DigestIndex(spark, n_buckets=4)
+    first = docs_of(spark, (1, "a"), (2, "b"))
+    second = docs_of(spark, (9, "a"), (10, "c"), (11, "c"))
     assert {r["doc_id"] for r in exact.unique_rows(first, index).collect()} == {1, 2}
     assert {r["doc_id"] for r in exact.unique_rows(second, index).collect()} == {11}
     assert index.entries().count() == 3
-    again = exact.deduplicate(second, index).where("doc_id = 9").first()
-    assert again["keep_id"] == 1 and not again["kept"]
+    assert exact.unique_rows(second, index).count() == 0  # the same rows again are copies
+
+
+def test_batches_are_judged_as_one_table(spark, awkward):
+    rows = awkward.select("doc_id", "text")
+    index = exact.DigestIndex(spark, n_buckets=3)
+    third = lambda i: rows.where(F.pmod(F.coalesce("doc_id", F.lit(7)), F.lit(3)) == i)
+    for i in range(3):
+        exact.deduplicate(third(i), index, name=f"part {i}")
+    names = {r["batch"] for r in index.commits().collect()}
+    got = [row for i in range(3) for row in judged(exact.deduplicate(third(i), index, name=f"part {i}"))]
+    assert {r["batch"] for r in index.commits().collect()} == names  # a name that is known adds nothing
+    assert sorted(got, key=repr) == judged(exact.deduplicate(rows))
+
+
+def test_rows_given_again_are_copies(spark):
+    index, rows = exact.DigestIndex(spark), docs_of(spark, (1, "a"), (2, "b"), (3, "b"))
+    exact.deduplicate(rows, index)
+    again = judged(exact.deduplicate(rows, index))
+    assert [(r[1], r[2], r[3]) for r in again] == [(1, 2, False), (3, 4, False), (3, 4, False)]
+    larger = judged(exact.deduplicate(docs_of(spark, (8, "a")), index))
+    assert larger[0][:4] == (8, 8, 3, True)
+
+
+def test_an_index_is_opened_again_under_other_settings(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    exact.unique_rows(docs_of(spark, (1, "a"), (2, "b")), exact.DigestIndex(spark, path, n_buckets=5))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        index = exact.DigestIndex(spark, path)
+        assert index.entries().count() == 2
+        assert [r["doc_id"] for r in exact.unique_rows(docs_of(spark, (5, "b"), (6, "c")), index).collect()] == [6]
+        assert exact.DigestIndex(spark, path).entries().count() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_what_a_failed_attempt_left_does_not_count(spark, monkeypatch):
+    index, rows = exact.DigestIndex(spark), docs_of(spark, (1, "a"), (2, "a"))
+    append = buckets.append
+
+    def failing(frame, path):
+        if path == index.log:
+            raise RuntimeError("lost")
+        append(frame, path)
+
+    monkeypatch.setattr(buckets, "append", failing)
+    with pytest.raises(RuntimeError):
+        exact.deduplicate(rows, index, name="x")
+    assert index.entries().count() == 0
+    monkeypatch.setattr(buckets, "append", append)
+    assert [r[1:4] for r in judged(exact.deduplicate(rows, index, name="x"))] == [(2, 2, False), (2, 2, True)]
 
 
 def test_index_side_of_the_anti_join_is_not_shuffled(spark):
-    index = exact.DigestIndex(spark, buckets=4)
-    batch = exact.digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
-    plan = batch.join(index.entries().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    index = exact.DigestIndex(spark, n_buckets=4)
+    batch = exact.digests(docs_of(spark, (1, "a")))
+    plan = batch.join(index._committed(index.seen).select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
 
 
@@ -136,8 +199,6 @@ def test_mix_of_nothing(nothing):
 
 
 def test_mix_of_overlapping_sources(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(i, "w " * 10, ["a"] if i < 20 else ["a", "b"]) for i in range(40)], "doc_id long, text string, sources array<string>")
     rows = mixing.taken(docs, membership=F.col("sources")).collect()
     # a: 400 words, weight 1; b: 200 words, weight 2; of 600 words a gets 200 and b gets 400
