@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# nodes whose rows are dealt to several tasks are at most 2 * HUBS, whatever the size of the table
+HUBS = 10_000
+LEAST_HUB = 128
+
+
+def _with_smallest(edges: DataFrame, n_edges: int) -> DataFrame:
+    """(u, v, m): every row (u, v) with the smallest v of its u.
+
+    The rows of a node with very many neighbours are dealt by their other end over parts of bounded size, and its smallest
+    neighbour goes to every part, so no task gets a whole hub.
+    """
+    most = max(LEAST_HUB, n_edges // HUBS)
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / most)
+    hubs = F.broadcast(smallest.filter(F.col("n") > most).select("u", parts.alias("parts")))
+    dealt = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))))
+    copies = smallest.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return dealt.join(copies, ["u", "part"]).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    smallest = F.least("m", "u")
+    return _with_smallest(both, 2 * n_edges).filter("v > u").select(F.col("v").alias("u"), smallest.alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every node hands itself and its smaller neighbours to the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(smallest.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_smallest(edges, n_edges).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,15 +50,16 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; a component is named by its smallest node.
 
-    Alternating large-star and small-star rounds: the edge table never grows beyond its first size, a
-    node with many neighbours only meets one row per join, and rounds grow with the logarithm of the
+    Alternating large-star and small-star rounds: the edge table never grows beyond its first size, the rows of
+    a node with many neighbours are dealt over many tasks, and rounds grow with the logarithm of the
     longest chain. Every round is checkpointed, so that the loss of an executor costs one round.
     """
     up, down = F.greatest("a", "b"), F.least("a", "b")
     now = cut_lineage(edges.filter("a <> b").select(up.alias("u"), down.alias("v")).distinct())
     mark = _mark(now)
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        n_edges = mark[0]
+        now = cut_lineage(_small_star(_large_star(now, n_edges), n_edges))
         before, mark = mark, _mark(now)
         if before == mark:
             break

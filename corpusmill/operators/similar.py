@@ -1,12 +1,12 @@
 """Near-duplicate clusters, exact for the threshold, without writing out pairs.
 
 1. Equal payloads are one representative; copies only get an edge to it.
-2. Representatives are put into blocks such that two similar ones share a block: grid cells for dense
-   vectors, rare-term prefixes for sparse ones.
-3. Inside a block everything similar to the block's first member is linked to it. What is linked needs no
-   comparison with each other, so a block full of near-copies costs one pass.
-4. The rest is compared in sub-blocks of bounded size, one matrix product per task; a task returns a
-   spanning forest of its links, never all pairs.
+2. Dense vectors near one of a bounded number of leaders are linked to it and need no comparison with each other; the rest
+   meets the pieces of balls that it can reach (``vector_links``).
+3. Sparse vectors meet in the postings of their rare terms, where the lengths of what is left of them rule out most
+   pairs (``text_links``).
+4. Blocks that stay long are full of near-copies: everything similar to the block's first member is linked to it, the rest is
+   compared in sub-blocks of bounded size, and a task returns a spanning forest of its links (``links_in_blocks``).
 5. Clusters are the connected components of the links.
 """
 
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
+from corpusmill.operators.vector_cells import BLOCK_BYTES, COLUMNS, ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
 from corpusmill.session import cut_lineage
 
 EDGES = "a long, b long"
 PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
 SUB_BLOCK = 1024
-COLUMNS = 4096  # coordinates of a comparison that are held as a dense block at once
+TERMS = 4096  # coordinates of a comparison that are held as a dense block at once
 
 
 def _cells(payload: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,9 +130,9 @@ def links_in_blocks(members: DataFrame, items: DataFrame, threshold: float, sub_
             names, column = np.unique(np.concatenate([at[s] for s in spans]), return_inverse=True)
             cells = np.concatenate([weight[s] for s in spans])
             products = np.zeros((len(mine), len(mine)))
-            for first in range(0, len(names), COLUMNS):  # bounded memory, however many terms there are
-                own = (column >= first) & (column < first + COLUMNS)
-                block = np.zeros((len(mine), min(COLUMNS, len(names) - first)))
+            for first in range(0, len(names), TERMS):  # bounded memory, however many terms there are
+                own = (column >= first) & (column < first + TERMS)
+                block = np.zeros((len(mine), min(TERMS, len(names) - first)))
                 block[local[own], column[own] - first] = cells[own]
                 products += block @ block.T
             close = products > threshold
@@ -153,26 +154,6 @@ def clusters(copies: DataFrame, links: DataFrame) -> DataFrame:
 # ---- dense vectors ----
 
 
-def grid_cells(vector: Column, reach: float, axes: int, width: float) -> Column:
-    """Cells touched by the box of half-width ``reach / 2`` around a point on the first axes.
-
-    Two points at most ``reach`` apart both touch the cell of their middle.
-    """
-
-    def touched(x: Column) -> Column:
-        return F.sequence(F.floor((x - reach / 2) / width), F.floor((x + reach / 2) / width))
-
-    def extended(names: Column, ways: Column) -> Column:
-        return F.flatten(
-            F.transform(names, lambda n: F.transform(ways, lambda c: F.concat(n, F.lit("/"), c.cast("string"))))
-        )
-
-    names = F.array(F.lit(""))
-    for axis in range(axes):
-        names = extended(names, touched(vector[axis]))
-    return names
-
-
 def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, edges from every further copy to its representative)."""
     keyed = vectors.withColumn("_k", F.struct(F.xxhash64("payload"), F.xxhash64(F.reverse("payload")), F.size("payload")))
@@ -182,22 +163,114 @@ def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.filter("item_id = first_id").select("item_id", "payload"), edges
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99, axes: int = 4) -> DataFrame:
-    """Clusters of (item_id, payload array) with cosine above the threshold, by connection."""
+MOST_LEADERS = 1024
+
+
+def _leaders(units: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of members of the corpus in its dense places, at most MOST_LEADERS and the root of its size."""
+    sample = sample_of(units, n)
+    ids, vectors = sample.column("item_id").to_numpy(), matrix(sample.column("payload"))
+    centres = means_of(vectors, min(MOST_LEADERS, max(1, int(n**0.5)), len(vectors)))
+    at = np.unique(squared_distances(vectors, centres).argmin(axis=0))
+    return ids[at], vectors[at]
+
+
+def _homes(pairs: list[tuple[int, int]], n: int) -> list[int]:
+    """Number of the component of each leader, named by its smallest one."""
+    home = list(range(n))
+
+    def root(i: int) -> int:
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        home[y] = x
+    return [root(i) for i in range(n)]
+
+
+def _bipartite_forest(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what a boolean matrix of rows and columns connects."""
+    free_rows, free_columns, edges = close.any(axis=1), close.any(axis=0), []
+    for start in np.flatnonzero(free_rows):
+        if not free_rows[start]:
+            continue
+        free_rows[start] = False
+        queue = [start]
+        while queue:
+            row = queue.pop()
+            columns = np.flatnonzero(close[row] & free_columns)
+            free_columns[columns] = False
+            for column in columns:
+                edges.append((left[row], right[column]))
+                rows = np.flatnonzero(close[:, column] & free_rows)
+                free_rows[rows] = False
+                edges += [(left[r], right[column]) for r in rows]
+                queue.extend(rows)
+    return edges
+
+
+def vector_links(units: DataFrame, threshold: float) -> DataFrame:
+    """Edges that connect exactly what pairs of unit vectors (item_id, payload) above the threshold connect.
+
+    Every vector is linked to a leader above the threshold where there is one. Leaders that share a vector are connected,
+    and what has connected leaders needs no comparison with each other: a group of near copies costs one pass. All others
+    visit the pieces of balls around centres that their own ball of the threshold's radius reaches.
+    """
+    n = units.count()
+    if not n:
+        return units.sparkSession.createDataFrame([], EDGES)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
+    leader_ids, leaders = _leaders(units, n)
+
+    def meet(batches):
+        for batch in batches:
+            near = matrix(batch.column("payload")) @ leaders.T > threshold
+            met = pa.array([np.flatnonzero(row) for row in near], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, met], ["item_id", "payload", "met"])
+
+    met = cut_lineage(units.select("item_id", "payload").mapInArrow(meet, "item_id long, payload array<double>, met array<int>"))
+    together = F.explode(F.arrays_zip(F.slice("met", 1, F.greatest(F.size("met") - 1, F.lit(0))).alias("a"), F.slice("met", 2, F.size("met")).alias("b")))
+    pairs = met.filter(F.size("met") > 1).select(together.alias("p")).select("p.a", "p.b").distinct()  # pairs of leaders
+    homes = _homes([(r["a"], r["b"]) for r in pairs.collect()], len(leader_ids))
+    spelled = lambda values: F.element_at(F.array(*map(F.lit, values)), F.get("met", F.lit(0)) + 1)
+    led = met.filter(F.size("met") > 0)
+    to_leader = led.select(F.col("item_id").alias("a"), spelled([int(i) for i in leader_ids]).alias("b"))
+    joined = units.sparkSession.createDataFrame([(int(leader_ids[i]), int(leader_ids[h])) for i, h in enumerate(homes)], EDGES)
+    home = F.when(F.size("met") > 0, spelled(homes).cast("string"))
+    cells = VectorCells(met.select(home.alias("partition_key"), "item_id", "payload"))
+
+    def compare(asked: pa.Table, items: pa.Table) -> pa.Table:
+        edges = []
+        if asked.num_rows and items.num_rows:
+            left, right = asked.column("query_id").to_numpy(), items.column("item_id").to_numpy()
+            x, y = matrix(asked.column("payload")), matrix(items.column("payload"))
+            for start in range(0, len(left), ROWS):
+                for first in range(0, len(right), COLUMNS):
+                    close = x[start : start + ROWS] @ y[first : first + COLUMNS].T > threshold
+                    edges += _bipartite_forest(close, left[start : start + ROWS], right[first : first + COLUMNS])
+        return pa.table([pa.array([int(e[i]) for e in edges if e[0] != e[1]], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    # a piece that very many vectors visit meets them in blocks
+    visits = cells.near_visits(reach)
+    blocks = max(1, -(-16 * n * len(cells.centres[0]) // BLOCK_BYTES))
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    placed = cells.placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = placed.join(visits.select("piece", "block").distinct(), ["piece", "block"], "left_semi") if blocks > 1 else placed
+    found = visits.groupBy("piece", "block").cogroup(placed.groupBy("piece", "block")).applyInArrow(compare, EDGES)
+    return found.union(to_leader).union(joined).filter("a <> b")
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99) -> DataFrame:
+    """Clusters of (item_id, payload array) with cosine above the threshold, by connection."""
     doubles = F.transform("payload", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
     # a zero vector has no cosine, so neither it nor its copies are in a cluster
     distinct, copies = vector_copies(vectors.select("item_id", "payload").filter(norm > 0))
-    scaled = distinct.withColumn("norm", norm).withColumn(
-        "unit", F.transform("payload", lambda x: x.cast("double") / F.col("norm"))
-    )
-    at = F.sequence(F.lit(0).cast("long"), F.size("unit").cast("long") - 1)
-    cells = grid_cells(F.col("unit"), reach, axes, 2 * reach)
-    payload = F.struct(at.alias("at"), F.col("unit").alias("weight"))
-    placed = cut_lineage(scaled.select("item_id", payload.alias("payload"), cells.alias("blocks")))
-    members = placed.select(F.explode("blocks").alias("block"), "item_id")
-    return clusters(copies, links_in_blocks(members, placed.select("item_id", "payload"), threshold))
+    scaled = distinct.withColumn("norm", norm).withColumn("unit", F.transform("payload", lambda x: x.cast("double") / F.col("norm")))
+    units = cut_lineage(scaled.select(F.col("item_id").cast("long").alias("item_id"), F.col("unit").alias("payload")))
+    return clusters(copies, vector_links(units, threshold))
 
 
 # ---- texts ----
@@ -224,24 +297,74 @@ def tfidf_vectors(texts: DataFrame, max_features: int | None = None) -> DataFram
     return weighted.select("item_id", "word", "df", (F.col("raw") / norm).alias("weight"))
 
 
-def with_prefix(weights: DataFrame, threshold: float) -> DataFrame:
-    """Items (item_id, payload, blocks): every item under the terms of its prefix.
+# members of a block that are paired with each other; a longer block is split by a second term
+LONG_BLOCK = 256
+MARGIN = 0.05
+CLOSE = 1e-9
 
-    Terms are ordered from rare to common. The prefix ends where the rest of the vector is too short to
-    reach the threshold alone, so two items above the threshold share a prefix term.
-    """
+
+def with_terms(weights: DataFrame) -> DataFrame:
+    """Items (item_id, cells): terms from rare to common as (at, weight, rest), rest being the length of the vector from the
+    term on."""
     order = Window.partitionBy("item_id").orderBy("df", "word")
-    rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    needed = (threshold - 1e-9) ** 2
-    marked = weights.withColumn("in_prefix", rest >= needed)
-    items = marked.groupBy("item_id").agg(
-        F.collect_list(F.struct(F.xxhash64("word").alias("at"), "weight")).alias("cells"),  # bounded by the text's words
-        F.collect_list(F.when(F.col("in_prefix"), F.col("word"))).alias("blocks"),
-    )
-    payload = F.struct(
-        F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["weight"]).alias("weight")
-    )
-    return items.select("item_id", payload.alias("payload"), "blocks")
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    ranked = weights.select("item_id", F.row_number().over(order).alias("place"), F.xxhash64("word").alias("at"), "weight", rest.alias("rest"))
+    cells = F.array_sort(F.collect_list(F.struct("place", "at", "weight", "rest")))  # bounded by the text's words
+    return ranked.groupBy("item_id").agg(cells.alias("cells"))
+
+
+def text_links(items: DataFrame, threshold: float) -> DataFrame:
+    """Edges that connect exactly what pairs of stored items (item_id, cells) above the threshold connect.
+
+    The lengths of what is left of both vectors stand in the postings. Over the common terms where the product of these
+    lengths reaches the threshold less MARGIN a pair adds up what it shares; behind them it cannot gain more than that
+    product, so a pair that has not gained MARGIN by then is no candidate. Long postings are not paired: a pair with such a
+    term in common meets under that term and a second one, within what the first leaves open. What is long even then, copies
+    of one another for the most part, is linked to its first member. Vectors are fetched only for the candidates.
+    """
+    least = threshold - CLOSE
+    payload = F.struct(F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["weight"]).alias("weight"))
+    vectors = items.select("item_id", payload.alias("payload"))
+    rare = F.filter("cells", lambda c: c["rest"] >= least - MARGIN)
+    postings = items.select("item_id", F.explode(rare).alias("c")).select(F.col("c.at").alias("block"), "item_id", F.col("c.weight").alias("weight"), F.col("c.rest").alias("rest"))
+    short, long = _by_length(postings)
+    gained = _pairs(short, F.col("x.rest") * F.col("y.rest") >= least - MARGIN).groupBy("a", "b").agg(F.sum("gain").alias("gain"))
+    # a second common term lies within what the first one cannot bring alone
+    met = long.select(F.col("block").alias("at"), "item_id", F.col("weight").alias("own")).join(items, "item_id")
+    others = F.filter("cells", lambda c: (c["at"] != F.col("at")) & (c["rest"] >= least - F.col("own"))).alias("c")
+    second = met.select("item_id", "at", "own", F.explode(others).alias("c"))
+    second = second.select(F.xxhash64("at", "c.at").alias("block"), "item_id", F.col("own").alias("weight"), F.col("c.rest").alias("rest"))
+    alone = long.filter(F.col("weight") * F.col("weight") >= least * least).withColumn("rest", F.lit(0.0))
+    short_second, copies = _by_length(second.union(alone.select("block", "item_id", "weight", "rest")))
+    both = _pairs(short_second, F.col("x.weight") * F.col("y.weight") + F.col("x.rest") * F.col("y.rest") >= least)
+    pairs = gained.filter(F.col("gain") >= MARGIN - CLOSE).select("a", "b").union(both.select("a", "b")).distinct()
+    left, right = (vectors.select(F.col("item_id").alias(side), F.col("payload").alias(f"{side}_payload")) for side in ("a", "b"))
+
+    def verify(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SUB_BLOCK):
+                a, x, b, y = (batch.slice(start, SUB_BLOCK).column(c) for c in ("a", "a_payload", "b", "b_payload"))
+                near = pa.array(_cosines(x, y) > threshold)
+                yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
+
+    checked = pairs.join(left, "a").join(right, "b").mapInArrow(verify, EDGES)
+    members = copies.select(F.col("block").cast("string").alias("block"), "item_id")
+    return checked.union(links_in_blocks(members, vectors, threshold))
+
+
+def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of blocks that can be paired, and of longer ones; blocks of one member are left out."""
+    postings = cut_lineage(postings)
+    sizes = postings.groupBy("block").agg(F.count("*").alias("n"))
+    sized = cut_lineage(postings.join(sizes.filter("n > 1"), "block"))
+    return sized.filter(F.col("n") <= LONG_BLOCK).drop("n"), sized.filter(F.col("n") > LONG_BLOCK).drop("n")
+
+
+def _pairs(postings: DataFrame, reach: Column) -> DataFrame:
+    """(a, b, gain) of the pairs of each block that meet the condition; a row has LONG_BLOCK partners at most."""
+    x, y = postings.alias("x"), postings.alias("y")
+    met = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id")) & reach)
+    return met.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), (F.col("x.weight") * F.col("y.weight")).alias("gain"))
 
 
 def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = None) -> DataFrame:
@@ -253,10 +376,9 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
     )
     copies = keyed.select("item_id", "_k").join(distinct.select("_k", "first_id"), "_k").filter("item_id <> first_id")
     copies = copies.select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
+    distinct = cut_lineage(distinct)
     weights = tfidf_vectors(distinct.select(F.col("first_id").alias("item_id"), "n_copies", "text"), max_features)
-    placed = cut_lineage(with_prefix(weights, threshold))
-    members = placed.select(F.explode("blocks").alias("block"), "item_id")
-    return clusters(copies, links_in_blocks(members, placed.select("item_id", "payload"), threshold))
+    return clusters(copies, text_links(cut_lineage(with_terms(weights)), threshold))
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:

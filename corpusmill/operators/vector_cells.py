@@ -60,6 +60,14 @@ def means_of(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     return centres
 
 
+def sample_of(vectors: DataFrame, n: int) -> pa.Table:
+    """About SAMPLE rows (item_id, payload) at most of a table of n vectors, chosen by a hash of the id."""
+    share = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
+    rows = vectors.select("item_id", "payload")
+    sample = rows.filter(share).orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).toArrow()
+    return sample if len(sample) else rows.limit(1).toArrow()
+
+
 @dataclass
 class Pieces:
     """Where the pieces lie: one short row each."""
@@ -99,10 +107,8 @@ class VectorCells:
         if not self.n:
             return
         n_centres = max(1, min(MOST_CENTRES, int((self.n / keys) ** 0.5), MOST_PIECES // keys))
-        share = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / self.n))
-        sample = corpus.filter(share).select("item_id", "payload").orderBy(F.xxhash64("item_id")).limit(SAMPLE).toArrow()
-        sample = sample if len(sample) else corpus.select("item_id", "payload").limit(1).toArrow()
-        self.centres = means_of(matrix(sample.column("payload")), min(n_centres, len(sample)))
+        sample = matrix(sample_of(corpus, self.n).column("payload"))
+        self.centres = means_of(sample, min(n_centres, len(sample)))
         piece_rows = max(1, min(PIECE_ROWS, block_bytes // (16 * max(size["dims"], 1))), -(-self.n // MOST_PIECES))
         self._cut(corpus, piece_rows)
 
@@ -160,6 +166,24 @@ class VectorCells:
 
         return self._visits(queries, choose)
 
+    def near_visits(self, reach: float) -> DataFrame:
+        """The corpus' own vectors at all pieces that may hold one within ``reach`` of them.
+
+        Of two pieces only the one of the smaller name visits. Vectors that share a partition key other than the missing
+        one are taken as known to be connected, so they do not visit each other.
+        """
+        pieces = self.pieces
+        codes = {key: i for i, key in enumerate(self.keys)}
+
+        def choose(batch: pa.RecordBatch, gaps: np.ndarray) -> list[np.ndarray]:
+            own, keys = batch.column("own").to_numpy(), batch.column("own_key").to_pylist()
+            open_ = (gaps <= reach * reach) & (pieces.name[None, :] >= own[:, None])
+            known = np.array([codes[key] if key else -1 for key in keys])
+            open_ &= pieces.key[None, :] != known[:, None]
+            return [np.flatnonzero(row) for row in open_]
+
+        return self._visits(self.placed.select(F.col("item_id").alias("query_id"), "payload", F.col("piece").alias("own"), F.col("partition_key").alias("own_key")), choose)
+
     def _visits(self, queries: DataFrame, choose) -> DataFrame:
         pieces = self.pieces
         step = max(1, 4_000_000 // max(len(pieces.name), 1))

@@ -39,6 +39,23 @@ def copied_vector_clusters(spark, sf_dir):
     return similar.near_duplicate_vectors(twice)
 
 
+_ALTERED_SQL = "list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + 0.05 * ((vec_id + i - 1) % 3)))"
+
+
+@query(
+    "V7",
+    f"""WITH RECURSIVE both AS (SELECT vec_id * 10 AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id * 10 + 3, {_ALTERED_SQL} FROM embeddings),
+          edges AS (SELECT x.id AS a, y.id AS b FROM both x JOIN both y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) > 0.99), {_WALK}
+        SELECT node AS item_id, min(reached) AS cluster FROM walk GROUP BY node""",
+)
+def altered_vector_clusters(spark, sf_dir):
+    """Every vector beside one whose coordinates are each up to a tenth longer."""
+    once = _vectors(spark, sf_dir).withColumn("payload", F.col("payload").cast("array<double>"))
+    altered = F.transform("payload", lambda x, i: x * (1 + 0.05 * ((F.col("item_id") + i) % 3)))
+    twice = once.select(F.col("item_id") * 10, "payload").union(once.select(F.col("item_id") * 10 + 3, altered))
+    return similar.near_duplicate_vectors(twice.toDF("item_id", "payload"))
+
+
 _TFIDF = rf"""t AS (SELECT doc_id, {DEDUPE_SQL} AS text FROM documents),
     w AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM t) GROUP BY 1, 2),
     f AS (SELECT word, count(*) AS df, sum(tf) AS total FROM w GROUP BY 1),

@@ -112,9 +112,26 @@ def brute_clusters(ids, close):
     return {i: c for i, c in joined.items() if sizes[c] > 1}
 
 
-@pytest.mark.parametrize("sub_block", [1024, 4])
-def test_vector_clusters_match_brute_force(spark, sub_block, monkeypatch):
-    monkeypatch.setattr(similar.links_in_blocks, "__defaults__", (sub_block,))
+def test_no_task_gets_a_whole_hub(spark):
+    """A star of 100,000 edges: the rows that meet the hub's smallest neighbour are dealt evenly."""
+    star = spark.range(1, 100_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    both = star.union(star.select("v", "u"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = graph._with_smallest(both, 200_000).hint("merge")
+        sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(sizes) == 200_000 and max(sizes) < 2 * float(np.median(sizes))
+    joined = graph.connected_components(star.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    assert joined.filter("component <> 0").count() == 0 and joined.count() == 100_001
+
+
+@pytest.mark.parametrize("most, rows", [(1024, 16_384), (3, 5)])
+def test_vector_clusters_match_brute_force(spark, most, rows, monkeypatch):
+    monkeypatch.setattr(similar, "MOST_LEADERS", most)
+    monkeypatch.setattr(vector_cells, "PIECE_ROWS", rows)
     rng = np.random.default_rng(2)
     centres = [np.array(unit(rng)) for _ in range(6)]
     items = {}
@@ -128,6 +145,52 @@ def test_vector_clusters_match_brute_force(spark, sub_block, monkeypatch):
     assert got == brute_clusters(list(items), lambda a, b: float(items[a] @ items[b]) > 0.985)
 
 
+@pytest.mark.parametrize("threshold", [0.99, 0.9])
+def test_altered_copies_of_vectors(spark, threshold):
+    """Near copies that are not equal, a third of them around one vector, beside vectors without any."""
+    rng = np.random.default_rng(11)
+    items = [np.array(unit(rng, 24)) for _ in range(60)]
+    items += [items[0] + rng.normal(scale=0.02, size=24) for _ in range(60)] + [items[i] + rng.normal(scale=0.02, size=24) for i in range(20, 50)]
+    items = [v / np.linalg.norm(v) for v in items]
+    df = spark.createDataFrame([(i, (v * (1 + i % 3)).tolist()) for i, v in enumerate(items)], "item_id long, payload array<double>")
+    got = {r["item_id"]: r["cluster"] for r in similar.near_duplicate_vectors(df, threshold).collect()}
+    assert got == brute_clusters(range(len(items)), lambda a, b: float(items[a] @ items[b]) > threshold)
+
+
+def test_visited_pairs_grow_slower_than_the_square(spark):
+    rng = np.random.default_rng(12)
+    middles = rng.normal(size=(80, 16)) * 4
+
+    def pairs(n):
+        vectors = middles[np.arange(n) % 80] + rng.normal(size=(n, 16))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        units = spark.createDataFrame([(i, None, v.tolist()) for i, v in enumerate(vectors)], "item_id long, partition_key string, payload array<double>")
+        cells = vector_cells.VectorCells(units)
+        sizes = cells.placed.groupBy("piece").agg(F.count("*").alias("n"))
+        return cells.near_visits(0.142).join(sizes, "piece").agg(F.sum("n")).first()[0]
+
+    few, many = pairs(500), pairs(2000)
+    assert many < 10 * few and many < 2000 * 2000 / 4
+
+
+@pytest.mark.parametrize("long_block", [256, 3, 1])
+def test_text_clusters_match_brute_force(spark, long_block, monkeypatch):
+    monkeypatch.setattr(similar, "LONG_BLOCK", long_block)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(80)]
+    texts = [[r.choice(words) for _ in range(r.randrange(1, 25))] for _ in range(50)]
+    texts += [[*texts[3][:-1], r.choice(words)] for _ in range(20)]  # near copies of one text
+    texts += [[w if r.random() < 0.9 else r.choice(words) for w in texts[i]] for i in range(30)] + [texts[5], ["solo"], ["solo", "w1"], ["solo", "solo", "solo", "w2"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    n, idf = len(texts), {}
+    for w in {w for t in texts for w in t}:
+        idf[w] = np.log((1 + n) / (1 + sum(w in t for t in texts))) + 1
+    vectors = [{w: t.count(w) * idf[w] for w in t} for t in texts]
+    vectors = [{w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for v in vectors]
+    got = {r["item_id"]: r["cluster"] for r in similar.near_duplicate_texts(df).collect()}
+    assert got == brute_clusters(range(n), lambda a, b: sum(x * vectors[b].get(w, 0.0) for w, x in vectors[a].items()) > 0.8)
+
+
 def test_text_clusters_find_copies_and_near_copies(spark):
     base = "the quick brown fox jumps over the lazy dog while seven wizards brew quiet magic"
     rows = [(1, base), (2, base.upper() + "!"), (3, base + " again"), (4, "entirely other words stand in this line"), (5, "")]
@@ -172,7 +235,7 @@ def test_sample_shortage_is_an_error(spark):
 
 def test_zero_vectors_and_blank_texts_are_in_no_cluster(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])]
-    found = similar.near_duplicate_vectors(spark.createDataFrame(rows, "item_id long, payload array<double>"), axes=2)
+    found = similar.near_duplicate_vectors(spark.createDataFrame(rows, "item_id long, payload array<double>"))
     assert {r["item_id"]: r["cluster"] for r in found.collect()} == {3: 3, 4: 3}
     texts = spark.createDataFrame([(1, ""), (2, " !"), (3, "a b"), (4, "A, b")], "item_id long, text string")
     assert {r["item_id"] for r in similar.exact_duplicates(texts).collect()} == {3, 4}
