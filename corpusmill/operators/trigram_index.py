@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def word_line(text: Column) -> Column:
 
 
 def grams_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, trigram) of lines of words, in that order; a trigram is a number of three code points.
+    """Distinct (line, trigram) of lines of words, by line; a trigram is a number of three code points.
 
     Every word has two spaces before and one behind it, so a window is no trigram if its last two places are spaces.
     """
@@ -44,10 +45,10 @@ def grams_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lines)), [len(p) for p in padded])[:-2]
     kept = (points[1:-1] != 32) | (points[2:] != 32)
     gram, owner = ((points[:-2] << 2 * BITS) | (points[1:-1] << BITS) | points[2:])[kept], owner[kept]
-    order = np.lexsort((gram, owner))
-    gram, owner = gram[order], owner[order]
-    first = np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])) if len(gram) else np.zeros(0, dtype=bool)
-    return owner[first], gram[first]
+    # numbered trigrams leave room for the line in one sortable number
+    codes, names = pd.factorize(gram)
+    keys = np.unique(owner * max(len(names), 1) + codes)
+    return keys // max(len(names), 1), names[keys % max(len(names), 1)]
 
 
 def _part_rows(chunks: pa.Table) -> pa.Table:
