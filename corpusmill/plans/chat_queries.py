@@ -222,11 +222,11 @@ def session_facts(spark, sf_dir):
     )
 
 
-@query(
-    "E6, X2",
-    f"""WITH f AS ({_FACTS}), i AS (SELECT session_id, turn, name, unnest(value) AS item, generate_subscripts(value, 1) - 1 AS pos FROM f)
-        SELECT session_id, name, item, min(turn) AS turn, arg_min(pos, (turn, pos))::BIGINT AS pos FROM i WHERE item <> '' GROUP BY 1, 2, 3""",
-)
+FACTS_SQL = f"""WITH f AS ({_FACTS}), i AS (SELECT session_id, turn, name, unnest(value) AS item, generate_subscripts(value, 1) - 1 AS pos FROM f)
+        SELECT session_id, name, item, min(turn) AS turn, arg_min(pos, (turn, pos))::BIGINT AS pos FROM i WHERE item <> '' GROUP BY 1, 2, 3"""
+
+
+@query("E6, X2", FACTS_SQL)
 def accumulated_fact_items(spark, sf_dir):
     items = chat.fact_items(session_facts(spark, sf_dir))
     return items.select("session_id", "name", "item", "first.turn", F.col("first.pos").cast("long").alias("pos"))

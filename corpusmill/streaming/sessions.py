@@ -1,24 +1,43 @@
-"""Per-session accumulated facts as a stream: the twin of ``chat.fact_items``."""
+"""Per-session accumulated facts as a stream: the twin of ``chat.fact_items``.
+
+The state of a fact may begin from a batch table and leaves again when its fact has not been said for a while.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "turn long, pos long"
 OUTPUT = "session_id long, name string, item string, turn long, pos long"
+KEY = ["session_id", "name", "item"]
+KEEP_MS = 30 * 24 * 3600 * 1000
+SETTINGS = {
+    # what keyed state needs
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # state that ends by the clock asks for a further batch without end, so a run over what is new would never stop
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 class FirstSeen(StatefulProcessor):
     """Keeps where a fact was first said; emits it when new or when an earlier place turns up.
 
-    The key is (session, name, item), so that a session of any size is spread over all tasks.
+    The key is (session, name, item), so that a session of any size is spread over all tasks. What has left the state is
+    emitted again when it is said again; the earlier row of the changes still holds its first place.
     """
 
+    def __init__(self, keep_ms: int):
+        self._keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getValueState("first", STATE)
+        self._first = handle.getValueState("first", STATE, self._keep_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._first.update(min((int(t), int(p)) for t, p in zip(initialState["turn"], initialState["pos"])))
 
     def handleInputRows(self, key, rows, timerValues):
         first = min(
@@ -29,20 +48,48 @@ class FirstSeen(StatefulProcessor):
             self._first.update(first)
             session, name, item = key
             yield pd.DataFrame({"session_id": [session], "name": [name], "item": [item], "turn": [first[0]], "pos": [first[1]]})
+        elif known is not None:
+            self._first.update((known[0], known[1]))  # said again: its time starts anew
 
     def close(self) -> None:
         pass
 
 
-def stream_fact_items(facts: DataFrame) -> DataFrame:
-    """Changes of the accumulated facts of a stream of (session_id, turn, name, value array<string>)."""
+def stream_fact_items(facts: DataFrame, known: DataFrame | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Changes of the accumulated facts of a stream of (session_id, turn, name, value array<string>).
+
+    ``known``: rows of OUTPUT that the state begins from. ``keep_ms``: how long a fact that is not said again is held.
+    """
     items = facts.select("session_id", "name", "turn", F.posexplode("value").alias("pos", "item")).filter("item <> ''")
-    return items.groupBy("session_id", "name", "item").transformWithStateInPandas(
-        statefulProcessor=FirstSeen(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+    begin = None if known is None else known.select(*[c.split()[0] for c in OUTPUT.split(", ")]).groupBy(*KEY)
+    return items.groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=FirstSeen(keep_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime", initialState=begin
     )
 
 
+def keep_facts(facts: DataFrame, root: str, known: DataFrame | None = None, keep_ms: int = KEEP_MS) -> StreamingQuery:
+    """Run over what is new in a stream of facts and stop; changes go below ``root`` into a folder a batch.
+
+    ``known`` is read by the first run only, later ones begin from the state.
+    """
+    conf = facts.sparkSession.conf
+    for name, value in SETTINGS.items():
+        conf.set(name, value)
+    try:
+        return (
+            stream_fact_items(facts, known, keep_ms)
+            .writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}"))
+            .outputMode("update")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name in SETTINGS:
+            conf.unset(name)
+
+
 def current_facts(changes: DataFrame) -> DataFrame:
     """The facts as they stand after all changes."""
     first = F.min(F.struct("turn", "pos")).alias("first")
-    return changes.groupBy("session_id", "name", "item").agg(first)
+    return changes.groupBy(*KEY).agg(first)

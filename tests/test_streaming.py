@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chat
 from corpusmill.sources import readers, writers
+from corpusmill.streaming import ingest
 from corpusmill.streaming.ingest import ingest_pages
-from corpusmill.streaming.sessions import current_facts, stream_fact_items
+from corpusmill.streaming.sessions import current_facts, keep_facts
 
 PAGES = "page_id long, url string, html string, response_status int"
 
@@ -32,26 +33,59 @@ def test_pages_are_classified_batch_by_batch(spark, tmp_path):
     assert spark.read.parquet(f"{root}/catalogue").count() == 4
 
 
+def test_a_batch_reads_the_buckets_of_its_urls_only(spark, tmp_path):
+    path = str(tmp_path / "catalogue")
+    rows = spark.range(500).select(F.concat(F.lit("http://s/"), "id").alias("url"), F.col("id").alias("source_id"), F.lit("cr").alias("status"))
+    ingest._write(rows.withColumn("bucket", ingest.bucket_of("url", 64)), path, 0)
+    ingest._write(rows.limit(3).withColumn("bucket", ingest.bucket_of("url", 64)), path, 1)
+    home = spark.createDataFrame([("http://s/7",)], "url string").select(ingest.bucket_of("url", 64)).first()[0]
+    touched = ingest.touched_rows(spark, path, ingest.CATALOGUE, [home, 9999], 1)
+    assert touched.filter("url = 'http://s/7'").count() == 1
+    assert touched.inputFiles() and all(f"bucket={home}/" in f for f in touched.inputFiles())
+    assert touched.count() < 50 and touched.filter("batch > 0").count() == 0
+    assert ingest.touched_rows(spark, path, ingest.CATALOGUE, [9999], 1).count() == 0
+    # a repeated batch replaces its own rows
+    ingest._write(rows.withColumn("bucket", ingest.bucket_of("url", 64)), path, 0)
+    assert spark.read.parquet(path).filter("batch = 0").count() == 500
+
+
+FACTS = "session_id long, turn long, name string, value array<string>"
+
+
+def plain(df):
+    return {(r["session_id"], r["name"], r["item"], *r["first"]) for r in df.collect()}
+
+
+def run_facts(spark, tmp_path, parts, known=None, **options):
+    """Changes by batch of a stream that gets the parts one after the other."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "facts"))
+        keep_facts(spark.readStream.schema(FACTS).parquet(str(tmp_path / "facts")), str(tmp_path), known, **options).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "changes"))
+
+
 def test_streamed_facts_equal_the_batch(spark, tmp_path):
-    schema = "session_id long, turn long, name string, value array<string>"
     rows = [(s, t, "need", [f"v{(s * t) % 3}", "all", ""]) for s in (1, 2) for t in range(5)]
-    facts = spark.createDataFrame(rows, schema)
-    path = str(tmp_path / "facts")
-    for part in (facts.filter("turn >= 3"), facts.filter("turn < 3")):  # late facts move the first place
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    sink = stream_fact_items(stream).writeStream.format("memory").queryName("fact_changes").outputMode("update")
-    try:
-        sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-    def plain(df):
-        return {(r["session_id"], r["name"], r["item"], *r["first"]) for r in df.collect()}
-
-    assert plain(current_facts(spark.table("fact_changes"))) == plain(chat.fact_items(facts))
+    facts = spark.createDataFrame(rows, FACTS)
+    changes = run_facts(spark, tmp_path, [facts.filter("turn >= 3"), facts.filter("turn < 3")])  # late facts move the first place
+    assert plain(current_facts(changes)) == plain(chat.fact_items(facts))
+
+
+def test_facts_begin_from_a_table(spark, tmp_path):
+    rows = [(1, t, "need", [f"v{t % 3}", "all"]) for t in range(6)]
+    facts = spark.createDataFrame(rows, FACTS)
+    known = chat.fact_items(facts.filter("turn < 2")).select("session_id", "name", "item", "first.turn", F.col("first.pos").cast("long").alias("pos"))
+    changes = run_facts(spark, tmp_path, [facts.filter("turn >= 4"), facts.filter("turn IN (2, 3)")], known)
+    assert {r["item"] for r in changes.collect()} == {"v2"}  # all others are known
+    assert plain(current_facts(changes.drop("batch").unionByName(known))) == plain(chat.fact_items(facts))
+
+
+@pytest.mark.parametrize("keep_ms, again", [(1, 1), (10**9, 0)])
+def test_facts_leave_the_state(spark, tmp_path, keep_ms, again):
+    first, second = (spark.createDataFrame([(1, t, "need", ["x"])], FACTS) for t in (0, 5))
+    changes = run_facts(spark, tmp_path, [first, second], keep_ms=keep_ms)
+    assert changes.filter("batch > 0").count() == again
+    assert plain(current_facts(changes)) == {(1, "need", "x", 0, 0)}
 
 
 def test_vector_store_appends_and_prunes(spark, tmp_path):
