@@ -149,14 +149,14 @@ def stage_report(facts: dict[str, Column], labels: dict[str, str]) -> Column:
     return F.array_join(F.array(*lines), "\n")
 
 
-def _pruned(value):
-    """The value without null, '', [] and {} at any depth; None when nothing is left."""
+def _pruned(value, drop):
+    """The value without leaves to drop and without [] and {} at any depth; None when nothing is left."""
     if isinstance(value, dict):
-        kept = {k: p for k, v in value.items() if (p := _pruned(v)) is not None}
+        kept = {k: p for k, v in value.items() if (p := _pruned(v, drop)) is not None}
     elif isinstance(value, list):
-        kept = [p for v in value if (p := _pruned(v)) is not None]
+        kept = [p for v in value if (p := _pruned(v, drop)) is not None]
     else:
-        return None if value == "" else value
+        return None if drop(value) else value
     return kept or None
 
 
@@ -170,22 +170,41 @@ def _leaves(value, path: tuple[str, ...] = ()):
         yield path, value
 
 
-def _flat(text, prune: bool):
-    try:
-        value = json.loads(text)
-    except (TypeError, ValueError):
-        return None
-    leaves = _leaves(_pruned(value) or {} if prune else value)
-    return {"_".join(path): v if v is None or isinstance(v, str) else json.dumps(v) for path, v in leaves}
+def _flat(value) -> dict[str, str | None]:
+    return {"_".join(path): v if v is None or isinstance(v, str) else json.dumps(v) for path, v in _leaves(value)}
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json(texts: pd.Series) -> pd.Series:
+_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, _MAP) for name in ("everything", "without_empty", "without_false")]))
+def flat_json_forms(texts: pd.Series) -> pd.DataFrame:
+    """Nested JSON to three maps {a_b_0: leaf} from one parse; NULL when the text is no JSON.
+
+    ``without_empty`` leaves out null, '', [] and {} at every depth, ``without_false`` also 0 and false.
+    """
+    forms = []
+    for text in texts:
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError):
+            forms.append((None, None, None))
+            continue
+        pruned = [_pruned(value, drop) or {} for drop in (lambda v: v is None or v == "", lambda v: not v)]
+        forms.append(tuple(_flat(v) for v in (value, *pruned)))
+    return pd.DataFrame(forms, columns=["everything", "without_empty", "without_false"], dtype=object)
+
+
+def flatten_json(c: Column) -> Column:
     """Nested JSON to {a_b_0: leaf}; NULL when the text is no JSON."""
-    return texts.map(lambda t: _flat(t, False))
+    return flat_json_forms(c)["everything"]
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json_without_empty(texts: pd.Series) -> pd.Series:
+def flatten_json_without_empty(c: Column) -> Column:
     """As ``flatten_json`` with null, '', [] and {} left out at every depth (0 and false stay)."""
-    return texts.map(lambda t: _flat(t, True))
+    return flat_json_forms(c)["without_empty"]
+
+
+def flatten_json_without_false(c: Column) -> Column:
+    """As ``flatten_json`` with all of null, '', [], {}, 0 and false left out at every depth."""
+    return flat_json_forms(c)["without_false"]

@@ -53,18 +53,50 @@ def remove_emoji(c: Column) -> Column:
     return F.regexp_replace(c, EMOJI_PATTERN, "")
 
 
+# What is a mark within a line.
+RULE = r"[-*_]{2,}\n?"
+STARRED = r"\*[^*]+\*"
+CODE = r"`[^`]+`"
+EMPTY_FENCE = r"`{6}"
+LINK = r"\[[^\]]+\]\([^)]+\)"
+ADDRESS = r"https?://\S+"
+# a mark, a run of letters that can begin none, or any one letter
+MARKDOWN_TOKEN = rf"({RULE}|{STARRED}|{CODE}|{EMPTY_FENCE}|{LINK}|{ADDRESS}|[^-*_`\[h]+|[\s\S])"
+
+
+def _is_block(line: Column, followed: Column) -> Column:
+    """Headings and list items: the first word is hashes, a bullet or a number with a dot, and something comes after it."""
+    words = F.split(line, r"\s", 2)
+    sign = words[0]
+    hashes = (sign != "") & (F.translate(sign, "#", "") == "")
+    return (hashes | sign.isin("*", "-") | sign.rlike("^[0-9]+[.]$")) & ((F.size(words) > 1) | followed)
+
+
+def _without_marks(c: Column, depth: int) -> Column:
+    """The text read token by token: rules and addresses go, of emphasis, code and links the inside stays, read alike."""
+
+    def plain(token: Column) -> Column:
+        whole = lambda *kinds: token.rlike(rf"\A(?:{'|'.join(kinds)})\z")
+        inside = F.substr(token, F.lit(2), F.length(token) - 2)
+        label = F.substring_index(F.substr(token, F.lit(2)), "]", 1)
+        again = (lambda x: _without_marks(x, depth - 1)) if depth else (lambda x: x)
+        return (
+            F.when(whole(RULE, EMPTY_FENCE, ADDRESS), "").when(whole(STARRED, CODE), again(inside)).when(whole(LINK), again(label)).otherwise(token)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(MARKDOWN_TOKEN)), plain), "")
+
+
 def clean_markdown(c: Column) -> Column:
-    """Drop heading and list lines, rulers and emphasis, code marks, link targets and bare URLs.
+    """Without heading and list lines, rules, emphasis and code marks, link targets and bare addresses.
 
-    Lines are judged first, each with its line end. A run of rule signs goes wherever it stands, which takes double
-    emphasis with it, so single stars are all that is left to unwrap.
+    Lines are judged first. What is left is read once from the left; marks inside of marks are read up to two levels deep.
     """
-    pieces = F.regexp_extract_all(c, F.lit(r"([^\n]*\n|[^\n]+)"))
-    body = F.array_join(F.filter(pieces, lambda line: ~line.rlike(r"^(?:#+|[*-]|[0-9]+[.])\s")), "")
-    body = F.regexp_replace(body, r"[-*_]{2,}\n?", "")
-    for sign in ("[*]", "`"):
-        body = F.regexp_replace(body, f"{sign}([^{sign.strip('[]')}]+){sign}", "$1")
-    return F.regexp_replace(body, r"\[([^\]]+)\]\([^)]+\)|https?://\S+|`{6}", "$1")
+    lines = F.split(c, "\n")
+    last = F.element_at(lines, -1)
+    before = F.filter(F.slice(lines, 1, F.size(lines) - 1), lambda line: ~_is_block(line, F.lit(True)))
+    end = F.when(_is_block(last, F.lit(False)), "").otherwise(last)
+    return _without_marks(F.array_join(F.concat(before, F.array(end)), "\n"), 2)
 
 
 # Patterns that decide which characters count as junk and which texts as Markdown.

@@ -110,6 +110,27 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return ranged.withColumn(out, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + skipped).drop("_range")
 
 
+def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, out: str) -> DataFrame:
+    """(keys, out): the smallest value of a group up to which at least this share of its values lies; nulls do not count.
+
+    Values are counted first. The counts are sorted by ranges, a group of any size over many tasks; the sums of the ranges
+    tell in which one the group's place lies, and only that range is added up value by value.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = F.struct(*keys)
+    ranged = counted.select(group.alias("_group"), F.col(value).alias(out), "_n").repartitionByRange("_group", out)
+    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_group", "_range").agg(F.sum("_n").alias("_sum"))  # a group has one row a range
+    before = F.sum("_sum").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_sum")
+    total = F.sum("_sum").over(Window.partitionBy("_group"))
+    place = F.greatest(F.ceil(total * F.lit(share) - 1e-9), F.lit(1))
+    found = sums.select("_group", "_range", "_sum", before.alias("_before"), place.alias("_place"))
+    found = found.filter((F.col("_before") < F.col("_place")) & (F.col("_before") + F.col("_sum") >= F.col("_place")))
+    running = F.col("_before") + F.sum("_n").over(Window.partitionBy("_group", "_range").orderBy(out))
+    inside = ranged.join(found, ["_group", "_range"]).withColumn("_running", running)
+    return inside.filter("_running >= _place").groupBy("_group").agg(F.min(out).alias(out)).select(*[F.col("_group")[k].alias(k) for k in keys], out)
+
+
 def visible(df: DataFrame, mode: str = "live") -> DataFrame:
     """Soft deletion: 'live' hides deleted rows, 'deleted' shows only them, 'all' shows both."""
     if mode == "all":

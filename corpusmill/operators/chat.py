@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
-from corpusmill.operators.catalog import latest_child, valid_score
+from corpusmill.operators.catalog import exact_quantile, latest_child, valid_score
 
 # ---- questions and answers ----
 
@@ -185,12 +185,13 @@ def test_runs(messages: DataFrame) -> DataFrame:
         F.get_json_object(log, "$.processing_time").cast("double").alias("seconds"),
         valid_score(F.col("score").cast("string"), F.lit(False)).alias("score"),
     )
-    return runs.filter("test IS NOT NULL").groupBy("test", "llm", "scheme").agg(
-        F.count("*").alias("n_runs"),
-        F.avg("seconds").alias("avg_seconds"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY seconds)").alias("p95_seconds"),
-        F.avg("score").alias("avg_score"),
-    )
+    runs = runs.filter("test IS NOT NULL")
+    kinds = ["test", "llm", "scheme"]
+    means = runs.groupBy(*kinds).agg(F.count("*").alias("n_runs"), F.avg("seconds").alias("avg_seconds"), F.avg("score").alias("avg_score"))
+    late = exact_quantile(runs, kinds, "seconds", 0.95, "p95_seconds")
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"l.{k}")) for k in kinds]
+    both = means.alias("m").join(late.alias("l"), same, "left")
+    return both.select(*[f"m.{k}" for k in kinds], "n_runs", "avg_seconds", "p95_seconds", "avg_score")
 
 
 def enriched_tests(tests: DataFrame, chunks: DataFrame) -> DataFrame:

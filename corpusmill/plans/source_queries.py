@@ -78,12 +78,13 @@ def catalogue_export_rows(spark, sf_dir):
         FROM windows JOIN documents USING (doc_id) GROUP BY source""",
 )
 def appended_chunks(spark, sf_dir):
-    """Chunks appended in two batches and read back from the table, partitioned by storage."""
+    """Chunks appended in two jobs, each run twice, and read back from the table, partitioned by storage."""
     path = shared_path(spark, "chunks")
     contents = _documents(spark, sf_dir)
     for even in (True, False):
         part = contents.filter((F.col("content_id") % 2 == 0) if even else (F.col("content_id") % 2 != 0))
-        writers.append_chunks(chunking.chunk_contents(part, "window", {}, carry=("storage_id",)), path)
+        for _ in range(2):
+            writers.append_chunks(chunking.chunk_contents(part, "window", {}, carry=("storage_id",)), path, job=f"even={even}")
     stored = spark.read.parquet(path)
     return stored.groupBy("storage_id").agg(
         F.count("*").alias("n_chunks"), F.sum(F.length("page_content")).alias("n_chars"), F.max("ordinal").cast("long").alias("last")
@@ -104,14 +105,14 @@ def exported_chunks(spark, sf_dir):
     """SELECT vec_id AS chunk_id, label::VARCHAR AS storage_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::BIGINT AS dims FROM embeddings WHERE label = 3""",
 )
 def loaded_vectors(spark, sf_dir):
-    """Vectors appended to the store, and one index read back by its folder."""
+    """Vectors appended to the store by two jobs, and one index read back by its folder."""
     path = shared_path(spark, "vectors")
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding"),
         F.col("label").cast("string").alias("storage_id"), F.lit("given").alias("engine"),
     )
-    writers.append_vectors(vectors.filter("chunk_id % 2 = 0"), path)
-    writers.append_vectors(vectors.filter("chunk_id % 2 <> 0"), path)
+    for part in ("chunk_id % 2 = 0", "chunk_id % 2 <> 0", "chunk_id % 2 = 0"):  # the first job is run again
+        writers.append_vectors(vectors.filter(part), path, job=part.replace(" ", ""))
     found = writers.load_vectors(spark, path, "3", "given")
     return found.select(
         "chunk_id", "storage_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dims")

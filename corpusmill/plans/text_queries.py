@@ -131,30 +131,29 @@ def chunk_headers(spark, sf_dir):
 @query(
     "T10, T11",
     """SELECT event_id, json_extract_string(props, '$.k') AS k, user_id::VARCHAR AS who,
-         event_type AS first_tag, 2::BIGINT AS n_tags, 5::BIGINT AS n_all
+         event_type AS first_tag, 2::BIGINT AS n_tags, 7::BIGINT AS n_all, 6::BIGINT AS n_kept, 2 + (user_id <> 0)::BIGINT + (user_id % 4 <> 0)::BIGINT + (json_extract(props, '$.k')::BIGINT <> 0)::BIGINT AS n_true
        FROM events""",
 )
 def flattened_event_json(spark, sf_dir):
     nested = F.to_json(
         F.named_struct(
             F.lit("props"), F.from_json("props", "k long"),
-            F.lit("user"), F.named_struct(F.lit("id"), F.col("user_id"), F.lit("note"), F.lit("")),
+            F.lit("user"), F.named_struct(F.lit("id"), F.col("user_id"), F.lit("note"), F.lit(""), F.lit("left"), F.col("user_id") % 4, F.lit("off"), F.lit(False)),
             F.lit("tags"), F.array(F.col("event_type"), F.lit("seen")),
         )
     )
-    # note '' stays in the plain variant and goes in the pruned one
-    df = table(spark, sf_dir, "events").select(
-        "event_id",
-        meta.flatten_json(nested).alias("everything"),
-        meta.flatten_json_without_empty(nested).alias("leaves"),
-    )
+    # note '' stays in the plain form and goes in the second; 0 and false go in the third
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", meta.flat_json_forms(nested).alias("f"))
+    leaves = F.col("f.without_empty")
     return df.select(
         "event_id",
-        F.col("leaves")["props_k"].alias("k"),
-        F.col("leaves")["user_id"].alias("who"),
-        F.col("leaves")["tags_0"].alias("first_tag"),
-        F.size(F.map_filter("leaves", lambda k, _: k.startswith("tags_"))).cast("long").alias("n_tags"),
-        F.size("everything").cast("long").alias("n_all"),
+        leaves["props_k"].alias("k"),
+        leaves["user_id"].alias("who"),
+        leaves["tags_0"].alias("first_tag"),
+        F.size(F.map_filter(leaves, lambda k, _: k.startswith("tags_"))).cast("long").alias("n_tags"),
+        F.size("f.everything").cast("long").alias("n_all"),
+        F.size("f.without_empty").cast("long").alias("n_kept"),
+        F.size("f.without_false").cast("long").alias("n_true"),
     )
 
 

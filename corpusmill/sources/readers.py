@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,10 @@ from corpusmill.functions.text import file_extension, strip
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder: url, path, file_name, is_dir, last_modified, size, file_id. No content is read."""
+    """Files below a folder: url, path, file_name, is_dir, last_modified, size, file_id. No content is read.
+
+    Spark's file source passes over files without any byte.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
@@ -42,9 +48,26 @@ def fingerprint(c: Column, bits: int = 512) -> Column:
     return F.sha2(c, bits)
 
 
-def file_fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.col("path").alias("url"), fingerprint(F.col("content")).alias("hash"))
+BLOCK = 1 << 20
+
+
+def file_fingerprints(spark: SparkSession, root: str, block: int = BLOCK, algorithm: str = "sha512") -> DataFrame:
+    """(url, hash) of all files below a folder. A task reads a file block by block; no file is ever a value of a row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("url"))
+
+    def run(batches):
+        for batch in batches:
+            hashes = []
+            for url in batch.column("url").to_pylist():
+                system, path = FileSystem.from_uri(re.sub(r"^file:/+", "/", url))
+                seen = hashlib.new(algorithm)
+                with system.open_input_stream(path) as stream:
+                    while part := stream.read(block):
+                        seen.update(part)
+                hashes.append(seen.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(hashes, pa.string())], ["url", "hash"])
+
+    return files.mapInArrow(run, "url string, hash string")
 
 
 def url_list(raw: Column) -> Column:

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from corpusmill.functions import fixed
 from corpusmill.functions.meta import label_of
 from corpusmill.sources.readers import read_or_empty
 
 
-def append_chunks(chunks: DataFrame, path: str, partition_by: tuple[str, ...] = ("storage_id",)) -> None:
-    chunks.write.mode("append").partitionBy(*partition_by).parquet(path)
+ROWS_A_FILE = 1_000_000
+
+
+def append_by(rows: DataFrame, path: str, keys: tuple[str, ...], job: str | None = None, rows_a_file: int = ROWS_A_FILE) -> None:
+    """Append to a table with a folder for every key and job.
+
+    A large key is dealt over files of about ``rows_a_file`` rows, a small one gets one file, whatever the number of tasks.
+    A job that is run again under its name replaces the rows that it wrote before.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / rows_a_file).alias("_files")).select(F.struct(*keys).alias("_key"), "_files")
+    sized = rows.withColumn("_key", F.struct(*keys)).join(sizes, "_key")
+    file = F.pmod(F.xxhash64(*[c for c in rows.columns if not isinstance(rows.schema[c].dataType, (MapType, VariantType))]), "_files")
+    dealt = sized.withColumn("_file", file).repartition("_key", "_file").drop("_key", "_files", "_file")
+    named = dealt.withColumn("job", F.lit(job or uuid.uuid4().hex))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "job").parquet(path)
+
+
+def append_chunks(chunks: DataFrame, path: str, partition_by: tuple[str, ...] = ("storage_id",), job: str | None = None) -> None:
+    append_by(chunks, path, partition_by, job)
 
 
 def export_chunks(chunks: DataFrame, path: str, fmt: str = "json") -> None:
@@ -19,9 +39,9 @@ def export_chunks(chunks: DataFrame, path: str, fmt: str = "json") -> None:
     chunks.write.mode("overwrite").format(fmt).save(path)
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
+def append_vectors(vectors: DataFrame, path: str, job: str | None = None) -> None:
     """Vector table partitioned so that one index is one folder."""
-    vectors.write.mode("append").partitionBy("storage_id", "engine").parquet(path)
+    append_by(vectors, path, ("storage_id", "engine"), job)
 
 
 def load_vectors(spark: SparkSession, path: str, storage_id: str | None = None, engine: str | None = None) -> DataFrame:

@@ -105,6 +105,46 @@ def test_chunks_are_appended_by_storage(spark, tmp_path):
     assert stored.filter("storage_id = 7").count() == 2 and stored.count() == 4
 
 
+def test_a_repeated_job_replaces_its_rows_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    chunks = spark.range(3000).repartition(20).select(F.col("id").alias("chunk_id"), F.when(F.col("id") < 2500, 1).otherwise(F.col("id") % 7).alias("storage_id"))
+    for job in ("a", "a", "b", "b"):
+        writers.append_by(chunks, path, ("storage_id",), job, rows_a_file=1000)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 6000 and stored.filter("job = 'a'").count() == 3000
+    files = [f for f in stored.inputFiles() if "job=a" in f]
+    assert len([f for f in files if "storage_id=1/" in f]) <= 3 and len(files) <= 9
+
+
+def test_files_are_hashed_block_by_block(spark, tmp_path):
+    import hashlib
+
+    contents = {"a.bin": bytes(range(256)) * 50, "b c.txt": b"y" * 100, "d%20e.txt": b"x" * 7}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["hash"] for r in readers.file_fingerprints(spark, str(tmp_path), block=100).collect()}
+    assert got == {hashlib.sha512(c).hexdigest() for c in contents.values()}
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    from corpusmill.operators.catalog import exact_quantile
+
+    r = random.Random(3)
+    rows = [(g, k, r.choice([None, r.randrange(40) / 2, 7.0])) for g, k, n in (("a", 1, 400), ("a", None, 60), ("b", 2, 1), (None, None, 33)) for _ in range(n)]
+    rows += [("empty", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, x double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {(r["g"], r["k"]): r["q"] for r in exact_quantile(df, ["g", "k"], "x", share, "q").collect()}
+        want = {}
+        for key in {row[:2] for row in rows}:
+            values = sorted(x for *k, x in rows if tuple(k) == key and x is not None)
+            if values:
+                want[key] = next(v for i, v in enumerate(values, 1) if i >= share * len(values) - 1e-9)
+        assert got == want
+
+
 def test_catalogue_export_has_seven_columns(spark, tmp_path):
     schema = "source_id long, title string, description string, path string, url string, output_format string, status string"
     documents = spark.createDataFrame([(1, "t", None, "/p", "http://u", "f", "ready")], schema)

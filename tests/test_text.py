@@ -70,6 +70,9 @@ def test_flatten_json(one):
     assert one(meta.flatten_json, c=nested) == {"a_b_0": "x", "a_b_1": "", "a_b_2_c": "0", "n": None}
     assert one(meta.flatten_json_without_empty, c=nested) == {"a_b_0": "x", "a_b_1_c": "0"}
     assert one(meta.flatten_json, c="no json") is None
+    falsy = '{"a": 0, "b": [false, 0, {"c": ""}, "x", [1.5]], "d": {"e": null}, "f": true}'
+    assert one(meta.flatten_json_without_false, c=falsy) == {"b_0": "x", "b_1_0": "1.5", "f": "true"}
+    assert one(meta.flatten_json_without_empty, c=falsy) == {"a": "0", "b_0": "false", "b_1": "0", "b_2": "x", "b_3_0": "1.5", "f": "true"}
 
 
 def test_chunk_header(one):
@@ -105,6 +108,22 @@ def test_scores_and_cost(one):
     assert one(lambda m: chat.token_cost(m, F.lit(1), F.lit(1), cached=True), m="o1-pro")["prompt"] is None
 
 
+def test_clean_markdown_reads_marks_inside_of_marks(one):
+    cases = {
+        "[**b** `c`](u) *a [t](u) b* `x *y* z`": "b c a t b x y z",
+        "a -- b\n***\nc __d__ ``````e": "a  b\nc d e",
+        "x\n# h": "x\n",
+        "#\nnext": "next",
+        "1. one": "",
+        "1.one *open `half [no](": "1.one *open `half [no](",
+        "```code```": "``code``",
+        "see http://h/*a*/b--c, here": "see  here",
+    }
+    for given, want in cases.items():
+        assert one(text.clean_markdown, c=given) == want, given
+    assert one(text.clean_markdown, c=None) is None
+
+
 def test_clean_markdown_keeps_other_lines(one):
     assert one(text.clean_markdown, c="a\n## h\n1. x\n- y\nb *c* `d`\n") == "a\nb c d\n"
     assert one(text.clean_markdown, c="#no heading, -no list\n") == "#no heading, -no list\n"
