@@ -42,6 +42,39 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
+@dataclass(frozen=True)
+class PivotRule(Rule):
+    """A rule that begins with a run of letters of any length and is found from the literal behind that run.
+
+    The run consists of ``letters``, which the literal's first sign is not one of, and a match begins at the first ``begin`` in
+    it, ``least_run`` letters before the literal at least. ``rest`` is the pattern from the literal on. Going from the literal
+    to both sides reads every letter once, where the plain pattern would begin anew at every letter of a long run.
+    """
+
+    pivot: str = ""
+    letters: str = ""
+    begin: str = ""
+    least_run: int = 1
+    rest: str = ""
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Leftmost matches that do not overlap."""
+        letters, begin, rest = set(self.letters), re.compile(self.begin), re.compile(self.rest, re.ASCII)
+        done, at = 0, text.find(self.pivot)
+        while at >= 0:
+            run = at
+            while run > done and text[run - 1] in letters:
+                run -= 1
+            first = begin.search(text, run, at)
+            found = rest.match(text, at) if first and at - first.start() >= self.least_run else None
+            if found:
+                yield first.start(), found.end()
+                done = found.end()
+            at = text.find(self.pivot, found.end() if found else at + 1)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
 # The first three rules, and the public shapes of well-known keys.
 BASE_RULES = [
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
@@ -52,10 +85,16 @@ MORE_RULES = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    PivotRule(
+        "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        pivot=".eyJ", letters=LOWER + UPPER + DIGITS + "_-", begin="eyJ", least_run=11, rest=r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    ),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("login_url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[A-Za-z0-9.-]+"),
-]
+    PivotRule(
+        "login_url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[A-Za-z0-9.-]+",
+        pivot="://", letters=LOWER + DIGITS + "+.-", begin="[a-z]", rest=r"://[^\s:/@]+:[^\s:/@]+@[A-Za-z0-9.-]+",
+    ),
+]
 RULES = [*BASE_RULES, *MORE_RULES]
 Query = frozenset[frozenset[str]]
 
@@ -199,6 +238,8 @@ class Shard:
 
 def matches(rule: Rule, pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
     """Leftmost matches that do not overlap, the too short ones dropped."""
+    if isinstance(rule, PivotRule):
+        return list(rule.spans(text))
     return [m.span() for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 

@@ -10,6 +10,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -25,7 +26,7 @@ from corpusmill.llm.common import stored
 
 # Fixed values: (verdict, host and path) of the rules.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-LONGEST_WORD = 20
+LONGEST_GUESS = 20  # letters of a piece that no text has as a word; longer strangers are cut, words of the texts are not
 WORD = re.compile(r"[a-z]{2,}")
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -61,7 +62,7 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
             if seen:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    counted = texts.select(column).mapInPandas(count, "word string, n long").where(F.length("word") <= LONGEST_WORD)
+    counted = texts.select(column).mapInPandas(count, "word string, n long")
     return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
 
 
@@ -72,15 +73,21 @@ class Splitter(dict):
         super().__init__()
         total = max(sum(counts.values()) if total is None else total, 1)
         self.known = {w: math.log(n / total) for w, n in counts.items()}
-        self.unknown = [0.0] + [math.log(10.0 / total) - n * math.log(10.0) for n in range(1, LONGEST_WORD + 1)]
+        self.unknown = [0.0] + [math.log(10.0 / total) - n * math.log(10.0) for n in range(1, LONGEST_GUESS + 1)]
 
     def __missing__(self, name: str) -> list[str]:
         best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+        longer: dict[int, list[tuple[int, float]]] = {}
+        for word in [w for w in self.known if LONGEST_GUESS < len(w) <= len(name)]:
+            start = name.find(word)
+            while start >= 0:
+                longer.setdefault(start + len(word), []).append((start, self.known[word]))
+                start = name.find(word, start + 1)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                value = best[start] + self.known.get(name[start:end], self.unknown[end - start])
-                if value > best[end]:
-                    best[end], back[end] = value, start
+            pieces = [(start, self.known.get(name[start:end], self.unknown[end - start])) for start in range(max(0, end - LONGEST_GUESS), end)]
+            for start, gain in sorted(longer.get(end, ())) + pieces:
+                if best[start] + gain > best[end]:
+                    best[end], back[end] = best[start] + gain, start
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
@@ -119,15 +126,24 @@ def names(host: str, path: str) -> Iterator[tuple[str, str]]:
             yield mark, f"#{len(name)}" if name.isdigit() else name
 
 
+def word_key(word: str) -> str:
+    """What a word is joined by: itself, or where it is long its hash, so that no row of a name's pieces is long."""
+    return word if len(word) <= LONGEST_GUESS else "#" + hashlib.md5(word.encode()).hexdigest()
+
+
 def split_names(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) of each distinct name: its parts of up to LONGEST_WORD letters meet the whole table of words."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    """(name, words) of each distinct name: its pieces, of all lengths that words have, meet the whole table of words.
+
+    A piece travels with the number of its name; the name itself stands in one row.
+    """
+    sizes = counts.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # one row a length
+    total, lengths = sum(r["n"] for r in sizes), sorted(r["size"] for r in sizes)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = ((x, x[i:j]) for x in batch["name"] for i in range(len(x)) for j in range(i + 2, min(i + LONGEST_WORD, len(x)) + 1))
+            found = ((k, word_key(x[i : i + n])) for k, x in zip(batch["number"], batch["name"]) for n in lengths for i in range(len(x) - n + 1))
             while some := list(islice(found, 100_000)):
-                yield pd.DataFrame(some, columns=["name", "word"])
+                yield pd.DataFrame(some, columns=["number", "key"]).drop_duplicates()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,8 +153,11 @@ def split_names(found: DataFrame, counts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"name": batch["name"], "words": words})
 
     letters = found.where("name <> '' AND NOT startswith(name, '#')").select("name").distinct()
-    known = letters.mapInPandas(parts, "name string, word string").join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return stored(letters.join(known, "name", "left").mapInPandas(split, "name string, words array<string>"), "url-split")
+    letters = stored(letters.withColumn("number", F.monotonically_increasing_id()), "url-letters")
+    key = F.when(F.length("word") <= LONGEST_GUESS, F.col("word")).otherwise(F.concat(F.lit("#"), F.md5("word")))
+    met = letters.select("number", "name").mapInPandas(parts, "number long, key string").join(counts.withColumn("key", key), "key")
+    known = met.groupBy("number").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    return stored(letters.join(known, "number", "left").select("name", "known").mapInPandas(split, "name string, words array<string>"), "url-split")
 
 
 @dataclass
@@ -180,13 +199,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, texts: str
     rows = stored(rows.withColumn("ruled", verdicts).withColumn("row", F.monotonically_increasing_id()), "url-rows")
     found = stored(names_of(rows.select("host", "path", (F.col("ruled") == "block").alias("blocked"))), "url-names")
     split = found.where("name <> ''").join(split_names(found, word_counts(pages, texts)), "name", "left")
-    split = split.withColumn("words", F.coalesce("words", F.array("name")))
-    placed = split.select("mark", "name", "words", "blocked", "allowed", F.posexplode("words").alias("at", "word"))
+    split = stored(split.withColumn("words", F.coalesce("words", F.array("name"))).withColumn("number", F.monotonically_increasing_id()), "url-split-names")
+    # a word travels with the number of its name, never with the name and its other words
+    placed = split.select("number", "mark", "blocked", "allowed", F.posexplode("words").alias("at", "word"))
     placed = stored(placed.withColumn("token", F.concat_ws(":", "mark", "word")), "url-placed")
     table = stored(placed.groupBy("token").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")), "url-tokens")
     model = fit_bayes(found, table)
-    weighed = placed.select("mark", "name", "words", "at", "token").join(table.select("token", model.weight(F.col("blocked"), F.col("allowed")).alias("weight")), "token")
-    weighed = weighed.groupBy("mark", "name").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("weights"))
+    weighed = placed.select("number", "at", "token").join(table.select("token", model.weight(F.col("blocked"), F.col("allowed")).alias("weight")), "token")
+    weighed = weighed.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("weights"))
+    weighed = split.select("number", "mark", "name", "words").join(weighed, "number")
     weighed = stored(weighed.select("mark", "name", "words", F.col("weights.weight").alias("weights")), "url-weights")
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 
 import pytest
 import xxhash
@@ -70,6 +71,22 @@ def test_every_match_fulfils_its_query(rule):
     check()
 
 
+@given(st.lists(st.sampled_from(["://", ".eyJ", "eyJ", "a", "Z9", "http", "user", ":", "@", "/", ".", "-", "+", " ", "abcdefgh", "é", "1", "_"]), max_size=40).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_pivots_find_what_the_patterns_find(text):
+    for rule in secret_scan.RULES:
+        if isinstance(rule, secret_scan.PivotRule):
+            assert list(rule.spans(text)) == [m.span() for m in re.finditer(rule.pattern, text, re.ASCII)]
+
+
+@pytest.mark.parametrize("text", ["http://" + "a" * 1_000_000, "a" * 1_000_000 + "://u:p@h", "eyJ" * 300_000 + ".eyJ", "eyJabcdefgh.eyJ" * 60_000, "://" * 300_000, "a://b:" * 150_000, " " * 1_000_000])
+def test_long_runs_are_read_once(text):
+    start = time.monotonic()
+    for rule in secret_scan.RULES:
+        secret_scan.matches(rule, rule.compiled(), text)
+    assert time.monotonic() - start < 10
+
+
 def test_scan_of_nothing(nothing):
     assert secret_scan.report(nothing).count() == 0
 
@@ -176,7 +193,7 @@ def test_words_are_split_by_their_counts():
     def brute(name):
         if not name:
             return 0.0
-        return max(split.known.get(name[:i], split.unknown[i]) + brute(name[i:]) for i in range(1, min(len(name), url_filter.LONGEST_WORD) + 1))
+        return max(split.known.get(name[:i], split.unknown[i]) + brute(name[i:]) for i in range(1, min(len(name), url_filter.LONGEST_GUESS) + 1))
 
     for name in ("bestcarloan", "xcarx", "loansbest"):
         assert sum(split.known.get(w, split.unknown[len(w)]) for w in split[name]) == pytest.approx(brute(name))
@@ -191,6 +208,16 @@ def test_bayes_learns_from_the_rules(spark):
     assert got[101]["verdict"] == "allow" and got[101]["block_odds"] < 0
 
 
+def test_long_words_of_the_texts_stay_whole(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"https://{long}.org/x", f"{long} {long} car"), (2, f"https://best{long}car.org/x", "best car car"), (3, "https://host.org/" + "ab" * 50_000, "host")]
+    start = time.monotonic()
+    got = {r["page_id"]: r["host_words"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].split() == [long, "or", "g"] or got[1].split()[0] == long
+    assert got[2].split()[:3] == ["best", long, "car"]
+    assert len(got) == 3 and time.monotonic() - start < 90
+
+
 def test_rare_words_and_tokens_count_beside_very_many(spark):
     many = ["".join(x) for x in itertools.islice(itertools.product("bcdfghjklmnprstvwxy", repeat=5), 210_000)]
     pages = [(1, "http://a.net/casino/" + "/".join(many), " ".join(many[:60_000] * 2)), (2, "http://a.org/fr/" + "/".join(many), "zebra quilt")]
