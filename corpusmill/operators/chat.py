@@ -154,7 +154,8 @@ def checked_sample(storages: DataFrame, sources: DataFrame, n: int, seed: int) -
 
 
 def test_texts(sources: DataFrame, contents: DataFrame) -> DataFrame:
-    """Text to test on: the whole newest body, or a file card."""
+    """Text to test on of every ACTIVE source: the whole newest body, or a file card."""
+    sources = sources.filter(F.col("status") == "active")
     newest = latest_child(contents.select("source_id", "content_id", "created_at", "body"), "source_id", ["created_at", "content_id"])
     card = F.concat(F.lit("Документ: "), "file_url", F.lit(". Описание: "), F.coalesce("description", F.lit("")))
     text = F.when(F.col("output_format") == "f", card).otherwise(F.col("body"))

@@ -150,13 +150,14 @@ def storages_short_of_sources(spark, sf_dir):
 @query(
     "E2",
     """SELECT doc_id AS source_id, CASE WHEN lang = 'de' THEN 'Документ: http://files/' || doc_id || '. Описание: ' || source
-         ELSE text END AS test_text FROM documents""",
+         ELSE text END AS test_text FROM documents WHERE doc_id % 4 <> 0""",
 )
 def texts_to_test(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sources = docs.select(
         F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "de", "f").otherwise("t").alias("output_format"),
         F.concat(F.lit("http://files/"), "doc_id").alias("file_url"), F.col("source").alias("description"),
+        F.when(F.col("doc_id") % 4 == 0, "ready").otherwise("active").alias("status"),
     )
     versions = docs.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
     contents = versions.select(
@@ -226,7 +227,7 @@ FACTS_SQL = f"""WITH f AS ({_FACTS}), i AS (SELECT session_id, turn, name, unnes
         SELECT session_id, name, item, min(turn) AS turn, arg_min(pos, (turn, pos))::BIGINT AS pos FROM i WHERE item <> '' GROUP BY 1, 2, 3"""
 
 
-@query("E6, X2", FACTS_SQL)
+@query("E6", FACTS_SQL)
 def accumulated_fact_items(spark, sf_dir):
     items = chat.fact_items(session_facts(spark, sf_dir))
     return items.select("session_id", "name", "item", "first.turn", F.col("first.pos").cast("long").alias("pos"))

@@ -9,7 +9,7 @@ from corpusmill.operators import chunking as ch
 from corpusmill.operators import pages as pg
 from corpusmill.plans.registry import query, table
 from corpusmill.plans.standins import standin
-from corpusmill.plans.text_queries import count_sql, marked
+from corpusmill.plans.text_queries import MARKED_SQL, count_sql, marked
 
 WINDOWS_SQL = """windows AS (SELECT doc_id, i AS ordinal, substr(text, i * 800 + 1, 1000) AS page_content FROM documents,
   LATERAL (SELECT unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0))::BIGINT)) AS i))"""
@@ -61,33 +61,38 @@ def words_kept_by_recursive_split(spark, sf_dir):
     return split.select(F.col("doc_id").alias("content_id"), F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("words"))
 
 
-def _kept(chunks, contents, size):
-    """Per document: whether all chunks fit, are numbered without gaps, and hold all of its words and no others."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    parts = chunks.groupBy("content_id").agg(
-        F.max("size_in_tokens").alias("largest"),
-        F.count("*").alias("n"),
-        F.max("ordinal").alias("last"),
-        F.array_distinct(F.flatten(F.collect_list(words(F.col("page_content"))))).alias("found"),
+def _kept(chunks, contents, size, overlap):
+    """Per document: words of its text that stand in its chunks as often as in the text, words that are not in the text at all,
+    and whether chunks fit, are numbered without gaps and repeat no more than the overlap allows."""
+    each = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"))).alias("word")
+    own = contents.select("content_id", each(F.col("body"))).groupBy("content_id", "word").agg(F.count("*").alias("n"))
+    got = chunks.select("content_id", each(F.col("page_content"))).groupBy("content_id", "word").agg(F.count("*").alias("m"))
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    words = own.join(got, ["content_id", "word"], "full").groupBy("content_id").agg(
+        F.sum(F.least(n, m)).alias("n_kept"),
+        F.sum(F.when(n == 0, m).otherwise(0)).alias("n_foreign"),
+        F.sum(F.when(n > 0, F.greatest(m - n, F.lit(0))).otherwise(0)).alias("n_repeated"),
     )
-    own = words(F.col("body"))
-    return parts.join(contents, "content_id").select(
-        "content_id",
+    parts = chunks.groupBy("content_id").agg(F.max("size_in_tokens").alias("largest"), F.count("*").alias("chunks"), F.max("ordinal").alias("last"))
+    return words.join(parts, "content_id", "left").select(
+        "content_id", "n_kept", "n_foreign",
         (F.col("largest") <= size).alias("fits"),
-        (F.col("last") == F.col("n") - 1).alias("numbered"),
-        F.size(F.array_except(own, "found")).cast("long").alias("n_lost"),
-        F.size(F.array_except("found", own)).cast("long").alias("n_foreign"),
+        (F.col("last") == F.col("chunks") - 1).alias("numbered"),
+        (F.col("n_repeated") <= overlap * (F.col("chunks") - 1)).alias("repeats_fit"),
     )
 
 
-@query(
-    "C1, C7, P2",
-    r"""SELECT doc_id AS content_id, true AS fits, true AS numbered, 0::BIGINT AS n_lost, 0::BIGINT AS n_foreign FROM documents WHERE regexp_matches(text, '\S')""",
-)
+def _kept_sql(body: str, rest: str) -> str:
+    """What ``_kept`` gives for chunks that lose nothing: every word of the body."""
+    return rf"""SELECT doc_id AS content_id, len(regexp_extract_all({body}, '[\p{{L}}\p{{N}}]+'))::BIGINT AS n_kept, 0::BIGINT AS n_foreign,
+          true AS fits, true AS numbered, true AS repeats_fit FROM documents {rest}"""
+
+
+@query("C1, C7", _kept_sql("text", r"WHERE regexp_matches(text, '\S')"))
 def recursive_chunks(spark, sf_dir):
     contents = ch.usable(_contents(spark, sf_dir))
     chunks = ch.chunk_contents(contents, "recursive", {"chunk_size": 300, "chunk_overlap": 30}, report_id=1)
-    return _kept(chunks, contents.select("content_id", "body"), 300)
+    return _kept(chunks, contents.select("content_id", "body"), 300, 30)
 
 
 _HEADED = "concat('# ', source, '\n', replace(text, '\n', '\n## '))"
@@ -123,24 +128,36 @@ def page_chunks(spark, sf_dir):
     return _summary(ch.chunk_contents(ch.usable(contents), "page", config))
 
 
+def _legal(spark, sf_dir, **changes):
+    config = {"min_chunk_size": 150, "max_chunk_size": 400, "chunk_overlap": 30, "drop_below": 20, "letters": "[A-Za-zÀ-ÿ]"} | changes
+    contents = _contents(spark, sf_dir).withColumn("text", F.col("body")).withColumnRenamed("content_id", "doc_id")
+    contents = contents.withColumn("body", marked()).withColumnRenamed("doc_id", "content_id")
+    return ch.chunk_contents(contents, "legal", config), contents.select("content_id", "body")
+
+
 @query(
-    "C5, C6, T26, T27",
+    "T26, T27",
     "SELECT doc_id AS content_id, true AS numbered, 0::BIGINT AS n_misjudged FROM documents",
 )
 def legal_chunks(spark, sf_dir):
-    config = {"min_chunk_size": 150, "max_chunk_size": 400, "chunk_overlap": 30, "drop_below": 20, "letters": "[A-Za-zÀ-ÿ]"}
-    contents = _contents(spark, sf_dir).withColumn("text", F.col("body")).withColumnRenamed("content_id", "doc_id")
-    contents = contents.withColumn("body", marked()).withColumnRenamed("doc_id", "content_id")
-    chunks = ch.chunk_contents(contents, "legal", config)
+    chunks, contents = _legal(spark, sf_dir)
     # a chunk is of high quality by its letters and its left-over mark-up, counted here once more from its text
     body = F.col("page_content")
     share = 100 * F.length(F.regexp_replace(body, "[^A-Za-zÀ-ÿ]", "")) / F.length(body)
     marks = F.regexp_count(body, F.lit(r"#{1,6}|\*\*|\(\)|\[\]"))
     wrong = ((share >= 70) & (marks <= 2)) != (F.col("metadata")["high_quality"] == "true")
-    wrong = chunks.groupBy("content_id").agg(F.count_if(wrong).cast("long").alias("n_misjudged"))
-    held = _kept(chunks, contents.select("content_id", "body"), 400).join(wrong, "content_id")
-    whole = contents.select("content_id").join(held, "content_id", "left").fillna(True, ["numbered"]).fillna(0)
-    return whole.select("content_id", "numbered", "n_misjudged")
+    judged = chunks.groupBy("content_id").agg(
+        (F.max("ordinal") == F.count("*") - 1).alias("numbered"), F.count_if(wrong).cast("long").alias("n_misjudged")
+    )
+    # a document whose chunks are all below the bound has none
+    return contents.select("content_id").join(judged, "content_id", "left").fillna(True, ["numbered"]).fillna(0)
+
+
+@query("C5, C6", _kept_sql(MARKED_SQL, r"WHERE regexp_matches(text, '\S')"))
+def whole_legal_chunks(spark, sf_dir):
+    """With no bound on small chunks every word of a document has to be found again."""
+    chunks, contents = _legal(spark, sf_dir, drop_below=0)
+    return _kept(chunks, contents.filter(r"body rlike '\\S'"), 400, 30)
 
 
 _LETTERS = "[A-Za-zÀ-ÿ]"
@@ -193,8 +210,10 @@ def document_bodies_to_chunk(spark, sf_dir):
 
 @query(
     "C9, S8, P1, P4, P5",
-    """SELECT doc_id AS content_id, true AS numbered, 0::BIGINT AS n_lost FROM documents
-       WHERE length(text) >= 200 AND (text ILIKE '%the%' OR 'http://' || source || '.example.com/' || doc_id ILIKE '%the%')""",
+    _kept_sql(
+        r"regexp_replace(text, '\s*#{1,6}\s*', ' ', 'g')",
+        "WHERE length(text) >= 200 AND (text ILIKE '%the%' OR 'http://' || source || '.example.com/' || doc_id ILIKE '%the%')",
+    ),
 )
 def filtered_export_chunks(spark, sf_dir):
     texts = standin(spark, sf_dir, "texts")
@@ -207,4 +226,5 @@ def filtered_export_chunks(spark, sf_dir):
     config = {"chunk_size": 750, "chunk_overlap": 50, "header_levels": [1], "title": "title", "tags": "tags"}
     chunks = ch.chunk_contents(contents, "page", config)
     bare = F.regexp_replace("body", r"\s*#{1,6}\s*", " ").alias("body")  # heading signs are taken out of a page's chunks
-    return _kept(chunks, contents.select("content_id", bare), 750).select("content_id", "numbered", "n_lost")
+    headless = chunks.withColumn("page_content", F.regexp_replace("page_content", r"^(Категории: [^.]*\. )?Заголовок: [^.]*\. ", ""))
+    return _kept(headless, contents.select("content_id", bare), 750, 50)

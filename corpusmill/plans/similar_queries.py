@@ -16,7 +16,7 @@ def _vectors(spark, sf_dir):
 
 
 @query(
-    "V7, A15",
+    "V7",
     f"""WITH RECURSIVE edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id
           WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.42), {_WALK}
         SELECT node AS vec_id, min(reached) AS cluster FROM walk GROUP BY node""",
@@ -80,7 +80,7 @@ def exact_duplicate_texts(spark, sf_dir):
 
 
 @query(
-    "A15, V7",
+    "A15",
     f"""WITH k AS (SELECT doc_id, source, {DEDUPE_SQL} AS k FROM documents), s AS (SELECT k, min(doc_id) AS cluster, count(*) AS cluster_size FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1)
         SELECT cluster, source, count(*) AS n, any_value(cluster_size) AS cluster_size FROM k JOIN s USING (k) GROUP BY cluster, source""",
 )
