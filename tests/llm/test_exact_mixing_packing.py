@@ -225,6 +225,47 @@ def test_best_fit_fills_the_tightest_bin():
     assert bin_of[1] == bin_of[2] != bin_of[0] and capacity == [4096, 4096, 4096]
 
 
+def plain_best_fit(sizes, lengths):
+    """The same rule without any order kept among the bins: every bin is looked at for every piece."""
+    bins, left = [], sum(sizes)
+    for need in sizes:
+        fitting = [b for b in range(len(bins)) if bins[b][0] - sum(bins[b][1]) >= need]
+        if fitting:
+            best = min(fitting, key=lambda b: (bins[b][0] - sum(bins[b][1]), b))
+        else:
+            costs = [(packing.sequence_cost(c) / min(c, left), c) for c in lengths if c >= need]
+            bins.append((min(costs)[1], []))
+            best = len(bins) - 1
+        bins[best][1].append(need)
+        left -= need
+    return [(min(c for c in lengths if c >= sum(held)), held) for _, held in bins]
+
+
+@given(st.lists(st.integers(1, 90), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_bins_are_those_of_a_plain_best_fit(sizes):
+    lengths = (16, 32, 90)
+    ordered = sorted(sizes, reverse=True)
+    bin_of, capacity = packing.pack(ordered, lengths)
+    held = [[n for n, b in zip(ordered, bin_of) if b == i] for i in range(len(capacity))]
+    assert list(zip(capacity, held)) == plain_best_fit(ordered, lengths)
+
+
+def test_every_shard_is_packed_by_best_fit(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 37 % 900 + 1).cast("int")).alias("text"))
+    rows = packing.best_fit(docs, shard_words=40_000).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["bin_id"] >> 32, []).append(r)
+    assert len(shards) == 5
+    for members in shards.values():
+        got = {}
+        for r in members:
+            got.setdefault(r["bin_id"], (r["capacity"], []))[1].append(r["n_words"])
+        want = plain_best_fit(sorted((r["n_words"] for r in members), reverse=True), packing.LENGTHS)
+        assert sorted((c, sorted(h)) for c, h in got.values()) == sorted((c, sorted(h)) for c, h in want)
+
+
 def test_every_word_is_packed_once(awkward):
     rows = packing.best_fit(awkward, shard_words=20_000).collect()
     want = sum(len((r["text"] or "").split()) for r in awkward.collect())
