@@ -172,6 +172,46 @@ def test_base_scores_and_a_better_model(spark):
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
 
 
+def plain_score(model, counts, text):
+    """log10 P of a text, word after word by the definition, in double precision."""
+    net, words = model.network, recurrent.words_of(text)
+    own = list(model.words)[: net.own]
+    share_of = lambda w: (counts.get(w, 0) + 0.1) / (model.suffix_tokens[recurrent.suffix_class(w)] + 0.1 * (model.suffix_distinct[recurrent.suffix_class(w)] + 1))
+    symbols = [own.index(w) if w in own else net.own + recurrent.suffix_class(w) for w in words] + [net.end]
+    h, total, before = net.turn.shape[0], 0.0, net.end
+    state = np.zeros(h)
+    wide = {n: getattr(net, n).astype(np.float64) for n in recurrent.WEIGHTS}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for at, symbol in enumerate(symbols):
+        gates = 1 / (1 + np.exp(-(wide["gate"][before][: 2 * h] + state @ wide["turn"])))
+        new = np.tanh(wide["gate"][before][2 * h :] + (gates[h:] * state) @ wide["candidate"])
+        state = state + gates[:h] * (new - state)
+        chances = softmax(state @ wide["class_weight"] + wide["class_bias"])
+        if symbol < net.own:
+            c = int(np.searchsorted(net.first, symbol, side="right")) - 1
+            a, b = net.first[c], net.first[c + 1]
+            total += math.log10(chances[c]) + math.log10(softmax(state @ wide["word_weight"][:, a:b] + wide["word_bias"][a:b])[symbol - a])
+        else:
+            total += math.log10(chances[len(net.first) - 1 + symbol - net.own])
+            if symbol != net.end:
+                total += math.log10(share_of(words[at]))
+        before = symbol
+    return total
+
+
+def test_scores_follow_the_definition(spark):
+    options = {"frequent": 60, "own": 50, "hidden": 5, "epochs": 1}
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % (90 if i % 3 else 12)}" for j in range(i % 23))) for i in range(120)], "doc_id long, text string")
+    train = docs.where(recurrent.crc_remainder("doc_id", 10) != 0)
+    counted = stored(recurrent.count_words(train), "counts")
+    counts = {bytes(r["word"]): r["n"] for r in counted.collect()}
+    model = recurrent.fit(train, counted, train.count(), **options)
+    assert len(counts) > len(model.words) == 60 and model.network.own == 50
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in recurrent.scores(docs, **options).collect():
+        assert r["score"] == pytest.approx(plain_score(model, counts, texts[r["doc_id"]]), rel=1e-4, abs=1e-4)
+
+
 def test_awkward_texts_are_scored(awkward):
     got = recurrent.scores(awkward, frequent=50, own=20, sample_tokens=2000).collect()
     check_base(awkward, got)
