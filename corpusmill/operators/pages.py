@@ -185,15 +185,17 @@ def extract_pages(
 
 
 def _longest_texts(links: Column) -> Column:
-    """One entry per URL of a page with its longest text."""
-    return F.filter(
-        F.array_distinct(links),
-        lambda a: ~F.exists(
-            links,
-            lambda b: (b["url"] == a["url"])
-            & (
-                (F.length(b["text"]) > F.length(a["text"]))
-                | ((F.length(b["text"]) == F.length(a["text"])) & (b["text"] > a["text"]))
-            ),
-        ),
+    """One entry per URL of a page with its longest text, in order of these entries' first places.
+
+    Sorted by URL, an entry is the best of its URL if the next one has another URL.
+    """
+    placed = F.transform(
+        links, lambda x, i: F.struct(x["url"].alias("url"), F.length(x["text"]).alias("n"), x["text"].alias("text"), (-i).alias("place"))
     )
+
+    def best(entries: Column) -> Column:
+        return F.filter(entries, lambda x, i: ~F.get(entries, i + 1)["url"].eqNullSafe(x["url"]) | (i == F.size(entries) - 1))
+
+    kept = F.transform(F.array(F.array_sort(placed)), best)[0]  # bound to a name, so it is sorted once
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct((-x["place"]).alias("place"), x["text"].alias("text"), x["url"].alias("url"))))
+    return F.transform(ordered, lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))

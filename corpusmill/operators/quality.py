@@ -12,10 +12,10 @@ EMPTY = "Текст пуст после очистки"
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(item_id, word, n, first_at) of the cleaned lower-case words of every text, written out once."""
+    """(item_id, word, n, first_at, places) of the cleaned lower-case words of every text, written out once."""
     words = F.split(clean_text(F.lower("text")), " ")
     each = texts.select("item_id", "text").select("item_id", F.posexplode_outer(words).alias("at", "word")).filter("word <> ''")
-    return cut_lineage(each.groupBy("item_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first_at")))
+    return cut_lineage(each.groupBy("item_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.collect_list("at").alias("places")))
 
 
 def lexicon(counts: DataFrame, min_items: int = 2) -> DataFrame:
@@ -34,12 +34,14 @@ def quality_report(texts: DataFrame, valid_words: DataFrame | None = None, top:
     judged = counts.join(known.withColumn("valid", F.lit(True)), "word", "left")
     frequent = Window.partitionBy("item_id").orderBy(F.desc("n"), "first_at")
     ranked = judged.withColumn("_r", F.row_number().over(frequent))
-    wrong = F.array_sort(F.collect_list(F.when(F.col("valid").isNull(), F.struct("first_at", "word", "n"))))
+    # every time an invalid word stands there counts, in the order of the text
+    placed = F.transform("places", lambda at: F.struct(at.alias("at"), F.col("word").alias("word")))
+    wrong = F.array_sort(F.flatten(F.collect_list(F.when(F.col("valid").isNull(), placed))))
     usual = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "word", "n"))))
     words = ranked.groupBy("item_id").agg(
         F.sum("n").alias("total_words"),
         F.sum(F.when(F.col("valid"), F.col("n")).otherwise(0)).alias("valid_words"),
-        wrong.alias("invalid"),
+        F.transform(wrong, lambda w: w["word"]).alias("invalid"),
         usual.alias("frequent"),
     )
     measured = texts.select("item_id", F.length("text").alias("total_chars"), junk_ratio(F.lower("text")).alias("junk"))
