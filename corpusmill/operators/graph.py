@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage
 
 
-# nodes whose rows are dealt to several tasks are at most 2 * HUBS, whatever the size of the table
+# nodes whose rows never meet in one task are at most 2 * HUBS, whatever the size of the table
 HUBS = 10_000
 LEAST_HUB = 128
 
@@ -16,16 +16,16 @@ LEAST_HUB = 128
 def _with_smallest(edges: DataFrame, n_edges: int) -> DataFrame:
     """(u, v, m): every row (u, v) with the smallest v of its u.
 
-    The rows of a node with very many neighbours are dealt by their other end over parts of bounded size, and its smallest
-    neighbour goes to every part, so no task gets a whole hub.
+    The nodes with very many neighbours are so few that they go to every task with their smallest neighbour: the rows of
+    a hub are never brought together. All other rows meet their node's smallest neighbour by a join.
     """
     most = max(LEAST_HUB, n_edges // HUBS)
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / most)
-    hubs = F.broadcast(smallest.filter(F.col("n") > most).select("u", parts.alias("parts")))
-    dealt = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))))
-    copies = smallest.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    return dealt.join(copies, ["u", "part"]).select("u", "v", "m")
+    hubs = F.broadcast(smallest.filter(F.col("n") > most).select("u", F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, "u", "left")
+    at_hubs = marked.filter("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m"))
+    others = marked.filter("hub_m IS NULL").select("u", "v").join(smallest.filter(F.col("n") <= most).select("u", "m"), "u")
+    return at_hubs.union(others.select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; a component is named by its smallest node.
 
     Alternating large-star and small-star rounds: the edge table never grows beyond its first size, the rows of
-    a node with many neighbours are dealt over many tasks, and rounds grow with the logarithm of the
+    a node with many neighbours stay where they are, and rounds grow with the logarithm of the
     longest chain. Every round is checkpointed, so that the loss of an executor costs one round.
     """
     up, down = F.greatest("a", "b"), F.least("a", "b")
