@@ -44,8 +44,8 @@ _ALTERED_SQL = "list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + 0.05 *
 
 @query(
     "V7",
-    f"""WITH RECURSIVE both AS (SELECT vec_id * 10 AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id * 10 + 3, {_ALTERED_SQL} FROM embeddings),
-          edges AS (SELECT x.id AS a, y.id AS b FROM both x JOIN both y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) > 0.99), {_WALK}
+    f"""WITH RECURSIVE pairs AS (SELECT vec_id * 10 AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id * 10 + 3, {_ALTERED_SQL} FROM embeddings),
+          edges AS (SELECT x.id AS a, y.id AS b FROM pairs x JOIN pairs y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) > 0.99), {_WALK}
         SELECT node AS item_id, min(reached) AS cluster FROM walk GROUP BY node""",
 )
 def altered_vector_clusters(spark, sf_dir):
