@@ -85,3 +85,10 @@ def test_carried_columns(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x", 200)], "page_id long, url string, html string, response_status int")
     row = pg.extract_pages(pages, carry=("response_status",)).first()
     assert (row["content"], row["response_status"]) == ("x", 200)
+
+
+def test_reference_without_semicolon_stands_for_itself(spark):
+    html = '<body><h1>cut &lt;off&amp</h1><p>a &copy b &amp; c &#x2 &#x27;d&#x27; <a href="/x?a=1&copy=2">l</a></p><script>a&b</script></body>'
+    row = extract(spark, html)
+    assert row["title"] == "cut <off&amp"
+    assert row["content"] == "# cut <off&amp\na &copy b & c &#x2 'd' [l](http://site.org/x?a=1&copy=2)"
