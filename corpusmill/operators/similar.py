@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.vector_cells import BLOCK_BYTES, COLUMNS, ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
+from corpusmill.operators.vector_cells import ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
 from corpusmill.session import cut_lineage
 
 EDGES = "a long, b long"
@@ -164,6 +164,7 @@ def vector_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 MOST_LEADERS = 1024
+MOST_LINKS = 2_000_000  # links that a task holds before it folds them
 
 
 def _leaders(units: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,25 +191,21 @@ def _homes(pairs: list[tuple[int, int]], n: int) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def _bipartite_forest(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what a boolean matrix of rows and columns connects."""
-    free_rows, free_columns, edges = close.any(axis=1), close.any(axis=0), []
-    for start in np.flatnonzero(free_rows):
-        if not free_rows[start]:
-            continue
-        free_rows[start] = False
-        queue = [start]
-        while queue:
-            row = queue.pop()
-            columns = np.flatnonzero(close[row] & free_columns)
-            free_columns[columns] = False
-            for column in columns:
-                edges.append((left[row], right[column]))
-                rows = np.flatnonzero(close[:, column] & free_rows)
-                free_rows[rows] = False
-                edges += [(left[r], right[column]) for r in rows]
-                queue.extend(rows)
-    return edges
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every node to the smallest one of its component: as few as nodes, whatever the number of given links."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    home = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(home[x], home[y])
+        for side in (x, y):
+            np.minimum.at(home, home[side], least)
+        while not np.array_equal(further := home[home], home):
+            home = further
+        apart = home[x] != home[y]
+        x, y = x[apart], y[apart]
+    linked = home != np.arange(len(nodes))
+    return nodes[linked], nodes[home[linked]]
 
 
 def vector_links(units: DataFrame, threshold: float) -> DataFrame:
@@ -241,24 +238,41 @@ def vector_links(units: DataFrame, threshold: float) -> DataFrame:
     home = F.when(F.size("met") > 0, spelled(homes).cast("string"))
     cells = VectorCells(met.select(home.alias("partition_key"), "item_id", "payload"))
 
+    pieces = cells.pieces
+
+    def sent(batch: pa.RecordBatch, gaps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        # of two regions only the lower one visits; what has connected leaders needs no comparison
+        own, known = batch.column("own").to_numpy(), batch.column("known").to_numpy()
+        return (gaps <= reach * reach) & (pieces.region[None, :] >= own[:, None]) & (pieces.key[None, :] != known[:, None])
+
     def compare(asked: pa.Table, items: pa.Table) -> pa.Table:
-        edges = []
+        a, b, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         if asked.num_rows and items.num_rows:
-            left, right = asked.column("query_id").to_numpy(), items.column("item_id").to_numpy()
-            x, y = matrix(asked.column("payload")), matrix(items.column("payload"))
-            for start in range(0, len(left), ROWS):
-                for first in range(0, len(right), COLUMNS):
-                    close = x[start : start + ROWS] @ y[first : first + COLUMNS].T > threshold
-                    edges += _bipartite_forest(close, left[start : start + ROWS], right[first : first + COLUMNS])
-        return pa.table([pa.array([int(e[i]) for e in edges if e[0] != e[1]], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    # a piece that very many vectors visit meets them in blocks
-    visits = cells.near_visits(reach)
-    blocks = max(1, -(-16 * n * len(cells.centres[0]) // BLOCK_BYTES))
-    visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    placed = cells.placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.join(visits.select("piece", "block").distinct(), ["piece", "block"], "left_semi") if blocks > 1 else placed
-    found = visits.groupBy("piece", "block").cogroup(placed.groupBy("piece", "block")).applyInArrow(compare, EDGES)
+            order = np.argsort(items.column("place").to_numpy(), kind="stable")
+            place, right, y = items.column("place").to_numpy()[order], items.column("item_id").to_numpy()[order], matrix(items.column("payload"))[order]
+            left, known, x = asked.column("query_id").to_numpy(), asked.column("known").to_numpy(), matrix(asked.column("payload"))
+            inside, spans = np.unique(place), pieces.spans(place)
+            rows = max(1, min(ROWS, 4_000_000 // len(inside)))
+            for start in range(0, len(left), rows):
+                gaps = pieces.gaps(x[start : start + rows], inside)
+                for first, end in spans:
+                    of = np.searchsorted(inside, [place[first], place[end - 1]])
+                    near = (gaps[:, of[0] : of[1] + 1].min(axis=1) <= reach * reach) & (known[start : start + rows] != pieces.key[place[first]])
+                    open_ = start + np.flatnonzero(near)
+                    at, column = np.nonzero(x[open_] @ y[first:end].T > threshold)
+                    a.append(left[open_[at]])
+                    b.append(right[first + column])
+                    size += len(at)
+                    if size > MOST_LINKS:
+                        a, b = ([side] for side in _stars(np.concatenate(a), np.concatenate(b)))
+                        size = 0
+        a, b = _stars(np.concatenate(a), np.concatenate(b))
+        return pa.table([a, b], ["a", "b"])
+
+    numbered = cells.regional()
+    known = F.when(F.col("key").isin([i for i, key in enumerate(cells.keys) if key]), F.col("key")).otherwise(-1)
+    asking = numbered.select(F.col("item_id").alias("query_id"), "payload", F.col("region").alias("own"), known.alias("known"))
+    found = cells.met(cells.in_regions(asking, sent), n, compare, EDGES)
     return found.union(to_leader).union(joined).filter("a <> b")
 
 

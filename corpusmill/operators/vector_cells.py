@@ -1,10 +1,11 @@
-"""Exact nearest neighbours with pruning: cells around centres, cut into rings, searched in two rounds.
+"""Exact nearest neighbours with pruning: cells around centres, cut into rings, grouped into regions of bounded size.
 
 Every vector belongs to its nearest centre; a cell is cut into rings by distance from the centre, and a ring with very many
 vectors into pieces by id, so no piece is large whatever the data look like. By the triangle inequality no vector of a ring is
-nearer to a query than the gap between the ring and the query's own distance from that centre. A query first visits its
-nearest pieces, as many as hold k vectors; the k-th distance found there rules out all pieces with a wider gap, and only the
-rest is visited. Both rounds score one piece against one block of queries, slice by slice with one matrix product.
+nearer to a query than the gap between the ring and the query's own distance from that centre. The k-th distance that a query
+finds in a bounded sample of the corpus rules out all pieces with a wider gap. Consecutive pieces form a region; a query goes,
+once, to every region with an open piece. One task meets one region with one block of queries, slice by slice with one matrix
+product, and skips pieces that the distances found so far rule out. Vectors travel once a region, not once a piece.
 
 Centres only decide how much is skipped, never what is found: they are means of a bounded sample.
 """
@@ -25,7 +26,9 @@ from corpusmill.session import cut_lineage
 HITS = "query_id long, partition_key string, item_id long, cost double"
 HITS_ARROW = pa.schema([("query_id", pa.int64()), ("partition_key", pa.string()), ("item_id", pa.int64()), ("cost", pa.float64())])
 BLOCK_BYTES = 64 * 1024 * 1024
-ROWS, COLUMNS = 512, 2048  # queries and vectors of one matrix product: 8 MB of costs
+ROWS, COLUMNS = 2048, 512  # queries and vectors of one matrix product: 8 MB of costs
+VISITS = 16_384  # visits of one Arrow batch
+LEAST_REGIONS, BOUND_SAMPLE = 8, 4096
 MOST_CENTRES, MOST_PIECES = 1024, 1 << 18
 SAMPLE = 16_384
 PIECE_ROWS = 16_384
@@ -63,7 +66,7 @@ def means_of(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
 def sample_of(vectors: DataFrame, n: int) -> pa.Table:
     """About SAMPLE rows (item_id, payload) at most of a table of n vectors, chosen by a hash of the id."""
     share = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
-    rows = vectors.select("item_id", "payload")
+    rows = vectors.select(*[c for c in ("partition_key", "item_id", "payload") if c in vectors.columns])
     sample = rows.filter(share).orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).toArrow()
     return sample if len(sample) else rows.limit(1).toArrow()
 
@@ -79,11 +82,14 @@ class Pieces:
     high: np.ndarray
     rows: np.ndarray
     centres: np.ndarray
+    region: np.ndarray  # ascending: consecutive pieces of bounded size together
+    n_keys: int
+    samples: dict[int, np.ndarray]  # some vectors of every key
 
-    def gaps(self, queries: np.ndarray) -> np.ndarray:
+    def gaps(self, queries: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
         """How near a vector of each piece can be to each query at the least, squared."""
-        away = np.sqrt(squared_distances(queries, self.centres))[:, self.cell]
-        return np.maximum(np.maximum(away - self.high, self.low - away) - 1e-9, 0.0) ** 2
+        away = np.sqrt(squared_distances(queries, self.centres))[:, self.cell[some]]
+        return np.maximum(np.maximum(away - self.high[some], self.low[some] - away) - 1e-9, 0.0) ** 2
 
     def first(self, gaps: np.ndarray, k: int) -> np.ndarray:
         """For one query the nearest pieces of every key, as many as hold k vectors."""
@@ -94,6 +100,28 @@ class Pieces:
         before -= np.repeat(before[start], np.diff(np.append(start, len(key))))
         return order[before < k]
 
+    def bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """Upper bounds of the k-th cost of every query by key: what it finds among the sample."""
+        bounds = np.full((len(queries), self.n_keys), np.inf)
+        for key, vectors in self.samples.items():
+            if len(vectors) >= k:
+                bounds[:, key] = half_up(np.partition(squared_distances(queries, vectors), k - 1, axis=1)[:, k - 1])
+        return bounds
+
+    def spans(self, places: np.ndarray) -> list[tuple[int, int]]:
+        """Cuts of a sorted column of pieces: whole pieces of one key up to COLUMNS rows, longer pieces in parts."""
+        ends = np.append(np.flatnonzero(np.diff(places)) + 1, len(places)).tolist()
+        spans, start, last = [], 0, 0
+        for end in ends:
+            if last > start and (end - start > COLUMNS or self.key[places[last]] != self.key[places[start]]):
+                spans.append((start, last))
+                start = last
+            while end - start > COLUMNS:
+                spans.append((start, start + COLUMNS))
+                start += COLUMNS
+            last = end
+        return [*spans, (start, last)] if last > start else spans
+
 
 class VectorCells:
     """A corpus of vectors (partition_key string, item_id long, payload array) in pieces, ready to be searched."""
@@ -107,12 +135,14 @@ class VectorCells:
         if not self.n:
             return
         n_centres = max(1, min(MOST_CENTRES, int((self.n / keys) ** 0.5), MOST_PIECES // keys))
-        sample = matrix(sample_of(corpus, self.n).column("payload"))
+        sampled = sample_of(corpus, self.n)
+        sample = matrix(sampled.column("payload"))
         self.centres = means_of(sample, min(n_centres, len(sample)))
+        self.region_rows = max(1, min(BLOCK_BYTES // (16 * max(size["dims"], 1)), -(-self.n // LEAST_REGIONS)))
         piece_rows = max(1, min(PIECE_ROWS, block_bytes // (16 * max(size["dims"], 1))), -(-self.n // MOST_PIECES))
-        self._cut(corpus, piece_rows)
+        self._cut(corpus, piece_rows, sampled)
 
-    def _cut(self, corpus: DataFrame, piece_rows: int) -> None:
+    def _cut(self, corpus: DataFrame, piece_rows: int, sampled: pa.Table) -> None:
         centres = self.centres
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +169,18 @@ class VectorCells:
         part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         named = edges.withColumn("part", part).select(F.xxhash64(*cell, "ring", "part").alias("piece"), "partition_key", "cell", "low", "high", F.floor(F.col("n") / F.col("parts")).alias("rows"))
         listed = named.toArrow().to_pandas()  # one short row a piece
-        self.pieces = Pieces(*(listed[c].to_numpy() for c in ("piece",)), pd.factorize(listed["partition_key"])[0], *(listed[c].to_numpy() for c in ("cell", "low", "high", "rows")), centres)
-        self.keys = pd.factorize(listed["partition_key"])[1].tolist()
+        # pieces of a key stand together, along the direction in which the centres differ most
+        along = (centres @ np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0])[listed["cell"].to_numpy()]
+        key, self.keys = pd.factorize(listed["partition_key"])
+        order = np.lexsort((listed["low"], along, key))
+        listed, key, self.keys = listed.iloc[order], key[order], self.keys.tolist()
+        before = np.cumsum(listed["rows"].to_numpy()) - listed["rows"].to_numpy()
+        name, cell, low, high, rows = (listed[c].to_numpy() for c in ("piece", "cell", "low", "high", "rows"))
+        some = sampled.take(np.unique(np.linspace(0, len(sampled) - 1, BOUND_SAMPLE).astype(int)))
+        numbers = {k: i for i, k in enumerate(self.keys)}
+        own, vectors = np.array([numbers[k] for k in some.column("partition_key").to_pylist()]), matrix(some.column("payload"))
+        samples = {int(k): vectors[own == k] for k in np.unique(own)}
+        self.pieces = Pieces(name, key, cell, low, high, rows, centres, before // self.region_rows, len(self.keys), samples)
 
     def first_visits(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, payload, piece): the nearest pieces of every query."""
@@ -193,68 +233,161 @@ class VectorCells:
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     chosen = choose(part, pieces.gaps(matrix(part.column("payload"))))
-                    rows = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in chosen]))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("query_id").take(rows), part.column("payload").take(rows), pa.array(pieces.name[np.concatenate(chosen).astype(np.int64)])], ["query_id", "payload", "piece"]
-                    )
+                    rows = np.repeat(np.arange(part.num_rows), [len(c) for c in chosen])
+                    names = pieces.name[np.concatenate(chosen).astype(np.int64)]
+                    for first in range(0, len(rows), VISITS):
+                        some = pa.array(rows[first : first + VISITS])
+                        taken = [part.column(c).take(some) for c in ("query_id", "payload")]
+                        yield pa.RecordBatch.from_arrays([*taken, pa.array(names[first : first + VISITS])], ["query_id", "payload", "piece"])
 
         vector = queries.schema["payload"].dataType.simpleString()
         return queries.mapInArrow(visit, f"query_id long, payload {vector}, piece long")
 
-    def scored(self, visits: DataFrame, k: int, blocks: int) -> DataFrame:
-        """HITS rows: the k nearest of each visited piece."""
+    def in_regions(self, queries: DataFrame, sent, k: int | None = None) -> DataFrame:
+        """(query_id, payload, region, own, known, bounds) of every query at the regions that ``sent`` leaves open.
+
+        ``sent`` says by query and piece, from the batch, the gaps and the bounds, which pieces are open. With ``k`` the
+        bounds are the k-th costs that a query finds among the sample, by key: upper bounds of what it will find.
+        """
+        pieces, names = self.pieces, queries.columns
+        step = max(1, 4_000_000 // max(len(pieces.name), BOUND_SAMPLE))
+        starts = np.flatnonzero(np.append(True, np.diff(pieces.region) > 0))
+        regions = pieces.region[starts]
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    q = matrix(part.column("payload"))
+                    bounds = pieces.bounds(q, k) if k else np.zeros((len(q), 0))
+                    rows, at = np.nonzero(np.logical_or.reduceat(sent(part, pieces.gaps(q), bounds), starts, axis=1))
+                    own = part.column("own") if "own" in names else pa.nulls(part.num_rows, pa.int32())
+                    known = part.column("known") if "known" in names else pa.nulls(part.num_rows, pa.int32())
+                    # a visit carries its vector, so visits go out in slices
+                    for first in range(0, len(rows), VISITS):
+                        some = rows[first : first + VISITS]
+                        limits = pa.ListArray.from_arrays((np.arange(len(some) + 1) * bounds.shape[1]).astype(np.int32), bounds[some].ravel())
+                        taken = [column.take(pa.array(some)) for column in (part.column("query_id"), part.column("payload"), own, known)]
+                        visited = pa.array(regions[at[first : first + VISITS]].astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([*taken, visited, limits], ["query_id", "payload", "own", "known", "region", "bounds"])
+
+        vector = queries.schema["payload"].dataType.simpleString()
+        return queries.mapInArrow(visit, f"query_id long, payload {vector}, own int, known int, region int, bounds array<double>")
+
+    def regional(self) -> DataFrame:
+        """(item_id, payload, place, key, region): the corpus with the number of its piece, of its key and of its region."""
+        pieces = self.pieces
+        order = np.argsort(pieces.name)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = order[np.searchsorted(pieces.name, batch.column("piece").to_numpy(), sorter=order)]
+                found = [pa.array(values.astype(np.int32)) for values in (place, pieces.key[place], pieces.region[place])]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("payload"), *found], ["item_id", "payload", "place", "key", "region"])
+
+        vector = self.placed.schema["payload"].dataType.simpleString()
+        return self.placed.mapInArrow(add, f"item_id long, payload {vector}, place int, key int, region int")
+
+    def met(self, visits: DataFrame, queries: int, scan, schema: str) -> DataFrame:
+        """``scan`` of every region and block of visiting queries; both are of bounded size."""
+        blocks = max(1, -(-queries // self.region_rows))
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-        visits = visits.withColumn("block", block)
-        placed = self.placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        placed = placed.join(visits.select("piece", "block").distinct(), ["piece", "block"], "left_semi") if blocks > 1 else placed
+        corpus = self.regional().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return visits.withColumn("block", block).groupBy("region", "block").cogroup(corpus.groupBy("region", "block")).applyInArrow(scan, schema)
+
+    def scored(self, queries: DataFrame, count: int, k: int) -> DataFrame:
+        """HITS rows: for every query the k nearest of each region and key that can be among its k nearest."""
+        pieces, names, block_bytes = self.pieces, self.keys, self.block_bytes
+
+        def sent(batch: pa.RecordBatch, gaps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            return gaps <= _widened(bounds)[:, pieces.key]
 
         def scan(asked: pa.Table, items: pa.Table) -> pa.Table:
             kept = []
             if asked.num_rows and items.num_rows:
+                order = np.argsort(items.column("place").to_numpy(), kind="stable")
+                place, ids, v = items.column("place").to_numpy()[order], items.column("item_id").to_numpy()[order], matrix(items.column("payload"))[order]
                 query_ids, q = asked.column("query_id").to_numpy(), matrix(asked.column("payload"))
-                ids, v, key = items.column("item_id").to_numpy(), matrix(items.column("payload")), items.column("partition_key")[0].as_py()
-                for start in range(0, len(query_ids), ROWS):
-                    best = None
-                    for first in range(0, len(ids), COLUMNS):
-                        costs = half_up(squared_distances(q[start : start + ROWS], v[first : first + COLUMNS]))
-                        found = _best(ids[first : first + COLUMNS], costs, query_ids[start : start + ROWS], k)
-                        best = found if best is None else _shrink(pd.concat([best, found]), k)
-                    best["partition_key"] = key
-                    kept.append(pa.Table.from_pandas(best, schema=HITS_ARROW, preserve_index=False))
+                limits = asked.column("bounds").combine_chunks().flatten().to_numpy().reshape(len(q), -1)
+                spans, norms = pieces.spans(place), (v * v).sum(axis=1)
+                inside = np.unique(place)
+                rows = max(1, min(ROWS, block_bytes // (16 * q.shape[1]), 4_000_000 // len(inside)))
+                for start in range(0, len(q), rows):
+                    best = _Best(limits[start : start + rows].copy(), k)
+                    part = 2.0 * q[start : start + rows]
+                    lengths = (q[start : start + rows] ** 2).sum(axis=1)
+                    gaps = pieces.gaps(q[start : start + rows], inside)
+                    for first, end in spans:
+                        of = np.searchsorted(inside, [place[first], place[end - 1]])
+                        key = pieces.key[place[first]]
+                        open_ = np.flatnonzero(gaps[:, of[0] : of[1] + 1].min(axis=1) <= best.reach(key))
+                        if len(open_):
+                            costs = lengths[open_, None] + norms[first:end] - part[open_] @ v[first:end].T
+                            best.take(key, open_, ids[first:end], costs)
+                    found = best.rows()
+                    keys = pa.array(names, pa.string()).take(pa.array(found[1]))
+                    kept.append(pa.Table.from_arrays([pa.array(query_ids[start + found[0]]), keys, pa.array(found[2]), pa.array(found[3])], schema=HITS_ARROW))
             return pa.concat_tables(kept) if kept else HITS_ARROW.empty_table()
 
-        return visits.groupBy("piece", "block").cogroup(placed.groupBy("piece", "block")).applyInArrow(scan, HITS)
+        return self.met(self.in_regions(queries, sent, k), count, scan, HITS)
+
+
+def _widened(bounds: np.ndarray) -> np.ndarray:
+    return bounds + SLACK + 1e-9 * np.abs(bounds)
+
+
+class _Best:
+    """The k lowest costs of a few queries by key; ``limits`` (queries by keys) shrink as hits come in."""
+
+    def __init__(self, limits: np.ndarray, k: int):
+        self.limits, self.k = limits, k
+        self.kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, key, id, cost
+        self.new, self.size = [], 0
 
+    def reach(self, key: int) -> np.ndarray:
+        return _widened(self.limits[:, key])
 
-def _best(ids: np.ndarray, costs: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k lowest costs of every query; only cells up to the k-th cost of their query are put in order."""
-    last = np.partition(costs, min(k, costs.shape[1]) - 1, axis=1)[:, min(k, costs.shape[1]) - 1]
-    rows, columns = np.nonzero(costs <= last[:, None])
-    return _shrink(pd.DataFrame({"query_id": query_ids[rows], "item_id": ids[columns], "cost": costs[rows, columns]}), k)
+    def take(self, key: int, rows: np.ndarray, ids: np.ndarray, costs: np.ndarray) -> None:
+        low = costs <= self.reach(key)[rows, None]
+        if np.count_nonzero(low) > 4 * self.k * len(rows) and costs.shape[1] > self.k:
+            low &= costs <= np.partition(costs, self.k - 1, axis=1)[:, self.k - 1 : self.k] + SLACK
+        at, column = np.nonzero(low)
+        if len(at):
+            cost = half_up(np.maximum(costs[at, column], 0.0))
+            self.new.append([rows[at], np.full(len(at), key, np.int64), ids[column], cost])
+            self.size += len(at)
+            if self.size > max(4 * self.k * len(self.limits), 10_000):
+                self._shrink()
 
+    def _shrink(self) -> None:
+        row, key, ids, cost = (np.concatenate(columns) for columns in zip(self.kept, *self.new))
+        order = np.lexsort((ids, cost, key, row))
+        row, key, ids, cost = row[order], key[order], ids[order], cost[order]
+        group = row * self.limits.shape[1] + key
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+        rank = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+        full = rank == self.k - 1
+        self.limits[row[full], key[full]] = np.minimum(self.limits[row[full], key[full]], cost[full])
+        own = rank < self.k
+        self.kept, self.new, self.size = [row[own], key[own], ids[own], cost[own]], [], 0
 
-def _shrink(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    return hits.sort_values(["query_id", "cost", "item_id"]).groupby("query_id", sort=False).head(k)
+    def rows(self) -> list[np.ndarray]:
+        self._shrink()
+        return self.kept
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, cells: VectorCells | None = None) -> DataFrame:
     """query_id, partition_key, item_id, cost, rank: the exact k nearest vectors of every query and key by squared distance.
 
     ``corpus``: partition_key, item_id, payload; ``queries``: query_id, payload. Rows without a vector find nothing and are
-    not found. Only ``block_bytes`` of queries meet a piece in one task.
+    not found. Only ``block_bytes`` of queries are compared at once.
     """
     spark = queries.sparkSession
     cells = cells or VectorCells(corpus, block_bytes)
     queries = queries.select("query_id", "payload").filter("payload IS NOT NULL")
     if not cells.n:
         return spark.createDataFrame([], f"{HITS}, rank int")
-    size = queries.agg(F.sum(F.size("payload"))).first()[0] or 0
-    blocks = max(1, -(-16 * size // block_bytes))
-    near = cut_lineage(cells.scored(cells.first_visits(queries, k), k, blocks))
+    every = cells.scored(queries, queries.count(), k)
     order = Window.partitionBy("query_id", "partition_key").orderBy("cost", "item_id")
-    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    bounds = best.filter(F.col("rank") == k).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("partition_key", "cost"))).alias("bounds"))  # a key each
-    rest = cells.later_visits(queries.join(bounds, "query_id", "left"), k)
-    every = best.drop("rank").unionByName(cells.scored(rest, k, blocks))
     best = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.withColumn("partition_key", F.when(F.col("partition_key") != "", F.substring("partition_key", 2, 1 << 30)))

@@ -256,3 +256,21 @@ def test_places_of_an_order(spark):
     assert [(r["i"], r["k"]) for r in got] == want and [r["place"] for r in got] == list(range(1, 501))
     assert [r["i"] for r in catalog.page_of(df, 3, 50, [F.asc("i")]).collect()] == list(range(100, 150))
     assert catalog.numbered(df.limit(0), [F.asc("i")], "place").count() == 0
+
+
+def test_a_visit_carries_a_vector_once_a_region(spark):
+    """Vectors without structure are open everywhere: visits grow with the regions, not with the pieces."""
+    rng = np.random.default_rng(5)
+    rows = [(i, None, unit(rng, 24)) for i in range(3000)]
+    corpus = spark.createDataFrame(rows, "item_id long, partition_key string, payload array<double>")
+    cells = vector_cells.VectorCells(corpus)
+    n_regions = len(set(cells.pieces.region.tolist()))
+    assert len(cells.pieces.name) > 3 * n_regions and n_regions <= vector_cells.LEAST_REGIONS + 1
+    asked = corpus.select(F.col("item_id").alias("query_id"), "payload")
+    visits = cells.in_regions(asked, lambda batch, gaps, bounds: gaps >= 0, 3)
+    assert visits.count() == 3000 * n_regions and visits.distinct().count() == 3000 * n_regions
+
+
+def test_links_of_a_task_are_folded():
+    a, b = similar._stars(np.array([5, 3, 9, 9, 2, 7]), np.array([3, 1, 5, 9, 8, 7]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(3, 1), (5, 1), (8, 2), (9, 1)]
