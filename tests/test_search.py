@@ -274,3 +274,12 @@ def test_a_visit_carries_a_vector_once_a_region(spark):
 def test_links_of_a_task_are_folded():
     a, b = similar._stars(np.array([5, 3, 9, 9, 2, 7]), np.array([3, 1, 5, 9, 8, 7]))
     assert sorted(zip(a.tolist(), b.tolist())) == [(3, 1), (5, 1), (8, 2), (9, 1)]
+
+
+def test_terms_are_counted_without_shuffling_them(spark):
+    rows = [("c", 1, "b a b a"), ("c", 1, "bb aa bb the aa"), ("c", 2, None), ("c", 3, "x"), (None, 4, "Aa aa")]
+    counted = topics.term_counts(spark.createDataFrame(rows, "cluster string, item_id long, text string"), ["the"])
+    got = {(r["cluster"], r["item_id"], r["term"]): r["tf"] for r in counted.collect()}
+    assert got == {("c", 1, "aa"): 2, ("c", 1, "bb"): 2, ("c", 1, "aa bb"): 1, ("c", 1, "bb aa"): 2, (None, 4, "aa"): 2, (None, 4, "aa aa"): 1}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # only the texts are grouped
