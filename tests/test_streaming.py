@@ -88,6 +88,19 @@ def test_facts_leave_the_state(spark, tmp_path, keep_ms, again):
     assert plain(current_facts(changes)) == {(1, "need", "x", 0, 0)}
 
 
+def test_facts_meet_no_python_and_state_holds_what_is_live(spark, tmp_path):
+    first, second, third = (spark.createDataFrame([(1, t, "need", ["x", f"v{t}"])], FACTS) for t in (3, 5, 1))
+    for part in (first, second, third):
+        run_facts(spark, tmp_path, [part])
+    changes = spark.read.parquet(str(tmp_path / "changes"))
+    assert {(r["batch"], r["item"], r["turn"]) for r in changes.collect()} == {(0, "x", 3), (0, "v3", 3), (1, "v5", 5), (2, "x", 1), (2, "v1", 1)}
+    # a bucket keeps the version that its last batch read and the one that it wrote
+    for bucket in (tmp_path / "state").glob("bucket=*"):
+        assert len([*bucket.glob("batch=*")]) <= 2
+    # nothing but foreachBatch is called in Python: the stream keeps no state store of its own
+    assert not (tmp_path / "checkpoint" / "state").exists()
+
+
 def test_vector_store_appends_and_prunes(spark, tmp_path):
     path = str(tmp_path / "vectors")
     assert writers.load_vectors(spark, path).count() == 0
