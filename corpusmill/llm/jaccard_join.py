@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ FREQUENT_SHARE = 0.002  # of the documents of one Arrow batch: shingles above it
 FREQUENT_MOST = 200_000  # shingles on that list; any list gives right results
 PARITY_BITS = 2048
 PART_ROWS = 250
+RANGE_BITS = 3
 CHUNK_BYTES = 1 << 20
 SLACK = 1.25  # segments over those that must be kept
 
@@ -153,11 +154,11 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return Sets([text], hashes)[0]
 
 
-def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slices of a few hundred rows, the last of a batch may be shorter."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a few hundred rows, the last of a batch may be shorter: only the texts of a slice become Python strings."""
     for batch in batches:
-        for start in range(0, len(batch), PART_ROWS):
-            yield batch.iloc[start : start + PART_ROWS]
+        for start in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(start, PART_ROWS)
 
 
 def most_differences(x: int, y: int) -> int:
@@ -277,25 +278,38 @@ def may_link(a: str, b: str, words: int = PARITY_BITS // 64) -> Column:
     return differ * (DENOMINATOR + NUMERATOR) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (DENOMINATOR - NUMERATOR)
 
 
+PROFILE = "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>"
+PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.list_(pa.int64()))])
+
+
+def counted_often(seen: Sequence[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand in the arrays at least so often, and how often; counted by ranges, so that no second copy of all is made."""
+    found = []
+    for k in range(1 << RANGE_BITS):
+        value, n = np.unique(np.concatenate([x[x >> np.uint64(64 - RANGE_BITS) == k] for x in seen]), return_counts=True)
+        found.append((value[n >= least], n[n >= least]))
+    return np.concatenate([v for v, _ in found]), np.concatenate([n for _, n in found])
+
+
+def profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    rows = lambda *columns: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, PROFILE_ARROW)], schema=PROFILE_ARROW)
+    for batch in batches:
+        seen = [np.zeros(0, dtype=np.uint64)]
+        for part in parts(iter([batch])):
+            sets = Sets(part.column("text").to_pylist(), hashes)
+            h1, h2 = (sets.sums(mix(sets.flat, k)).astype(np.int64) for k in (6, 7))
+            yield rows(np.zeros(part.num_rows, np.int32), part.column("doc_id"), sets.sizes.astype(np.int64), h1, h2, list(sets.parities()))
+            seen.append(sets.flat)
+        shingle, n = counted_often(seen, max(20, FREQUENT_SHARE * batch.num_rows))
+        if len(shingle):
+            nothing = [None] * len(shingle)
+            yield rows(np.ones(len(n), np.int32), nothing, n.astype(np.int64), shingle.astype(np.int64), np.zeros(len(n), np.int64), nothing)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2, bits) of rows (kind 0): size, two sums and parities of the set; and (n, h1) of frequent shingles (kind 1)."""
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            seen = []
-            for part in parts(iter([batch])):
-                sets = Sets(part["text"].tolist(), hashes)
-                h1, h2 = (sets.sums(mix(sets.flat, k)).astype(np.int64) for k in (6, 7))
-                yield pd.DataFrame({"kind": 0, "doc_id": part["doc_id"].astype("Int64").array, "n": sets.sizes, "h1": h1, "h2": h2, "bits": list(sets.parities())})
-                seen.append(sets.flat)
-            shingle, n = np.unique(np.concatenate(seen), return_counts=True)
-            often = n >= max(20, FREQUENT_SHARE * len(batch))
-            if often.any():
-                nothing = [None] * int(often.sum())
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array(nothing, dtype="Int64"), "n": n[often], "h1": shingle[often].astype(np.int64), "h2": 0, "bits": nothing})
-
-    return docs.mapInPandas(measured, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(profile_rows, PROFILE)
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -311,19 +325,20 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts(batches):
-            number = {t: i for i, t in enumerate(dict.fromkeys([*part["text_a"], *part["text_b"]]))}
+            texts_a, texts_b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
+            number = {t: i for i, t in enumerate(dict.fromkeys([*texts_a, *texts_b]))}
             sets = Sets(list(number), hashes)
             keep = []
-            for text_a, text_b in zip(part["text_a"], part["text_b"]):
+            for text_a, text_b in zip(texts_a, texts_b):
                 a, b = sets[number[text_a]], sets[number[text_b]]
                 common = len(a) + len(b) - len(np.union1d(a, b))
                 keep.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common))
-            yield part.loc[keep, ["a", "b"]]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verified, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -349,13 +364,13 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = {b + d for b in population for d in (0, 1)}
     layouts = {b: choose_layout(b, population.get(b, 0)) for b in sorted(wanted) if b in population}
 
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts(batches):
-            signs, text = signatures(Sets(part["text"].tolist(), hashes), layouts, frequent)
-            yield pd.DataFrame({"sign": signs.astype(np.int64), "doc_id": part["doc_id"].to_numpy()[text]})
+            signs, text = signatures(Sets(part.column("text").to_pylist(), hashes), layouts, frequent)
+            yield pa.RecordBatch.from_arrays([pa.array(signs.astype(np.int64)), part.column("doc_id").take(pa.array(text))], ["sign", "doc_id"])
 
-    emit = lambda: only.mapInPandas(emitted, "sign long, doc_id long")
+    emit = lambda: only.mapInArrow(emitted, "sign long, doc_id long")
     # Groups of several sets, found by counts that are combined before the shuffle; then their members.
     groups = emit().groupBy("sign").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     groups = stored(groups.where("low < high").select("sign", "n"), "jaccard-groups")

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -114,6 +116,24 @@ def test_sets_of_many_texts_are_those_of_each(monkeypatch):
     assert len(join.Sets([], join.WordHashes()).sizes) == 0
 
 
+def test_a_batch_is_profiled_within_few_times_its_shingles():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    common = " ".join(words[:40])
+    texts = [f"{' '.join(words[rng.integers(0, len(words), 800)])} {common}" for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        kinds = [(b.column("kind")[0].as_py(), b.num_rows, b.column("n").to_pylist()) for b in join.profile_rows(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for kind, n, _ in kinds if kind == 0) == len(texts)
+    assert [c for kind, _, c in kinds if kind == 1] == [[len(texts)] * 36]
+    shingles = 8 * sum(sum(c) for kind, _, c in kinds if kind == 0)
+    assert peak < 4 * shingles
+
+
 def test_small_bands_use_deletions():
     assert join.choose_layout(2, 1000).paired and join.choose_layout(9, 1000).plain
 
