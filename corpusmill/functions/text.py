@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +20,21 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _compose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+SLICE_ROWS = 64
+
+
+def composed(texts: pa.Array) -> pa.Array:
+    """NFKC of every text; only the texts of a slice become Python strings at once."""
+    done = [pa.array([], pa.string())]
+    for start in range(0, len(texts), SLICE_ROWS):
+        plain = texts.slice(start, SLICE_ROWS).to_pylist()
+        done.append(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in plain], pa.string()))
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(T.StringType())
+def _compose(texts: pa.Array) -> pa.Array:
+    return composed(texts)
 
 
 def compatibility_form(c: Column) -> Column:

@@ -1,3 +1,7 @@
+import tracemalloc
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.functions import meta, text
@@ -134,3 +138,16 @@ def test_clean_markdown_keeps_other_lines(one):
 def test_normalize_text_drops_blank_lines_and_unseen_characters(one):
     assert one(text.normalize_text, c="a\x00b c﻿  \t d\r\n 　 \n\n e") == "abc d\r\n e"
     assert one(text.normalize_text, c="\n\n") == ""
+
+
+def test_texts_are_composed_in_slices():
+    texts = [None, "", *[f"ﬁ {i} ½ Å " * 400 for i in range(3000)]]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    try:
+        got = text.composed(column)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert peak < column.nbytes / 5
