@@ -18,6 +18,8 @@ LEGAL_SEPARATORS = ("\n\n\n", "\n\n", "\n", ".", " ", "")
 PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType())]))
 PIECES_ARROW = pa.list_(pa.struct([("text", pa.string()), ("n_tokens", pa.int32())]))
 
+SLICE_ROWS = 64
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -117,9 +119,10 @@ def recursive_split(
             return [{"text": text, "n_tokens": n} for text, n in out]
 
         for batch in batches:
-            *kept, jobs = batch.columns
-            cut = pa.array([one(job) for job in jobs.to_pylist()], PIECES_ARROW)
-            yield pa.RecordBatch.from_arrays([*kept, cut], [*batch.schema.names[:-1], out])
+            for start in range(0, batch.num_rows, SLICE_ROWS):  # only these rows become Python values at once
+                *kept, jobs = batch.slice(start, SLICE_ROWS).columns
+                cut = pa.array([one(job) for job in jobs.to_pylist()], PIECES_ARROW)
+                yield pa.RecordBatch.from_arrays([*kept, cut], [*batch.schema.names[:-1], out])
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, PIECES)])
     return df.withColumn("_task", task).mapInArrow(run, schema)

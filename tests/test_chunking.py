@@ -1,9 +1,12 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.functions.splitting import count_words, split_text
+from corpusmill.functions.splitting import count_words, recursive_split, split_text
 from corpusmill.operators import chunking as ch
 
 
@@ -94,3 +97,29 @@ def test_legal_split_falls_back_and_merges(contents):
     rows = ch.chunk_contents(ch.usable(contents), "legal", {"min_chunk_size": 40, "max_chunk_size": 90, "drop_below": 2}).collect()
     assert {r["content_id"] for r in rows} == {1, 2}
     assert all("high_quality" in r["metadata"] for r in rows)
+
+
+def test_texts_of_a_batch_are_split_in_slices(spark):
+    class Caught:
+        """Stands for a table: hands out the function that would run over its batches."""
+
+        schema = spark.range(0).schema
+
+        def withColumn(self, name, column):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = recursive_split(Caught(), F.array("text"), 20, 0, -1)
+    texts = [f"word{i} " * 400 for i in range(2000)]
+    jobs = pa.array([{"sections": [t], "size": 20, "overlap": 0, "keep": -1} for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), jobs], ["id", "_task"])
+    tracemalloc.start()
+    try:
+        cut = [b.column("_cut") for b in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [" ".join(p["text"] for p in pieces) for b in cut for pieces in b.to_pylist()] == [t.strip() for t in texts]
+    assert peak < batch.nbytes / 3
