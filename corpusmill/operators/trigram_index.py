@@ -26,6 +26,7 @@ SCHEMA = "part INT, gram BIGINT, places BINARY, sizes BINARY"
 CHUNK_TABLE = -1  # the row of a part that lists its chunks stands under this number
 CLOSE = 1e-6  # similarities count to six decimals
 BITS = 21  # of a code point
+BLOCK_CHARS = 1 << 18  # letters whose windows are held at once
 
 
 def word_line(text: Column) -> Column:
@@ -36,6 +37,25 @@ def word_line(text: Column) -> Column:
 def grams_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (line, trigram) of lines of words, by line; a trigram is a number of three code points.
 
+    Lines are read in blocks: what is held for every letter is held for one block.
+    """
+    owner, gram = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    first = 0
+    while first < len(lines):
+        last, size = first, 0
+        while last < len(lines) and (last == first or size + len(lines[last]) <= BLOCK_CHARS):
+            size += len(lines[last])
+            last += 1
+        at, found = _grams_of_block(lines[first:last])
+        owner.append(at + first)
+        gram.append(found)
+        first = last
+    return np.concatenate(owner), np.concatenate(gram)
+
+
+def _grams_of_block(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of a block of lines.
+
     Every word has two spaces before and one behind it, so a window is no trigram if its last two places are spaces.
     """
     padded = [f"  {line} " for line in lines]

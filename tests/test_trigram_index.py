@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -39,6 +40,20 @@ def test_windows_are_the_trigrams_of_words(texts):
         assert len(gram[owner == i]) == len(trigrams(line))
 
 
+def test_letters_of_many_lines_are_held_by_blocks():
+    r = random.Random(3)
+    lines = ["  ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(50)) for _ in range(400)) for _ in range(800)]
+    tracemalloc.start()
+    try:
+        owner, gram = grams_of(lines)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.all(np.diff(owner) >= 0) and owner[-1] == len(lines) - 1
+    assert {spelled(int(g)) for g in gram[owner == 700]} == trigrams(lines[700])
+    assert peak < 8 * sum(map(len, lines))  # one number of 8 bytes a letter, where all letters at once need several
+
+
 @pytest.fixture(scope="module")
 def texts():
     r = random.Random(2)
