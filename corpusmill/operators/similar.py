@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
 from corpusmill.operators.vector_cells import ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, shared_path
 
 EDGES = "a long, b long"
 PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
@@ -30,6 +30,13 @@ SUB_BLOCK = 1024
 TERMS = 4096  # coordinates of a comparison that are held as a dense block at once
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows by columns in the shared folder, which takes less room than rows do."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _cells(payload: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, coordinate and weight of every cell of struct<at,weight> vectors."""
     at, weight = payload.field(0), payload.field(1)
@@ -324,7 +331,7 @@ def with_terms(weights: DataFrame) -> DataFrame:
     rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing)))
     ranked = weights.select("item_id", F.row_number().over(order).alias("place"), F.xxhash64("word").alias("at"), "weight", rest.alias("rest"))
     cells = F.array_sort(F.collect_list(F.struct("place", "at", "weight", "rest")))  # bounded by the text's words
-    return ranked.groupBy("item_id").agg(cells.alias("cells"))
+    return ranked.groupBy("item_id").agg(F.transform(cells, lambda c: c.dropFields("place")).alias("cells"))
 
 
 def text_links(items: DataFrame, threshold: float) -> DataFrame:
@@ -367,10 +374,9 @@ def text_links(items: DataFrame, threshold: float) -> DataFrame:
 
 
 def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of blocks that can be paired, and of longer ones; blocks of one member are left out."""
-    postings = cut_lineage(postings)
+    """The rows of blocks that can be paired, and of longer ones; blocks of one member are left out, and never written."""
     sizes = postings.groupBy("block").agg(F.count("*").alias("n"))
-    sized = cut_lineage(postings.join(sizes.filter("n > 1"), "block"))
+    sized = _written(postings.join(sizes.filter("n > 1"), "block"), "postings")
     return sized.filter(F.col("n") <= LONG_BLOCK).drop("n"), sized.filter(F.col("n") > LONG_BLOCK).drop("n")
 
 
@@ -390,9 +396,9 @@ def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features:
     )
     copies = keyed.select("item_id", "_k").join(distinct.select("_k", "first_id"), "_k").filter("item_id <> first_id")
     copies = copies.select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
-    distinct = cut_lineage(distinct)
+    distinct = _written(distinct, "texts")
     weights = tfidf_vectors(distinct.select(F.col("first_id").alias("item_id"), "n_copies", "text"), max_features)
-    return clusters(copies, text_links(cut_lineage(with_terms(weights)), threshold))
+    return clusters(copies, text_links(_written(with_terms(weights), "cells"), threshold))
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:

@@ -283,3 +283,15 @@ def test_terms_are_counted_without_shuffling_them(spark):
     assert got == {("c", 1, "aa"): 2, ("c", 1, "bb"): 2, ("c", 1, "aa bb"): 1, ("c", 1, "bb aa"): 2, (None, 4, "aa"): 2, (None, 4, "aa aa"): 1}
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # only the texts are grouped
+
+
+def test_only_postings_that_can_pair_are_written(spark, monkeypatch):
+    from corpusmill.operators import similar
+
+    written = []
+    monkeypatch.setattr(similar, "cut_lineage", lambda df: written.append(("rows", df.count())) or df)
+    monkeypatch.setattr(similar, "_written", lambda df, label: written.append((label, df.count())) or df, raising=False)
+    rows = [(1, i, 0.5, 1.0) for i in range(3)] + [(10 + i, i, 0.5, 1.0) for i in range(50)]  # 50 terms stand in one text only
+    short, long = similar._by_length(spark.createDataFrame(rows, "block long, item_id long, weight double, rest double"))
+    assert short.count() == 3 and long.count() == 0
+    assert written == [("postings", 3)]
