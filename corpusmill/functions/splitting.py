@@ -85,10 +85,12 @@ def recursive_split(
     separators: tuple[str, ...] = SEPARATORS,
     counter: Callable[[], Counter] | None = None,
     out: str = "_cut",
+    spent: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``out`` array<struct<text,n_tokens>>: the sections of every row cut to size.
 
-    A section of at most ``keep`` tokens (default: the size) stays whole; NULL sections give NULL.
+    A section of at most ``keep`` tokens (default: the size) stays whole; NULL sections give NULL. All columns travel
+    through Python; those in ``spent`` are not needed any more and are left out.
     ``counter`` is called once per task and returns the length measure.
     """
 
@@ -124,5 +126,6 @@ def recursive_split(
                 cut = pa.array([one(job) for job in jobs.to_pylist()], PIECES_ARROW)
                 yield pa.RecordBatch.from_arrays([*kept, cut], [*batch.schema.names[:-1], out])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, PIECES)])
-    return df.withColumn("_task", task).mapInArrow(run, schema)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in spent], T.StructField(out, PIECES)])
+    jobs = df.withColumn("_task", task)
+    return (jobs.drop(*spent) if spent else jobs).mapInArrow(run, schema)

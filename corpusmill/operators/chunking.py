@@ -153,18 +153,22 @@ def with_quality(chunk: Column, smallest: int, largest: int, letters: str = CYRI
     chars = F.length(text)
     ratio = F.coalesce(F.try_divide(chars, n), F.lit(0.0))
     share = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(letters)), chars) * 100, F.lit(0.0))
-    artifacts = F.regexp_count(text, F.lit(ARTIFACTS))
-    return F.struct(
-        text.alias("text"),
-        n.alias("n_tokens"),
-        chars.alias("n_chars"),
-        ratio.alias("char_token_ratio"),
-        n.between(smallest, largest).alias("in_target_range"),
-        ratio.between(1.8, 4.0).alias("ratio_in_target"),
-        share.alias("script_share"),
-        artifacts.alias("n_artifacts"),
-        ((share >= 70) & (artifacts <= 2)).alias("high_quality"),
-    )
+    counted = F.array(F.struct(share.alias("share"), F.regexp_count(text, F.lit(ARTIFACTS)).alias("artifacts")))
+
+    def measured(m: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            n.alias("n_tokens"),
+            chars.alias("n_chars"),
+            ratio.alias("char_token_ratio"),
+            n.between(smallest, largest).alias("in_target_range"),
+            ratio.between(1.8, 4.0).alias("ratio_in_target"),
+            m["share"].alias("script_share"),
+            m["artifacts"].alias("n_artifacts"),
+            ((m["share"] >= 70) & (m["artifacts"] <= 2)).alias("high_quality"),
+        )
+
+    return F.transform(counted, measured)[0]  # binds the counts, so they are taken once
 
 
 # ---- splitters: DataFrame with body and metadata in, the same with ``pieces`` out ----
@@ -179,7 +183,7 @@ def _piece(text: Column, metadata: Column, n_tokens: Column) -> Column:
 
 def recursive_splitter(df: DataFrame, config: dict) -> DataFrame:
     size, overlap = config.get("chunk_size", 500), config.get("chunk_overlap", 50)
-    df = recursive_split(df, F.array("body"), size, overlap, -1, counter=config.get("counter"))
+    df = recursive_split(df, F.array("body"), size, overlap, -1, counter=config.get("counter"), spent=("body",))
     own = F.col("metadata")
     return df.withColumn("pieces", F.transform("_cut", lambda c: _piece(c["text"], own, c["n_tokens"])))
 
@@ -196,7 +200,7 @@ def header_splitter(df: DataFrame, config: dict) -> DataFrame:
     size, overlap = config.get("chunk_size", 500), config.get("chunk_overlap", 50)
     sections = header_sections(F.col("body"), config.get("header_levels", [1]))
     texts = F.transform(sections, lambda s: s["text"])
-    df = recursive_split(df, texts, size, overlap, counter=config.get("counter"))
+    df = recursive_split(df, texts, size, overlap, counter=config.get("counter"), spent=("body",))
     if config.get("min_tail"):
         merged = merge_short_tail(F.col("_cut"), size, config["min_tail"], config.get("min_seam", 10))
         df = df.withColumn("_cut", merged)
@@ -232,7 +236,7 @@ def page_splitter(df: DataFrame, config: dict) -> DataFrame:
 
     def finished(c: Column) -> Column:
         flat = F.regexp_replace(c["text"], r"\s*#{1,6}\s*", " ")
-        body = F.trim(F.regexp_replace(flat, r"\s+", " "))
+        body = F.trim(F.array_join(F.split(flat, r"\s+"), " "))
         fields = meta.drop_empty_values(meta.overlay(F.col("_fields"), c["files"]))
         return _piece(F.concat(F.col("_header"), body), fields, c["n_tokens"])
 
@@ -264,6 +268,7 @@ def legal_splitter(df: DataFrame, config: dict) -> DataFrame:
         -1,
         LEGAL_SEPARATORS[1:],
         out="_again",
+        spent=("body",),
     )
     df = df.withColumn("_cut", F.when(F.col("_again").isNotNull(), shaped("_again")).otherwise(F.col("_shaped")))
     measured = F.transform("_cut", lambda c: with_quality(c, smallest, largest, config.get("letters", CYRILLIC)))
@@ -322,7 +327,13 @@ def chunk_contents(
 
     ``carry`` names further columns to hand on to the chunks.
     """
-    split = SPLITTERS[splitter](contents, config)
+    named = [v for v in config.values() if isinstance(v, str)]  # a splitter reads no other column than those its config names
+    needed = {"content_id", "body", "metadata", *carry, *named}
+    given = contents.select(*[c for c in contents.columns if c in needed])
+    if "body" in carry:  # splitters may use the body up
+        split = SPLITTERS[splitter](given.withColumn("_body", F.col("body")), config).drop("body").withColumnRenamed("_body", "body")
+    else:
+        split = SPLITTERS[splitter](given, config)
     plain = {k: v for k, v in config.items() if not callable(v)}
     return split.select(
         "content_id",

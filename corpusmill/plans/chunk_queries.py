@@ -1,6 +1,10 @@
 """Chunking jobs over the whole documents and pages tables."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import text
 from corpusmill.functions.splitting import recursive_split
@@ -61,24 +65,50 @@ def words_kept_by_recursive_split(spark, sf_dir):
     return split.select(F.col("doc_id").alias("content_id"), F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("words"))
 
 
+SLICE_ROWS = 64
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_kept", "n_foreign", "n_repeated")])
+
+
+def shared_counts(own: pa.Array, got: pa.Array) -> pa.Array:
+    """Of two lists of words a row: words of the first that the second has as often, words only the second has, and what it has too often."""
+    done = [pa.array([], pa.struct([(f.name, pa.int64()) for f in COUNTS.fields]))]
+    for start in range(0, len(own), SLICE_ROWS):
+        sides = [c.slice(start, SLICE_ROWS) for c in (own, got)]
+        rows = [np.repeat(np.arange(len(c)), pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)) for c in sides]
+        coded = pa.concat_arrays([c.flatten() for c in sides]).dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        keys, at = np.unique(np.concatenate(rows) * width + coded.indices.to_numpy(), return_inverse=True)
+        n, m = (np.bincount(part, minlength=len(keys)) for part in np.split(at, [len(rows[0])]))
+        counts = (np.minimum(n, m), np.where(n == 0, m, 0), np.where(n > 0, np.maximum(m - n, 0), 0))
+        totals = [np.bincount(keys // width, c, len(sides[0])).astype("int64") for c in counts]
+        done.append(pa.StructArray.from_arrays([pa.array(t) for t in totals], COUNTS.names))
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(COUNTS)
+def _shared_counts(own: pa.Array, got: pa.Array) -> pa.Array:
+    return shared_counts(own, got)
+
+
 def _kept(chunks, contents, size, overlap):
     """Per document: words of its text that stand in its chunks as often as in the text, words that are not in the text at all,
-    and whether chunks fit, are numbered without gaps and repeat no more than the overlap allows."""
-    each = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"))).alias("word")
-    own = contents.select("content_id", each(F.col("body"))).groupBy("content_id", "word").agg(F.count("*").alias("n"))
-    got = chunks.select("content_id", each(F.col("page_content"))).groupBy("content_id", "word").agg(F.count("*").alias("m"))
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    words = own.join(got, ["content_id", "word"], "full").groupBy("content_id").agg(
-        F.sum(F.least(n, m)).alias("n_kept"),
-        F.sum(F.when(n == 0, m).otherwise(0)).alias("n_foreign"),
-        F.sum(F.when(n > 0, F.greatest(m - n, F.lit(0))).otherwise(0)).alias("n_repeated"),
+    and whether chunks fit, are numbered without gaps and repeat no more than the overlap allows.
+
+    A text and its chunks meet as texts in one row; their words are never rows."""
+    no = F.lit(None).cast("int")
+    own = contents.select("content_id", F.col("body").alias("own"), F.lit(None).cast("string").alias("got"), no.alias("size"), no.alias("at"))
+    got = chunks.select("content_id", F.lit(None).cast("string"), "page_content", "size_in_tokens", "ordinal")
+    met = own.union(got).groupBy("content_id").agg(
+        F.collect_list("own").alias("own"), F.collect_list("got").alias("got"),
+        F.max("size").alias("largest"), F.count("at").alias("chunks"), F.max("at").alias("last"),
     )
-    parts = chunks.groupBy("content_id").agg(F.max("size_in_tokens").alias("largest"), F.count("*").alias("chunks"), F.max("ordinal").alias("last"))
-    return words.join(parts, "content_id", "left").select(
-        "content_id", "n_kept", "n_foreign",
+    words = lambda c: F.flatten(F.transform(c, lambda t: F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"))))
+    counted = met.withColumn("_n", _shared_counts(words(F.col("own")), words(F.col("got"))))
+    return counted.select(
+        "content_id", "_n.n_kept", "_n.n_foreign",
         (F.col("largest") <= size).alias("fits"),
         (F.col("last") == F.col("chunks") - 1).alias("numbered"),
-        (F.col("n_repeated") <= overlap * (F.col("chunks") - 1)).alias("repeats_fit"),
+        F.when(F.col("chunks") > 0, F.col("_n.n_repeated") <= overlap * (F.col("chunks") - 1)).alias("repeats_fit"),
     )
 
 

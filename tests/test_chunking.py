@@ -123,3 +123,35 @@ def test_texts_of_a_batch_are_split_in_slices(spark):
         tracemalloc.stop()
     assert [" ".join(p["text"] for p in pieces) for b in cut for pieces in b.to_pylist()] == [t.strip() for t in texts]
     assert peak < batch.nbytes / 3
+
+
+def test_only_what_is_needed_travels_through_python(spark, contents):
+    usable = ch.usable(contents).withColumns({"other": F.lit("x"), "storage_id": F.lit("s")})
+    for splitter in ("recursive", "legal"):
+        chunks = ch.chunk_contents(usable, splitter, {}, carry=("storage_id",))
+        passes = [line for line in chunks._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in line]
+        last = passes[0].split("[", 1)[1]  # the columns that come out of the last pass
+        assert passes and "other" not in "".join(passes) and "body" not in last
+        assert {r["storage_id"] for r in chunks.collect()} == {"s"}
+        carried = ch.chunk_contents(usable, splitter, {}, carry=("body",))
+        assert set(carried.select("content_id", "body").collect()) <= set(usable.select("content_id", "body").collect())
+
+
+def test_words_of_a_text_and_its_chunks_are_counted_in_its_row():
+    from corpusmill.plans.chunk_queries import shared_counts
+
+    own = [["a", "b", "a"], [], ["x"], None] * 50
+    got = [["a", "c", "b", "b"], ["z"], ["x", "x", "x"], None] * 50
+    counts = shared_counts(pa.array(own, pa.list_(pa.string())), pa.array(got, pa.list_(pa.string()))).to_pylist()
+    each = [(2, 1, 1), (0, 1, 0), (1, 0, 2), (0, 0, 0)]
+    assert [tuple(c.values()) for c in counts] == each * 50
+
+
+def test_kept_words_never_become_rows(spark, contents):
+    from corpusmill.plans.chunk_queries import _kept
+
+    usable = ch.usable(contents)
+    checked = _kept(ch.chunk_contents(usable, "recursive", {"chunk_size": 20, "chunk_overlap": 0}), usable, 20, 0)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert all(r["fits"] and r["numbered"] and r["repeats_fit"] and r["n_foreign"] == 0 for r in checked.collect())
