@@ -173,7 +173,7 @@ def legal_chunks(spark, sf_dir):
     chunks, contents = _legal(spark, sf_dir)
     # a chunk is of high quality by its letters and its left-over mark-up, counted here once more from its text
     body = F.col("page_content")
-    share = 100 * F.length(F.regexp_replace(body, "[^A-Za-zÀ-ÿ]", "")) / F.length(body)
+    share = 100 * F.length(F.array_join(F.regexp_extract_all(body, F.lit("([A-Za-zÀ-ÿ]+)")), "")) / F.length(body)
     marks = F.regexp_count(body, F.lit(r"#{1,6}|\*\*|\(\)|\[\]"))
     wrong = ((share >= 70) & (marks <= 2)) != (F.col("metadata")["high_quality"] == "true")
     judged = chunks.groupBy("content_id").agg(
