@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_question, strip, text_key
 
+SENT_ROWS = 512
 VECTORS = "chunk_id long, storage_id string, engine string, embedding array<float>"
 
 
@@ -42,8 +43,8 @@ def word_hash_model(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                row[zlib.crc32(word.encode()) % dims] += 1.0
+            found = [zlib.crc32(word.encode()) % dims for word in text.lower().split()]
+            row[:] = np.bincount(np.array(found, dtype=np.int64), minlength=dims)
         return out
 
     return encode
@@ -52,20 +53,21 @@ def word_hash_model(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 def embed_chunks(
     pending: DataFrame, engine: str, model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 8
 ) -> DataFrame:
-    """Unit vectors of (chunk_id, storage_id, page_content). ``model`` is called once per task."""
+    """Unit vectors of (chunk_id, storage_id, page_content). ``model`` is called once per task, what it gives with ``batch`` texts at once."""
 
     def run(batches):
         encode = model()
         for part in batches:
-            for start in range(0, part.num_rows, batch):
-                ids, storages, texts = part.slice(start, batch).columns
-                vectors = np.asarray(encode(texts.to_pylist()), dtype=np.float64)
+            for first in range(0, part.num_rows, SENT_ROWS):
+                ids, storages, texts = part.slice(first, SENT_ROWS).columns
+                made = [encode(texts.slice(start, batch).to_pylist()) for start in range(0, len(texts), batch)]
+                vectors = np.concatenate([np.asarray(m, dtype=np.float64) for m in made])
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0).astype(np.float32)
-                engines = pa.array([engine] * len(ids))
+                ends = pa.array(np.arange(len(unit) + 1) * unit.shape[1], pa.int32())
+                embedding = pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, storages, engines, pa.array(list(unit), pa.list_(pa.float32()))],
-                    ["chunk_id", "storage_id", "engine", "embedding"],
+                    [ids, storages, pa.array([engine] * len(ids)), embedding], ["chunk_id", "storage_id", "engine", "embedding"]
                 )
 
     wanted = pending.select("chunk_id", F.col("storage_id").cast("string").alias("storage_id"), "page_content")

@@ -26,7 +26,8 @@ def chunk_and_embed(contents: DataFrame, splitter: str, config: dict, engine: st
     chunks = chunking.chunk_contents(chunking.usable(contents), splitter, config, carry=("storage_id",))
     # read for the vectors and for the contexts: written out, so every text is split once
     chunks = cut_lineage(chunks.withColumn("chunk_id", F.xxhash64("content_id", "ordinal")))
-    return chunks, embed.embed_chunks(chunks, engine, model)
+    # a search reads its vectors several times: written out, so the model sees every chunk once
+    return chunks, cut_lineage(embed.embed_chunks(chunks, engine, model))
 
 
 def answer_contexts(

@@ -38,3 +38,29 @@ def test_only_rare_words_are_rows_that_move(spark, monkeypatch):
     profiles = quality.language_profiles(labelled)
     found = {r["item_id"]: r["detected"] for r in quality.detect_language(texts, profiles).collect()}
     assert found == {1: "xx", 2: "en", 3: None, 4: None}
+
+
+def test_model_sees_every_chunk_once(spark):
+    from corpusmill.operators import embed, search
+    from corpusmill.plans import flows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def model():
+        encode = embed.word_hash_model()
+
+        def counting(texts):
+            assert len(texts) <= 8
+            seen.add(len(texts))
+            return encode(texts)
+
+        return counting
+
+    rows = [(i, "s", f"text number {i}", {}) for i in range(600)]
+    contents = spark.createDataFrame(rows, "content_id long, storage_id string, body string, metadata map<string,string>").coalesce(1)
+    chunks, vectors = flows.chunk_and_embed(contents, "recursive", {"chunk_size": 20, "chunk_overlap": 0}, "e", model)
+    asked = vectors.filter("chunk_id % 100 = 0").select(vectors.chunk_id.alias("query_id"), "embedding")
+    hits = search.nearest(vectors, asked, k=1).collect()
+    assert seen.value == chunks.count() == 600 and all(h["distance"] < 1e-6 for h in hits)
+    blank = embed.embed_chunks(spark.createDataFrame([(1, "s", " \n")], "chunk_id long, storage_id string, page_content string"), "e", model)
+    assert set(blank.first()["embedding"]) == {0.0}
