@@ -37,6 +37,8 @@ ROUNDS = 4
 # tasks of a round at most, and rows of summed weights that reach the driver; a task takes several shares in turn
 ROUND_TASKS = 512
 SUMS = 16
+# numbers that Adam takes at once
+ADAM_BLOCK = 1 << 14
 WEIGHTS = ["gate", "turn", "candidate", "class_weight", "class_bias", "word_weight", "word_bias"]
 LN10 = math.log(10)
 
@@ -89,39 +91,93 @@ class Network:
         n = 2 * sigmoid(2 * (given[:, 2 * h :] + (r * state) @ self.candidate)) - 1
         return state + z * (n - state), z, r, n
 
+    def window(self, state: np.ndarray, sources: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``step`` over the rows of ``sources`` (steps x lanes), state by columns (h x lanes).
+
+        Before, both gates, candidate and after of every step, each steps x h x lanes.
+        """
+        (w, lanes), h = sources.shape, state.shape[0]
+        # 1 / (1 + exp(x)) needs the signs turned; the candidate is 2 / (1 + exp(2x)) - 1
+        given = np.ascontiguousarray(self.gate[sources.ravel()].reshape(w, lanes, 3 * h).transpose(0, 2, 1))
+        given *= np.repeat(np.array([-1, -2], dtype=given.dtype), [2 * h, h])[:, None]
+        turn, candidate = np.ascontiguousarray(-self.turn.T), np.ascontiguousarray(-2 * self.candidate.T)
+        before, after, new, gates = (np.empty((w, n * h, lanes), dtype=state.dtype) for n in (1, 1, 1, 2))
+        reset = np.empty_like(state)
+        for s in range(w):
+            b, a, n, g = before[s], after[s], new[s], gates[s]
+            np.multiply(state, keep[s], out=b)
+            np.matmul(turn, b, out=g)
+            g += given[s, : 2 * h]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[h:], b, out=reset)
+            np.matmul(candidate, reset, out=n)
+            n += given[s, 2 * h :]
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
+            np.subtract(n, b, out=a)
+            a *= g[:h]
+            a += b
+            state = a
+        return before, gates, new, after
+
     def loss(self, states: np.ndarray, targets: np.ndarray, class_of: np.ndarray, learn: bool = False):
         """ln P of each target after each state; with ``learn`` also the gradients of -sum ln P."""
-        classes = class_of[targets]
-        logits = states @ self.class_weight + self.class_bias
-        top = logits.max(1, keepdims=True)
-        power = np.exp(logits - top)
-        total = power.sum(1)
-        out = logits[np.arange(len(targets)), classes] - top[:, 0] - np.log(total)
+        found = self.column_loss(np.ascontiguousarray(states.T), targets, class_of, learn)
+        return (found[0], [found[1][0].T, *found[1][1:]]) if learn else found
+
+    def column_loss(self, states: np.ndarray, targets: np.ndarray, class_of: np.ndarray, learn: bool = False):
+        """``loss`` with states and their gradient by columns (h x targets).
+
+        Targets stand class after class, the own words first; their logits share one table, so only the products run class
+        by class. A row of ones under the states carries the biases.
+        """
+        classes, groups, h = class_of[targets], len(self.first) - 1, len(states)
+        order = np.argsort(classes.astype(np.uint16 if groups + SUFFIX_CLASSES < 2**16 else np.int64), kind="stable")
+        classes, every = classes[order], np.arange(len(order))
+        seen = np.empty((h + 1, len(order)), dtype=states.dtype)
+        np.take(states, order, axis=1, out=seen[:h], mode="clip")
+        seen[h] = 1
+        weight = np.concatenate([self.class_weight, self.class_bias[None]])
+        power = weight.T @ seen
+        gain = _log_shares(power, classes, every, learn)
         if learn:
-            d = power / total[:, None]
-            d[np.arange(len(targets)), classes] -= 1
-            grad = [d @ self.class_weight.T, states.T @ d, d.sum(0), np.zeros_like(self.word_weight), np.zeros_like(self.word_bias)]
-        mine = np.flatnonzero(targets < self.own)
-        mine = mine[np.argsort(classes[mine], kind="stable")]
-        bounds = np.searchsorted(classes[mine], np.arange(len(self.first)))
-        for c in range(len(self.first) - 1):
-            at = mine[bounds[c] : bounds[c + 1]]
-            if not len(at):
-                continue
-            a, b = self.first[c], self.first[c + 1]
-            logits = states[at] @ self.word_weight[:, a:b] + self.word_bias[a:b]
-            top = logits.max(1, keepdims=True)
-            power = np.exp(logits - top)
-            total = power.sum(1)
-            row = np.arange(len(at))
-            out[at] += logits[row, targets[at] - a] - top[:, 0] - np.log(total)
+            back, class_grad = self.class_weight @ power, seen @ power.T
+        bounds = np.searchsorted(classes, np.arange(groups + 1))
+        own, spans = bounds[-1], [(self.first[c], self.first[c + 1], bounds[c], bounds[c + 1]) for c in np.flatnonzero(np.diff(bounds))]
+        weight, word_grad = np.concatenate([self.word_weight, self.word_bias[None]]), np.zeros((h + 1, self.own), dtype=states.dtype)
+        if spans:
+            widths = np.diff(self.first)
+            power = np.full((widths.max(), own), -np.inf, dtype=seen.dtype) if widths.min() < widths.max() else np.empty((widths[0], own), dtype=seen.dtype)
+            for a, b, start, end in spans:
+                np.matmul(weight[:, a:b].T, seen[:, start:end], out=power[: b - a, start:end])
+            gain[:own] += _log_shares(power, targets[order[:own]] - self.first[classes[:own]], every[:own], learn)
             if learn:
-                d = power / total[:, None]
-                d[row, targets[at] - a] -= 1
-                grad[0][at] += d @ self.word_weight[:, a:b].T
-                grad[3][:, a:b] += states[at].T @ d
-                grad[4][a:b] += d.sum(0)
-        return (out, grad) if learn else out
+                through = np.empty((h, own), dtype=states.dtype)
+                for a, b, start, end in spans:
+                    d = power[: b - a, start:end]
+                    np.matmul(self.word_weight[:, a:b], d, out=through[:, start:end])
+                    np.matmul(seen[:, start:end], d.T, out=word_grad[:, a:b])
+                back[:, :own] += through
+        place = np.empty_like(order)
+        place[order] = every
+        out = gain[place]
+        return (out, [back.take(place, axis=1), class_grad[:h], class_grad[h], word_grad[:h], word_grad[h]]) if learn else out
+
+
+def _log_shares(logits: np.ndarray, at: np.ndarray, every: np.ndarray, learn: bool) -> np.ndarray:
+    """By column ln of the softmax at the row ``at``; with ``learn`` the gradient of -ln takes the place of the logits."""
+    logits -= logits.max(0)
+    out = logits[at, every]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    if learn:
+        logits *= 1 / total
+        logits[at, every] -= 1
+    return out - np.log(total)
 
 
 class Lanes:
@@ -163,77 +219,110 @@ def start_network(counts: np.ndarray, own: int, hidden: int, seed: int) -> Netwo
 
 
 def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int = 96, rate: float = 0.01, part: tuple[int, int] = (0, 1)) -> Network:
-    """Adam over windows of WINDOW steps; gradients stop at a window's start, the state does not.
+    """The network after Adam over windows of WINDOW steps; gradients stop at a window's start, the state does not.
 
     ``part``: this call's number among all calls that the falling rate is spread over, and how many they are.
     """
     if not docs:
         return network
-    names = WEIGHTS
-    mean = {n: np.zeros_like(getattr(network, n)) for n in names}
-    square = {n: np.zeros_like(getattr(network, n)) for n in names}
     laid, class_of, h, t = Lanes(docs, network.end, lanes), network.class_of, network.turn.shape[0], 0
+    # all weights, their gradients and moments lie end to end, so Adam takes them in blocks that stay in the cache
+    weights = np.concatenate([getattr(network, n).ravel() for n in WEIGHTS]).astype(np.float32)
+    slopes, mean, square = (np.zeros_like(weights) for _ in range(3))
+    parts, begin = {}, 0
+    for n in WEIGHTS:
+        old = getattr(network, n)
+        parts[n] = slice(begin, begin + old.size), old.shape
+        begin += old.size
+    network = replace(network, **{n: weights[at].reshape(shape) for n, (at, shape) in parts.items()})
+    total = {n: slopes[at].reshape(shape) for n, (at, shape) in parts.items()}
+    blocks = [slice(i, i + ADAM_BLOCK) for i in range(0, len(weights), ADAM_BLOCK)]
+    columns = np.arange(3 * h)
     steps = epochs * -(-len(laid.target) // WINDOW)
     for _ in range(epochs):
-        state = np.zeros((laid.target.shape[1], h), dtype=np.float32)
+        state = np.zeros((h, laid.target.shape[1]), dtype=np.float32)
         for begin in range(0, len(laid.target), WINDOW):
-            span = range(begin, min(begin + WINDOW, len(laid.target)))
-            trace = []
-            for s in span:
-                before = state * laid.keep[s][:, None]
-                state, z, r, n = network.step(before, laid.source[s])
-                trace.append((before, z, r, n, state))
-            valid = np.concatenate([laid.doc[s] >= 0 for s in span])
-            if not valid.any():
+            span = slice(begin, begin + WINDOW)
+            sources, keep = laid.source[span], laid.keep[span]
+            before, gates, new, after = network.window(state, sources, keep)
+            state = after[-1]
+            valid = np.flatnonzero(laid.doc[span].ravel() >= 0)
+            if not len(valid):
                 continue
-            states = np.concatenate([x[4] for x in trace])
-            targets = np.concatenate([laid.target[s] for s in span])
-            _, grad = network.loss(states[valid], targets[valid], class_of, learn=True)
+            states, targets = _columns(after), laid.target[span].ravel()
+            full = len(valid) == states.shape[1]
+            _, grad = network.column_loss(states if full else states[:, valid], targets if full else targets[valid], class_of, learn=True)
             back = np.zeros_like(states)
-            back[valid] = grad[0]
-            back = back.reshape(len(trace), -1, h)
-            total = {n: np.zeros_like(getattr(network, n)) for n in names[:3]} | dict(zip(names[3:], grad[1:]))
-            flow, given = np.zeros_like(state), []
-            for i in range(len(trace) - 1, -1, -1):
-                before, z, r, n, _ = trace[i]
-                d = back[i] + flow
-                dn = d * z * (1 - n * n)
-                turned = dn @ network.candidate.T
-                gates = np.concatenate([d * (n - before) * z * (1 - z), turned * before * r * (1 - r)], axis=1)
-                given.append((before, r * before, np.concatenate([gates, dn], axis=1)))
-                flow = (d * (1 - z) + turned * r + gates @ network.turn.T) * laid.keep[begin + i][:, None]
-            before, turned, change = (np.concatenate(x) for x in zip(*given))
-            total["turn"], total["candidate"] = before.T @ change[:, : 2 * h], turned.T @ change[:, 2 * h :]
-            sources = np.concatenate([laid.source[s] for s in reversed(span)])
-            order = np.argsort(sources, kind="stable")
-            found, starts = np.unique(sources[order], return_index=True)
-            total["gate"][found] = np.add.reduceat(change[order], starts)
+            back[:, slice(None) if full else valid] = grad[0]
+            for n, g in zip(WEIGHTS[3:], grad[1:]):
+                total[n][...] = g
+            back = np.ascontiguousarray(back.reshape(h, len(sources), -1).transpose(1, 0, 2))
+            z, r = gates[:, :h], gates[:, h:]
+            held = 1 - z
+            to_new, turned = z * (1 - new * new), r * before
+            to_z, to_r = (new - before) * z * held, turned * (1 - r)
+            change, flow = np.empty((len(sources), 3 * h, state.shape[1]), dtype=np.float32), np.zeros_like(state)
+            for s in range(len(sources) - 1, -1, -1):
+                d, c = back[s], change[s]
+                d += flow
+                np.multiply(d, to_new[s], out=c[2 * h :])
+                through = network.candidate @ c[2 * h :]
+                np.multiply(d, to_z[s], out=c[:h])
+                np.multiply(through, to_r[s], out=c[h : 2 * h])
+                np.matmul(network.turn, c[: 2 * h], out=flow)
+                through *= r[s]
+                flow += through
+                d *= held[s]
+                flow += d
+                flow *= keep[s]
+            change = _columns(change)
+            np.matmul(_columns(before), change[: 2 * h].T, out=total["turn"])
+            np.matmul(_columns(turned), change[2 * h :].T, out=total["candidate"])
+            places = sources.ravel().astype(np.int64) * (3 * h) + columns[:, None]
+            slopes[parts["gate"][0]] = np.bincount(places.ravel(), change.ravel(), network.gate.size)
             t += 1
             pace = rate * (1 - 0.9 * (part[0] + t / steps) / part[1])
-            for n in names:
-                g = total[n] / valid.sum() * 50
-                mean[n] += 0.1 * (g - mean[n])
-                square[n] += 0.01 * (g * g - square[n])
-                change = pace * (mean[n] / (1 - 0.9**t)) / (np.sqrt(square[n] / (1 - 0.99**t)) + 1e-6)
-                getattr(network, n)[...] -= change.astype(np.float32)
+            for at in blocks:
+                _adam(weights[at], slopes[at], mean[at], square[at], 50 / len(valid), pace, t)
     return network
 
 
+def _columns(steps: np.ndarray) -> np.ndarray:
+    """steps x n x lanes as n x (steps x lanes)."""
+    return np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(steps.shape[1], -1)
+
+
+def _adam(weights: np.ndarray, slopes: np.ndarray, mean: np.ndarray, square: np.ndarray, scale: float, pace: float, t: int) -> None:
+    """One step of Adam in place; ``slopes`` are used up."""
+    slopes *= scale
+    change = slopes - mean
+    change *= 0.1
+    mean += change
+    slopes *= slopes
+    slopes -= square
+    slopes *= 0.01
+    square += slopes
+    np.multiply(square, 1 / (1 - 0.99**t), out=slopes)
+    np.sqrt(slopes, out=slopes)
+    slopes += 1e-6
+    np.multiply(mean, pace / (1 - 0.9**t), out=change)
+    change /= slopes
+    weights -= change
+
+
 def log_likelihoods(network: Network, docs: Sequence[np.ndarray], lanes: int = 512) -> np.ndarray:
     """ln P of the symbols of each document, the state carried through the whole of it."""
     out, class_of = np.zeros(len(docs)), network.class_of
     laid = Lanes(docs, network.end, lanes)
-    state = np.zeros((laid.target.shape[1], network.turn.shape[0]), dtype=np.float32)
+    state = np.zeros((network.turn.shape[0], laid.target.shape[1]), dtype=np.float32)
     for begin in range(0, len(laid.target), WINDOW):
         span = slice(begin, begin + WINDOW)
-        states = []
-        for s in range(begin, min(begin + WINDOW, len(laid.target))):
-            state = network.step(state * laid.keep[s][:, None], laid.source[s])[0]
-            states.append(state)
-        doc = laid.doc[span].ravel()
-        valid = doc >= 0
-        gain = network.loss(np.concatenate(states)[valid], laid.target[span].ravel()[valid], class_of)
-        out += np.bincount(doc[valid], gain, len(docs))
+        after = network.window(state, laid.source[span], laid.keep[span])[3]
+        state, states, doc, targets = after[-1], _columns(after), laid.doc[span].ravel(), laid.target[span].ravel()
+        valid = np.flatnonzero(doc >= 0)
+        if len(valid) < len(doc):
+            states, doc, targets = states[:, valid], doc[valid], targets[valid]
+        out += np.bincount(doc, network.column_loss(states, targets, class_of), len(docs))
     return out
 
 
@@ -311,7 +400,7 @@ def trained_in_rounds(network: Network, docs: DataFrame, names: Sequence[bytes],
         def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def one(share: int, docs: list[np.ndarray]) -> None:
                 order = np.random.default_rng([part[0], share]).permutation(len(docs))
-                own = train(replace(here, **{n: getattr(here, n).copy() for n in WEIGHTS}), [docs[i] for i in order], 1, part=part)
+                own = train(here, [docs[i] for i in order], 1, part=part)
                 size = float(sum(map(len, docs)))
                 seen[0] += size
                 for n in WEIGHTS:

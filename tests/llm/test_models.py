@@ -150,6 +150,27 @@ def test_lanes_do_not_change_a_document():
     assert together[4] == pytest.approx(total, rel=1e-4)
 
 
+def test_a_step_of_training_goes_down_the_gradient():
+    rng = np.random.default_rng(9)
+    net = recurrent.start_network(np.ones(70 + recurrent.SUFFIX_CLASSES + 1), 70, 4, 3)  # the last class is not full
+    docs = [np.append(rng.integers(0, net.end, n), net.end).astype(np.int32) for n in [14] * 7 + [9]]
+    kept = {n: getattr(net, n).copy() for n in recurrent.WEIGHTS}
+    got = recurrent.train(net, docs, 1, lanes=4)
+    for name, old in kept.items():
+        assert np.array_equal(getattr(net, name), old)  # a share starts from weights that others start from too
+        loss = lambda change: -recurrent.log_likelihoods(recurrent.replace(net, **{name: old + change}), docs).sum()  # noqa: B023, E731
+        slopes = {}
+        for at in {tuple(int(rng.integers(n)) for n in old.shape) for _ in range(40)}:
+            change = np.zeros_like(old)
+            change[at] = 0.02
+            slopes[at] = (loss(change) - loss(-change)) / 0.04
+        # the first step of Adam has the size of the rate against the sign of the slope
+        steep = [at for at, slope in slopes.items() if abs(slope) > 0.005]
+        assert len(steep) > 2
+        for at in steep:
+            assert (getattr(got, name) - old)[at] == pytest.approx(-0.001 * np.sign(slopes[at]), rel=0.01)
+
+
 def check_base(docs, got):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
