@@ -237,7 +237,7 @@ def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int
     network = replace(network, **{n: weights[at].reshape(shape) for n, (at, shape) in parts.items()})
     total = {n: slopes[at].reshape(shape) for n, (at, shape) in parts.items()}
     blocks = [slice(i, i + ADAM_BLOCK) for i in range(0, len(weights), ADAM_BLOCK)]
-    columns = np.arange(3 * h)
+    kind = np.uint16 if network.end < 2**16 else np.int32  # short numbers are sorted by digits
     steps = epochs * -(-len(laid.target) // WINDOW)
     for _ in range(epochs):
         state = np.zeros((h, laid.target.shape[1]), dtype=np.float32)
@@ -278,8 +278,11 @@ def train(network: Network, docs: Sequence[np.ndarray], epochs: int, lanes: int
             change = _columns(change)
             np.matmul(_columns(before), change[: 2 * h].T, out=total["turn"])
             np.matmul(_columns(turned), change[2 * h :].T, out=total["candidate"])
-            places = sources.ravel().astype(np.int64) * (3 * h) + columns[:, None]
-            slopes[parts["gate"][0]] = np.bincount(places.ravel(), change.ravel(), network.gate.size)
+            order = np.argsort(sources.ravel().astype(kind), kind="stable")
+            symbols = sources.ravel()[order]
+            starts = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+            total["gate"][...] = 0
+            total["gate"][symbols[starts]] = np.add.reduceat(change.take(order, axis=1), starts, axis=1).T
             t += 1
             pace = rate * (1 - 0.9 * (part[0] + t / steps) / part[1])
             for at in blocks:
