@@ -27,11 +27,15 @@ def _contents(spark, sf_dir, name="documents"):
 
 
 def _summary(chunks, key="content_id"):
-    """Per document: number, order, sizes and an order-aware fingerprint of the chunks."""
+    """Per document: number, order, sizes and an order-aware fingerprint of the chunks.
+
+    The fingerprint covers place, text and metadata of every chunk; equal chunks add up and do not cancel out."""
+    chunk = F.xxhash64("ordinal", "page_content", F.array_sort(F.map_entries("metadata")))
     return chunks.groupBy(key).agg(
         F.count("*").alias("n_chunks"),
         F.sum("size_in_tokens").alias("n_tokens"),
         F.max("size_in_tokens").alias("largest"),
+        F.xxhash64(F.sum(chunk.cast("decimal(20,0)"))).alias("fingerprint"),
     )
 
 

@@ -155,3 +155,24 @@ def test_kept_words_never_become_rows(spark, contents):
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
     assert all(r["fits"] and r["numbered"] and r["repeats_fit"] and r["n_foreign"] == 0 for r in checked.collect())
+
+
+def test_texts_and_metadata_of_page_chunks_count(spark, tmp_path):
+    from corpusmill.plans.chunk_queries import page_chunks
+
+    page = "<html><body><main><h1>{}</h1><p>{}</p><h1>B</h1><p>{}</p><p>{}</p></main></body></html>"
+    one, two, link = "one two three", "four five six", "<a href='/f.pdf'>{}</a>"
+    rows = [
+        (1, page.format("T", one, two, link.format("x"))),
+        (2, page.format("T", one, two, link.format("x"))),
+        (3, page.format("T", two, one, link.format("x"))),  # the same pieces in another order
+        (4, page.format("U", one, two, link.format("x"))),  # another header
+        (5, page.format("T", one, two, link.format("y"))),  # another file
+        (6, page.format("T", one, two, link.format("x"))),
+        (6, page.format("T", one, two, link.format("x"))),  # a page that stands twice
+    ]
+    spark.createDataFrame([(i, "http://u/p", html) for i, html in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["content_id"]: r for r in page_chunks(spark, str(tmp_path)).collect()}
+    prints = {i: r["fingerprint"] for i, r in got.items()}
+    assert len({(r["n_chunks"], r["n_tokens"]) for i, r in got.items() if i < 6}) == 1  # sizes alone do not tell them apart
+    assert prints[1] == prints[2] and len({prints[i] for i in (1, 3, 4, 5, 6)}) == 5 and got[6]["n_chunks"] == 2 * got[1]["n_chunks"]
