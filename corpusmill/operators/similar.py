@@ -3,154 +3,27 @@
 1. Equal payloads are one representative; copies only get an edge to it.
 2. Dense vectors near one of a bounded number of leaders are linked to it and need no comparison with each other; the rest
    meets the pieces of balls that it can reach (``vector_links``).
-3. Sparse vectors meet in the postings of their rare terms, where the lengths of what is left of them rule out most
-   pairs (``text_links``).
-4. Blocks that stay long are full of near-copies: everything similar to the block's first member is linked to it, the rest is
-   compared in sub-blocks of bounded size, and a task returns a spanning forest of its links (``links_in_blocks``).
-5. Clusters are the connected components of the links.
+3. Sparse vectors of texts stay in packed blocks of rows. Every two blocks meet without a shuffle, add up what pairs share over
+   their rare terms, and compare what can still reach the threshold; the work is quadratic, by a small factor (``text_links``).
+4. Clusters are the connected components of the links.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
+from corpusmill.operators.term_blocks import packed, term_blocks, totals_of, unpacked, with_totals
+from corpusmill.operators.term_blocks import written as _written
 from corpusmill.operators.vector_cells import ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
-from corpusmill.session import cut_lineage, shared_path
+from corpusmill.session import cut_lineage
 
 EDGES = "a long, b long"
-PAYLOAD = "struct<at:array<bigint>,weight:array<double>>"  # unit vector: coordinates and weights
-SUB_BLOCK = 1024
-TERMS = 4096  # coordinates of a comparison that are held as a dense block at once
-
-
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows by columns in the shared folder, which takes less room than rows do."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _cells(payload: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, coordinate and weight of every cell of struct<at,weight> vectors."""
-    at, weight = payload.field(0), payload.field(1)
-    sizes = pc.list_value_length(at).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(payload)), sizes), at.flatten().to_numpy(), weight.flatten().to_numpy()
-
-
-def _cosines(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
-    """Row by row products of two columns of unit vectors."""
-    (rows, at, weight), (other_rows, other_at, other_weight) = _cells(left), _cells(right)
-    names, codes = np.unique(np.concatenate([at, other_at]), return_inverse=True)
-    width = len(names) + 1
-    _, i, j = np.intersect1d(
-        rows * width + codes[: len(at)], other_rows * width + codes[len(at) :], assume_unique=True, return_indices=True
-    )
-    return np.bincount(rows[i], weights=weight[i] * other_weight[j], minlength=len(left))
-
-
-def _forest(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """Spanning forest of a symmetric boolean matrix by breadth-first search."""
-    left = np.ones(len(ids), dtype=bool)
-    edges: list[tuple[int, int]] = []
-    for start in range(len(ids)):
-        if not left[start]:
-            continue
-        left[start] = False
-        queue = [start]
-        while queue:
-            at = queue.pop()
-            found = np.flatnonzero(linked[at] & left)
-            left[found] = False
-            edges += [(ids[at], ids[f]) for f in found]
-            queue.extend(found.tolist())
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-
-def links_in_blocks(members: DataFrame, items: DataFrame, threshold: float, sub_block: int = SUB_BLOCK) -> DataFrame:
-    """Edges (a, b) that connect exactly what pairs above the threshold inside the blocks connect.
-
-    ``members``: block string, item_id long; a block of any size is fine. ``items``: item_id, payload
-    PAYLOAD, already written out. Only ids travel until a comparison needs the vectors.
-    """
-    pivots = members.groupBy("block").agg(F.min("item_id").alias("pivot_id"), F.count("*").alias("n")).filter("n > 1")
-    met = members.join(pivots.drop("n"), "block")
-
-    def near_pivot(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, sub_block):
-                ids, pivot_ids, payload, pivot = batch.slice(start, sub_block).columns
-                near = pa.array(_cosines(payload, pivot) > threshold)
-                yield pa.RecordBatch.from_arrays([ids.filter(near), pivot_ids.filter(near)], ["item_id", "pivot_id"])
-
-    pairs = met.filter("item_id <> pivot_id").select("item_id", "pivot_id").distinct()  # at most one per membership
-    pivot_items = items.select(F.col("item_id").alias("pivot_id"), F.col("payload").alias("pivot"))
-    both = pairs.join(items, "item_id").join(pivot_items, "pivot_id").select("item_id", "pivot_id", "payload", "pivot")
-    to_pivot = cut_lineage(both.mapInArrow(near_pivot, "item_id long, pivot_id long"))
-
-    hit = to_pivot.withColumn("hit", F.lit(True))
-    linked = F.coalesce("hit", F.col("item_id") == F.col("pivot_id"))
-    flagged = met.join(hit, ["item_id", "pivot_id"], "left").select("block", "item_id", linked.alias("linked"))
-    sizes = flagged.groupBy("block").agg(
-        F.ceil(F.count_if("linked") / sub_block).alias("s_linked"), F.ceil(F.count_if(~F.col("linked")) / sub_block).alias("s_rest")
-    ).filter("s_rest > 0")
-    # linked rows meet only the rest; a row of the rest meets every sub-block
-    number = F.xxhash64("item_id")
-    own = F.when(F.col("linked"), F.pmod(number, F.col("s_linked"))).otherwise(
-        F.col("s_linked") + F.pmod(number, F.col("s_rest"))
-    )
-    first = F.when(F.col("linked"), F.col("s_linked")).otherwise(F.lit(0))
-    others = F.sequence(first, F.col("s_linked") + F.col("s_rest") - 1)
-    placed = flagged.join(sizes, "block").select("block", "item_id", "linked", own.alias("own"), F.explode(others).alias("other"))
-    tasks = placed.select(
-        F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "item_id", "linked"
-    )
-    # many small comparisons share one Python call, and an item's vector is sent to it once
-    n_bundles = F.greatest(F.ceil(F.count("*") / (2 * sub_block)), F.lit(1))
-    counted = F.broadcast(tasks.agg(n_bundles.alias("n_bundles")))  # one row
-    bundled = (
-        tasks.join(counted)
-        .groupBy(F.pmod("task", "n_bundles").alias("bundle"), "item_id")
-        .agg(F.collect_list("task").alias("tasks"), F.collect_list("linked").alias("linked"))
-        .join(items, "item_id")
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("item_id").to_numpy()
-        part = table.column("tasks").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
-        task, known = part.flatten().to_numpy(), table.column("linked").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        rows, at, weight = _cells(table.column("payload").combine_chunks())
-        offsets = np.searchsorted(rows, np.arange(len(ids) + 1))
-        order = np.argsort(task, kind="stable")
-        found = []
-        for members in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
-            mine = owner[members]
-            spans = [slice(offsets[i], offsets[i + 1]) for i in mine]
-            local = np.repeat(np.arange(len(mine)), [s.stop - s.start for s in spans])
-            names, column = np.unique(np.concatenate([at[s] for s in spans]), return_inverse=True)
-            cells = np.concatenate([weight[s] for s in spans])
-            products = np.zeros((len(mine), len(mine)))
-            for first in range(0, len(names), TERMS):  # bounded memory, however many terms there are
-                own = (column >= first) & (column < first + TERMS)
-                block = np.zeros((len(mine), min(TERMS, len(names) - first)))
-                block[local[own], column[own] - first] = cells[own]
-                products += block @ block.T
-            close = products > threshold
-            done = known[members]
-            close[np.ix_(done, done)] = False
-            np.fill_diagonal(close, False)
-            found.append(_forest(close, ids[mine]))
-        return pa.Table.from_pandas(pd.concat(found, ignore_index=True), preserve_index=False)
-
-    found = bundled.groupBy("bundle").applyInArrow(compare, EDGES)
-    return found.union(to_pivot.select(F.col("item_id").alias("a"), F.col("pivot_id").alias("b"))).distinct()
 
 
 def clusters(copies: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,108 +170,269 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.99) -> DataF
 # ---- texts ----
 
 
-def tfidf_vectors(texts: DataFrame, max_features: int | None = None) -> DataFrame:
-    """Sparse TF-IDF of (item_id, n_copies, text): one row per item and term.
+# members of a block of postings that can be paired with each other
+LONG_BLOCK = 256
+
+
+def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of blocks that can be paired, and of longer ones; blocks of one member are left out, and never written."""
+    sizes = postings.groupBy("block").agg(F.count("*").alias("n"))
+    sized = _written(postings.join(sizes.filter("n > 1"), "block"), "postings")
+    return sized.filter(F.col("n") <= LONG_BLOCK).drop("n"), sized.filter(F.col("n") > LONG_BLOCK).drop("n")
+
 
-    Raw counts, smoothed idf ln((1+n)/(1+df))+1, unit length. ``n_copies`` says how often a text stands in
-    the corpus. Features are all terms; a number takes only so many of the most frequent ones.
+STRIP_ROWS = 256  # rows of a block that are compared with another block at once
+MOST_PRODUCTS = 500_000  # products that are held at once
+HELD_BLOCKS = 2  # blocks that a task keeps ready
+MARGIN = 0.03  # what a pair has to gain over its postings
+CLOSE = 1e-5  # weights are rounded to 32 bits where they only rule out pairs
+
+TEXT_BLOCK = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("ids", T.BinaryType()),  # int64 a row
+        T.StructField("rest", T.BinaryType()),  # float64 a row: length of the vector behind its postings
+        T.StructField("norms", T.BinaryType()),  # float64 a row
+        T.StructField("terms", T.BinaryType()),  # int64, sorted
+        T.StructField("idf", T.BinaryType()),  # float64 a term
+        T.StructField("ends", T.BinaryType()),  # int32 a row: end of its cells
+        T.StructField("codes", T.BinaryType()),  # int32 a cell
+        T.StructField("tf", T.BinaryType()),  # a cell, in as few bytes as the largest one takes
+        T.StructField("posted", T.BinaryType()),  # bool a cell: whether it is a posting
+    ]
+)
+
+
+def one_row_an_item(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, int | None]:
+    """((item_id, key, n, text), edges from further copies, number of texts) of (item_id, text); ``text`` is normalised.
+
+    ``n`` says how often a row counts. Where every item is one row that is once, and copies are left for later. Otherwise texts of
+    one item that stand equally often are one text; if there are more, a row without an id counts each of them and one that counts
+    nothing has them all.
     """
-    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]{2,})"))
-    each = texts.select("item_id", "n_copies", F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
-    counted = each.groupBy("item_id", "n_copies", "word").agg(F.count("*").alias("tf"))
-    terms = counted.groupBy("word").agg(
-        F.sum("n_copies").alias("df"), F.sum(F.col("tf") * F.col("n_copies")).alias("total")
+    keyed = texts.select("item_id", dedupe_key(F.col("text")).alias("text")).filter("text <> ''")
+    keyed = keyed.withColumn("key", text_key(F.col("text")))
+    if texts.groupBy("item_id").count().filter("count > 1").isEmpty():
+        return keyed.withColumn("n", F.lit(1).cast("long")), None, None
+    distinct = keyed.groupBy("key").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"), F.min_by("text", "item_id").alias("text"))
+    distinct = _written(distinct, "texts")
+    copies = _copies(keyed.select("item_id", "key"), distinct.select("key", F.col("item_id").alias("first_id")))
+    joined = lambda c: F.array_join(F.array_sort(c), " ")
+    equal = distinct.groupBy("item_id", "n").agg(F.min("key").alias("key"), joined(F.collect_list("text")).alias("text"))
+    own = equal.groupBy("item_id").agg(F.collect_list(F.struct("key", "n", "text")).alias("g"))
+    none, parts = F.lit(None).cast("long"), F.col("g")
+    row = lambda i, key, n, text: F.struct(i.alias("item_id"), key.alias("key"), n.alias("n"), text.alias("text"))
+    whole = row(F.col("item_id"), F.concat(F.lit("+"), parts[0]["key"]), F.lit(0).cast("long"), joined(parts["text"]))
+    rows = F.when(F.size("g") == 1, F.transform("g", lambda g: row(F.col("item_id"), g["key"], g["n"], g["text"]))).otherwise(
+        F.array_append(F.transform("g", lambda g: row(none, g["key"], g["n"], g["text"])), whole)
     )
-    if max_features:
-        terms = F.broadcast(terms.orderBy(F.desc("total"), "word").limit(max_features))  # bounded by the limit
-    n = texts.agg(F.sum("n_copies").alias("n_docs"))
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = counted.join(terms, "word").join(F.broadcast(n)).withColumn("raw", F.col("tf") * idf)  # n is one row
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("item_id")))
-    return weighted.select("item_id", "word", "df", (F.col("raw") / norm).alias("weight"))
+    return own.select(F.explode(rows).alias("r")).select("r.*"), copies, distinct.agg(F.sum("n")).first()[0] or 0
 
 
-# members of a block that are paired with each other; a longer block is split by a second term
-LONG_BLOCK = 256
-MARGIN = 0.05
-CLOSE = 1e-9
+def _copies(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    met = keyed.join(first, "key").filter("item_id <> first_id")
+    return met.select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
 
 
-def with_terms(weights: DataFrame) -> DataFrame:
-    """Items (item_id, cells): terms from rare to common as (at, weight, rest), rest being the length of the vector from the
-    term on."""
-    order = Window.partitionBy("item_id").orderBy("df", "word")
-    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    ranked = weights.select("item_id", F.row_number().over(order).alias("place"), F.xxhash64("word").alias("at"), "weight", rest.alias("rest"))
-    cells = F.array_sort(F.collect_list(F.struct("place", "at", "weight", "rest")))  # bounded by the text's words
-    return ranked.groupBy("item_id").agg(F.transform(cells, lambda c: c.dropFields("place")).alias("cells"))
+def tfidf_blocks(texts: DataFrame, max_features: int | None = None, n_docs: int | None = None) -> DataFrame:
+    """Sparse TF-IDF of (item_id, key, n, text) in blocks of term_blocks: counts, ``totals`` (df) and ``n_docs``.
 
+    Raw counts, smoothed idf ln((1+n)/(1+df))+1, unit length (``text_blocks``). A text counts ``n`` times. Features are all terms; a
+    number takes only so many of the most frequent ones.
+    """
+    words, only = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]{2,})")), None
+    if max_features:
+        each = texts.select("n", F.explode(words).alias("word")).groupBy("word").agg(F.sum("n").alias("total"))
+        only = [r["h"] for r in each.orderBy(F.desc("total"), "word").limit(max_features).select(F.xxhash64("word").alias("h")).collect()]
+    blocks = term_blocks(texts.select("item_id", "key", "n", F.transform(words, lambda w: F.xxhash64(w)).alias("words")), only=only)
+    if n_docs is None:
+        n_docs = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()[0] or 0
+    return with_totals(blocks).withColumn("n_docs", F.lit(n_docs))
 
-def text_links(items: DataFrame, threshold: float) -> DataFrame:
-    """Edges that connect exactly what pairs of stored items (item_id, cells) above the threshold connect.
 
-    The lengths of what is left of both vectors stand in the postings. Over the common terms where the product of these
-    lengths reaches the threshold less MARGIN a pair adds up what it shares; behind them it cannot gain more than that
-    product, so a pair that has not gained MARGIN by then is no candidate. Long postings are not paired: a pair with such a
-    term in common meets under that term and a second one, within what the first leaves open. What is long even then, copies
-    of one another for the most part, is linked to its first member. Vectors are fetched only for the candidates.
+def text_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Written blocks as TEXT_BLOCK: unit vectors and which of their cells are postings.
+
+    Terms go from rare to common; a vector is posted up to the term from which on what is left of it is shorter than the threshold
+    less MARGIN. A term that stands once is never posted.
     """
-    least = threshold - CLOSE
-    payload = F.struct(F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["weight"]).alias("weight"))
-    vectors = items.select("item_id", payload.alias("payload"))
-    rare = F.filter("cells", lambda c: c["rest"] >= least - MARGIN)
-    postings = items.select("item_id", F.explode(rare).alias("c")).select(F.col("c.at").alias("block"), "item_id", F.col("c.weight").alias("weight"), F.col("c.rest").alias("rest"))
-    short, long = _by_length(postings)
-    gained = _pairs(short, F.col("x.rest") * F.col("y.rest") >= least - MARGIN).groupBy("a", "b").agg(F.sum("gain").alias("gain"))
-    # a second common term lies within what the first one cannot bring alone
-    met = long.select(F.col("block").alias("at"), "item_id", F.col("weight").alias("own")).join(items, "item_id")
-    others = F.filter("cells", lambda c: (c["at"] != F.col("at")) & (c["rest"] >= least - F.col("own"))).alias("c")
-    second = met.select("item_id", "at", "own", F.explode(others).alias("c"))
-    second = second.select(F.xxhash64("at", "c.at").alias("block"), "item_id", F.col("own").alias("weight"), F.col("c.rest").alias("rest"))
-    alone = long.filter(F.col("weight") * F.col("weight") >= least * least).withColumn("rest", F.lit(0.0))
-    short_second, copies = _by_length(second.union(alone.select("block", "item_id", "weight", "rest")))
-    both = _pairs(short_second, F.col("x.weight") * F.col("y.weight") + F.col("x.rest") * F.col("y.rest") >= least)
-    pairs = gained.filter(F.col("gain") >= MARGIN - CLOSE).select("a", "b").union(both.select("a", "b")).distinct()
-    left, right = (vectors.select(F.col("item_id").alias(side), F.col("payload").alias(f"{side}_payload")) for side in ("a", "b"))
-
-    def verify(batches):
+    least = threshold - CLOSE - MARGIN
+
+    def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, SUB_BLOCK):
-                a, x, b, y = (batch.slice(start, SUB_BLOCK).column(c) for c in ("a", "a_payload", "b", "b_payload"))
-                near = pa.array(_cosines(x, y) > threshold)
-                yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
+            for i in range(batch.num_rows):
+                yield ready(batch.slice(i, 1))
+
+    def ready(row: pa.RecordBatch) -> pa.RecordBatch:
+        ids = row["item_id"][0].values
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        totals, ends = totals_of(row["totals"][0]), unpacked(row["ends"][0], "<i4")
+        idf = np.log((1 + row["n_docs"][0].as_py()) / (1 + totals)) + 1
+        codes, tf = unpacked(row["codes"][0], "<i4"), unpacked(row["tf"][0], "<i4")
+        owner = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+        raw = tf * idf[codes]
+        squares = raw * raw
+        lengths = np.bincount(owner, squares, len(ids))
+        place = np.empty(len(totals), np.int64)
+        place[np.lexsort((unpacked(row["terms"][0], "<i8"), totals))] = np.arange(len(totals))
+        order = np.argsort(owner * np.int64(len(totals) + 1) + place[codes])
+        through = np.cumsum(squares[order])
+        before = np.concatenate([[0.0], through])[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0)
+        rest = np.sqrt(np.maximum(1 - (through - squares[order] - before[owner]) / lengths[owner], 0))
+        open_ = rest >= least  # in front of the others of its row
+        behind = np.zeros(len(ids))
+        np.maximum.at(behind, owner[~open_], rest[~open_])  # the longest one is the first one behind the postings
+        posted = np.zeros(len(order), bool)
+        posted[order] = open_
+        posted &= (totals[codes] > 1) & known[owner]
+        return pa.RecordBatch.from_arrays(
+            [
+                row["block"],
+                *(
+                    pa.array([packed(v, k)], pa.binary())
+                    for v, k in (
+                        (ids.fill_null(0).to_numpy(), "<i8"), (behind, "<f8"), (np.sqrt(lengths), "<f8"), (unpacked(row["terms"][0], "<i8"), "<i8"),
+                        (idf, "<f8"), (ends, "<i4"), (codes, "<i4"), (tf, f"<u{np.min_scalar_type(tf.max(initial=0)).itemsize}"), (posted, "?"),
+                    )
+                ),
+            ],
+            TEXT_BLOCK.names,
+        )
+
+    return _written(blocks.mapInArrow(run, TEXT_BLOCK), "text-blocks")
+
+
+class _Block:
+    """A TEXT_BLOCK row ready to be compared: postings by row and by term, cells by row."""
+
+    def __init__(self, row: pa.RecordBatch, side: str):
+        get = lambda name, kind: unpacked(row[f"{side}_{name}"][0], kind).copy()  # noqa: E731  (a view would hold the whole batch)
+        self.ids, self.rest, self.terms = get("ids", "<i8"), get("rest", "<f8"), get("terms", "<i8")
+        self.n, self.ends, self.codes = len(self.ids), get("ends", "<i4"), get("codes", "<i4")
+        sizes = np.diff(self.ends, prepend=0)
+        self.starts, owner = self.ends - sizes, np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        width = len(row[f"{side}_tf"][0].as_buffer() or b"") // max(len(self.codes), 1)
+        self.weight = get("tf", f"<u{max(width, 1)}") * get("idf", "<f8")[self.codes] / get("norms", "<f8")[owner]
+        posted = get("posted", "?")
+        self.rows, at, self.short = owner[posted], self.codes[posted], self.weight[posted].astype("float32")
+        self.row_ends = np.cumsum(np.bincount(self.rows, minlength=self.n))
+        counts = np.bincount(at, minlength=len(self.terms))
+        used = np.flatnonzero(counts)
+        self.posted_terms, self.at = self.terms[used], np.searchsorted(used, at).astype("int32")  # place of a posting's term
+        self.term_ends = np.cumsum(counts[used])
+        order = np.argsort(at, kind="stable")
+        self.by_term, self.by_term_weight = self.rows[order], self.short[order]
+
+    def cells(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the cells of the given rows, and where each row begins."""
+        sizes = (self.ends - self.starts)[rows]
+        begins = np.cumsum(sizes) - sizes
+        return np.repeat(self.starts[rows] - begins, sizes) + np.arange(sizes.sum()), begins
+
+
+def _pairs(x: _Block, y: _Block, same: bool, threshold: float):
+    """Rows (i, j) of pairs above the threshold."""
+    _, of_x, of_y = np.intersect1d(x.posted_terms, y.posted_terms, assume_unique=True, return_indices=True)
+    met = np.zeros(len(x.posted_terms), np.int64)  # postings in y of a term of x
+    first = np.zeros(len(x.posted_terms), np.int64)
+    sizes = np.diff(y.term_ends, prepend=0)
+    met[of_x], first[of_x] = sizes[of_y], (y.term_ends - sizes)[of_y]
+    named, dense = None, np.zeros(len(y.terms))
+    least = threshold - CLOSE - max(x.rest.max(initial=0.0), y.rest.max(initial=0.0))
+    for start in range(0, x.n, STRIP_ROWS):
+        end = min(start + STRIP_ROWS, x.n)
+        span = slice(x.row_ends[start - 1] if start else 0, x.row_ends[end - 1])
+        times = met[x.at[span]]
+        kept = np.flatnonzero(times) + span.start
+        times = times[kept - span.start]
+        if not len(kept):
+            continue
+        gained = np.zeros((end - start) * y.n)
+        total = np.cumsum(times)
+        cuts = np.searchsorted(total, np.arange(MOST_PRODUCTS, total[-1], MOST_PRODUCTS))
+        for part in np.split(np.arange(len(kept)), np.unique(cuts)):
+            if not len(part):
+                continue
+            mine, n = kept[part], times[part]
+            begins = np.cumsum(n) - n
+            at = np.repeat(first[x.at[mine]] - begins, n) + np.arange(n.sum())
+            cell = np.repeat((x.rows[mine] - start) * np.int64(y.n), n) + y.by_term[at]
+            gained += np.bincount(cell, np.repeat(x.short[mine], n) * y.by_term_weight[at], len(gained))
+        # terms behind the postings of one of both bring no more than what is left of it
+        found = np.flatnonzero(gained > max(least, 0.0))
+        i, j = np.divmod(found, y.n)
+        i += start
+        near = gained[found] + np.maximum(x.rest[i], y.rest[j]) > threshold - CLOSE
+        i, j = i[near], j[near]
+        if same:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
+        if named is None:
+            named = np.searchsorted(y.terms, x.terms)
+            named[named == len(y.terms)] = 0
+            named = np.where(y.terms[named] == x.terms, named, -1)
+        for row in np.unique(i):
+            others = j[slice(*np.searchsorted(i, [row, row + 1]))]
+            own = slice(x.starts[row], x.ends[row])
+            place, weight = named[x.codes[own]], x.weight[own]
+            place, weight = place[place >= 0], weight[place >= 0]
+            dense[place] = weight
+            at, begins = y.cells(others)
+            close = np.add.reduceat(dense[y.codes[at]] * y.weight[at], begins) > threshold
+            dense[place] = 0.0
+            if close.any():
+                yield np.full(int(close.sum()), row), others[close]
+
+
+def text_links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Edges that connect exactly what pairs of written TEXT_BLOCK rows above the threshold connect.
+
+    Every two blocks meet, as they are read and without a shuffle. Over the posted terms pairs add up what they share; behind the
+    postings a pair cannot gain more than what is left of one of its vectors, and only pairs that can still reach the
+    threshold are compared by all their terms. A task holds two blocks, and returns as many links as they have rows at most.
+    """
+    sides = [blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in ("x", "y")]
+    met = sides[0].join(sides[1], F.col("x_block") <= F.col("y_block"))
 
-    checked = pairs.join(left, "a").join(right, "b").mapInArrow(verify, EDGES)
-    members = copies.select(F.col("block").cast("string").alias("block"), "item_id")
-    return checked.union(links_in_blocks(members, vectors, threshold))
+    def compare(batches):
+        held: dict[int, _Block] = {}
 
+        def ready(row: pa.RecordBatch, side: str) -> _Block:
+            number = row[f"{side}_block"][0].as_py()
+            block = held.pop(number, None) or _Block(row, side)
+            held[number] = block  # the last one is the newest
+            if len(held) > HELD_BLOCKS:
+                del held[next(iter(held))]
+            return block
 
-def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of blocks that can be paired, and of longer ones; blocks of one member are left out, and never written."""
-    sizes = postings.groupBy("block").agg(F.count("*").alias("n"))
-    sized = _written(postings.join(sizes.filter("n > 1"), "block"), "postings")
-    return sized.filter(F.col("n") <= LONG_BLOCK).drop("n"), sized.filter(F.col("n") > LONG_BLOCK).drop("n")
-
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                x, y = ready(row, "x"), ready(row, "y")
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                size = 0
+                for i, j in _pairs(x, y, x is y, threshold):
+                    a.append(x.ids[i])
+                    b.append(y.ids[j])
+                    size += len(i)
+                    if size > MOST_LINKS:
+                        a, b = ([side] for side in _stars(np.concatenate(a), np.concatenate(b)))
+                        size = 0
+                a, b = _stars(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _pairs(postings: DataFrame, reach: Column) -> DataFrame:
-    """(a, b, gain) of the pairs of each block that meet the condition; a row has LONG_BLOCK partners at most."""
-    x, y = postings.alias("x"), postings.alias("y")
-    met = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id")) & reach)
-    return met.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), (F.col("x.weight") * F.col("y.weight")).alias("gain"))
+    return met.mapInArrow(compare, EDGES)
 
 
 def near_duplicate_texts(texts: DataFrame, threshold: float = 0.8, max_features: int | None = None) -> DataFrame:
     """Clusters of (item_id, text) with TF-IDF cosine above the threshold, by connection."""
-    keyed = texts.select("item_id", dedupe_key(F.col("text")).alias("text")).filter("text <> ''")
-    keyed = keyed.withColumn("_k", text_key(F.col("text")))
-    distinct = keyed.groupBy("_k").agg(
-        F.min("item_id").alias("first_id"), F.count("*").alias("n_copies"), F.min_by("text", "item_id").alias("text")
-    )
-    copies = keyed.select("item_id", "_k").join(distinct.select("_k", "first_id"), "_k").filter("item_id <> first_id")
-    copies = copies.select(F.col("item_id").alias("a"), F.col("first_id").alias("b"))
-    distinct = _written(distinct, "texts")
-    weights = tfidf_vectors(distinct.select(F.col("first_id").alias("item_id"), "n_copies", "text"), max_features)
-    return clusters(copies, text_links(_written(with_terms(weights), "cells"), threshold))
+    items, copies, n_docs = one_row_an_item(texts)
+    blocks = tfidf_blocks(items, max_features, n_docs)
+    if copies is None:
+        keyed = blocks.select(F.explode(F.arrays_zip("item_id", "key")).alias("r")).select("r.item_id", "r.key")
+        copies = _copies(keyed, keyed.groupBy("key").agg(F.min("item_id").alias("first_id")))
+    return clusters(copies, text_links(text_blocks(blocks, threshold), threshold))
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -295,3 +296,39 @@ def test_only_postings_that_can_pair_are_written(spark, monkeypatch):
     short, long = similar._by_length(spark.createDataFrame(rows, "block long, item_id long, weight double, rest double"))
     assert short.count() == 3 and long.count() == 0
     assert written == [("postings", 3)]
+
+
+def tfidf_clusters(texts, threshold=0.8):
+    """Clusters of {id: text} by comparing all pairs."""
+    counts, idf = {i: Counter(t.split()) for i, t in texts.items()}, {}
+    for w in {w for c in counts.values() for w in c}:
+        idf[w] = np.log((1 + len(texts)) / (1 + sum(w in c for c in counts.values()))) + 1
+    raw = {i: {w: n * idf[w] for w, n in c.items()} for i, c in counts.items()}
+    unit = {i: {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for i, v in raw.items()}
+    return brute_clusters(sorted(texts), lambda a, b: sum(x * unit[b].get(w, 0.0) for w, x in unit[a].items()) > threshold)
+
+
+def test_texts_meet_in_blocks_and_their_words_are_never_rows(spark, monkeypatch):
+    from corpusmill.operators import term_blocks
+
+    r = random.Random(9)
+    words = [f"w{int(r.paretovariate(0.6))}" for _ in range(4000)]  # a few words stand in most texts
+    texts = {i: " ".join(r.choice(words) for _ in range(r.randrange(1, 40))) for i in range(150)}
+    texts |= {150 + i: " ".join(w if r.random() < 0.93 else r.choice(words) for w in texts[i].split()) for i in range(100)}
+    texts |= {250 + i: texts[7] for i in range(20)}
+    for module, name, value in ((term_blocks, "BLOCK_ROWS", 16), (term_blocks, "BLOCK_WORDS", 200), (term_blocks, "RANGE_TERMS", 50), (similar, "STRIP_ROWS", 5), (similar, "MOST_PRODUCTS", 50)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    rows, write = [], similar._written
+    monkeypatch.setattr(similar, "_written", lambda df, label: rows.append((found := write(df, label)).count()) or found)
+    df = spark.createDataFrame(sorted(texts.items()), "item_id long, text string")
+    assert {r["item_id"]: r["cluster"] for r in similar.near_duplicate_texts(df).collect()} == tfidf_clusters(texts)
+    assert sum(rows) < len(texts) / 4  # blocks are written, and neither texts nor postings
+
+
+def test_texts_of_one_item_are_one_text(spark):
+    rows = [(1, "one two three"), (1, "four five six"), (2, "four two five six one three"), (3, "one two three"), (None, "one two three four five six")]
+    df = spark.createDataFrame([*rows, (4, "other words"), (4, "other words")], "item_id long, text string")
+    assert {r["item_id"]: r["cluster"] for r in similar.near_duplicate_texts(df).collect()} == {1: 1, 2: 1, 3: 1}
+    few = spark.createDataFrame([(1, "aa bb cc"), (2, "aa bb dd"), (3, "ee")], "item_id long, text string")
+    assert {r["item_id"] for r in similar.near_duplicate_texts(few, max_features=2).collect()} == {1, 2}
+    assert similar.near_duplicate_texts(few).count() == 0
