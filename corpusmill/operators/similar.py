@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import dedupe_key, text_key
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.term_blocks import packed, term_blocks, totals_of, unpacked, with_totals
+from corpusmill.operators.term_blocks import cells_by_row, term_blocks, totals_and_names, with_totals
 from corpusmill.operators.term_blocks import written as _written
 from corpusmill.operators.vector_cells import ROWS, VectorCells, matrix, means_of, sample_of, squared_distances
 from corpusmill.session import cut_lineage
@@ -193,12 +193,12 @@ TEXT_BLOCK = T.StructType(
         T.StructField("ids", T.BinaryType()),  # int64 a row
         T.StructField("rest", T.BinaryType()),  # float64 a row: length of the vector behind its postings
         T.StructField("norms", T.BinaryType()),  # float64 a row
-        T.StructField("terms", T.BinaryType()),  # int64, sorted
+        T.StructField("terms", T.BinaryType()),  # int64, sorted; terms that only one text has are left out
         T.StructField("idf", T.BinaryType()),  # float64 a term
         T.StructField("ends", T.BinaryType()),  # int32 a row: end of its cells
         T.StructField("codes", T.BinaryType()),  # int32 a cell
-        T.StructField("tf", T.BinaryType()),  # a cell, in as few bytes as the largest one takes
         T.StructField("posted", T.BinaryType()),  # bool a cell: whether it is a posting
+        T.StructField("tf", T.BinaryType()),  # a cell, in as few bytes as the largest one takes
     ]
 )
 
@@ -250,6 +250,19 @@ def tfidf_blocks(texts: DataFrame, max_features: int | None = None, n_docs: int
     return with_totals(blocks).withColumn("n_docs", F.lit(n_docs))
 
 
+def packed(values: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as the largest one takes."""
+    return packed(values, f"<u{np.min_scalar_type(values.max(initial=0)).itemsize}")
+
+
+def unpacked(cell: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer() or b"", kind).copy()  # a view would hold the whole batch
+
+
 def text_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
     """Written blocks as TEXT_BLOCK: unit vectors and which of their cells are postings.
 
@@ -266,35 +279,39 @@ def text_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
     def ready(row: pa.RecordBatch) -> pa.RecordBatch:
         ids = row["item_id"][0].values
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        totals, ends = totals_of(row["totals"][0]), unpacked(row["ends"][0], "<i4")
+        (totals, names), (owner, codes, tf) = totals_and_names(row), cells_by_row(row)
         idf = np.log((1 + row["n_docs"][0].as_py()) / (1 + totals)) + 1
-        codes, tf = unpacked(row["codes"][0], "<i4"), unpacked(row["tf"][0], "<i4")
-        owner = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
         raw = tf * idf[codes]
         squares = raw * raw
         lengths = np.bincount(owner, squares, len(ids))
         place = np.empty(len(totals), np.int64)
-        place[np.lexsort((unpacked(row["terms"][0], "<i8"), totals))] = np.arange(len(totals))
+        place[np.argsort(totals, kind="stable")] = np.arange(len(totals))  # from rare to common, equal ones by hash
         order = np.argsort(owner * np.int64(len(totals) + 1) + place[codes])
         through = np.cumsum(squares[order])
-        before = np.concatenate([[0.0], through])[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0)
+        first = np.searchsorted(owner, np.arange(len(ids)))
+        before = np.concatenate([[0.0], through])[first]
         rest = np.sqrt(np.maximum(1 - (through - squares[order] - before[owner]) / lengths[owner], 0))
         open_ = rest >= least  # in front of the others of its row
         behind = np.zeros(len(ids))
         np.maximum.at(behind, owner[~open_], rest[~open_])  # the longest one is the first one behind the postings
         posted = np.zeros(len(order), bool)
         posted[order] = open_
-        posted &= (totals[codes] > 1) & known[owner]
+        shared = totals > 1  # the others are in no other text
+        posted &= known[owner]
+        kept = shared[codes]
+        codes, tf, posted = (np.cumsum(shared) - 1)[codes[kept]], tf[kept], posted[kept]
+        ends = np.cumsum(np.bincount(owner[kept], minlength=len(ids)))
         return pa.RecordBatch.from_arrays(
             [
                 row["block"],
                 *(
                     pa.array([packed(v, k)], pa.binary())
                     for v, k in (
-                        (ids.fill_null(0).to_numpy(), "<i8"), (behind, "<f8"), (np.sqrt(lengths), "<f8"), (unpacked(row["terms"][0], "<i8"), "<i8"),
-                        (idf, "<f8"), (ends, "<i4"), (codes, "<i4"), (tf, f"<u{np.min_scalar_type(tf.max(initial=0)).itemsize}"), (posted, "?"),
+                        (ids.fill_null(0).to_numpy(), "<i8"), (behind, "<f8"), (np.sqrt(lengths), "<f8"), (names, "<i8"),
+                        (idf[shared], "<f8"), (ends, "<i4"), (codes, "<i4"), (posted, "?"),
                     )
                 ),
+                pa.array([narrow(tf)], pa.binary()),
             ],
             TEXT_BLOCK.names,
         )
@@ -306,12 +323,12 @@ class _Block:
     """A TEXT_BLOCK row ready to be compared: postings by row and by term, cells by row."""
 
     def __init__(self, row: pa.RecordBatch, side: str):
-        get = lambda name, kind: unpacked(row[f"{side}_{name}"][0], kind).copy()  # noqa: E731  (a view would hold the whole batch)
+        get = lambda name, kind: unpacked(row[f"{side}_{name}"][0], kind)
         self.ids, self.rest, self.terms = get("ids", "<i8"), get("rest", "<f8"), get("terms", "<i8")
         self.n, self.ends, self.codes = len(self.ids), get("ends", "<i4"), get("codes", "<i4")
         sizes = np.diff(self.ends, prepend=0)
         self.starts, owner = self.ends - sizes, np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        width = len(row[f"{side}_tf"][0].as_buffer() or b"") // max(len(self.codes), 1)
+        width = len(row[f"{side}_tf"][0].as_buffer()) // max(len(self.codes), 1)
         self.weight = get("tf", f"<u{max(width, 1)}") * get("idf", "<f8")[self.codes] / get("norms", "<f8")[owner]
         posted = get("posted", "?")
         self.rows, at, self.short = owner[posted], self.codes[posted], self.weight[posted].astype("float32")

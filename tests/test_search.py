@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -332,3 +333,44 @@ def test_texts_of_one_item_are_one_text(spark):
     few = spark.createDataFrame([(1, "aa bb cc"), (2, "aa bb dd"), (3, "ee")], "item_id long, text string")
     assert {r["item_id"] for r in similar.near_duplicate_texts(few, max_features=2).collect()} == {1, 2}
     assert similar.near_duplicate_texts(few).count() == 0
+
+
+def brute_tags(rows, top=5, min_df=2, max_df=0.8):
+    """Tags of (cluster, item, text) by hand."""
+    tags = {}
+    for cluster in {c for c, _, _ in rows}:
+        items = {}
+        for c, i, text in rows:
+            if c == cluster:
+                w = re.findall(r"\w\w+", (text or "").lower())
+                items.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+        df = Counter(t for counts in items.values() for t in counts)
+        idf = {t: np.log((1 + len(items)) / (1 + n)) + 1 for t, n in df.items() if min_df <= n <= max_df * len(items)}
+        sums = Counter()
+        for counts in items.values():
+            raw = {t: n * idf[t] for t, n in counts.items() if t in idf}
+            for t, x in raw.items():
+                sums[t] += x / np.sqrt(sum(y * y for y in raw.values()))
+        tags[cluster] = sorted(sums, key=lambda t: (-round(sums[t], 6), t))[:top]
+    return tags
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_tags_are_summed_in_blocks_and_only_the_best_are_spelled(spark, monkeypatch, twice):
+    from corpusmill.operators import term_blocks
+
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.8))}" for _ in range(2000)]
+    rows = [(f"c{i % 3}", i, " ".join(r.choice(words) for _ in range(r.randrange(0, 30)))) for i in range(200)]
+    rows += [("one", 900, "alone here"), ("two", 901, "same words"), ("two", 902, "same words"), ("two", 903, None), ("two", None, "same words")]
+    rows += rows[:5] if twice else []
+    for module, name, value in ((term_blocks, "BLOCK_ROWS", 16), (term_blocks, "RANGE_TERMS", 50), (topics, "MOST_LIKELY", 8)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    spelled, count = [], topics.term_counts
+    monkeypatch.setattr(topics, "term_counts", lambda texts, stop: spelled.append(texts.count()) or count(texts, stop))
+    df = spark.createDataFrame(rows, "cluster string, item_id long, text string").repartition(3)
+    want = {c: tags or ["(не удалось выделить теги)"] for c, tags in brute_tags(rows).items()}
+    assert {r["cluster"]: r["tags"] for r in topics.cluster_tags(df, []).collect()} == want
+    assert sum(spelled) < len(rows) / 4  # the terms of all others are never rows
+    few = {r["cluster"]: r["tags"] for r in topics.cluster_tags(df, [], max_features=2).collect()}
+    assert all(len(tags) <= 2 for tags in few.values()) and few["two"] == ["same", "same words"]
