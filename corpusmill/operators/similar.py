@@ -417,15 +417,17 @@ def text_links(blocks: DataFrame, threshold: float) -> DataFrame:
 
         def ready(row: pa.RecordBatch, side: str) -> _Block:
             number = row[f"{side}_block"][0].as_py()
-            block = held.pop(number, None) or _Block(row, side)
+            block = held.pop(number, None)
+            if block is None:
+                while len(held) >= HELD_BLOCKS:
+                    del held[next(iter(held))]  # the oldest one goes before another one is made
+                block = _Block(row, side)
             held[number] = block  # the last one is the newest
-            if len(held) > HELD_BLOCKS:
-                del held[next(iter(held))]
             return block
 
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
+                row, x, y = batch.slice(r, 1), None, None
                 x, y = ready(row, "x"), ready(row, "y")
                 a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 size = 0
